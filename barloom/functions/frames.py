@@ -6,12 +6,22 @@ bounded by the length of the calendar, whatever share of the input rows a key ow
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("instrument",)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key with all configured shuffle partitions.
+
+    Series work is bound by CPU, not by bytes, so AQE must not merge its small partitions; later windows on
+    the same key reuse this exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *(keys or KEYS))
+
+
 def series(keys=KEYS, order="date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
@@ -47,6 +57,11 @@ def ratio(num, den) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
+def change(col, n: int = 1, keys=KEYS, order="date") -> Column:
+    """col / col n rows earlier - 1."""
+    return ratio(col, F.lag(col, n).over(series(keys, order))) - 1
+
+
 def clip(col, low, high) -> Column:
     """NULL-preserving clamp."""
     return F.when(col < low, F.lit(low)).when(col > high, F.lit(high)).otherwise(col)

@@ -7,7 +7,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ratio, rolled, running, series
+from ..functions.frames import KEYS, change, ratio, rolled, running, series
 from ..functions.recurrence import linear
 from ..settings import DEFAULTS, Settings
 
@@ -28,7 +28,7 @@ def indicators(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFram
     c, h, lo, v = (F.col(n) for n in ("close", "high", "low", "volume"))
     given = bars.columns
     if "Adj_Return" not in given:
-        bars = bars.withColumn("Adj_Return", F.log1p(c / F.lag("close").over(w) - 1))
+        bars = bars.withColumn("Adj_Return", F.log1p(change(c, 1, keys)))
 
     # Pass 1: frames over raw columns.
     df = bars.select(
@@ -120,11 +120,11 @@ def indicators(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFram
                 ),
             ),
             "ROC_10": 100 * ratio(c - F.col("_croc"), F.col("_croc")),
-            "BB_Width": (F.col("BB_Upper") - F.col("BB_Lower")) / F.col("BB_Mid"),
+            "BB_Width": ratio(F.col("BB_Upper") - F.col("BB_Lower"), F.col("BB_Mid")),
             "BB_Pct": ratio(c - F.col("BB_Lower"), F.col("BB_Upper") - F.col("BB_Lower")),
             "Vol_Ratio": ratio(v, F.col("Vol_MA_20")),
-            "Return_5d": c / F.col("_c5") - 1,
-            "Return_20d": c / F.col("_c20") - 1,
+            "Return_5d": ratio(c, F.col("_c5")) - 1,
+            "Return_20d": ratio(c, F.col("_c20")) - 1,
             "High_Low_Pct": ratio(h - lo, c),
             "Gap_Pct": ratio(F.col("open") - F.col("_prev"), F.col("_prev")),
             "Close_above_MA200": _flag(c > F.col("MA_200")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, filled, series
+from ..functions.frames import KEYS, change, filled
 from ..settings import DEFAULTS, Settings
 
 PRICES = ("open", "high", "low", "close")
@@ -20,7 +20,7 @@ def fill_short_gaps(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> Dat
 
 def with_returns(bars: DataFrame, keys=KEYS) -> DataFrame:
     """Daily_Return (simple) and Adj_Return (log); NULL on the first bar."""
-    simple = F.col("close") / F.lag("close").over(series(keys)) - 1
+    simple = change(F.col("close"), 1, keys)
     return bars.withColumn("Daily_Return", simple).withColumn("Adj_Return", F.log1p("Daily_Return"))
 
 

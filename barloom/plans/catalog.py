@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from . import ingest, prices
+from . import decisions, ingest, prices
 
-MODULES = (ingest, prices)
+MODULES = (ingest, prices, decisions)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
 
-
-def flagship(spark, sf_dir):
-    return QUERIES["IND18_all_indicators"](spark, sf_dir)
+# Newest regime-gated signal of every instrument.
+flagship = QUERIES["SIG9_latest_signals"]

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import spread
 from ..operators.returns import prepare
 from ..settings import DEFAULTS, Settings
 from .calendar import last_trading_day
@@ -27,10 +28,10 @@ def select_bars(bars: DataFrame, universe: DataFrame | Iterable[str] | None = No
 
 
 def scan_bars(spark: SparkSession, path: str, format: str = "parquet", **selection) -> DataFrame:
-    """Read bars with a fixed schema; the date filter prunes year folders and row groups."""
+    """Read bars with a fixed schema; the date filter prunes row groups. Delivered partitioned by instrument."""
     reader = spark.read.schema(BARS)
     bars = reader.csv(path, header=True) if format == "csv" else reader.format(format).load(path)
-    return select_bars(bars, **selection)
+    return spread(select_bars(bars, **selection))
 
 
 def one_bar_per_day(bars: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ costs one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import KEYS, running, series
+from ..functions.frames import running, series, spread
 
 BARS = T.StructType(
     [
@@ -41,7 +41,7 @@ def _bars(lines: DataFrame, scale: float) -> DataFrame:
         F.max("l_tax").alias("top_tax"),
         F.sum("l_quantity").alias("volume"),
     )
-    day = day.withColumn("close", F.round(100 * F.exp(F.sum("lr").over(running())), 4))
+    day = spread(day).withColumn("close", F.round(100 * F.exp(F.sum("lr").over(running())), 4))
     prev = F.lag("close").over(series())
     day = day.withColumn("open", F.coalesce(prev * (1 + 0.1 * (F.col("tax") - 0.04)), F.col("close")))
     return day.select(
@@ -123,8 +123,7 @@ def holdings(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
         .groupBy(F.col("o_custkey").cast("string").alias("portfolio_id"), F.col("p_brand").alias("instrument"))
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.sum("l_quantity").alias("quantity"))
     )
-    w = series(("portfolio_id",), F.col("amount").desc())
-    w = w.orderBy(F.col("amount").desc(), "instrument")
+    w = Window.partitionBy("portfolio_id").orderBy(F.col("amount").desc(), "instrument")
     return spent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("rank")
 
 
