@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decisions, ingest, prices
+from . import decisions, ideas, ingest, prices, runs
 
-MODULES = (ingest, prices, decisions)
+MODULES = (ingest, prices, decisions, ideas, runs)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
 

@@ -19,13 +19,14 @@ def cte(name: str, body: str) -> None:
 def sql(body: str) -> str:
     """Prefix `body` with the CTEs it mentions, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text)):
-            if word in CTES and word not in order:
+            if word in CTES and word not in seen:
+                seen.add(word)
                 visit(CTES[word])
-                if word not in order:
-                    order.append(word)
+                order.append(word)
 
     visit(body)
     if not order:
