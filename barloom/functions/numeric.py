@@ -68,20 +68,39 @@ def expected_max_factor(n_trials: int) -> float:
     return (1 - EULER_MASCHERONI) * inv(1 - 1 / n_trials) + EULER_MASCHERONI * inv(1 - 1 / (n_trials * EULER))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+VECTOR = T.ArrayType(T.DoubleType())
+
+
+def _square(v) -> np.ndarray:
+    k = int(round(sqrt(len(v))))
+    return np.asarray(v, float).reshape(k, k)
+
+
+@F.pandas_udf(VECTOR)
 def inverse(flat: pd.Series) -> pd.Series:
-    """Inverse of small square matrices given row by row; NULL where singular. One batched call per Arrow batch."""
+    """Inverse of one small square matrix per row; NULL where singular."""
 
     def one(v):
-        k = int(round(sqrt(len(v))))
-        m = np.asarray(v, float).reshape(k, k)
         try:
-            return np.linalg.inv(m).ravel().tolist()
+            return np.linalg.inv(_square(v)).ravel().tolist()
         except np.linalg.LinAlgError:
             return None
 
     return flat.map(one, na_action="ignore")
 
 
-def cell(matrix: Column, i: int, j: int, k: int) -> Column:
-    return matrix[i * k + j]
+@F.pandas_udf(VECTOR)
+def coefficients(inv: pd.Series, xy: pd.Series) -> pd.Series:
+    """inv(X'X) X'y per row."""
+    return pd.Series([None if m is None else (_square(m) @ np.asarray(b, float)).tolist() for m, b in zip(inv, xy)])
+
+
+@F.pandas_udf(VECTOR)
+def sandwich_errors(inv: pd.Series, meat: pd.Series) -> pd.Series:
+    """Square roots of the diagonal of inv * meat * inv per row."""
+
+    def one(m, o):
+        bread = _square(m)
+        return np.sqrt(np.maximum(np.diag(bread @ _square(o) @ bread), 0.0)).tolist()
+
+    return pd.Series([None if m is None else one(m, o) for m, o in zip(inv, meat)])

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, filled
-from ..functions.numeric import two_sided_p
 from ..settings import DEFAULTS, Settings
 from .performance import RUN
-from .significance import join_dates, regress, t_stat
+from .significance import join_dates, regress
 
 SET = ("factor_set",)
 LEAST = 50
@@ -56,8 +55,8 @@ def attribution(returns: DataFrame, factor_rets: DataFrame, factors: dict[str, s
             F.lit(name).alias("factor"),
             F.col("coef")[i + 1].alias("beta"),
             F.col("se")[i + 1].alias("se"),
-            t_stat(i + 1).alias("t_stat"),
-            two_sided_p(t_stat(i + 1)).alias("p_value"),
+            F.col("t")[i + 1].alias("t_stat"),
+            F.col("p")[i + 1].alias("p_value"),
             (F.col("coef")[i + 1] * F.col("means")[i] * cfg.trading_days).alias("contribution"),
         )
         for i, name in enumerate(factors)
@@ -69,8 +68,8 @@ def attribution(returns: DataFrame, factor_rets: DataFrame, factors: dict[str, s
         F.col("coef")[0].alias("alpha_daily"),
         (F.col("coef")[0] * cfg.trading_days).alias("alpha_annual"),
         F.col("se")[0].alias("alpha_se"),
-        t_stat(0).alias("alpha_t"),
-        two_sided_p(t_stat(0)).alias("alpha_p"),
+        F.col("t")[0].alias("alpha_t"),
+        F.col("p")[0].alias("alpha_p"),
         r2.alias("r_squared"),
         (F.col("mean_y") * cfg.trading_days).alias("strategy_mean_annual"),
         (F.col("mean_resid") * cfg.trading_days).alias("unexplained_annual"),

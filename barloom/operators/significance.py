@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import series
-from ..functions.numeric import cell, expected_max_factor, inverse, normal_cdf, two_sided_p
+from ..functions.numeric import coefficients, expected_max_factor, inverse, normal_cdf, sandwich_errors, two_sided_p
 from ..settings import DEFAULTS, Settings
 from .performance import RUN, histogram
 
@@ -120,7 +120,7 @@ def join_dates(left: DataFrame, right: DataFrame, on=("date",)) -> DataFrame:
 def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, keys=RUN, least: int = LEAST) -> DataFrame:
     """OLS of y on a constant and `xs` per key, with heteroskedasticity- and autocorrelation-robust errors.
 
-    Returns arrays `coef`, `se` (constant first) plus n, lags, ss_res, ss_tot, mean_y, mean_resid, means.
+    Returns arrays `coef`, `se`, `t`, `p` (constant first) plus n, lags, ss_res, ss_tot, mean_y, mean_resid, means.
     Cross products are ordinary sums combined map-side; only k x k matrices reach Python, one per key.
     """
     k = len(xs) + 1
@@ -138,10 +138,7 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     fit = fit.filter(F.col("n") >= least).withColumns(
         {"lags": (F.lit(lags) if lags else rule).cast("int"), "inv": inverse("_xx")}
     )
-    coef = F.array(
-        *[sum((cell(F.col("inv"), i, j, k) * F.col("_xy")[j] for j in range(k)), F.lit(0.0)) for i in range(k)]
-    )
-    fit = fit.withColumn("coef", coef).drop("_xx", "_xy")
+    fit = fit.withColumn("coef", coefficients("inv", "_xy")).drop("_xx", "_xy").filter(F.col("coef").isNotNull())
 
     df = data.join(fit.select(*keys, "coef", "lags", "mean_y"), list(keys))
     df = df.withColumn("_e", F.col("_y") - sum((F.col("coef")[i] * x[i] for i in range(k)), F.lit(0.0)))
@@ -163,21 +160,9 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
         F.sum((F.col("_y") - F.col("mean_y")) ** 2).alias("ss_tot"),
         F.avg("_e").alias("mean_resid"),
     )
-    out = fit.join(meat, list(keys))
-
-    def variance(i: int) -> Column:
-        total = F.lit(0.0)
-        for a in range(k):
-            for b in range(k):
-                total = total + cell(F.col("inv"), i, a, k) * cell(F.col("omega"), a, b, k) * cell(F.col("inv"), b, i, k)
-        return total
-
-    se = F.array(*[F.sqrt(F.greatest(variance(i), F.lit(0.0))) for i in range(k)])
-    return out.withColumn("se", se).drop("inv", "omega")
-
-
-def t_stat(i: int) -> Column:
-    return F.coalesce(F.col("coef")[i] / F.nullif(F.col("se")[i], F.lit(0.0)), F.lit(0.0))
+    out = fit.join(meat, list(keys)).withColumn("se", sandwich_errors("inv", "omega")).drop("inv", "omega")
+    ratio_of = lambda c, s: F.coalesce(c / F.nullif(s, F.lit(0.0)), F.lit(0.0))
+    return out.withColumn("t", F.zip_with("coef", "se", ratio_of)).withColumn("p", F.transform("t", two_sided_p))
 
 
 def alpha_test(returns: DataFrame, benchmark: DataFrame, rf: float = 0.0, lags: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -191,14 +176,12 @@ def alpha_test(returns: DataFrame, benchmark: DataFrame, rf: float = 0.0, lags:
         (F.col("coef")[0] * cfg.trading_days).alias("alpha_annual"),
         F.col("coef")[1].alias("beta"),
         F.col("se")[0].alias("se_alpha_daily"),
-        t_stat(0).alias("t_stat"),
+        F.col("t")[0].alias("t_stat"),
+        F.col("p")[0].alias("p_value"),
         F.col("n").alias("n_obs"),
         F.col("lags").alias("hac_lags"),
     )
-    p = two_sided_p(F.col("t_stat"))
-    return df.withColumn("p_value", p).withColumns(
-        {"significant_5pct": F.col("p_value") < 0.05, "significant_1pct": F.col("p_value") < 0.01}
-    )
+    return df.withColumns({"significant_5pct": F.col("p_value") < 0.05, "significant_1pct": F.col("p_value") < 0.01})
 
 
 def verdict(prob: Column) -> Column:
