@@ -126,10 +126,10 @@ def record_stats(trades: DataFrame, by=()) -> DataFrame:
 # ---- entries, sizes and exits of a trade log ----
 
 
-def buy_candidates(signals: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def buy_candidates(signals: DataFrame, cfg: Settings = DEFAULTS, scope=()) -> DataFrame:
     """Per day the most confident BUYs, as many as there are slots (`slot` = 1, 2, …)."""
     buys = signals.filter((F.col("Signal") == 1) & (F.col("Confidence") > 0) & (F.col("close") > 0))
-    order = Window.partitionBy("date").orderBy(F.col("Confidence").desc(), "instrument")
+    order = Window.partitionBy(*scope, "date").orderBy(F.col("Confidence").desc(), "instrument")
     # A filter on row_number lets Spark keep only the top rows of each task before the shuffle.
     return buys.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= cfg.slots)
 
@@ -140,12 +140,12 @@ def size_fraction(cfg: Settings = DEFAULTS) -> Column:
     return F.least(cfg.position_cap * size * (0.5 + 0.5 * sure), F.lit(cfg.position_cap))
 
 
-def with_next_exit(signals: DataFrame) -> DataFrame:
+def with_next_exit(signals: DataFrame, scope=()) -> DataFrame:
     """Add `next_sell` (date and close of the next SELL bar) and `last_bar` to every signal row.
 
     Reversed time turns "next" into a running last value, so the series is scanned once.
     """
-    newest_first = Window.partitionBy("instrument").orderBy(F.col("date").desc())
+    newest_first = Window.partitionBy(*scope, "instrument").orderBy(F.col("date").desc())
     bar = F.struct("date", "close")
     sell = F.when((F.col("Signal") == -1) & F.col("close").isNotNull(), bar)
     return signals.withColumns(
@@ -156,26 +156,34 @@ def with_next_exit(signals: DataFrame) -> DataFrame:
     )
 
 
-def resolve_exits(entries: DataFrame, bars: DataFrame) -> DataFrame:
+def resolve_exits(entries: DataFrame, bars: DataFrame, scope=()) -> DataFrame:
     """Exit of each entry: its stop, else a SELL, else the end of the data; the entry day itself never exits.
 
     Only stops need a search. It ends at the entry's next SELL bar, the join keeps touched stops only, and the
     first one per entry is found map-side.
     """
-    lows = bars.select(F.col("instrument").alias("_k"), F.col("date").alias("_d"), "low")
+    keys = (*scope, "instrument")
+    lows = bars.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("date").alias("_d"), "low")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
     touched = (
-        (F.col("instrument") == F.col("_k"))
+        same
         & (F.col("_d") > F.col("entry_date"))
         & (F.col("_d") <= F.coalesce(F.col("next_sell.date"), F.col("last_bar.date")))
         & (F.col("low") <= F.col("stop_loss"))
     )
-    given = [c for c in entries.columns if c not in ("instrument", "entry_date")]
+    given = [c for c in entries.columns if c not in (*keys, "entry_date")]
     out = (
         entries.join(lows, touched, "left")
-        .groupBy("instrument", "entry_date")
+        .groupBy(*keys, "entry_date")
         .agg(*[F.first(c).alias(c) for c in given], F.min("_d").alias("_stop"))
     )
-    closes_at_end = F.col("last_bar.date") == bars.agg(F.max("date")).scalar()
+    if scope:
+        out = out.join(bars.groupBy(*scope).agg(F.max("date").alias("_end")), list(scope))
+    else:
+        out = out.withColumn("_end", bars.agg(F.max("date")).scalar())
+    closes_at_end = F.col("last_bar.date") == F.col("_end")
     pick = lambda a, b, c: F.when(F.col("_stop").isNotNull(), a).when(F.col("next_sell").isNotNull(), b).when(closes_at_end, c)
     return out.withColumns(
         {
@@ -183,13 +191,14 @@ def resolve_exits(entries: DataFrame, bars: DataFrame) -> DataFrame:
             "exit_price": pick(F.col("stop_loss"), F.col("next_sell.close"), F.col("last_bar.close")),
             "exit_reason": pick(F.lit("stop_loss"), F.lit("signal_sell"), F.lit("end_of_data")),
         }
-    ).filter(F.col("exit_date").isNotNull()).drop("_stop", "next_sell", "last_bar")
+    ).filter(F.col("exit_date").isNotNull()).drop("_stop", "_end", "next_sell", "last_bar")
 
 
-def entries_of(candidates: DataFrame, cfg: Settings = DEFAULTS, nav: float | None = None) -> DataFrame:
+def entries_of(candidates: DataFrame, cfg: Settings = DEFAULTS, nav: float | None = None, keep=()) -> DataFrame:
     """Entry records: price, stop (5 % below where none was set) and shares bought with the sized cash."""
     cash = (cfg.capital if nav is None else nav) * size_fraction(cfg)
     return candidates.select(
+        *keep,
         "instrument",
         F.col("date").alias("entry_date"),
         F.col("close").alias("entry_price"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, running
+from ..functions.skew import salted_join
 from ..settings import DEFAULTS, Settings
 from .performance import sharpe, sortino
 
@@ -44,7 +45,8 @@ def not_in_panel(holdings: DataFrame, panel: DataFrame) -> DataFrame:
 def _held_returns(weighted: DataFrame, returns: DataFrame) -> DataFrame:
     cols = weighted.select(*BOOK, "instrument", "weight", "n_holdings", "total_value")
     known = returns.select("instrument", "date", F.col("Adj_Return").alias("r")).filter(F.col("r").isNotNull())
-    return cols.join(known, "instrument")
+    # A holding meets every day of its instrument, so a name held by very many books is salted.
+    return salted_join(cols, known, "instrument", "portfolio_id")
 
 
 def aligned_panel(weighted: DataFrame, returns: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import books, decisions, ideas, ingest, prices, runs
+from . import books, decisions, forward, ideas, ingest, prices, runs
 
-MODULES = (ingest, prices, decisions, ideas, runs, books)
+MODULES = (ingest, prices, decisions, ideas, runs, books, forward)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
 
