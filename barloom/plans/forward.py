@@ -103,7 +103,7 @@ FROM (SELECT run_id, window_id, min_by(equity, date) AS f0, max_by(equity, date)
 )
 cte(
     "oos",
-    "SELECT *, equity / peak - 1 AS dd FROM (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY run_id ORDER BY date) - 1, 0) AS ret, max(equity) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM chained)",
+    "SELECT *, equity / peak - 1 AS dd FROM (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY run_id ORDER BY date) - 1, 0) AS ret, max(equity) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT run_id, date, round(equity, 6) AS equity FROM chained))",
 )
 cte("oos_metrics", metric_sql("oos"))
 
@@ -123,7 +123,9 @@ def _(spark, sf):
 
 @register("WF5_out_of_sample_metrics", "SELECT run_id, " + ", ".join(r(c, n) for c, n in RATIO.items()) + " FROM oos_metrics")
 def _(spark, sf):
-    return perf.metrics(chained(spark, sf)).select("run_id", *[rnd(c, n) for c, n in RATIO.items()])
+    # Rounded, so that an unchanged price stays unchanged after rescaling.
+    curve = chained(spark, sf).withColumn("equity", F.round("equity", 6))
+    return perf.metrics(curve).select("run_id", *[rnd(c, n) for c, n in RATIO.items()])
 
 
 cte("wf_picked", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id, date ORDER BY Confidence DESC, name) AS slot FROM wf_test WHERE Signal = 1 AND Confidence > 0 AND close > 0) WHERE slot <= 8")

@@ -115,7 +115,7 @@ def defective_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
-    """Per customer the `top` brands by money spent: (portfolio_id, instrument, amount)."""
+    """Per customer the `top` brands by money spent: (portfolio_id, instrument, amount, quantity, rank)."""
     spent = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -124,7 +124,7 @@ def holdings(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.sum("l_quantity").alias("quantity"))
     )
     w = Window.partitionBy("portfolio_id").orderBy(F.col("amount").desc(), "instrument")
-    return spent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("rank")
+    return spent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def brand_sectors(bars: DataFrame) -> DataFrame:
