@@ -137,12 +137,14 @@ def _best_path(logb, start, trans):
 
 
 def _fit(x: np.ndarray):
-    """EM from the thirds of the first feature; returns the parameters and the log-likelihood path."""
-    parts = np.array_split(np.argsort(x[:, 0], kind="stable"), STATES)
-    means = np.array([x[p].mean(0) for p in parts])
-    covs = np.array([np.cov(x.T, bias=True) + COV_FLOOR * np.eye(x.shape[1])] * STATES)
+    """EM from the cluster centres, one shared covariance and even transitions.
+
+    Returns the parameters and the log-likelihood path.
+    """
+    means = _best_centers(x)
+    covs = np.array([np.cov(x.T) + COV_FLOOR * np.eye(x.shape[1])] * STATES)
     start = np.full(STATES, 1.0 / STATES)
-    trans = np.full((STATES, STATES), 0.1) + 0.7 * np.eye(STATES)
+    trans = np.full((STATES, STATES), 1.0 / STATES)
     path: list[float] = []
     for _ in range(EM_STEPS):
         gamma, pair, like = _posteriors(_log_density(x, means, covs), start, trans)
