@@ -14,6 +14,9 @@ from ..functions.frames import KEYS
 STATES = 3
 EM_STEPS, EM_TOLERANCE = 200, 1e-3
 COV_FLOOR = 1e-2
+RESCALE = 8  # a factor is at least 1e-12, so eight of them stay far above underflow
+UNIT = np.eye(STATES)
+BEST_UNIT = np.where(UNIT > 0, 0.0, -np.inf)
 
 
 def _key_schema(df: DataFrame, keys) -> str:
@@ -26,14 +29,16 @@ def _key_schema(df: DataFrame, keys) -> str:
 
 def _lloyd(x: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray]:
     centers = start
+    size = (x**2).sum(1)
     for _ in range(300):
-        gap = ((x[:, None, :] - centers[None]) ** 2).sum(2)
-        near = gap.argmin(1)
-        moved = np.array([x[near == k].mean(0) if (near == k).any() else centers[k] for k in range(STATES)])
-        if np.allclose(moved, centers, atol=1e-10):
+        gap = (centers**2).sum(1) - 2 * x @ centers.T
+        near = gap.argmin(1)[:, None] == np.arange(STATES)
+        n = near.sum(0)
+        moved = np.where(n[:, None] > 0, near.T @ x / np.maximum(n, 1)[:, None], centers)
+        if np.abs(moved - centers).max() < 1e-10:
             break
         centers = moved
-    return float(gap.min(1).sum()), centers
+    return float((size + gap.min(1)).sum()), centers
 
 
 def _best_centers(x: np.ndarray) -> np.ndarray:
@@ -85,21 +90,40 @@ def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarr
     return out
 
 
-def _running_products(m: np.ndarray, combine, rescale) -> tuple[np.ndarray, np.ndarray]:
-    """Running (semi-ring) products m[0]..m[t] by doubling: log2(T) vectorised steps instead of T."""
-    p, log = rescale(m)
-    step = 1
-    while step < len(p):
-        joined, extra = rescale(combine(p[:-step], p[step:]))
-        log = np.concatenate([log[:step], log[:-step] + log[step:] + extra])
-        p = np.concatenate([p[:step], joined])
-        step *= 2
-    return p, log
+def _running_products(m: np.ndarray, combine, rescale, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running (semi-ring) products m[0]..m[t] in about 2 * sqrt(T) vectorised steps.
+
+    The sequence is cut into equal blocks that advance side by side; the block totals are then chained and
+    multiplied in. `one` is the neutral element, which pads the last block.
+    """
+    n = len(m)
+    size = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = -(-n // size) if n else 0
+    padded = np.concatenate([m, np.broadcast_to(one, (blocks * size - n, *one.shape))]).reshape(blocks, size, *one.shape)
+    out, log = np.empty_like(padded), np.zeros((blocks, size))
+    here, at = None, np.zeros(blocks)
+    for s in range(size):
+        here = padded[:, s] if here is None else combine(here, padded[:, s])
+        if s % RESCALE == RESCALE - 1:
+            here, more = rescale(here)
+            at = at + more
+        out[:, s], log[:, s] = here, at
+    lead, lead_log = np.empty((blocks, 1, *one.shape)), np.zeros((blocks, 1))
+    total, total_log = one[None], 0.0
+    for k in range(blocks):
+        lead[k], lead_log[k] = total, total_log
+        total, total_log = combine(total, out[k, -1:]), total_log + log[k, -1]
+        if k % RESCALE == RESCALE - 1:
+            total, more = rescale(total)
+            total_log = total_log + more[0]
+    flat = combine(lead, out).reshape(blocks * size, *one.shape)[:n]
+    flat, more = rescale(flat)
+    return flat, (log + lead_log).reshape(-1)[:n] + more
 
 
 def _to_unit(m):
-    top = m.max(axis=(1, 2), keepdims=True)
-    return m / top, np.log(top[:, 0, 0])
+    top = m.max(axis=(-2, -1), keepdims=True)
+    return m / top, np.log(top[..., 0, 0])
 
 
 def _posteriors(logb, start, trans):
@@ -107,12 +131,12 @@ def _posteriors(logb, start, trans):
     shift = logb.max(1, keepdims=True)
     b = np.exp(logb - shift)
     steps = trans[None] * b[1:, None, :]
-    ahead, log = _running_products(steps, np.matmul, _to_unit)
+    ahead, log = _running_products(steps, np.matmul, _to_unit, UNIT)
     first = start * b[0]
     alpha = np.vstack([first, first @ ahead])
     like = np.log(alpha[-1].sum()) + (log[-1] if len(log) else 0.0) + shift.sum()
     alpha /= alpha.sum(1, keepdims=True)
-    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), np.matmul, _to_unit)
+    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), np.matmul, _to_unit, UNIT)
     beta = np.vstack([back[::-1].sum(1), np.ones(STATES)])
     beta /= beta.sum(1, keepdims=True)
     gamma = alpha * beta
@@ -127,11 +151,11 @@ def _best_path(logb, start, trans):
     with np.errstate(divide="ignore"):
         steps = np.log(trans)[None] + logb[1:, None, :]
         first = np.log(start) + logb[0]
-    best = lambda a, c: (a[:, :, :, None] + c[:, None, :, :]).max(2)
-    keep = lambda m: (m, np.zeros(len(m)))
-    ahead, _ = _running_products(steps, best, keep)
+    best = lambda a, c: (a[..., :, :, None] + c[..., None, :, :]).max(-2)
+    keep = lambda m: (m, np.zeros(m.shape[:-2]))
+    ahead, _ = _running_products(steps, best, keep, BEST_UNIT)
     forward = np.vstack([first, (first[:, None] + ahead).max(1)])
-    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), best, keep)
+    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), best, keep, BEST_UNIT)
     backward = np.vstack([back[::-1].max(1), np.zeros(STATES)])
     return (forward + backward).argmax(1)
 

@@ -124,14 +124,13 @@ def signals(labelled: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFra
 
 
 def latest(df: DataFrame, required=("Signal",), keys=KEYS) -> DataFrame:
-    """Newest row per key with all `required` columns present."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.dropna(subset=list(required))
-        .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "date").alias("bar"))
-        .select(*keys, "bar.*")
-    )
+    """Newest row per key with all `required` columns present.
+
+    The row without a follower: a window in the order the series already has, so nothing is sorted again.
+    """
+    follower = F.lead("date").over(series(keys))
+    rows = df.dropna(subset=list(required)).withColumn("_next", follower)
+    return rows.filter(F.col("_next").isNull()).drop("_next")
 
 
 def buy_list(df: DataFrame, top: int = 10) -> DataFrame:

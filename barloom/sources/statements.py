@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import spread
+
 FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
 
@@ -18,7 +20,8 @@ def csv_cells(line: Column) -> Column:
 def rows_of(documents: DataFrame, by=("file",)) -> DataFrame:
     """(file, text) -> (file, row, cells); blank lines do not count as rows."""
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
-    df = documents.select(*by, F.posexplode(lines).alias("row", "line"))
+    # Parsing is CPU work on few bytes; header look-up and lots reuse this partitioning.
+    df = spread(documents, *by).select(*by, F.posexplode(lines).alias("row", "line"))
     return df.select(*by, "row", csv_cells(F.col("line")).alias("cells"))
 
 

@@ -64,7 +64,7 @@ def _loop_posteriors(logb, start, trans):
     return g / g.sum(1, keepdims=True), np.log(alpha[-1].sum())
 
 
-def test_doubling_agrees_with_the_plain_recursion():
+def test_block_products_agree_with_the_plain_recursion():
     rng = np.random.default_rng(1)
     logb = rng.normal(-1, 1, (37, 3))
     start = np.array([0.2, 0.5, 0.3])
