@@ -169,6 +169,16 @@ def _settle(df: DataFrame, keys) -> DataFrame:
     return df.withColumn("Regime", code).withColumn("Regime_Label", label_name(F.col("Regime"))).drop(*internal)
 
 
+def fitted_or_rule(features: DataFrame, method: str = "hmm", keys=KEYS) -> DataFrame:
+    """Per key the number of rows a model could learn from, and whether it is fitted or keeps the rule."""
+    columns, least = (HMM_FEATURES, HMM_LEAST) if method == "hmm" else (KMEANS_FEATURES, KMEANS_LEAST)
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    counts = features.groupBy(*keys).agg(F.count_if(complete).alias("usable_rows"))
+    return counts.withColumn("path", F.when(F.col("usable_rows") >= least, method).otherwise("rule"))
+
+
 def kmeans_regime(features: DataFrame, keys=KEYS, train: Column | None = None) -> DataFrame:
     """Clusters of six standardised features, ordered by return, smoothed and carried to every bar."""
     df = _mark(features, KMEANS_FEATURES, KMEANS_LEAST, keys, train)

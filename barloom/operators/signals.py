@@ -145,9 +145,9 @@ def signal_grid(df: DataFrame, days: int = 30, carry: int = 3) -> DataFrame:
     cells = df.join(F.broadcast(recent), "date", "left_semi").select(
         "instrument", "date", "Signal", "Confidence", "Signal_Strength"
     )
-    axis = recent.agg(F.collect_list("date").alias("axis")).withColumn("_one", F.lit(1))  # at most `days` entries
-    names = cells.filter(F.col("Signal").isNotNull()).select("instrument").distinct().withColumn("_one", F.lit(1))
-    grid = names.join(F.broadcast(axis), "_one").select("instrument", F.explode("axis").alias("date"))
+    axis = recent.agg(F.collect_list("date")).scalar()  # at most `days` entries, one scalar subquery
+    names = cells.filter(F.col("Signal").isNotNull()).select("instrument").distinct()
+    grid = names.select("instrument", F.explode(axis).alias("date"))
     full = grid.join(cells, ["instrument", "date"], "left")
     return full.select(
         "instrument",

@@ -185,6 +185,22 @@ def _(spark, sf):
     return out.select(*KEY, big("Regime"), F.col("Regime_Prob_Bull").isNotNull().alias("fitted"))
 
 
+def _paths(name: str, method: str, columns, least: int) -> None:
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+
+    @register(
+        name,
+        f"SELECT instrument, usable_rows, CASE WHEN usable_rows >= {least} THEN '{method}' ELSE 'rule' END AS path "
+        f"FROM (SELECT instrument, count(*) FILTER ({complete}) AS usable_rows FROM d_feat GROUP BY instrument)",
+    )
+    def _(spark, sf):
+        return rg.fitted_or_rule(indicators(prepare(panels.defective_bars(spark, sf))), method)
+
+
+_paths("REG14_hmm_path", "hmm", rg.HMM_FEATURES, rg.HMM_LEAST)
+_paths("REG14_kmeans_path", "kmeans", rg.KMEANS_FEATURES, rg.KMEANS_LEAST)
+
+
 @register("REG15_benchmark_regime")
 def _(spark, sf):
     bench = indicators(prepare(panels.benchmark_bars(spark, sf)))

@@ -12,7 +12,7 @@ from ..sources import dimensions as dim
 from ..sources import panels
 from . import price_sql  # noqa: F401
 from .common import big, cte, r, rnd, sql
-from .price_sql import PART, rows
+from .price_sql import PART
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -229,12 +229,6 @@ def _(spark, sf):
     return quality.gate(panels.defective_bars(spark, sf)).select(*BAR)
 
 
-_filled = ", ".join(
-    f"last_value({c} IGNORE NULLS) OVER {rows(3)} AS {c}" for c in ("open", "high", "low", "close")
-)
-cte("mended", f"SELECT * FROM (SELECT instrument, date, {_filled}, volume FROM defective) WHERE close IS NOT NULL")
-
-
-@register("DQ7_fill_short_gaps", f"SELECT {BAR_SQL} FROM mended")
+@register("DQ7_fill_short_gaps", f"SELECT {BAR_SQL} FROM patched")
 def _(spark, sf):
     return fill_short_gaps(panels.defective_bars(spark, sf)).select(*BAR)

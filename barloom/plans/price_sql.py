@@ -73,7 +73,7 @@ WHERE rk <= 4""",
 
 
 def returns_sql(source: str) -> str:
-    return f"SELECT *, ln(1 + Daily_Return) AS Adj_Return FROM (SELECT *, close / lag(close) OVER ({PART}) - 1 AS Daily_Return FROM {source})"
+    return f"SELECT *, CASE WHEN Daily_Return > -1 THEN ln(1 + Daily_Return) END AS Adj_Return FROM (SELECT *, close / nullif(lag(close) OVER ({PART}), 0) - 1 AS Daily_Return FROM {source})"
 
 
 def smooth(b: str, q: str, seq: str = "seq") -> str:
@@ -140,3 +140,12 @@ FROM (SELECT *, CASE WHEN seq >= 25 THEN e12 - e26 END AS MACD FROM {p}f3)""",
 
 features_ctes("", "bars")
 features_ctes("b_", "bench")
+
+# Quality-filled defective bars through the same pipeline.
+cte(
+    "patched",
+    "SELECT * FROM (SELECT instrument, date, "
+    + ", ".join(f"last_value({c} IGNORE NULLS) OVER {rows(3)} AS {c}" for c in ("open", "high", "low", "close"))
+    + ", volume FROM defective) WHERE close IS NOT NULL",
+)
+features_ctes("d_", "patched")

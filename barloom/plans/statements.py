@@ -27,7 +27,7 @@ def register(name, oracle=None):
 
 SYMBOLS = list(dim.ISINS.items())
 HEAD = {
-    0: "Name,Account {k}\nUnique Client Code,17{k}\nHoldings statement for stocks as on 06-06-2026\nSummary\nInvested Value,64766\n\nStock Name,ISIN,Quantity,Average buy price,Buy value,Closing price,Closing value",
+    0: "Client,Person {k}\nBranch,17{k}\nPositions on 01-04-2025\nTotals\nPaid in,64000\n\nSecurity Name,ISIN,Quantity,Average price,Buy value,Closing price,Closing value",
     1: "Symbol,Investment Value",
     2: "Stock,Qty,Avg Price",
     3: "scrip,sector,qty held,,,P&L,ltp,investment value",

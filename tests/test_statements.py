@@ -7,21 +7,21 @@ from barloom.operators import holdings as hld
 from barloom.sources.dimensions import isins
 from barloom.sources.statements import rows_of, scan_statements
 
-STATEMENT = """Name,Some Person
-Unique Client Code,17
-Holdings statement for stocks as on 06-06-2026
-Summary
-Invested Value,64766
-
-Stock Name,ISIN,Quantity,Average buy price,Buy value,Closing price,Closing value
-HDFC BANK LTD,INE040A01034,4,1003,4012,747.05,2988.2
-TATA MOTORS PASS VEH LTD,INE155A01022,40,493.86,19754.4,397.8,15912
-HINDUSTAN ZINC LIMITED,INE267A01025,7,640.45,4483.15,566.8,3967.6
-NIP IND ETF GOLD BEES,INF204KB17I5,25,121.03,3025.75,127.78,3194.5
-SOME UNKNOWN FUND XYZ,INF999XX9XX9,5,100,500,110,550
+STATEMENT = """Client,Some Person
+Branch,17
+Positions on 01-04-2025
+Totals
+Paid in,64000
+
+Security Name,ISIN,Quantity,Average price,Buy value,Closing price,Closing value
+BANK ONE LTD,INE040A01034,8,900,7200,812.5,6500
+MOTOR WORKS LTD,INE155A01022,30,400,12000,410,12300
+ZINC WORKS LTD,INE267A01025,9,500,4500,480,4320
+GOLD FUND,INF204KB17I5,20,100,2000,104.5,2090
+FUND NOBODY KNOWS,INF999XX9XX9,5,90,450,95,475
 """
-COMPACT = 'Symbol,Investment Value\nRELIANCE,"₹30,000"\nTCS.NS,25000\nHDFCBANK,"1,00,000"\nINFY-EQ,"Rs 20,000"\n'
-DETAILED = "Stock,Qty,Avg Price\nRELIANCE,10,2500.0\nTCS,5,3500.0\nTCS,1,4000\n"
+COMPACT = 'Symbol,Investment Value\nRELIANCE,"₹41,000"\nTCS.NS,12500\nHDFCBANK,"2,10,000"\nINFY-EQ,"Rs 7,500"\n'
+DETAILED = "Stock,Qty,Avg Price\nRELIANCE,4,1500.0\nTCS,3,2000.0\nTCS,1,2500\n"
 DOTTED = "scrip,investment value\nITC,\"Rs.18,000\"\n"
 JUNK = "hello,world\n1,2\n"
 
@@ -44,19 +44,19 @@ def by_ticker(spark, rows, file):
 
 def test_statement_with_preamble(spark, rows):
     got = by_ticker(spark, rows, "statement")
-    assert got["HDFCBANK.NS"].amount == 2988.2 and got["HDFCBANK.NS"].quantity == 4 and got["HDFCBANK.NS"].invested == 4012
-    assert got["GOLDBEES.NS"].amount == 3194.5
+    assert got["HDFCBANK.NS"].amount == 6500 and got["HDFCBANK.NS"].quantity == 8 and got["HDFCBANK.NS"].invested == 7200
+    assert got["GOLDBEES.NS"].amount == 2090
     assert set(got) == {"HDFCBANK.NS", "TMPV.NS", "HINDZINC.NS", "GOLDBEES.NS"}
     assert got["TMPV.NS"].amount_basis == "current_value"
     left_out = hld.skipped(rows, isins(spark)).filter("file = 'statement'").collect()
-    assert [r.label for r in left_out] == ["SOME UNKNOWN FUND XYZ"]
+    assert [r.label for r in left_out] == ["FUND NOBODY KNOWS"]
 
 
 def test_compact_and_detailed(spark, rows):
     got = by_ticker(spark, rows, "compact")
-    assert {k: v.amount for k, v in got.items()} == {"RELIANCE.NS": 30000, "TCS.NS": 25000, "HDFCBANK.NS": 100000, "INFY.NS": 20000}
+    assert {k: v.amount for k, v in got.items()} == {"RELIANCE.NS": 41000, "TCS.NS": 12500, "HDFCBANK.NS": 210000, "INFY.NS": 7500}
     got = by_ticker(spark, rows, "detailed")
-    assert got["TCS.NS"].amount == 21500 and got["TCS.NS"].quantity == 6 and got["TCS.NS"].amount_basis == "qty_x_avg_price"
+    assert got["TCS.NS"].amount == 8500 and got["TCS.NS"].quantity == 4 and got["TCS.NS"].amount_basis == "qty_x_avg_price"
 
 
 def test_a_dot_after_the_currency_word_is_kept(spark, rows):
