@@ -17,13 +17,17 @@ BLOCK = 1024
 MAX_DECAY = 0.935
 
 
-def linear(df: DataFrame, terms: dict[str, tuple[str, float]], keys=KEYS, seq="seq") -> DataFrame:
-    """Add one column per entry of `terms` (name -> (input column, q)). `seq` numbers the rows of a key from 0."""
+def linear(df: DataFrame, terms: dict[str, tuple[str, float]], keys=KEYS, seq="seq", keep_blocks=False) -> DataFrame:
+    """Add one column per entry of `terms` (name -> (input column, q)). `seq` numbers the rows of a key from 0.
+
+    `keep_blocks` leaves the block column in place, so that a following recurrence finds the rows already sorted.
+    """
     for name, (_, q) in terms.items():
         if not 0.0 < q <= MAX_DECAY:
             raise ValueError(f"{name}: decay {q} outside (0, {MAX_DECAY}]")
     pos = F.col(seq) % BLOCK
-    df = df.withColumn("_block", F.floor(F.col(seq) / BLOCK).cast("long"))
+    if "_block" not in df.columns:
+        df = df.withColumn("_block", F.floor(F.col(seq) / BLOCK).cast("long"))
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(seq)
@@ -47,4 +51,4 @@ def linear(df: DataFrame, terms: dict[str, tuple[str, float]], keys=KEYS, seq="s
             + F.coalesce(F.col(f"_carry_{y}") * F.pow(F.lit(q), pos + 1), F.lit(0.0))
             for y, (_, q) in terms.items()
         }
-    ).drop("_block", *[f"_{k}_{y}" for y in terms for k in ("local", "carry")])
+    ).drop(*([] if keep_blocks else ["_block"]), *[f"_{k}_{y}" for y in terms for k in ("local", "carry")])

@@ -95,6 +95,7 @@ def indicators(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFram
             "ATR_14": ("_b_atr", 1 - 1.0 / cfg.atr),
         },
         keys,
+        keep_blocks=True,
     )
     start = cfg.ema_slow - 1
     alpha = 2.0 / (cfg.macd_signal + 1)
