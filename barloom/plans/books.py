@@ -6,6 +6,7 @@ from math import sqrt
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..operators import portfolio as pf
 from ..operators.returns import with_returns
 from ..settings import DEFAULTS
@@ -35,7 +36,8 @@ def returns(spark, sf):
 
 
 def weighted(spark, sf):
-    return pf.weigh(panels.holdings(spark, sf))[0]
+    """One row per holding; read by several branches of a report, hence settled."""
+    return settle(pf.weigh(panels.holdings(spark, sf))[0])
 
 
 def aligned(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..operators import performance as perf
 from ..operators import walkforward as wf
 from ..sources import panels
@@ -153,7 +154,7 @@ FROM wins w JOIN wf_metrics m ON w.window_id = m.run_id LEFT JOIN (SELECT window
 )
 def _(spark, sf):
     windows = wf.plan(panels.daily_bars(spark, sf))
-    df = wf.summary(windows, wf.out_of_sample(features(spark, sf), windows, "ma_crossover"))
+    df = wf.summary(windows, settle(wf.out_of_sample(features(spark, sf), windows, "ma_crossover")))
     return df.select(
         big("window_id"), "train_start", "train_end", "test_start", "test_end", big("n_trades"), *[rnd(c, 6) for c in ("win_rate", "total_return", "sharpe", "max_dd")]
     )

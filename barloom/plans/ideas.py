@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..operators import ideas as idea
 from ..operators import outcomes as out
 from ..sources import panels
@@ -255,7 +256,7 @@ FROM (SELECT (SELECT count(*) FROM ({_TOP.format('short_ideas')})) + (SELECT cou
 (SELECT count(*) FROM ({_TOP.format('short_ideas')}) WHERE conv_rank = 3) + (SELECT count(*) FROM ({_TOP.format('long_ideas')}) WHERE conv_rank = 3) AS n_high, (SELECT count(*) FROM alerts) AS n_exits)""",
 )
 def _(spark, sf):
-    snap = snapshot(spark, sf)
+    snap = settle(snapshot(spark, sf))
     return idea.day_plan(idea.top_per_list(idea.ideas(snap)), idea.exit_alerts(snap, stock_holdings(spark, sf)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..operators import holdings as hld
 from ..sources import dimensions as dim
 from ..sources import panels
@@ -70,7 +71,7 @@ def documents(spark, sf):
 
 
 def rows(spark, sf):
-    return rows_of(documents(spark, sf))
+    return settle(rows_of(documents(spark, sf)))
 
 
 _syms = "[" + ", ".join(f"'{s}'" for _, s in SYMBOLS) + "]"
