@@ -40,8 +40,10 @@ def duck():
 def canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf[sorted(pdf.columns)].copy()
     for c in pdf.columns:
-        if not pd.api.types.is_numeric_dtype(pdf[c]):
-            pdf[c] = pdf[c].map(lambda v: None if pd.isna(v) else str(v)[:26])
+        if pd.api.types.is_datetime64_any_dtype(pdf[c]):
+            pdf[c] = pdf[c].astype(str).astype(object)
+        elif not pd.api.types.is_numeric_dtype(pdf[c]):
+            pdf[c] = pdf[c].map(lambda v: None if pd.isna(v) else str(v))
         else:
             pdf[c] = pdf[c].astype(float)
     order = sorted(pdf.columns, key=lambda c: (pdf[c].dtype != object, c))
