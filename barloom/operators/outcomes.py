@@ -223,6 +223,12 @@ def round_trip(trades: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def pnl_series(trades: DataFrame, by=("run_id",)) -> DataFrame:
+    """Profit or loss per trade in exit order: a distributed sort."""
+    cols = ("exit_date", "entry_date", "instrument", "pnl", "return_pct", "holding_days", "exit_reason")
+    return trades.select(*by, *cols, (F.col("pnl") >= 0).alias("won")).orderBy(*by, *cols[:3])
+
+
 def log_stats(trades: DataFrame, by=("run_id",)) -> DataFrame:
     win = F.col("pnl") > 0
     return trades.groupBy(*by).agg(

@@ -440,3 +440,9 @@ FROM trades JOIN (SELECT instrument, date AS entry_date, Regime_Label AS entry_r
 def _(spark, sf):
     df = trades(spark, sf).withColumn("run_id", F.col("entry_regime"))
     return out.longest_losing_streak(df).withColumn("max_consecutive_losses", big("max_consecutive_losses"))
+
+
+@register("TRD11_pnl_series", f"SELECT run_id, exit_date, entry_date, instrument, {r('pnl', 4)}, {r('return_pct', 8)}, CAST(holding_days AS BIGINT) AS holding_days, exit_reason, pnl >= 0 AS won FROM trades")
+def _(spark, sf):
+    df = out.pnl_series(trades(spark, sf))
+    return df.withColumns({"pnl": F.round("pnl", 4), "return_pct": F.round("return_pct", 8), "holding_days": F.col("holding_days").cast("bigint")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..operators.returns import fill_short_gaps, prepare
+from ..operators.returns import fill_short_gaps
 from ..sources import bars as store
 from ..sources import calendar as cal
 from ..sources import dimensions as dim

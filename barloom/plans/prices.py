@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import indicators as ind
-from ..operators.returns import prepare, with_returns
+from ..operators.returns import prepare
 from ..sources import panels
 from . import price_sql  # noqa: F401
-from .common import big, pick, pick_sql, r, rnd, sql
+from .common import big, pick_sql, rnd, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

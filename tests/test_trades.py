@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barloom.operators import outcomes as out
 from barloom.operators import regime as rg
