@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, fresh, small
+from barloom.llm.common import documents, fresh, settle, small
 
 
 def exact_dedup(
@@ -35,14 +35,15 @@ def exact_dedup(
 
     hashed = rows.join(survivors, [size, head], "left")
     hashed = hashed.withColumn(whole, F.when(F.col(found), F.sha2(content, 256)).otherwise(F.concat(F.lit("#"), F.col(rid))))
+    (own,) = fresh([*docs.columns, rid, size, head, whole, found, best, total], "own")
+    hashed = settle(hashed.select(*carry, F.col(doc_id).alias(own), rid, whole, found))  # row numbers are given once
     groups = (
         hashed.filter(found)
         .groupBy(whole)
-        .agg(F.count("*").alias(total), F.max(F.struct(F.col(doc_id).alias("id"), F.col(rid).alias("row"))).alias(best))
+        .agg(F.count("*").alias(total), F.max(F.struct(F.col(own).alias("id"), F.col(rid).alias("row"))).alias(best))
         .filter(F.col(total) > 1)
     )
-    (own,) = fresh([*docs.columns, rid, size, head, whole, found, best, total], "own")
-    joined = hashed.select(*carry, F.col(doc_id).alias(own), rid, whole).join(groups, whole, "left")
+    joined = hashed.join(groups, whole, "left")
     return joined.select(
         *carry,
         F.when(F.col(total).isNull(), F.col(own)).otherwise(F.col(f"{best}.id")).alias("keep_id"),

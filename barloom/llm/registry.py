@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact, simhash
+from barloom.llm import discriminant, exact, langid, packing, passages, perplexity, repair, simhash
 
 QUERIES = {
+    "op1_language_id": langid.query,
+    "op2_packing": packing.query,
+    "op3_quality_rules": perplexity.query,
+    "op4_token_files": repair.query,
+    "op5_quality_classifier": discriminant.query,
+    "op6_passages": passages.query,
     "op8_exact_dedup": exact.query,
     "op10_simhash": simhash.query,
 }

@@ -166,27 +166,26 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
     repeating that id the first. Existing columns of these names are replaced. An empty table gives an empty one.
     """
     carry = [c for c in ([doc_id] if carry is None else carry) if c.lower() not in ("fingerprint", "component_id", "kept")]
-    rid, fp, node = fresh([*docs.columns, "u", "v"], "rid", "fp", "node")
-    rows = docs.select(*dict.fromkeys([*carry, doc_id, text])).withColumn(rid, F.monotonically_increasing_id())
-    narrow = rows.select(F.col(rid).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    marked = settle(fingerprints(narrow, "text", "fp"))
+    names = fresh(["row", "id", "text", "fp"], *(f"c{k}" for k in range(len(carry))))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(doc_id).alias("id"),
+        F.col(text).alias("text"),
+        *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)),
+    )
+    marked = settle(fingerprints(rows, "text", "fp"))  # row numbers are given once
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     distinct = settle(marked.groupBy("fp").agg(least))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = placed.groupBy("root").agg(F.min("least").alias("best"))
     of = placed.select("fp", "root").join(best, "root").select("fp", "best")
-    decided = marked.join(of, "fp").select(
-        "row",
-        "id",
+    return marked.join(of, "fp").select(
+        *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("best.id").alias("component_id"),
         (F.col("best.row") == F.col("row")).alias("kept"),
     )
-    if carry == [doc_id]:
-        return decided.select(F.col("id").alias(doc_id), "fingerprint", "component_id", "kept")
-    decided = decided.drop("id").withColumnRenamed("row", rid)
-    return rows.select(*carry, rid).join(decided, rid).drop(rid)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
