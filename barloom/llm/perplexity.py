@@ -124,16 +124,16 @@ def smooth(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         hashes.append(key(order, codes))
         logs.append(np.log(p))
         backs.append(np.zeros(len(codes)))
-    for order in (1, 2):
+    for order in (0, 1, 2):
         contexts, gamma = weights[order]
-        at = {int(h): i for i, h in enumerate(hashes[order - 1])}
+        at = {int(h): i for i, h in enumerate(hashes[order - 1])} if order else {}
         extra = []
         for h, g, c in zip(key(order, contexts), np.log(gamma), contexts, strict=True):
             if int(h) in at:
                 backs[order - 1][at[int(h)]] = g
             else:
                 extra.append((h, g, c))
-        if extra:  # a context that never ends a gram of its own order: it has a weight, but no probability
+        if extra:  # the empty context, or one that never ends a gram of its own order: a weight, but no probability
             hashes.append(np.array([h for h, _, _ in extra], np.uint64))
             logs.append(np.full(len(extra), np.nan))
             backs.append(np.array([g for _, g, _ in extra]))
@@ -156,9 +156,8 @@ def expand(hashes: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarra
         codes = np.arange(SYMBOLS**order)
         hit, at = find(order, codes)
         out = below[codes & (SYMBOLS ** (order - 1) - 1)].copy()
-        if order > 1:
-            context, where = find(order - 1, codes >> 5)
-            out[context] += backs[where[context]]
+        context, where = find(order - 1, codes >> 5)
+        out[context] += backs[where[context]]
         known = hit & ~np.isnan(logs[at]) if len(hashes) else hit
         out[known] = logs[at[known]]
         below = out
@@ -166,7 +165,7 @@ def expand(hashes: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarra
 
 
 def train(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A model for each lang of docs(lang, text): at most 677 subtags of at most 33,824 grams of 16 bytes."""
+    """A model for each lang of docs(lang, text): at most 677 subtags of at most 33,825 grams of 16 bytes."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("gram")

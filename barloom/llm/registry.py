@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import discriminant, exact, langid, packing, passages, perplexity, repair, simhash
+from barloom.llm import discriminant, exact, langid, lines, packing, passages, perplexity, repair, simhash, transducer
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -11,9 +11,12 @@ QUERIES = {
     "op4_token_files": repair.query,
     "op5_quality_classifier": discriminant.query,
     "op6_passages": passages.query,
+    "op7_line_dedup": lines.query,
     "op8_exact_dedup": exact.query,
+    "op9_sentencepiece": transducer.query,
     "op10_simhash": simhash.query,
 }
 ORACLES = {
+    "op7_line_dedup": lines.SQL,
     "op8_exact_dedup": exact.SQL,
 }
