@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once and read it back from the shared checkpoint folder, which outlives lost executors.
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder; a temporary one only where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/barloom-{uuid.uuid4().hex}"
+
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary
-    folder; on a cluster the table is left as it is and will be recomputed.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back, the same way in every session; it outlives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

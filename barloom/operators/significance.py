@@ -15,8 +15,6 @@ from ..settings import DEFAULTS, Settings
 from .performance import RUN, histogram
 
 LEAST = 30
-# n**(2/9) growth: 20 lags cover 139,000 days, more than any daily calendar holds.
-LAG_CAP = 20
 
 
 def moments(returns: DataFrame, cfg: Settings = DEFAULTS, rf: float = 0.0) -> DataFrame:
@@ -110,8 +108,8 @@ def bootstrap_histogram(samples: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def join_dates(left: DataFrame, right: DataFrame, on=("date",)) -> DataFrame:
-    """Inner alignment of two return tables; a benchmark side (one row per day) is broadcast."""
-    return left.join(F.broadcast(right), list(on))
+    """Inner alignment of two return tables. Spark broadcasts a side that it finds small enough."""
+    return left.join(right, list(on))
 
 
 # ---- regression with Newey-West errors ----
@@ -143,23 +141,23 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     df = data.join(fit.select(*keys, "coef", "lags", "mean_y"), list(keys))
     df = df.withColumn("_e", F.col("_y") - sum((F.col("coef")[i] * x[i] for i in range(k)), F.lit(0.0)))
     df = df.withColumns({f"_u{i}": x[i] * F.col("_e") for i in range(k)})
-    w = series(keys)
-    top = lags or LAG_CAP
-    past = {}
-    for i in range(k):
-        terms = [
-            F.when(F.col("lags") >= g, (1 - g / (F.col("lags") + 1)) * F.coalesce(F.lag(f"_u{i}", g).over(w), F.lit(0.0))).otherwise(0.0)
-            for g in range(1, top + 1)
-        ]
-        past[f"_v{i}"] = sum(terms, F.lit(0.0))
-    df = df.withColumns(past)
+    df = df.withColumn("_t", F.row_number().over(series(keys)))
     u, v = [F.col(f"_u{i}") for i in range(k)], [F.col(f"_v{i}") for i in range(k)]
-    meat = df.groupBy(*keys).agg(
-        F.array(*[F.sum(u[i] * u[j] + u[i] * v[j] + u[j] * v[i]) for i in range(k) for j in range(k)]).alias("omega"),
+    own = df.groupBy(*keys).agg(
+        F.array(*[F.sum(u[i] * u[j]) for i in range(k) for j in range(k)]).alias("_own"),
         F.sum(F.col("_e") ** 2).alias("ss_res"),
         F.sum((F.col("_y") - F.col("mean_y")) ** 2).alias("ss_tot"),
         F.avg("_e").alias("mean_resid"),
     )
+    # each row meets its predecessors at lags 1 to the number of its own key, whatever that is
+    ahead = df.select(*keys, *[f"_u{i}" for i in range(k)], "lags", "_t", F.explode(F.sequence(F.lit(1), "lags")).alias("_g"))
+    ahead = ahead.withColumns({"_t": F.col("_t") - F.col("_g"), "_w": 1 - F.col("_g") / (F.col("lags") + 1)})
+    past = df.select(*keys, "_t", *[u[i].alias(f"_v{i}") for i in range(k)])
+    crossed = ahead.join(past, [*keys, "_t"]).groupBy(*keys).agg(
+        F.array(*[F.sum(F.col("_w") * (u[i] * v[j] + u[j] * v[i])) for i in range(k) for j in range(k)]).alias("_crossed")
+    )
+    both = F.zip_with("_own", "_crossed", lambda a, b: a + b)
+    meat = own.join(crossed, list(keys), "left").withColumn("omega", F.coalesce(both, "_own")).drop("_own", "_crossed")
     out = fit.join(meat, list(keys)).withColumn("se", sandwich_errors("inv", "omega")).drop("inv", "omega")
     ratio_of = lambda c, s: F.coalesce(c / F.nullif(s, F.lit(0.0)), F.lit(0.0))
     return out.withColumn("t", F.zip_with("coef", "se", ratio_of)).withColumn("p", F.transform("t", two_sided_p))

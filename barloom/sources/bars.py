@@ -49,7 +49,7 @@ def write_bars(bars: DataFrame, path: str) -> None:
     """Replace the years present in `bars`; other years stay. One file set per year, clustered by instrument."""
     (
         bars.withColumn("year", F.year("date"))
-        .repartition("year", F.pmod(F.xxhash64("instrument"), F.lit(64)))
+        .repartition("year", "instrument")
         .sortWithinPartitions("year", "instrument", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.recurrence import BLOCK, linear
 from barloom.operators.indicators import COLUMNS, indicators
 from barloom.operators.returns import prepare
+from barloom.settings import DEFAULTS
 from barloom.sources.panels import BARS
 
 from .bars import walk
@@ -88,10 +89,26 @@ def test_recurrence_carries_over_blocks(spark):
     np.testing.assert_allclose(got, want, rtol=0, atol=1e-11)
 
 
-def test_decay_outside_the_exact_range_is_refused(spark):
-    df = spark.range(3).select(F.lit("A").alias("instrument"), F.col("id").alias("seq"), F.lit(1.0).alias("b"))
+def test_any_decay_is_exact(spark):
+    n, b = 30_000, np.sin(np.arange(30_000))
+    decays = {"tiny": 0.05, "small": 0.3, "common": 0.93, "ema200": 1 - 2 / 201, "wilder50": 49 / 50, "slow": 0.9999}
+    df = spark.range(n).select(F.lit("A").alias("instrument"), F.col("id").alias("seq"), F.sin("id").alias("b"))
+    got = linear(df, {k: ("b", q) for k, q in decays.items()}).orderBy("seq").toPandas()
+    for k, q in decays.items():
+        want, y = np.empty(n), 0.0
+        for t in range(n):
+            y = q * y + b[t]
+            want[t] = y
+        np.testing.assert_allclose(got[k], want, rtol=0, atol=1e-9)
     with pytest.raises(ValueError):
-        linear(df, {"y": ("b", 0.99)})
+        linear(df, {"y": ("b", 1.0)})
+
+
+def test_long_spans_of_the_indicators(spark, long_walk):
+    cfg = DEFAULTS.with_(ema_slow=200, atr=50)
+    got = indicators(prepare(frame(spark, long_walk)), cfg).orderBy("date").toPandas()
+    assert got["EMA_26"].notna().sum() > 2000 and got["ATR_14"].notna().sum() > 2000
+
 
 
 def test_unchanged_by_partitioning_and_by_other_instruments(spark):
