@@ -11,6 +11,7 @@ from .performance import RUN
 from .significance import join_dates, regress
 
 SET = ("factor_set",)
+KEY = (*RUN, *SET)
 LEAST = 50
 # Factor name -> transform: "smb" is a spread over the market, "excess" a plain return.
 FACTORS = {"Market": "excess", "Size": "smb", "IT": "excess", "Banking": "excess"}
@@ -44,10 +45,10 @@ def excess(returns: DataFrame, factors: dict[str, str] = FACTORS, cfg: Settings
 
 
 def attribution(returns: DataFrame, factor_rets: DataFrame, factors: dict[str, str] = FACTORS, lags: int | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
-    """One row per run: alpha, R2 and an array of per-factor results (`loadings`)."""
-    f = excess(factor_rets, factors, cfg).drop(*SET)
+    """One row per run and factor set: alpha, R2 and an array of per-factor results (`loadings`)."""
+    f = excess(factor_rets, factors, cfg)
     rows = join_dates(returns.select(*RUN, "date", (F.col("ret") - cfg.rf_daily).alias("y")), f)
-    fit = regress(rows, "y", list(factors), lags, RUN, LEAST)
+    fit = regress(rows, "y", list(factors), lags, KEY, LEAST)
     k = len(factors)
     r2 = F.when(F.col("ss_tot") > 0, 1 - F.col("ss_res") / F.nullif(F.col("ss_tot"), F.lit(0.0))).otherwise(0.0)
     loadings = [
@@ -62,7 +63,7 @@ def attribution(returns: DataFrame, factor_rets: DataFrame, factors: dict[str, s
         for i, name in enumerate(factors)
     ]
     df = fit.select(
-        *RUN,
+        *KEY,
         F.col("n").alias("n_obs"),
         F.col("lags").alias("hac_lags"),
         F.col("coef")[0].alias("alpha_daily"),
@@ -82,8 +83,8 @@ def attribution(returns: DataFrame, factor_rets: DataFrame, factors: dict[str, s
 
 
 def loadings(result: DataFrame) -> DataFrame:
-    """Long form: (run_id, factor, beta, se, t_stat, p_value, contribution)."""
-    return result.select(*RUN, F.explode("loadings").alias("f")).select(*RUN, "f.*")
+    """Long form: (run_id, factor_set, factor, beta, se, t_stat, p_value, contribution)."""
+    return result.select(*KEY, F.explode("loadings").alias("f")).select(*KEY, "f.*")
 
 
 def _mark(p: Column) -> Column:
@@ -93,7 +94,7 @@ def _mark(p: Column) -> Column:
 def coefficient_table(result: DataFrame) -> DataFrame:
     """Alpha and factors as table rows with formatted loadings and significance marks."""
     alpha = result.select(
-        *RUN,
+        *KEY,
         F.lit("α (pure alpha)").alias("factor"),
         F.format_string("%+.2f%% / yr", F.col("alpha_annual") * 100).alias("loading"),
         F.col("alpha_t").alias("t_stat"),
@@ -101,7 +102,7 @@ def coefficient_table(result: DataFrame) -> DataFrame:
         F.col("alpha_annual").alias("contribution"),
     )
     rest = loadings(result).select(
-        *RUN, "factor", F.format_string("%+.3f", F.col("beta")).alias("loading"), "t_stat", "p_value", "contribution"
+        *KEY, "factor", F.format_string("%+.3f", F.col("beta")).alias("loading"), "t_stat", "p_value", "contribution"
     )
     return alpha.unionByName(rest).withColumn("significance", _mark(F.col("p_value")))
 
@@ -113,10 +114,10 @@ def largest_contributor(result: DataFrame) -> DataFrame:
         F.col("loadings")[0],
         lambda acc, x: F.when(F.abs(x["contribution"]) > F.abs(acc["contribution"]), x).otherwise(acc),
     )
-    return result.select(*RUN, best["factor"].alias("factor"), best["contribution"].alias("contribution"))
+    return result.select(*KEY, best["factor"].alias("factor"), best["contribution"].alias("contribution"))
 
 
 def attribution_verdict(result: DataFrame) -> DataFrame:
     up = F.col("alpha_annual") > 0
     kind = F.when(up & (F.col("alpha_p") < 0.05), "significant").when(up, "positive, not significant").otherwise("not positive")
-    return result.select(*RUN, kind.alias("verdict"), (F.col("r_squared") > 0.85).alias("factor_like"))
+    return result.select(*KEY, kind.alias("verdict"), (F.col("r_squared") > 0.85).alias("factor_like"))

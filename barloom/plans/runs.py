@@ -361,57 +361,65 @@ def _(spark, sf):
     return psr.join(dsr, "run_id")
 
 
-# ---- factors: bars of the market and of three supplier groups ----
+# ---- factors: bars of the market and of supplier groups, in two sets that differ in the groups ----
+
+MEMBERS = {
+    "first": {"Market": "TRUE", "Size": "l_suppkey % 2 = 0", "IT": "l_suppkey % 5 = 1", "Banking": "l_suppkey % 5 = 2"},
+    "second": {"Market": "TRUE", "Size": "l_suppkey % 2 = 1", "IT": "l_suppkey % 5 = 3", "Banking": "l_suppkey % 5 = 4"},
+}
 
 
 def factor_prices(spark, sf):
-    k = F.col("l_suppkey")
-    groups = F.array_compact(
-        F.array(
-            F.lit("Market"), F.when(k % 2 == 0, "Size"), F.when(k % 5 == 1, "IT"), F.when(k % 5 == 2, "Banking")
-        )
-    )
+    groups = [F.when(F.expr(c), f"{name}:{f}") for name, of in MEMBERS.items() for f, c in of.items()]
     lines = panels.table(spark, sf, "lineitem").select(
-        F.explode(groups).alias("instrument"), F.to_date("l_shipdate").alias("date"), *panels.LINE
+        F.explode(F.array_compact(F.array(*groups))).alias("instrument"), F.to_date("l_shipdate").alias("date"), *panels.LINE
     )
     bars = panels._bars(lines, 0.3)
-    return bars.select(F.lit("default").alias("factor_set"), "date", F.col("instrument").alias("factor"), "close")
+    parts = F.split("instrument", ":")
+    return bars.select(parts[0].alias("factor_set"), "date", parts[1].alias("factor"), "close")
 
 
-_member = {"Market": "TRUE", "Size": "l_suppkey % 2 = 0", "IT": "l_suppkey % 5 = 1", "Banking": "l_suppkey % 5 = 2"}
-cte(
-    "factor_prices",
-    bars_sql(" UNION ALL ".join(f"SELECT '{f}' AS instrument, CAST(l_shipdate AS DATE) AS date, {LINE} FROM lineitem WHERE {c}" for f, c in _member.items()), 0.3),
-)
-_ff = lambda f: f"last_value({f} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS {f}"
-cte(
-    "factor_raw",
-    "SELECT * FROM (SELECT date, "
-    + ", ".join(f"{f} / lag({f}) OVER (ORDER BY date) - 1 AS {f}" for f in _member)
-    + " FROM (SELECT date, "
-    + ", ".join(_ff(f) for f in _member)
-    + " FROM (SELECT date, "
-    + ", ".join(f"max(close) FILTER (instrument = '{f}') AS {f}" for f in _member)
-    + " FROM factor_prices GROUP BY date)) WHERE "
-    + " AND ".join(f"{f} IS NOT NULL" for f in _member)
-    + ") WHERE Market IS NOT NULL",
+_bars_of = " UNION ALL ".join(
+    f"SELECT '{name}:{f}' AS instrument, CAST(l_shipdate AS DATE) AS date, {LINE} FROM lineitem WHERE {c}" for name, of in MEMBERS.items() for f, c in of.items()
 )
-cte("factor_rets", "SELECT date, Market, Size - Market AS Size, IT, Banking FROM factor_raw")
-_four = ", ".join(r(f, 8) for f in _member)
+cte("factor_bars", bars_sql(_bars_of, 0.3))
+cte("factor_prices", "SELECT split_part(instrument, ':', 1) AS factor_set, split_part(instrument, ':', 2) AS factor, date, close FROM factor_bars")
+_over = "OVER (PARTITION BY factor_set ORDER BY date"
+_ff = lambda f: f"last_value({f} IGNORE NULLS) {_over} ROWS UNBOUNDED PRECEDING) AS {f}"
+
+
+def raw_sql(factors) -> str:
+    """Returns of the given factors on the days from which all of them have a price."""
+    return (
+        "SELECT * FROM (SELECT factor_set, date, "
+        + ", ".join(f"{f} / lag({f}) {_over}) - 1 AS {f}" for f in factors)
+        + " FROM (SELECT factor_set, date, "
+        + ", ".join(_ff(f) for f in factors)
+        + " FROM (SELECT factor_set, date, "
+        + ", ".join(f"max(close) FILTER (factor = '{f}') AS {f}" for f in factors)
+        + " FROM factor_prices GROUP BY factor_set, date)) WHERE "
+        + " AND ".join(f"{f} IS NOT NULL" for f in factors)
+        + ") WHERE Market IS NOT NULL"
+    )
+
+
+cte("factor_raw", raw_sql(fac.FACTORS))
+cte("factor_rets", "SELECT factor_set, date, Market, Size - Market AS Size, IT, Banking FROM factor_raw")
+_four = ", ".join(r(f, 8) for f in fac.FACTORS)
 
 
-@register("FAC1_factor_returns", f"SELECT date, {_four} FROM factor_raw")
+@register("FAC1_factor_returns", f"SELECT factor_set, date, {_four} FROM factor_raw")
 def _(spark, sf):
     plain = dict.fromkeys(fac.FACTORS, "excess")
-    return fac.factor_returns(factor_prices(spark, sf), plain).select("date", *[rnd(f, 8) for f in fac.FACTORS])
+    return fac.factor_returns(factor_prices(spark, sf), plain).select("factor_set", "date", *[rnd(f, 8) for f in fac.FACTORS])
 
 
-@register("FAC2_spread_factor", f"SELECT date, {_four} FROM factor_rets")
+@register("FAC2_spread_factor", f"SELECT factor_set, date, {_four} FROM factor_rets")
 def _(spark, sf):
-    return fac.factor_returns(factor_prices(spark, sf)).select("date", *[rnd(f, 8) for f in fac.FACTORS])
+    return fac.factor_returns(factor_prices(spark, sf)).select("factor_set", "date", *[rnd(f, 8) for f in fac.FACTORS])
 
 
-@register("FAC3_missing_factors", "SELECT DISTINCT r_name AS factor FROM region WHERE r_name NOT IN (SELECT instrument FROM factor_prices) UNION ALL SELECT DISTINCT 'Value'")
+@register("FAC3_missing_factors", "SELECT DISTINCT r_name AS factor FROM region WHERE r_name NOT IN (SELECT factor FROM factor_prices) UNION ALL SELECT DISTINCT 'Value'")
 def _(spark, sf):
     asked = panels.table(spark, sf, "region").select(F.col("r_name").alias("factor"))
     asked = asked.unionByName(spark.createDataFrame([("Market",), ("Value",)], "factor string"))
@@ -420,18 +428,19 @@ def _(spark, sf):
 
 @register(
     "FAC4_excess_returns",
-    f"SELECT date, {r(f'Market - {RF!r}', 8, 'Market')}, {r('Size', 8)}, {r(f'IT - {RF!r}', 8, 'IT')}, {r(f'Banking - {RF!r}', 8, 'Banking')} FROM factor_rets",
+    f"SELECT factor_set, date, {r(f'Market - {RF!r}', 8, 'Market')}, {r('Size', 8)}, {r(f'IT - {RF!r}', 8, 'IT')}, {r(f'Banking - {RF!r}', 8, 'Banking')} FROM factor_rets",
 )
 def _(spark, sf):
-    return fac.excess(fac.factor_returns(factor_prices(spark, sf))).select("date", *[rnd(f, 8) for f in fac.FACTORS])
+    return fac.excess(fac.factor_returns(factor_prices(spark, sf))).select("factor_set", "date", *[rnd(f, 8) for f in fac.FACTORS])
 
 
 TWO = {"Market": "excess", "Size": "smb"}
+cte("factor_rets2", f"SELECT factor_set, date, Market, Size - Market AS Size FROM ({raw_sql(TWO)})")
 cte(
     "ols2",
-    f"""SELECT run_id, n, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2, syy,
-sy1, sy2 FROM (SELECT run_id, count(*) AS n, covar_pop(y, x1) * count(*) AS sy1, covar_pop(y, x2) * count(*) AS sy2, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12, var_pop(y) * count(*) AS syy,
- avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM (SELECT run_id, ret - {RF!r} AS y, Market - {RF!r} AS x1, Size AS x2 FROM eq JOIN factor_rets USING (date)) GROUP BY run_id HAVING count(*) >= 50)""",
+    f"""SELECT run_id, factor_set, n, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2, syy,
+sy1, sy2 FROM (SELECT run_id, factor_set, count(*) AS n, covar_pop(y, x1) * count(*) AS sy1, covar_pop(y, x2) * count(*) AS sy2, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12, var_pop(y) * count(*) AS syy,
+ avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM (SELECT run_id, factor_set, ret - {RF!r} AS y, Market - {RF!r} AS x1, Size AS x2 FROM eq JOIN factor_rets2 USING (date)) GROUP BY run_id, factor_set HAVING count(*) >= 50)""",
 )
 
 
@@ -442,45 +451,111 @@ def result(spark, sf, factors=fac.FACTORS):
 
 @register(
     "FAC5_two_factor_ols",
-    f"SELECT run_id, n AS n_obs, {r('(my - b1 * m1 - b2 * m2) * 252', 6, 'alpha_annual')}, {r('b1', 6, 'beta_market')}, {r('b2', 6, 'beta_size')}, {r('(b1 * sy1 + b2 * sy2) / syy', 6, 'r_squared')} FROM ols2",
+    f"SELECT run_id, factor_set, n AS n_obs, {r('(my - b1 * m1 - b2 * m2) * 252', 6, 'alpha_annual')}, {r('b1', 6, 'beta_market')}, {r('b2', 6, 'beta_size')}, {r('(b1 * sy1 + b2 * sy2) / syy', 6, 'r_squared')} FROM ols2",
 )
 def _(spark, sf):
     df = result(spark, sf, TWO)
     beta = F.col("loadings")
     return df.select(
-        "run_id", "n_obs", rnd("alpha_annual", 6), rnd(beta[0]["beta"], 6, "beta_market"), rnd(beta[1]["beta"], 6, "beta_size"), rnd("r_squared", 6)
+        "run_id", "factor_set", "n_obs", rnd("alpha_annual", 6), rnd(beta[0]["beta"], 6, "beta_market"), rnd(beta[1]["beta"], 6, "beta_size"), rnd("r_squared", 6)
     )
 
 
-@register("FAC6_newey_west_errors")
+# The four-factor regression in SQL: normal equations, their inverse by elimination, and the lagged products.
+_K = range(5)
+_X = ["1.0::DOUBLE", f"(Market - {RF!r})", "Size", f"(IT - {RF!r})", f"(Banking - {RF!r})"]
+_NAMES = list(fac.FACTORS)
+_KEY = "run_id, factor_set"
+cte("fac_x", f"SELECT {_KEY}, date, ret - {RF!r} AS y, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(_X)) + " FROM eq JOIN factor_rets USING (date)")
+cte(
+    "fac_s0",
+    f"SELECT {_KEY}, count(*) AS n, greatest(floor(4 * pow(count(*) / 100, 2.0::DOUBLE / 9)), 1) AS L, avg(y) AS my, "
+    + ", ".join(f"sum(x{i} * x{j}) AS m{i}_{j}" for i in _K for j in _K)
+    + ", "
+    + ", ".join(f"{float(i == j)}::DOUBLE AS m{i}_{j + 5}" for i in _K for j in _K)
+    + ", "
+    + ", ".join(f"sum(x{i} * y) AS c{i}, avg(x{i}) AS a{i}" for i in _K)
+    + f" FROM fac_x GROUP BY {_KEY} HAVING count(*) >= 50",
+)
+for _p in _K:
+    _cells = [f"m{i}_{j} / m{i}_{i} AS m{i}_{j}" if i == _p else f"m{i}_{j} - m{i}_{_p} / m{_p}_{_p} * m{_p}_{j} AS m{i}_{j}" for i in _K for j in range(10)]
+    cte(f"fac_s{_p + 1}", f"SELECT {_KEY}, n, L, my, " + ", ".join(_cells) + ", " + ", ".join(f"c{i}, a{i}" for i in _K) + f" FROM fac_s{_p}")
+cte(
+    "fac_coef",
+    f"SELECT {_KEY}, n, L, my, " + ", ".join(f"a{i}, " + " + ".join(f"m{i}_{j + 5} * c{j}" for j in _K) + f" AS b{i}" for i in _K) + ", " + ", ".join(f"m{i}_{j + 5} AS v{i}_{j}" for i in _K for j in _K) + " FROM fac_s5",
+)
+cte(
+    "fac_rows",
+    f"SELECT {_KEY}, L, y, my, t, e, " + ", ".join(f"x{i} * e AS u{i}" for i in _K) + f" FROM (SELECT {_KEY}, L, y, my, row_number() OVER (PARTITION BY {_KEY} ORDER BY date) AS t, "
+    + ", ".join(f"x{i}" for i in _K) + ", y - " + " - ".join(f"b{i} * x{i}" for i in _K) + f" AS e FROM fac_x JOIN fac_coef USING ({_KEY}))",
+)
+cte(
+    "fac_omega",
+    f"SELECT {_KEY}, " + ", ".join(f"sum(o{i}_{j}) AS o{i}_{j}" for i in _K for j in _K) + f" FROM (SELECT {_KEY}, " + ", ".join(f"sum(u{i} * u{j}) AS o{i}_{j}" for i in _K for j in _K)
+    + f" FROM fac_rows GROUP BY {_KEY} UNION ALL SELECT a.run_id, a.factor_set, " + ", ".join(f"sum(w * (a.u{i} * b.u{j} + a.u{j} * b.u{i}))" for i in _K for j in _K)
+    + f" FROM (SELECT *, unnest(range(1, CAST(L AS INT) + 1)) AS lag_, 1 - lag_ / (L + 1) AS w FROM fac_rows) a JOIN fac_rows b ON a.run_id = b.run_id AND a.factor_set = b.factor_set AND b.t = a.t - a.lag_ GROUP BY 1, 2) GROUP BY {_KEY}",
+)
+_se = lambda i: "sqrt(greatest(0, " + " + ".join(f"v{i}_{j} * o{j}_{k} * v{k}_{i}" for j in _K for k in _K) + "))"
+cte("fac_fit", f"SELECT *, 1 - rss / tss AS r2, " + ", ".join(f"coalesce(b{i} / nullif(se{i}, 0), 0) AS t{i}" for i in _K) + f" FROM (SELECT *, " + ", ".join(f"{_se(i)} AS se{i}" for i in _K)
+    + f" FROM fac_coef JOIN fac_omega USING ({_KEY}) JOIN (SELECT {_KEY}, sum(e * e) AS rss, sum((y - my) * (y - my)) AS tss, avg(e) AS me FROM fac_rows GROUP BY {_KEY}) USING ({_KEY}))")
+cte(
+    "fac_long",
+    " UNION ALL ".join(
+        f"SELECT {_KEY}, {i} AS place, '{f}' AS factor, b{i + 1} AS beta, se{i + 1} AS se, t{i + 1} AS t_stat, 2 * (1 - {cdf_sql(f'abs(t{i + 1})')}) AS p_value, b{i + 1} * a{i + 1} * 252 AS contribution FROM fac_fit"
+        for i, f in enumerate(_NAMES)
+    ),
+)
+
+
+@register("FAC6_newey_west_errors", f"SELECT {_KEY}, factor, {r('se', 6)} FROM fac_long")
 def _(spark, sf):
-    return fac.loadings(result(spark, sf)).select("run_id", "factor", rnd("se", 6))
+    return fac.loadings(result(spark, sf)).select("run_id", "factor_set", "factor", rnd("se", 6))
 
 
-@register("FAC7_factor_regression")
+@register(
+    "FAC7_factor_regression",
+    f"SELECT {_KEY}, n AS n_obs, CAST(L AS BIGINT) AS hac_lags, {r('b0 * 252', 6, 'alpha_annual')}, {r('t0', 6, 'alpha_t')}, {r('2 * (1 - ' + cdf_sql('abs(t0)') + ')', 6, 'alpha_p')}, {r('r2', 6, 'r_squared')}, {r('1 - (1 - r2) * (n - 1) / greatest(n - 5, 1)', 6, 'adj_r_squared')} FROM fac_fit",
+)
 def _(spark, sf):
     df = result(spark, sf)
-    return df.select("run_id", "n_obs", big("hac_lags"), *[rnd(c, 6) for c in ("alpha_annual", "alpha_t", "alpha_p", "r_squared", "adj_r_squared")])
+    return df.select("run_id", "factor_set", "n_obs", big("hac_lags"), *[rnd(c, 6) for c in ("alpha_annual", "alpha_t", "alpha_p", "r_squared", "adj_r_squared")])
 
 
-@register("FAC8_attribution")
+@register(
+    "FAC8_attribution",
+    f"SELECT {_KEY}, {r('my * 252', 6, 'strategy_mean_annual')}, {r('me * 252', 6, 'unexplained_annual')}, factor, {r('contribution', 6)} FROM fac_fit JOIN fac_long USING ({_KEY})",
+)
 def _(spark, sf):
     df = result(spark, sf)
-    head = df.select("run_id", rnd("strategy_mean_annual", 6), rnd("unexplained_annual", 6), "loadings")
-    rows = head.select("run_id", "strategy_mean_annual", "unexplained_annual", F.explode("loadings").alias("f"))
-    return rows.select("run_id", "strategy_mean_annual", "unexplained_annual", F.col("f.factor").alias("factor"), rnd(F.col("f.contribution"), 6, "contribution"))
+    head = df.select("run_id", "factor_set", rnd("strategy_mean_annual", 6), rnd("unexplained_annual", 6), "loadings")
+    rows = head.select("run_id", "factor_set", "strategy_mean_annual", "unexplained_annual", F.explode("loadings").alias("f"))
+    return rows.select("run_id", "factor_set", "strategy_mean_annual", "unexplained_annual", F.col("f.factor").alias("factor"), rnd(F.col("f.contribution"), 6, "contribution"))
 
 
-@register("FAC9_coefficient_table")
+_mark = "CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' ELSE 'n.s.' END AS significance"
+
+
+@register(
+    "FAC9_coefficient_table",
+    f"""SELECT {_KEY}, factor, loading, {r('t_stat', 4)}, {r('p_value', 5)}, {r('contribution', 6)}, {_mark} FROM (
+SELECT {_KEY}, 'α (pure alpha)' AS factor, printf('%+.2f%% / yr', b0 * 252 * 100) AS loading, t0 AS t_stat, 2 * (1 - {cdf_sql('abs(t0)')}) AS p_value, b0 * 252 AS contribution FROM fac_fit
+UNION ALL SELECT {_KEY}, factor, printf('%+.3f', beta), t_stat, p_value, contribution FROM fac_long)""",
+)
 def _(spark, sf):
-    return fac.coefficient_table(result(spark, sf)).select("run_id", "factor", "loading", rnd("t_stat", 4), rnd("p_value", 5), rnd("contribution", 6), "significance")
+    return fac.coefficient_table(result(spark, sf)).select("run_id", "factor_set", "factor", "loading", rnd("t_stat", 4), rnd("p_value", 5), rnd("contribution", 6), "significance")
 
 
-@register("FAC10_largest_contributor")
+@register(
+    "FAC10_largest_contributor",
+    f"SELECT {_KEY}, factor, {r('contribution', 6)} FROM fac_long QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY abs(contribution) DESC, place) = 1",
+)
 def _(spark, sf):
-    return fac.largest_contributor(result(spark, sf)).select("run_id", "factor", rnd("contribution", 6))
+    return fac.largest_contributor(result(spark, sf)).select("run_id", "factor_set", "factor", rnd("contribution", 6))
 
 
-@register("FAC11_attribution_verdict")
+@register(
+    "FAC11_attribution_verdict",
+    f"SELECT {_KEY}, CASE WHEN b0 > 0 AND 2 * (1 - {cdf_sql('abs(t0)')}) < 0.05 THEN 'significant' WHEN b0 > 0 THEN 'positive, not significant' ELSE 'not positive' END AS verdict, r2 > 0.85 AS factor_like FROM fac_fit",
+)
 def _(spark, sf):
     return fac.attribution_verdict(result(spark, sf))
