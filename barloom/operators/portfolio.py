@@ -91,38 +91,61 @@ def aligned_closes(panel: DataFrame) -> DataFrame:
 def matrices(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """(portfolio_id, i, j, cov, corr) for i <= j, annualised covariance.
 
-    A holding's centred returns are one array (a value per day). Holdings meet block by block: a portfolio of n
-    names has ceil(n / 64) blocks, and each pair of blocks is its own join key.
+    Books with the same aligned days share their series, so each pair of names is worked out once for a set of days,
+    from arrays of a value per day, and joined to all books that hold it. The pairs of a book are listed block by
+    block: a portfolio of n names has ceil(n / 64) blocks, and each pair of blocks is its own join key.
     """
     item = F.struct("date", "r")
-    arrays = aligned.groupBy(*BOOK, "instrument").agg(
+    held = aligned.groupBy(*BOOK, "instrument").agg(
         F.sort_array(F.collect_list(item)).alias("all"), F.avg("r").alias("_mean"), F.first("n_holdings").alias("n")
     )
-    arrays = arrays.filter(F.size("all") >= LEAST_DAYS).select(
-        *BOOK,
-        "instrument",
-        F.transform("all", lambda x: x["r"] - F.col("_mean")).alias("v"),
-        F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("_blocks"),
-    ).withColumn("_block", F.pmod(F.xxhash64("instrument"), F.col("_blocks")).cast("int"))
-    left = arrays.select(
-        *BOOK, F.col("instrument").alias("i"), F.col("v").alias("_a"), F.col("_block").alias("_lo"),
+    days = F.transform("all", lambda x: x["date"])
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    held = held.filter(F.size("all") >= LEAST_DAYS).select(
+        *BOOK, "instrument", F.struct(F.xxhash64(days), F.hash(days), F.size("all")).alias("_days"), "all", "_mean",
+        blocks.alias("_blocks"), F.pmod(F.xxhash64("instrument"), blocks).cast("int").alias("_block"),
+    )
+    left = held.select(
+        *BOOK, "_days", F.col("instrument").alias("i"), F.col("_block").alias("_lo"),
         F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_hi"),
     )
-    right = arrays.select(
-        *BOOK, F.col("instrument").alias("j"), F.col("v").alias("_b"), F.col("_block").alias("_hi"),
+    right = held.select(
+        *BOOK, F.col("instrument").alias("j"), F.col("_block").alias("_hi"),
         F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_lo"),
     )
     pairs = left.join(right, [*BOOK, "_lo", "_hi"]).filter((F.col("_lo") < F.col("_hi")) | (F.col("i") <= F.col("j")))
+    pairs = pairs.select(*BOOK, "_days", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    xy = dot(F.col("_a"), F.col("_b"))
-    size = F.sqrt(dot(F.col("_a"), F.col("_a")) * dot(F.col("_b"), F.col("_b")))
-    return pairs.select(
-        *BOOK,
-        F.least("i", "j").alias("i"),
-        F.greatest("i", "j").alias("j"),
-        (xy / (F.size("_a") - 1) * cfg.trading_days).alias("cov"),
-        (xy / F.nullif(size, F.lit(0.0))).alias("corr"),
+    series = held.groupBy("_days", "instrument").agg(F.first("all").alias("all"), F.first("_mean").alias("_mean"))
+    series = series.select("_days", "instrument", F.transform("all", lambda x: x["r"] - F.col("_mean")).alias("v"))
+    series = series.withColumn("ss", dot(F.col("v"), F.col("v")))
+    a = series.select("_days", F.col("instrument").alias("i"), F.col("v").alias("_a"), F.col("ss").alias("_aa"))
+    b = series.select("_days", F.col("instrument").alias("j"), F.col("v").alias("_b"), F.col("ss").alias("_bb"))
+    once = pairs.select("_days", "i", "j").distinct().join(a, ["_days", "i"]).join(b, ["_days", "j"])
+    once = once.withColumn("_xy", dot(F.col("_a"), F.col("_b"))).select(
+        "_days",
+        "i",
+        "j",
+        (F.col("_xy") / (F.size("_a") - 1) * cfg.trading_days).alias("cov"),
+        (F.col("_xy") / F.nullif(F.sqrt(F.col("_aa") * F.col("_bb")), F.lit(0.0))).alias("corr"),
+    )
+    return pairs.join(once, ["_days", "i", "j"]).select(*BOOK, "i", "j", "cov", "corr")
+
+
+def rejected_books(weighted: DataFrame, returns: DataFrame) -> DataFrame:
+    """(portfolio_id, reason, unknown_names, common_days) of the books that the risk reports leave out, and why.
+
+    Either a name isn't in the panel at all, or the names share fewer than 30 days with a return.
+    """
+    names = returns.select("instrument").distinct().withColumn("_known", F.lit(1))
+    known = weighted.join(names, "instrument", "left").groupBy(*BOOK).agg(
+        F.count_if(F.col("_known").isNull()).alias("unknown_names")
     )
+    days = book_series(weighted, returns).groupBy(*BOOK).agg(F.count("*").alias("common_days"))
+    both = known.join(days, list(BOOK), "left").withColumn("common_days", F.coalesce("common_days", F.lit(0)).cast("long"))
+    reason = F.when(F.col("unknown_names") > 0, "unknown name").when(F.col("common_days") < LEAST_DAYS, "too few common days")
+    return both.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*BOOK, "reason", "unknown_names", "common_days")
 
 
 def holding_stats(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

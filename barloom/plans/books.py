@@ -86,12 +86,12 @@ coalesce(CASE WHEN count(*) FILTER (ps < 0) > 1 THEN (avg(ps) - {RF!r}) / nullif
 FROM (SELECT *, max(cl) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT *, sum(pl) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS cl FROM pser)) GROUP BY portfolio_id)
 JOIN (SELECT portfolio_id, sum(weight * sd) * {YEAR!r} AS wiv FROM pvol GROUP BY 1) USING (portfolio_id)""",
 )
-_bad = "CASE WHEN CAST(portfolio_id AS BIGINT) % 50 = 7 AND instrument LIKE '%1' THEN -amount ELSE amount END"
+_bad = "CASE WHEN CAST(portfolio_id AS BIGINT) % 5 = 2 AND instrument LIKE '%1' THEN -amount ELSE amount END"
 cte("planted", f"SELECT portfolio_id, instrument, {_bad} AS amount FROM holdings")
 
 
 def planted(spark, sf):
-    bad = (F.col("portfolio_id").cast("bigint") % 50 == 7) & F.col("instrument").endswith("1")
+    bad = (F.col("portfolio_id").cast("bigint") % 5 == 2) & F.col("instrument").endswith("1")
     return panels.holdings(spark, sf).withColumn("amount", F.when(bad, -F.col("amount")).otherwise(F.col("amount")))
 
 
@@ -116,6 +116,27 @@ def _(spark, sf):
     return pf.not_in_panel(panels.holdings(spark, sf), traded).select("portfolio_id", "instrument")
 
 
+cte(
+    "short_books",
+    """SELECT portfolio_id, CASE WHEN unknown_names > 0 THEN 'unknown name' ELSE 'too few common days' END AS reason, unknown_names, coalesce(common_days, 0) AS common_days
+FROM (SELECT portfolio_id, count(*) FILTER (instrument NOT IN (SELECT instrument FROM early)) AS unknown_names FROM weighted GROUP BY 1)
+LEFT JOIN (SELECT portfolio_id, count(*) AS common_days FROM (SELECT portfolio_id, date, count(*) AS k, any_value(n_holdings) AS n FROM weighted JOIN early USING (instrument) WHERE Adj_Return IS NOT NULL GROUP BY 1, 2) WHERE k = n GROUP BY 1) USING (portfolio_id)
+WHERE unknown_names > 0 OR coalesce(common_days, 0) < 30""",
+)
+cte(
+    "early",
+    "SELECT * FROM wret WHERE CAST(regexp_extract(instrument, '(\\d+)', 1) AS INT) <> 13 AND (CAST(regexp_extract(instrument, '(\\d+)', 1) AS INT) <> 24 OR date < DATE '1992-06-01')",
+)
+
+
+@register("PF_rejected_books", "SELECT portfolio_id, reason, unknown_names, common_days FROM short_books")
+def _(spark, sf):
+    """Defects are planted in the panel: brand 13 has no bars, brand 24 none after its first months."""
+    number = F.regexp_extract("instrument", r"(\d+)", 1).cast("int")
+    panel = returns(spark, sf).filter((number != 13) & ((number != 24) | (F.col("date") < F.lit("1992-06-01").cast("date"))))
+    return pf.rejected_books(weighted(spark, sf), panel)
+
+
 @register("PF3_aligned_returns", f"SELECT portfolio_id, date, instrument, {r('rr', 8, 'r')} FROM al")
 def _(spark, sf):
     return pf.long_enough(aligned(spark, sf)).select("portfolio_id", "date", "instrument", rnd("r", 8))

@@ -87,18 +87,11 @@ def benchmark_bars(spark: SparkSession, sf_dir: str, weekly: bool = False) -> Da
     return _bars(lines, 0.8 if weekly else 0.3)
 
 
-def supplier_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instrument, sector): region of the supplier's nation."""
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("s_suppkey").cast("string").alias("instrument"), F.col("r_name").alias("sector"))
-    )
-
-
 def defective_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with planted gaps, bad prices and jumps, by plain arithmetic on keys and row numbers."""
+    """Daily bars with planted gaps, bad prices and jumps, by plain arithmetic on keys and row numbers.
+
+    Short histories are planted too: every tenth supplier's bars after the ninetieth are dropped.
+    """
     bars = daily_bars(spark, sf_dir).withColumn("n", F.row_number().over(series()).cast("long"))
     k = F.col("instrument").cast("long")
     gap = F.pmod(F.col("n") + k, F.lit(40)) < F.pmod(k, F.lit(8))
@@ -114,17 +107,20 @@ def defective_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def holdings(spark: SparkSession, sf_dir: str, top: int = 4) -> DataFrame:
-    """Per customer the `top` brands by money spent: (portfolio_id, instrument, amount, quantity, rank)."""
+CUSTOMERS = 25
+
+
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group of `CUSTOMERS` consecutive customers every brand they spent on: (portfolio_id, instrument, amount, quantity, rank)."""
     spent = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("o_custkey").cast("string").alias("portfolio_id"), F.col("p_brand").alias("instrument"))
+        .groupBy(F.floor(F.col("o_custkey") / CUSTOMERS).cast("string").alias("portfolio_id"), F.col("p_brand").alias("instrument"))
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.sum("l_quantity").alias("quantity"))
     )
     w = Window.partitionBy("portfolio_id").orderBy(F.col("amount").desc(), "instrument")
-    return spent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return spent.withColumn("rank", F.row_number().over(w))
 
 
 def brand_sectors(bars: DataFrame) -> DataFrame:
