@@ -164,11 +164,11 @@ def _entry_levels(df: DataFrame) -> DataFrame:
     return df.withColumn("Risk_Reward", F.coalesce(reward, F.lit(0.0)))
 
 
-IDEA = (
-    "instrument Type Score Conviction Conviction_Stars conv_rank Engine_Agreement Suggested_Weight Signal_Strength "
-    "Confidence close Entry_Low Entry_High Stop_Loss Target_1 Target_2 Risk_Reward Holding_Period RSI_14 "
-    "Volatility_20 Regime_Label Rationale as_of"
-).split()
+IDEA = [
+    "instrument", "Type", "Score", "Conviction", "Conviction_Stars", "conv_rank", "Engine_Agreement",
+    "Suggested_Weight", "Signal_Strength", "Confidence", "close", "Entry_Low", "Entry_High", "Stop_Loss", "Target_1",
+    "Target_2", "Risk_Reward", "Holding_Period", "RSI_14", "Volatility_20", "Regime_Label", "Rationale", "as_of",
+]
 
 
 SHORT, LONG = "Short-Term", "Long-Term"

@@ -11,11 +11,12 @@ from ..functions.frames import KEYS, change, ratio, rolled, running, series
 from ..functions.recurrence import linear
 from ..settings import DEFAULTS, Settings
 
-COLUMNS = (
-    "MA_20 MA_50 MA_200 EMA_12 EMA_26 MACD MACD_Signal MACD_Hist MA20_above_MA50 MA50_above_MA200 "
-    "RSI_14 ROC_10 Stoch_K Stoch_D BB_Upper BB_Mid BB_Lower BB_Width BB_Pct ATR_14 Volatility_20 OBV "
-    "Vol_MA_20 Vol_Ratio Return_5d Return_20d High_Low_Pct Gap_Pct Close_above_MA200 Dist_from_MA200_pct"
-).split()
+COLUMNS = [
+    "MA_20", "MA_50", "MA_200", "EMA_12", "EMA_26", "MACD", "MACD_Signal", "MACD_Hist", "MA20_above_MA50",
+    "MA50_above_MA200", "RSI_14", "ROC_10", "Stoch_K", "Stoch_D", "BB_Upper", "BB_Mid", "BB_Lower", "BB_Width",
+    "BB_Pct", "ATR_14", "Volatility_20", "OBV", "Vol_MA_20", "Vol_Ratio", "Return_5d", "Return_20d", "High_Low_Pct",
+    "Gap_Pct", "Close_above_MA200", "Dist_from_MA200_pct",
+]
 
 
 def _flag(cond):

@@ -124,7 +124,7 @@ def _role(role: str) -> str:
     return f"CAST(coalesce(min(j) FILTER (w IN ({words})), min(j) FILTER (regexp_matches(w, '{'|'.join(hld.WORDS[role])}'))) AS INT) AS {role}_at"
 
 
-cte("st_roles", f"SELECT file, any_value(header_row) AS header_row, {', '.join(_role(x) for x in hld.ROLES)} FROM st_cols GROUP BY file")
+cte("st_roles", f"SELECT file, any_value(header_row) AS header_row, {', '.join(_role(x) for x in hld.WORDS)} FROM st_cols GROUP BY file")
 
 
 def _num(c: str) -> str:
@@ -147,7 +147,7 @@ cte(
 CASE basis WHEN 'current_value' THEN {_num('c_current')} WHEN 'generic_amount' THEN {_num('c_amount')} ELSE ({_num('c_qty')}) * ({_num('c_price')}) END AS amount, {_num('c_qty')} AS quantity,
 CASE WHEN invested_at IS NOT NULL THEN {_num('c_invested')} WHEN basis = 'current_value' THEN ({_num('c_qty')}) * ({_num('c_price')}) END AS invested, trim(coalesce(c_ticker, c_isin)) AS label
 FROM (SELECT s.file, s.row_, r.*, CASE WHEN current_at IS NOT NULL THEN 'current_value' WHEN amount_at IS NOT NULL THEN 'generic_amount' WHEN qty_at IS NOT NULL AND price_at IS NOT NULL THEN 'qty_x_avg_price' END AS basis,
- {', '.join(f'cells[{x}_at] AS c_{x}' for x in hld.ROLES)} FROM st_rows s JOIN st_roles r ON s.file = r.file WHERE s.row_ > r.header_row) p LEFT JOIN (VALUES {_isin_rows}) m(code, symbol) ON upper(trim(c_isin)) = code""",
+ {', '.join(f'cells[{x}_at] AS c_{x}' for x in hld.WORDS)} FROM st_rows s JOIN st_roles r ON s.file = r.file WHERE s.row_ > r.header_row) p LEFT JOIN (VALUES {_isin_rows}) m(code, symbol) ON upper(trim(c_isin)) = code""",
 )
 cte("st_hold", "SELECT file, ticker, sum(amount) AS amount, sum(quantity) AS quantity, sum(invested) AS invested, any_value(basis) AS amount_basis FROM st_parsed WHERE amount IS NOT NULL AND ticker IS NOT NULL GROUP BY 1, 2")
 
@@ -159,7 +159,7 @@ def _(spark, sf):
 
 @register("HLD1_header_row", "SELECT file, CAST(header_row AS BIGINT) AS header_row FROM st_head")
 def _(spark, sf):
-    return hld.headers(rows(spark, sf)).select("file", big("header_row"))
+    return hld.headers(rows(spark, sf), header_rows=60).select("file", big("header_row"))
 
 
 @register("HLD2_column_names", "SELECT file, string_agg(name, '|' ORDER BY j) AS names FROM st_cols GROUP BY file")
@@ -167,9 +167,9 @@ def _(spark, sf):
     return hld.headers(rows(spark, sf)).select("file", F.array_join("names", "|").alias("names"))
 
 
-@register("HLD3_column_roles", "SELECT file, " + ", ".join(f"CAST({x}_at AS BIGINT) AS {x}_at" for x in hld.ROLES) + " FROM st_roles")
+@register("HLD3_column_roles", "SELECT file, " + ", ".join(f"CAST({x}_at AS BIGINT) AS {x}_at" for x in hld.WORDS) + " FROM st_roles")
 def _(spark, sf):
-    return hld.headers(rows(spark, sf)).select("file", *[big(f"{x}_at") for x in hld.ROLES])
+    return hld.headers(rows(spark, sf)).select("file", *[big(f"{x}_at") for x in hld.WORDS])
 
 
 cte("st_cells", "SELECT file, row_, unnest(cells) AS c, unnest(range(1, len(cells) + 1)) AS j FROM st_rows")
@@ -212,7 +212,7 @@ def _(spark, sf):
 
 @register("HLD9_skipped_rows", "SELECT file, CAST(row_ AS BIGINT) AS row, label[1:48] AS label FROM st_parsed WHERE amount IS NOT NULL AND ticker IS NULL AND lower(label) NOT IN ('', 'nan', 'none')")
 def _(spark, sf):
-    return hld.skipped(rows(spark, sf), dim.isins(spark)).withColumn("row", big("row"))
+    return hld.skipped(rows(spark, sf), dim.isins(spark), label_chars=48).withColumn("row", big("row"))
 
 
 @register("HLD9_unusable_files", "SELECT file, CASE WHEN ticker_at IS NULL AND isin_at IS NULL THEN 'no ticker or ISIN column' WHEN current_at IS NULL AND amount_at IS NULL AND (qty_at IS NULL OR price_at IS NULL) THEN 'no amount column' ELSE 'no valid rows' END AS reason FROM st_roles WHERE file NOT IN (SELECT file FROM st_hold)")

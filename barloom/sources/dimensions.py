@@ -51,21 +51,6 @@ HOLIDAYS = {
     "2026-12-25": "Christmas",
 }
 
-# Sector of each listed symbol.
-SECTORS = {
-    "IT": ["TCS", "INFY", "WIPRO", "HCLTECH", "TECHM"],
-    "Banking": ["HDFCBANK", "ICICIBANK", "SBIN", "KOTAKBANK", "AXISBANK"],
-    "Energy": ["RELIANCE", "ONGC", "POWERGRID"],
-    "FMCG": ["HINDUNILVR", "ITC", "NESTLEIND"],
-    "Auto": ["MARUTI", "TMPV", "TMCV", "TATAMOTORS", "M&M"],
-    "Pharma": ["SUNPHARMA", "DRREDDY", "CIPLA"],
-    "Metals": ["TATASTEEL", "HINDALCO", "HINDZINC"],
-    "Telecom": ["BHARTIARTL"],
-    "Financial Services": ["TATACAP"],
-    "Gold ETF": ["GOLDBEES", "GOLDIETF"],
-    "Silver ETF": ["SILVERBEES", "SILVERIETF", "TATSILV"],
-}
-
 # Security identification number -> exchange symbol.
 ISINS = {
     "INE002A01018": "RELIANCE",
@@ -97,12 +82,5 @@ def holidays(spark: SparkSession) -> DataFrame:
     )
 
 
-def sectors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(f"{symbol}.NS", sector) for sector, symbols in SECTORS.items() for symbol in symbols],
-        "instrument string, sector string",
-    )
-
-
 def isins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, f"{s}.NS") for i, s in ISINS.items()], "isin string, symbol string")
