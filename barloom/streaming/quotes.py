@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.frames import filled, ratio
+from ..functions.skew import salted_join
 from ..operators.portfolio import live_value, mark_to_market
 from ..settings import DEFAULTS, Settings
 from ..sources.calendar import is_session_open, local_time
@@ -68,8 +69,17 @@ def day_range(quotes: DataFrame) -> DataFrame:
     )
 
 
+def with_staleness(newest: DataFrame, as_of: Column, cfg: Settings = DEFAULTS) -> DataFrame:
+    """`stale`: no price, or a quote older than the time to live at `as_of`."""
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return newest.withColumn("stale", F.col("last_price").isNull() | F.col("ts").isNull() | (age > cfg.quote_ttl * 1_000_000))
+
+
 def value_by_refresh(quotes: DataFrame, holdings: DataFrame, every: str = "1 minute") -> DataFrame:
-    """Batch: portfolio value at each refresh, each instrument at its newest price so far."""
+    """Batch: portfolio value at each refresh, each instrument at its newest price so far.
+
+    Prices meet holdings in a join that cuts an instrument held by many portfolios into parts.
+    """
     ticks = quotes.groupBy("instrument", F.window("ts", every)["end"].alias("at")).agg(
         F.max_by("last_price", "ts").alias("price")
     )
@@ -81,7 +91,7 @@ def value_by_refresh(quotes: DataFrame, holdings: DataFrame, every: str = "1 min
     prices = grid.join(ticks, ["instrument", "at"], "left")
     prices = prices.withColumn("price", filled("price", None, ("instrument",), "at"))
     return (
-        holdings.join(prices, "instrument")
+        salted_join(holdings, prices, "instrument", "portfolio_id")
         .groupBy("portfolio_id", "at")
         .agg(F.sum(F.col("quantity") * F.col("price")).alias("value"))
     )
@@ -123,15 +133,17 @@ def expiring(quotes: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def refresh_portfolios(quotes: DataFrame, holdings: DataFrame, closes: DataFrame, path: str, checkpoint: str, every: str = "1 minute", once: bool = False) -> StreamingQuery:
+def refresh_portfolios(quotes: DataFrame, holdings: DataFrame, closes: DataFrame, path: str, checkpoint: str, every: str = "1 minute", once: bool = False, as_of: Column | None = None, cfg: Settings = DEFAULTS) -> StreamingQuery:
     """Streaming: on every trigger value all portfolios at the newest quotes and write them under batch_id=<n>.
 
+    A quote older than the time to live at the trigger (or at `as_of`) counts as stale.
+
     The stream keeps one row per instrument. A repeated batch overwrites its own folder, so a restart after a
     lost executor or driver leaves each batch once.
     """
 
     def write(newest: DataFrame, batch_id: int) -> None:
-        quotes_now = newest.withColumn("stale", F.col("last_price").isNull())
+        quotes_now = with_staleness(newest, F.current_timestamp() if as_of is None else as_of, cfg)
         values = live_value(mark_to_market(holdings, quotes_now, closes))
         values.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

@@ -69,10 +69,22 @@ def test_portfolios_are_revalued_per_batch(spark, arrivals, tmp_path):
     )
     closes = spark.createDataFrame([("0", 10.0), ("1", 20.0), ("2", 5.0)], "instrument string, close double")
     stream = live.read_stream(spark, arrivals, live.SCHEMA, "60 days", 2)
-    query = live.refresh_portfolios(stream, held, closes, str(tmp_path / "values"), str(tmp_path / "state"), once=True)
+    as_of = F.lit(spark.read.parquet(arrivals).agg(F.max("ts")).first()[0])  # the quotes of one moment are fresh
+    query = live.refresh_portfolios(stream, held, closes, str(tmp_path / "values"), str(tmp_path / "state"), once=True, as_of=as_of)
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "values"))
     newest = out.filter(F.col("batch_id") == out.agg(F.max("batch_id")).scalar()).drop("batch_id")
-    now = live.latest(spark.read.parquet(arrivals)).withColumn("stale", F.lit(False))
+    now = live.with_staleness(live.latest(spark.read.parquet(arrivals)), as_of)
     want = {r.portfolio_id: r.live_value for r in live_value(mark_to_market(held, now, closes)).collect()}
     assert {r.portfolio_id: r.live_value for r in newest.collect()} == pytest.approx(want)
+
+
+def test_old_quotes_leave_no_value(spark):
+    held = spark.createDataFrame([("p", "0", 100.0, 2.0)], "portfolio_id string, instrument string, amount double, quantity double")
+    closes = spark.createDataFrame([("0", 10.0)], "instrument string, close double")
+    quote = spark.sql("SELECT '0' AS instrument, timestamp'2024-01-30 06:00:00' AS ts, 11D AS last_price")
+    values = {}
+    for at in ("2024-01-30 06:00:30", "2024-01-30 09:00:00"):
+        now = live.with_staleness(quote, F.lit(at).cast("timestamp"))
+        values[at] = live_value(mark_to_market(held, now, closes)).collect()[0].live_value
+    assert values == {"2024-01-30 06:00:30": 22.0, "2024-01-30 09:00:00": None}
