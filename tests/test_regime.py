@@ -21,7 +21,7 @@ def features(spark):
 
 def recall(df):
     pdf = df.orderBy("date").toPandas()
-    return (pdf["Regime_Label"].iloc[250:330] == "BEAR").mean()
+    return (pdf["Regime_Label"].iloc[300:410] == "BEAR").mean()
 
 
 def test_hmm_finds_the_crash(features):
