@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS, filled, series
@@ -67,9 +67,18 @@ def report(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFrame:
 
 
 def gate(bars: DataFrame, cfg: Settings = DEFAULTS, keys=KEYS) -> DataFrame:
-    """Bars of the instruments that passed. Only short passed-key rows cross the join."""
-    passed = report(bars, cfg, keys).filter("passed").select(*keys)
-    return bars.join(passed, list(keys), "left_semi")
+    """Bars of the instruments that passed, in one pass: the gates of `report` as windows over an instrument's bars."""
+    whole = Window.partitionBy(*keys)
+    gone = F.lit(False)
+    for c in FIELDS:
+        gone = gone | (filled(c, cfg.quality_fill, keys).isNull() if c in bars.columns else F.lit(True))
+    marked = bars.withColumn("_gone", gone.cast("int"))
+    passed = (
+        (F.count("*").over(whole) >= cfg.min_rows)
+        & (F.avg("_gone").over(whole) <= cfg.max_missing)
+        & (F.count_if(F.col("close") <= 0).over(whole) == 0)
+    )
+    return marked.withColumn("_passed", passed).filter("_passed").drop("_gone", "_passed")
 
 
 def load_universe(bars: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

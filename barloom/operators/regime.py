@@ -202,7 +202,12 @@ def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None) -> t
 
 def hmm_regime(features: DataFrame, keys=KEYS, train: Column | None = None, causal=False) -> DataFrame:
     """Three-state Gaussian HMM labels with posteriors. `train` (a condition on the rows) restricts fitting."""
-    _, df = decode_hmm(features, keys, train)
+    df = _mark(features, HMM_FEATURES, HMM_LEAST, keys, train).withColumn("_at", F.row_number().over(series(keys)))
+    # the fit side reads three features only; its one row per key joins the bars on the partitioning they have
+    df = df.join(models.fit_and_decode(df, HMM_FEATURES, keys), list(keys), "left")
+    of = F.when(F.col("posteriors").isNotNull(), F.get("posteriors", F.col("_at") - 1))
+    df = df.withColumn("state", F.get("states", F.col("_at") - 1)).withColumns({f"p{k}": of[k] for k in range(3)})
+    df = df.drop("states", "posteriors", "_at")
     df = order_posteriors(order_states(df, "state", keys, F.col("_fit")))
     df = df.drop("state", "p0", "p1", "p2")
     return _settle(spread_both(df, causal=causal, keys=keys), keys)

@@ -186,15 +186,48 @@ def _fit(x: np.ndarray):
     return start, trans, means, covs, path
 
 
+def _fit_raw(raw: np.ndarray):
+    """Model of raw features: the standardisation, then what `_fit` gives."""
+    center, spread = raw.mean(0), raw.std(0)
+    spread[spread == 0] = 1.0
+    return (center, spread, *_fit((raw - center) / spread))
+
+
+def _decoded(x: np.ndarray, start, trans, means, covs) -> tuple[np.ndarray, np.ndarray]:
+    """Best path and posteriors of standardised features."""
+    logb = _log_density(x, means, covs)
+    return _best_path(logb, start, trans), _posteriors(logb, start, trans)[0]
+
+
+def fit_and_decode(rows: DataFrame, columns, keys=KEYS) -> DataFrame:
+    """One row per key with arrays over its rows by date: state and posteriors, null where `_use` is false.
+
+    Only the date, the features and the two flags go through Arrow. A key without rows to fit on has no row.
+    """
+    columns, keys = list(columns), list(keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        use, fit = pdf["_use"].to_numpy(bool), pdf["_fit"].to_numpy(bool)
+        if not fit.any():
+            return pd.DataFrame(columns=[*keys, "states", "posteriors"])
+        center, spread, start, trans, means, covs, _ = _fit_raw(pdf.loc[fit, columns].to_numpy(float))
+        state, prob = _decoded((pdf.loc[use, columns].to_numpy(float) - center) / spread, start, trans, means, covs)
+        states, posteriors = [None] * len(pdf), [None] * len(pdf)
+        for at, s, p in zip(np.flatnonzero(use), state, prob):
+            states[at], posteriors[at] = int(s), p.tolist()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "states": [states], "posteriors": [posteriors]})
+
+    schema = _key_schema(rows, keys) + ", states array<int>, posteriors array<array<double>>"
+    return rows.select(*keys, "date", *columns, "_use", "_fit").groupBy(*keys).applyInPandas(run, schema)
+
+
 def fit_hmm(rows: DataFrame, columns, keys=KEYS) -> DataFrame:
     """Model table, one row per (key, state)."""
     columns, keys = list(columns), list(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf.sort_values("date")[columns].to_numpy(float)
-        center, spread = raw.mean(0), raw.std(0)
-        spread[spread == 0] = 1.0
-        start, trans, means, covs, path = _fit((raw - center) / spread)
+        center, spread, start, trans, means, covs, path = _fit_raw(pdf.sort_values("date")[columns].to_numpy(float))
         return pd.DataFrame(
             {
                 **{k: [pdf[k].iloc[0]] * STATES for k in keys},
@@ -233,9 +266,7 @@ def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
             means = np.array(m["mean"].tolist())
             covs = np.array(m["cov"].tolist()).reshape(STATES, x.shape[1], x.shape[1])
             start, trans = m["start"].to_numpy(float), np.array(m["trans"].tolist())
-            logb = _log_density(x, means, covs)
-            prob[use] = _posteriors(logb, start, trans)[0]
-            state[use] = _best_path(logb, start, trans)
+            state[use], prob[use] = _decoded(x, start, trans, means, covs)
         pdf["state"] = state
         for k in range(STATES):
             pdf[f"p{k}"] = pd.array(prob[:, k], dtype="Float64")
