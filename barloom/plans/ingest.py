@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch
 from ..operators import quality
 from ..operators.returns import fill_short_gaps
 from ..sources import bars as store
@@ -43,15 +44,22 @@ def funded(spark, sf):
     )
 
 
-@register(
-    "SRC1_scan_universe_and_range",
-    f"SELECT {BAR_SQL} FROM bars WHERE instrument IN (SELECT instrument FROM funded) "
-    "AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'",
-)
+IN_RANGE = f"SELECT {BAR_SQL} FROM bars WHERE instrument IN (SELECT instrument FROM funded) AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"
+
+
+@register("SRC1_scan_universe_and_range", IN_RANGE)
 def _(spark, sf):
     return store.select_bars(panels.daily_bars(spark, sf), funded(spark, sf), "1996-01-01", "2000-12-31")
 
 
+@register("SRC2_written_and_scanned", IN_RANGE)
+def _(spark, sf):
+    """The bars written to the shared folder and scanned from there: the date filter reaches the files."""
+    path = scratch(spark)
+    store.write_bars(panels.daily_bars(spark, sf), path)
+    return store.scan_bars(spark, path, universe=funded(spark, sf), start="1996-01-01", end="2000-12-31")
+
+
 @register(
     "SRC2_freshness",
     "SELECT instrument, max(date) AS newest, max(date) < DATE '2001-11-02' AS stale FROM bars GROUP BY instrument",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settle
+from ..functions.lineage import scratch, settle
 from ..operators import holdings as hld
 from ..sources import dimensions as dim
 from ..sources import panels
-from ..sources.statements import rows_of
+from ..sources.statements import rows_of, scan_statements
 from . import books  # noqa: F401
 from .common import big, cte, r, rnd, sql
 
@@ -157,6 +157,15 @@ def _(spark, sf):
     return rows(spark, sf).select("file", big("row"), F.array_join("cells", "|").alias("cells"))
 
 
+@register("SRC5_scanned_files", "SELECT file, CAST(row_ AS BIGINT) AS row, array_to_string(cells, '|') AS cells FROM st_rows")
+def _(spark, sf):
+    """The statements written as a text file each and scanned from the shared folder."""
+    path = scratch(spark)
+    documents(spark, sf).write.partitionBy("file").text(path)
+    found = scan_statements(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1))
+    return rows_of(found).select("file", big("row"), F.array_join("cells", "|").alias("cells"))
+
+
 @register("HLD1_header_row", "SELECT file, CAST(header_row AS BIGINT) AS header_row FROM st_head")
 def _(spark, sf):
     return hld.headers(rows(spark, sf), header_rows=60).select("file", big("header_row"))
