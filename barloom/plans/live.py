@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.portfolio import live_value, mark_to_market
+from ..settings import DEFAULTS
 from ..sources import panels
 from ..streaming import quotes as live
 from .common import cte, r, rnd, sql
@@ -99,3 +101,31 @@ FROM (SELECT instrument, unnest(generate_series(min(at_), (SELECT max(at_) FROM
 def _(spark, sf):
     df = live.value_by_refresh(panels.quotes(spark, sf), quote_holdings(spark, sf), "1 hour")
     return df.select("portfolio_id", F.col("at").alias("refreshed_at"), rnd("value", 4))
+
+
+cte(
+    "type_quotes",
+    """SELECT event_type AS instrument, max_by(value, ts) AS price, max(ts) AS ts, max_by(value, ts) FILTER (ts < TIMESTAMP '2024-01-30') AS close,
+(SELECT max(ts) FROM events) - max(ts) > INTERVAL 900 SECOND AS stale FROM events GROUP BY 1""",
+)
+cte(
+    "marked_types",
+    """SELECT portfolio_id, amount, CASE WHEN NOT stale AND q > 0 THEN q * price WHEN NOT stale AND close > 0 THEN amount / close * price ELSE amount END AS v, NOT stale AND (coalesce(q > 0, FALSE) OR coalesce(close > 0, FALSE)) AS fresh
+FROM (SELECT CAST(user_id AS VARCHAR) AS portfolio_id, event_type AS instrument, count(*) * 10.0::DOUBLE AS amount, CASE WHEN user_id % 3 <> 0 THEN count(*) END AS q FROM events GROUP BY user_id, event_type) JOIN type_quotes USING (instrument)""",
+)
+
+
+@register(
+    "STR5_refreshed_value",
+    f"SELECT portfolio_id, {r('sum(amount)', 4, 'baseline')}, CASE WHEN bool_or(fresh) THEN round(sum(v), 4) END AS live_value, {r('CASE WHEN bool_or(fresh) THEN sum(v) - sum(amount) ELSE 0 END', 4, 'delta')} FROM marked_types GROUP BY 1",
+)
+def _(spark, sf):
+    """One refresh, by the functions that the stream uses: quotes older than a quarter of an hour don't count."""
+    quotes = panels.quotes(spark, sf)
+    as_of = F.lit(quotes.agg(F.max("ts")).first()[0])
+    now = live.with_staleness(live.latest(quotes), as_of, DEFAULTS.with_(quote_ttl=900))
+    closes = quotes.filter(F.col("ts") < F.lit("2024-01-30").cast("timestamp")).groupBy("instrument").agg(F.max_by("last_price", "ts").alias("close"))
+    held = quote_holdings(spark, sf).withColumn("amount", F.col("quantity") * 10.0)
+    held = held.withColumn("quantity", F.when(F.col("portfolio_id").cast("long") % 3 != 0, F.col("quantity")))
+    values = live_value(mark_to_market(held, now, closes))
+    return values.select("portfolio_id", rnd("baseline", 4), F.round("live_value", 4).alias("live_value"), rnd("delta", 4))
