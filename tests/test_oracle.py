@@ -25,6 +25,12 @@ FEW = (
     "HLD8_holdings",
     "HLD12_instrument_search",
     "STR2_change",
+    "FAC9_coefficient_table",
+    "PF6_correlation",
+    "PF_rejected_books",
+    "SRC2_written_and_scanned",
+    "SRC5_scanned_files",
+    "STR5_refreshed_value",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("BARLOOM_ORACLE") == "all" else FEW
 
