@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -20,7 +20,32 @@ CHUNKS = {
     "byte_bpe_50k.json": rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+",
     "word_bpe_49k.json": rf"[^{WHITE}]+",
 }
-MEMORY = 600_000
+#: White space to Python's split(), but not to the tokenizers.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+MEMORY = 1_000_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is one, else the next
+    free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Seen(dict):
+    """Chunks seen, with their ids; a new one is looked up when it is first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.learn(chunk)
+        return ids
 
 
 class Encoder:
@@ -29,31 +54,59 @@ class Encoder:
     def __init__(self, name: str) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.pattern = re.compile(CHUNKS[name])
+        self.bare = not self.pattern.match(" ")  # white space makes no token
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.stops = {c: self._whole(c) for c in ".,"}
+        self.seen = _Seen(self._chunk)
+        self.after = _Seen(lambda chunk: self._chunk(" " + chunk))  # chunks with a space before them
+        self.gap = re.compile(f" [{WHITE}]")
 
     def _whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _letters(self, chunk: str) -> bytes | None:
+        """Ids of one run of letters (a space may stand before it), which the library's model takes as it is."""
+        if self.tokenizer.normalizer is not None:
+            chunk = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+            if not chunk.isalpha():
+                return None
+        if chunk.isascii():
+            chunk = chunk.replace(" ", _LETTERS[32])
+        else:
+            chunk = chunk.encode().decode("latin-1").translate(_LETTERS)
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(chunk)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk. A full stop or comma behind a run of letters is a run of its own to either tokenizer."""
+        body = chunk[:-1] if chunk[-1:] in ".," else chunk
+        if body.lstrip(" ").isalpha():
+            plain = body is not chunk and (body.isascii() or self.tokenizer.normalizer is None)
+            ids = self._known(body) if plain else self._letters(body)
+            if ids:
+                return ids if body is chunk else ids + self.stops[chunk[-1]]
+        parts = self.pattern.findall(chunk)
+        return b"".join(map(self._known, parts)) if len(parts) > 1 else self._whole(chunk)
+
+    def _known(self, chunk: str) -> bytes:
+        return self.after[chunk[1:]] if chunk[0] == " " else self.seen[chunk]
+
+    def _text(self, text: str) -> bytes:
+        if any(map(text.__contains__, self.special)):
+            return self._whole(text)
+        if self.bare:
+            parts = text.split() if not any(map(text.__contains__, SEPARATORS)) else self.pattern.findall(text)
+            return b"".join(map(self.seen.__getitem__, parts))
+        if self.gap.search(text):
+            return b"".join(map(self._known, self.pattern.findall(text)))
+        first, *rest = text.split(" ")  # each space starts a chunk, as no white space follows one
+        return self._known(first) + b"".join(map(self.after.__getitem__, rest)) if first else b"".join(map(self.after.__getitem__, rest))
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        plain = [not any(s in t for s in self.special) for t in texts]
-        chunks = [self.pattern.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*chunks).difference(self.seen)
-        if len(self.seen) + len(new) > MEMORY:
+        if len(self.seen) + len(self.after) > MEMORY:
             self.seen.clear()
-            new = set().union(*chunks)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(block, add_special_tokens=False)
-            self.seen.update(zip(block, [_packed(e.ids) for e in found], strict=True))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, c)) if p else self._whole(t) for t, c, p in zip(texts, chunks, plain, strict=True)]
-
-
-def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+            self.after.clear()
+        return [self._text(t or "") for t in texts]
 
 
 @cache
