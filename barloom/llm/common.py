@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import scratch, settle
+
+__all__ = ["documents", "fresh", "held_out", "scratch", "settle", "slices", "small", "with_columns", "WORD", "WORD_TEXT"]
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORD_TEXT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,22 +21,6 @@ WORD_TEXT = re.compile(r"[^\x20\x09-\x0D]+")
 BROADCAST_ROWS = 200_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/barloom-{uuid.uuid4().hex}"
-
-
-def settle(frame: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
-    path = scratch(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A settled table with a broadcast hint if its counted size allows one; joins shuffle it otherwise."""
     kept = settle(frame)
@@ -57,13 +44,45 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def portions(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Batches cut so that the texts of one hold about `most` characters (a single longer text stays whole)."""
-    for frame in frames:
-        total = frame[column].str.len().fillna(0).cumsum()
-        if len(frame):
-            for _, part in frame.groupby((total // most).astype("int64"), sort=False):
-                yield part
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts (or lists) of one hold about `most` bytes (or items); a single longer one stays whole."""
+    for batch in batches:
+        first, held, values = 0, 0, batch.column(column)
+        sizes = pc.list_value_length(values) if pa.types.is_nested(values.type) else pc.binary_length(values)
+        for k, size in enumerate(sizes.to_pylist()):
+            if held and held + (size or 0) > most:
+                yield batch.slice(first, k - first)
+                first, held = k, 0
+            held += size or 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
+def with_columns(
+    docs: DataFrame,
+    text: str,
+    carry: Sequence[str],
+    made: Sequence[tuple[str, str, pa.DataType]],
+    work: Callable[..., Sequence],
+    also: Sequence[str] = (),
+) -> DataFrame:
+    """Columns `carry` as they are (they stay Arrow arrays, whatever their types), and those that `work` makes of the texts.
+
+    `made` has name, Spark type and Arrow type of each; `work` takes the list of texts (and those of the columns `also`) and
+    gives a list for each.
+    """
+    names = [*carry, *(n for n, _, _ in made)]
+    kinds = [*(docs.schema[c].dataType.simpleString() for c in carry), *(k for _, k, _ in made)]
+    types = [t for _, _, t in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            columns = work(*(batch.column(c).to_pylist() for c in (text, *also)))
+            new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *new], names)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
+    return docs.select(*dict.fromkeys([*carry, text, *also])).mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, fresh, held_out, portions, settle
+from barloom.llm.common import documents, fresh, held_out, settle, with_columns
 
 #: Weight of the pooled covariance in each class covariance, and of its diagonal in the pooled one.
 POOLED = 0.2
@@ -61,15 +59,8 @@ def features(text: str | None) -> list[float]:
 
 
 def featurise(docs: DataFrame, text: str, carry: list[str], name: str) -> DataFrame:
-    schema = [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), f"`{name}` array<double>"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in portions(frames, text):
-            out = frame[carry].copy()
-            out[name] = [features(t) for t in frame[text]]
-            yield out
-
-    return docs.mapInPandas(run, ", ".join(schema))
+    made = [(name, "array<double>", pa.list_(pa.float64()))]
+    return with_columns(docs, text, carry, made, lambda texts: [[features(t) for t in texts]])
 
 
 class Discriminant:
@@ -127,13 +118,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     model = fit(seen.filter(~held_out(doc_id)).join(known, doc_id), x, "quality")
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[[doc_id]].copy()
-            out["score"] = spread.value.score(np.array(frame[x].tolist()).reshape(-1, FEATURES))
-            yield out
-
-    scored = seen.mapInPandas(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double")
+    scored = with_columns(
+        seen, x, [doc_id], [("score", "double", pa.float64())], lambda rows: [spread.value.score(np.array(rows).reshape(-1, FEATURES))]
+    )
     return scored.select(
         doc_id, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

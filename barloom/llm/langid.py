@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, held_out, portions
+from barloom.llm.common import documents, held_out, with_columns
 
 HIDDEN = 8
 #: Bytes that the recurrences run over at a time; longer texts are whole sequences of such stretches.
@@ -184,21 +182,18 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", doc_i
     averaged; memory is bounded by a batch. An empty table gives an empty one.
     """
     spread = docs.sparkSession.sparkContext.broadcast(network)
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = spread.value
-        for frame in portions(frames, text):
-            out = pd.DataFrame({doc_id: frame[doc_id], "lang_pred": UNKNOWN, "score": 0.0})
-            known = np.array([t is not None and any(map(str.isalpha, t)) for t in frame[text]], bool)
-            if model is not None and known.any():
-                p = model.pooled([t.encode("utf-8", "replace") for t in frame[text][known]])
-                best = p.argmax(axis=1)
-                out.loc[known, "lang_pred"] = [model.langs[b] for b in best]
-                out.loc[known, "score"] = np.clip(p[np.arange(len(p)), best], 0, 1)
-            yield out
-
-    return docs.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {kind}, lang_pred string, score double")
+
+    def work(texts: list) -> list:
+        model, langs, scores = spread.value, [UNKNOWN] * len(texts), [0.0] * len(texts)
+        known = [k for k, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+        if model is not None and known:
+            p = model.pooled([texts[k].encode("utf-8", "replace") for k in known])
+            for k, best, row in zip(known, p.argmax(axis=1), p, strict=True):
+                langs[k], scores[k] = model.langs[best], float(min(1.0, row[best]))
+        return [langs, scores]
+
+    made = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())]
+    return with_columns(docs, text, [doc_id], made, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, fresh, portions, settle
+from barloom.llm.common import documents, fresh, settle, slices
 from barloom.llm.encoding import encoder
 
 CAPACITY = 2048
@@ -118,20 +118,23 @@ def pack_shard(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def pieces(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Every document as one piece, or cut from the end into pieces of `CAPACITY` tokens, the first one with the rest."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = [doc_id, "piece", "start", "length", "ids_crc32"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 4 * CAPACITY
-        for frame in portions(frames, text):
+        for batch in slices(batches, text):
             rows = []
-            for key, ids in zip(frame[doc_id], encoder(TOKENIZER).ids(frame[text]), strict=True):
+            for row, ids in enumerate(encoder(TOKENIZER).ids(batch.column(text).to_pylist())):
                 ids += END
                 cuts = [0, *range(len(ids) % width or width, len(ids), width), len(ids)]
-                rows += [(key, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            out = pd.DataFrame(rows, columns=[doc_id, "piece", "start", "length", "ids_crc32"])
-            yield out.astype({doc_id: frame[doc_id].dtype})
+                rows += [(row, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            of, *columns = zip(*rows, strict=True)
+            new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(of)), *new], names)
 
     schema = f"`{doc_id}` {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(doc_id, text).mapInPandas(run, schema)
+    return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -146,20 +149,25 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     shards = max(1, -(-open_.count() // SHARD_ROWS))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(frames)
-        if not frames or not sum(map(len, frames)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        out = pd.concat(frames, ignore_index=True)
-        shard = int(out.pop(name).iloc[0])
-        out["bin"] = pack_shard(out["length"].to_numpy())
-        out = out.sort_values("bin", kind="stable", ignore_index=True)
-        out["offset"] = out.groupby("bin")["length"].cumsum() - out["length"]
-        out["sequence_id"] = 2 * (out["bin"] + (shard << 32))
-        yield out.drop(columns="bin")
+        rows = pa.Table.from_batches(batches)
+        shard = rows.column(name)[0].as_py()
+        sizes = rows.column("length").to_numpy()
+        place = pack_shard(sizes)
+        order = np.argsort(place, kind="stable")
+        place, sizes = place[order], sizes[order]
+        before = np.cumsum(sizes) - sizes
+        first = np.concatenate([[True], place[1:] != place[:-1]])
+        offset = before - np.maximum.accumulate(np.where(first, before, 0))
+        out = rows.drop_columns([name]).take(pa.array(order))
+        out = out.append_column("sequence_id", pa.array(2 * (place + (shard << 32)), pa.int64()))
+        yield from out.append_column("offset", pa.array(offset, pa.int64())).to_batches()
 
     (name,) = fresh(cut.columns, "shard")
-    packed = open_.repartition(shards).withColumn(name, F.spark_partition_id()).mapInPandas(run, schema)
+    packed = open_.repartition(shards).withColumn(name, F.spark_partition_id()).mapInArrow(run, schema)
     full = cut.filter(F.col("length") == CAPACITY).select(
         *cut.columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

@@ -9,10 +9,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, fresh, scratch, settle, small
+from barloom.llm.common import documents, fresh, scratch, settle, small, with_columns
 
 #: Length of a repeat, of an anchor, and the bytes that a window can have before its anchor.
 REPEAT = 200
@@ -237,22 +238,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     base = spark.table(table)
     spans = covered(base).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     spans = spans.select("rid", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, names, strict=True)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out, rows = frame[names].copy(), []
-            for content, lo, hi in zip(frame["content"], frame["lo"], frame["hi"], strict=True):
-                none = lo is None
-                removed, runs, kept = cut(content, np.array([] if none else lo, np.int64), np.array([] if none else hi, np.int64))
-                left = [kept.decode("utf-8", "ignore")] if texts else []
-                rows.append([len(content), removed, runs, hashlib.sha256(kept).hexdigest(), *left])
-            for name, column in zip(made, zip(*rows, strict=True), strict=True) if rows else ():
-                out[name] = column
-            yield out.reindex(columns=[*names, *made])
-
-    schema = [*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *([f"`{texts}` string"] if texts else [])]
-    result = base.join(spans, "rid", "left").select(*names, "content", "lo", "hi").mapInPandas(run, ", ".join(schema))
+
+    def work(contents: list, lows: list, highs: list) -> list:
+        rows = []
+        for content, lo, hi in zip(contents, lows, highs, strict=True):
+            removed, runs, kept = cut(content, np.array(lo or [], np.int64), np.array(hi or [], np.int64))
+            rest = [kept.decode("utf-8", "ignore")] if texts else []
+            rows.append([len(content), removed, runs, hashlib.sha256(kept).hexdigest(), *rest])
+        return list(zip(*rows, strict=True))
+
+    columns = [(c, "long", pa.int64()) for c in made[:3]] + [(c, "string", pa.string()) for c in made[3:]]
+    result = with_columns(base.join(spans, "rid", "left"), "content", names, columns, work, also=["lo", "hi"])
     return result.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), *made)
 
 

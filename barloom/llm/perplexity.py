@@ -9,10 +9,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD_TEXT, documents, fresh, portions, settle
+from barloom.llm.common import WORD_TEXT, documents, fresh, settle, slices, with_columns
 
 #: Characters are folded to 32 symbols: 26 base letters, other letters, digits, blanks, line ends, points, signs.
 SYMBOLS = 32
@@ -63,24 +64,26 @@ def subtag(lang: str) -> F.Column:
 def count_trigrams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts of docs(lang, text): each task sums its own rows, Spark the rest."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
 
-        def out() -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pa.RecordBatch]:
             for lang, n in sums.items():
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": n[at]})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
             sums.clear()
 
-        for frame in portions(frames, "text"):
-            for lang, texts in frame.groupby("lang")["text"]:
-                n = np.bincount(np.concatenate([trigrams(t) for t in texts]), minlength=SYMBOLS**3)
-                sums[lang] = sums.get(lang, 0) + n
+        for batch in slices(batches, "text"):
+            by: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                by.setdefault(lang, []).append(trigrams(text))
+            for lang, codes in by.items():
+                sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(codes), minlength=SYMBOLS**3)
             if len(sums) > 64:
                 yield from out()
         yield from out()
 
-    return docs.mapInPandas(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def key(order: int, code: np.ndarray) -> np.ndarray:
@@ -212,24 +215,15 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", carry
     source = docs.select(*carry, F.col(text).alias(whole), subtag(lang).alias(tag))
     models = train(source.select(F.col(tag).alias("lang"), F.col(whole).alias("text")))
     spread = docs.sparkSession.sparkContext.broadcast(models)
-    schema = [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*carry]), f"`{tag}` string"]
-    schema += [*(f"{c} long" for c in COUNTS), "log_perplexity double"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, np.ndarray] = {}
-        for frame in portions(frames, whole):
-            out = frame[[*carry, tag]].copy()
-            for c, column in zip(COUNTS, zip(*map(base_counts, frame[whole]), strict=True), strict=True):
-                out[c] = column
-            logs = []
-            for t, name in zip(frame[whole], frame[tag], strict=True):
-                if name not in tables:
-                    tables[name] = expand(*spread.value[name])
-                logs.append(-tables[name][trigrams(t)].mean())
-            out["log_perplexity"] = logs
-            yield out
-
-    scored = source.mapInPandas(run, ", ".join(schema))
+
+    def work(texts: list, tags: list) -> list:
+        tables = {t: expand(*spread.value[t]) for t in set(tags)}
+        counts = [base_counts(t) for t in texts]
+        logs = [-float(tables[tag][trigrams(t)].mean()) for t, tag in zip(texts, tags, strict=True)]
+        return [*zip(*counts, strict=True), logs]
+
+    made = [*((c, "long", pa.int64()) for c in COUNTS), ("log_perplexity", "double", pa.float64())]
+    scored = with_columns(source, whole, [*carry, tag], made, work, also=[tag])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = settle(scored.withColumn("base_failed", failed))
     low, high = fresh(scored.columns, "low", "high")

@@ -6,12 +6,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, fresh, portions, scratch
+from barloom.llm.common import documents, fresh, scratch, slices
 from barloom.llm.encoding import encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,8 @@ SYMBOLS = 65_536
 #: Tokens of a grammar, at least (a document is never split), pairs rarer than this are not replaced, and most rounds.
 BLOCK = 1_500_000
 LEAST = 64
+#: A grammar is done when a round shortens the sequence by less than this share.
+GAIN = 0.005
 ROUNDS = 8
 
 
@@ -69,6 +71,8 @@ def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = out[keep]
+        if len(at) < GAIN * len(out):
+            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq, table.astype(np.uint16), lengths[TERMINALS:].astype(np.uint32)
 
@@ -113,36 +117,45 @@ def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     rows = rows.repartitionByRange(F.col(doc_id).asc(), F.col(order).asc()).sortWithinPartitions(doc_id, order)
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["shard", "block", "before", "ids", "sizes", "sequence", "rules", "lengths"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
-        keys: list = []
+        keys: list[pa.Array] = []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal block, before
             joined = np.frombuffer(b"".join(ids), "<u4")
             sequence, rules, lengths = compress(joined)
             sizes = [len(x) // 4 for x in ids]
-            row = [shard, block, before, keys.copy(), sizes, sequence.astype("<u2").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes()]
+            binary = [x.tobytes() for x in (sequence.astype("<u2"), rules.astype("<u2"), lengths.astype("<u4"))]
+            numbers = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64())]
+            of = pa.concat_arrays(keys)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.array([sizes], pa.list_(pa.int64()))]
+            row = pa.RecordBatch.from_arrays([*numbers, *lists, *(pa.array([x], pa.binary()) for x in binary)], names)
             block, before = block + 1, before + len(joined)
             ids.clear()
             keys.clear()
-            return pd.DataFrame([row], columns=["shard", "block", "before", "ids", "sizes", "sequence", "rules", "lengths"])
+            return row
 
         held = 0
-        for frame in portions(frames, whole, 1_000_000):
-            for k, x in zip(frame[doc_id], encoder(TOKENIZER).ids(frame[whole]), strict=True):
-                keys.append(None if pd.isna(k) else k)
+        for batch in slices(batches, whole, 1_000_000):
+            first = 0
+            for k, x in enumerate(encoder(TOKENIZER).ids(batch.column(whole).to_pylist())):
                 ids.append(x + END)
                 held += len(x) // 4 + 1
                 if held >= BLOCK:
+                    keys.append(batch.column(doc_id).slice(first, k + 1 - first))
                     yield close()
-                    held = 0
-        if keys:
+                    first, held = k + 1, 0
+            if first < batch.num_rows:
+                keys.append(batch.column(doc_id).slice(first))
+        if ids:
             yield close()
 
     schema = f"shard int, block int, before long, ids array<{kind}>, sizes array<long>, sequence binary, rules binary, lengths binary"
-    rows.mapInPandas(run, schema).write.parquet(path)
+    rows.mapInArrow(run, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
@@ -150,19 +163,22 @@ def read(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
     blocks = spark.read.parquet(path)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                grammar = Grammar(r.sequence, r.rules, r.lengths)
-                sizes = np.array(r.sizes, np.int64)
+    names = ["shard", doc_id, "within", "n_tokens", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                grammar = Grammar(*(row[c].as_py() for c in ("sequence", "rules", "lengths")))
+                sizes = row["sizes"].values.to_numpy()
                 ends = np.cumsum(sizes)
                 tokens = grammar.decode(0, int(ends[-1]))
                 crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame(
-                    {"shard": r.shard, doc_id: pd.Series(list(r.ids)), "within": r.before + ends - sizes, "n_tokens": sizes, "ids_crc32": crc}
-                )
+                shard = pa.array(np.full(len(sizes), row["shard"].as_py(), np.int32))
+                within = pa.array(row["before"].as_py() + ends - sizes)
+                yield pa.RecordBatch.from_arrays([shard, row["ids"].values, within, pa.array(sizes), pa.array(crc, pa.int64())], names)
 
-    found = blocks.mapInPandas(run, f"shard int, `{doc_id}` {kind}, within long, n_tokens long, ids_crc32 long")
+    found = blocks.mapInArrow(run, f"shard int, `{doc_id}` {kind}, within long, n_tokens long, ids_crc32 long")
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
     starts = totals.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))

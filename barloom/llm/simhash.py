@@ -7,11 +7,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, documents, fresh, portions, settle, small
+from barloom.llm.common import WORD, documents, fresh, settle, small, with_columns
 from barloom.llm.components import components
 
 DISTANCE = 4
@@ -57,16 +58,9 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
     """`docs` with its text column replaced by the fingerprint (a long) under `name`."""
-    kept = [c for c in docs.columns if c != text]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in portions(frames, text):
-            out = frame[kept].copy()
-            out[name] = np.array([fingerprint(t) for t in frame[text]], np.uint64).view(np.int64)
-            yield out
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` long"])
-    return docs.mapInPandas(run, schema)
+    carry = [c for c in docs.columns if c != text]
+    work = lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+    return with_columns(docs, text, carry, [(name, "long", pa.int64())], work)
 
 
 def _blocks() -> list[F.Column]:

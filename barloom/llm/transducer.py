@@ -5,17 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, portions
+from barloom.llm.common import documents, with_columns
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -138,28 +137,16 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     """`carry` (by default all columns but the text) with the ids as an array; null and empty texts have an empty array."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (text, ids)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in portions(frames, text):
-            out = frame[carry].copy()
-            out[ids] = [np.frombuffer(x, "<u4").astype(np.int32) for x in transducer(MODEL).encode(frame[text])]
-            yield out
-
-    schema = [*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), f"`{ids}` array<int>"]
-    return docs.select(*carry, text).mapInPandas(run, ", ".join(schema))
+    work = lambda texts: [[np.frombuffer(x, "<u4").astype(np.int32) for x in transducer(MODEL).encode(texts)]]
+    return with_columns(docs, text, carry, [(ids, "array<int>", pa.list_(pa.int32()))], work)
 
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text") -> DataFrame:
     """`rows` with the array of ids replaced by its text; a null array is an empty text."""
     carry = [c for c in rows.columns if c not in (ids, text)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[carry].copy()
-            out[text] = [transducer(MODEL).decode(np.array([] if x is None else x, "<u4").tobytes()) for x in frame[ids]]
-            yield out
-
-    schema = [*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry), f"`{text}` string"]
-    return rows.mapInPandas(run, ", ".join(schema))
+    machine = lambda x: transducer(MODEL).decode(np.array(x or [], "<u4").tobytes())
+    return with_columns(rows, ids, carry, [(text, "string", pa.string())], lambda lists: [[machine(x) for x in lists]])
 
 
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -169,20 +156,17 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     crc32 is that of the ids as little-endian unsigned 32-bit integers. An empty table gives an empty one.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in portions(frames, text):
-            machine, rows = transducer(MODEL), []
-            for t, x in zip(frame[text], machine.encode(frame[text]), strict=True):
-                back = machine.decode(x)
-                rows.append((len(x) // 4, zlib.crc32(x), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_sha256", "same"])
-            out.insert(0, doc_id, frame[doc_id].to_numpy())
-            yield out
+    def work(texts: list) -> list:
+        machine, rows = transducer(MODEL), []
+        for t, x in zip(texts, machine.encode(texts), strict=True):
+            back = machine.decode(x)
+            rows.append((len(x) // 4, zlib.crc32(x), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+        return list(zip(*rows, strict=True))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"`{doc_id}` {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean"
-    return docs.select(doc_id, text).mapInPandas(run, schema)
+    long, string = pa.int64(), pa.string()
+    made = [("n_pieces", "long", long), ("ids_crc32", "long", long), ("decoded_sha256", "string", string), ("same", "boolean", pa.bool_())]
+    return with_columns(docs, text, [doc_id], made, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(documents(spark, sf_dir)).select("doc_id", "n_pieces", "ids_crc32", F.col("decoded_sha256"), "same")
+    return round_trip(documents(spark, sf_dir)).select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same")
