@@ -18,6 +18,7 @@ from ..settings import DEFAULTS, Settings
 from ..sources.calendar import is_session_open, local_time
 
 SCHEMA = "instrument string, ts timestamp, last_price double"
+HOLDERS = 256  # holders of an instrument that a task values at every refresh
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, late: str = "1 hour", per_trigger: int | None = None) -> DataFrame:
@@ -91,7 +92,7 @@ def value_by_refresh(quotes: DataFrame, holdings: DataFrame, every: str = "1 min
     prices = grid.join(ticks, ["instrument", "at"], "left")
     prices = prices.withColumn("price", filled("price", None, ("instrument",), "at"))
     return (
-        salted_join(holdings, prices, "instrument", "portfolio_id")
+        salted_join(holdings, prices, "instrument", "portfolio_id", HOLDERS)
         .groupBy("portfolio_id", "at")
         .agg(F.sum(F.col("quantity") * F.col("price")).alias("value"))
     )
