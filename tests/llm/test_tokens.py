@@ -5,7 +5,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from barloom.llm import encoding, packing, repair, transducer
+from barloom.llm import encoding, exact, langid, lines, packing, passages, perplexity, repair, simhash, transducer
 
 AWKWARD = ["a  b\n\n c d  e\x1c\x1d f's it's  ", "\t x\r\n\r\n  y \x85 z　", "é ́a İstanbul ΑΣ", "<|endoftext|> a <|startoftext|>b", "", " ", "don't 3.14 中文 😀 x", "a​d﻿ e", "   " * 7 + "y", "▁x"]
 
@@ -113,3 +113,20 @@ def test_round_trip_rows(docs, rows, empty):
     got = transducer.round_trip(docs).toPandas()
     assert len(got) == len(rows) and got.same.all()
     assert transducer.round_trip(empty).count() == 0
+
+
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    ids = [2**53 + 1, 2**62 + 3, None, -(2**61) - 7]
+    docs = spark.createDataFrame([(k, f"text number {n} of some words", "en") for n, k in enumerate(ids)], "doc_id long, text string, lang string")
+    docs = docs.coalesce(1)
+    for made in (
+        packing.pack(docs),
+        transducer.round_trip(docs),
+        simhash.near_dedup(docs),
+        perplexity.quality_rules(docs),
+        passages.remove_repeats(docs),
+        langid.identify(docs, None),
+        exact.exact_dedup(docs),
+        lines.line_dedup(docs),
+    ):
+        assert {r.doc_id for r in made.select("doc_id").collect()} == set(ids)
