@@ -11,7 +11,12 @@ from barloom.llm.common import documents, fresh, settle, small
 
 
 def exact_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: Sequence[str] | None = None, prefix: int = 64
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    carry: Sequence[str] | None = None,
+    prefix: int = 64,
+    row_id: str | None = None,
 ) -> DataFrame:
     """The rows of `docs` (columns `carry`, by default all) with keep_id, group_size and kept.
 
@@ -21,12 +26,13 @@ def exact_dedup(
 
     Rows are first grouped by byte length; those with company by a hash of their first characters; only the texts that
     still have company are hashed whole. Every grouping is a count with partial aggregation, so that a group with a
-    third of all rows is a row per task; a row with no company joins under a key of its own.
+    third of all rows is a row per task; a row with no company joins under a key of its own. `row_id` names a column that
+    tells rows apart and is the same in every scan; without one, rows are numbered once and written with `carry`.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("keep_id", "group_size", "kept")]
     rid, size, head, whole, found, best, total = fresh(docs.columns, "rid", "size", "head", "whole", "found", "best", "total")
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({rid: F.monotonically_increasing_id(), size: F.octet_length(content)})
+    rows = docs.withColumns({rid: F.col(row_id) if row_id else F.monotonically_increasing_id(), size: F.octet_length(content)})
 
     lengths = small(rows.groupBy(size).count().filter("count > 1").select(size))
     rows = rows.withColumn(head, F.xxhash64(F.substring(content, 1, prefix)))
@@ -34,16 +40,17 @@ def exact_dedup(
     survivors = small(heads.groupBy(size, head).count().filter("count > 1").select(size, head, F.lit(True).alias(found)))
 
     hashed = rows.join(survivors, [size, head], "left")
-    hashed = hashed.withColumn(whole, F.when(F.col(found), F.sha2(content, 256)).otherwise(F.concat(F.lit("#"), F.col(rid))))
+    hashed = hashed.withColumn(whole, F.when(F.col(found), F.sha2(content, 256)).otherwise(F.concat(F.lit("#"), F.to_json(F.struct(rid)))))
     (own,) = fresh([*docs.columns, rid, size, head, whole, found, best, total], "own")
-    hashed = settle(hashed.select(*carry, F.col(doc_id).alias(own), rid, whole, found))  # row numbers are given once
+    hashed = hashed.select(*carry, F.col(doc_id).alias(own), rid, whole, found)
+    hashed = hashed if row_id else settle(hashed)
     groups = (
         hashed.filter(found)
         .groupBy(whole)
         .agg(F.count("*").alias(total), F.max(F.struct(F.col(own).alias("id"), F.col(rid).alias("row"))).alias(best))
         .filter(F.col(total) > 1)
     )
-    joined = hashed.join(groups, whole, "left")
+    joined = hashed.join(settle(groups), whole, "left")  # written first, so that Spark can split a hot group's side
     return joined.select(
         *carry,
         F.when(F.col(total).isNull(), F.col(own)).otherwise(F.col(f"{best}.id")).alias("keep_id"),

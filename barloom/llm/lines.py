@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", left
     each = placed.select("id", "rid", F.inline("places"))
     firsts = settle(each.groupBy("h1", "h2").agg(F.min(F.struct("id", "rid", "pos")).alias("first")))
     near = near_lines(found.select("lines"), firsts).withColumn("near", F.lit(True))
-    status = firsts.join(near, ["h1", "h2"], "left")
+    status = settle(firsts.join(near, ["h1", "h2"], "left"))  # so that a hot line's side of the next join can be split
     judged = each.join(status, ["h1", "h2"])
     kept = judged.filter((F.col("first.rid") == F.col("rid")) & (F.col("first.pos") == F.col("pos")) & F.col("near").isNull())
     kept = kept.groupBy("rid").agg(F.count("*").alias("n_kept"), F.sum("chars").alias("kept_chars"), *([F.collect_set("pos").alias("kept")] if left else []))

@@ -179,7 +179,8 @@ def covered(base: DataFrame) -> DataFrame:
     """
     found = base.select("rid", "content").mapInPandas(_find, "rid long, at long, a long, c long")
     counts = found.groupBy("a").agg(F.count("*").alias("total"), F.min("c").alias("first"), F.max("c").alias("last"))
-    counts = counts.filter("total > 1").select("a", (F.col("first") != F.col("last")).alias("mixed"))
+    # written first, so that Spark can split a hot anchor's side of the join
+    counts = settle(counts.filter("total > 1").select("a", (F.col("first") != F.col("last")).alias("mixed")))
     common = settle(found.join(counts, "a"))
     kinds = common.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
     kinds = settle(kinds.select("a", "c", "n", "one.rid", "one.at"))
@@ -197,7 +198,7 @@ def covered(base: DataFrame) -> DataFrame:
     merged = merged if split is None else merged.unionByName(split)
     again = kinds.filter("n > 1").select("a", "c", F.lit(-LEFT).cast("long").alias("lo"), F.lit(REPEAT).cast("long").alias("hi"))
     single = merged.join(kinds.filter("n = 1").select("a", "c"), ["a", "c"], "left_semi")
-    partly = common.filter("mixed").join(single.unionByName(again), ["a", "c"])
+    partly = common.filter("mixed").join(settle(single.unionByName(again)), ["a", "c"])
     wholly = common.filter("not mixed").withColumns({"lo": F.lit(-LEFT).cast("long"), "hi": F.lit(REPEAT).cast("long")})
     both = partly.select("rid", "at", "lo", "hi").unionByName(wholly.select("rid", "at", "lo", "hi"))
     return both.select("rid", F.greatest(F.lit(0), F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))

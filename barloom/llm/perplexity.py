@@ -223,12 +223,17 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", carry
         return [*zip(*counts, strict=True), logs]
 
     made = [*((c, "long", pa.int64()) for c in COUNTS), ("log_perplexity", "double", pa.float64())]
-    scored = with_columns(source, whole, [*carry, tag], made, work, also=[tag])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = settle(scored.withColumn("base_failed", failed))
+
+    def score(columns: list[str]) -> DataFrame:
+        return with_columns(source, whole, [*columns, tag], made, work, also=[tag]).withColumn("base_failed", failed)
+
+    narrow = settle(score([c for c in carry if c != text]))
+    # texts are scored again rather than written once more
+    scored = score(carry) if text in carry else narrow
     low, high = fresh(scored.columns, "low", "high")
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scored.filter(~F.col("base_failed")).groupBy(tag).agg(quartiles.alias("q"))
+    bands = narrow.filter(~F.col("base_failed")).groupBy(tag).agg(quartiles.alias("q"))
     reach = FENCES * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
     bands = bands.select(tag, (F.col("q")[0] - reach).alias(low), (F.col("q")[1] + reach).alias(high))
     inside = F.coalesce(F.col("log_perplexity").between(F.col(low), F.col(high)), F.lit(False))

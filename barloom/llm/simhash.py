@@ -151,30 +151,35 @@ def links(prints: DataFrame) -> DataFrame:
     return grouped.mapInPandas(_forests, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None, row_id: str | None = None
+) -> DataFrame:
     """Rows (columns `carry`, by default the id alone) with fingerprint, component_id and kept.
 
     Lower-cased (A-Z) words, shingles of four words, repeats included; a text of fewer words is one shingle, one without
     words (null, empty or blank) has fingerprint zero and is linked like any other. Fingerprints link at `DISTANCE` or fewer
     differing bits; component_id is the smallest id reachable. Of a component one row is kept: the smallest id, and of rows
     repeating that id the first. Existing columns of these names are replaced. An empty table gives an empty one.
+
+    `row_id` names a column that tells rows apart and is the same in every scan: only it, the id and the fingerprint are then
+    written, and `carry` is joined to them. Without one, rows are numbered once and written with `carry`.
     """
     carry = [c for c in ([doc_id] if carry is None else carry) if c.lower() not in ("fingerprint", "component_id", "kept")]
     names = fresh(["row", "id", "text", "fp"], *(f"c{k}" for k in range(len(carry))))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(doc_id).alias("id"),
-        F.col(text).alias("text"),
-        *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)),
-    )
-    marked = settle(fingerprints(rows, "text", "fp"))  # row numbers are given once
+    carried = [F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]
+    row = (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row")
+    rows = docs.select(row, F.col(doc_id).alias("id"), F.col(text).alias("text"), *([] if row_id else carried))
+    marked = settle(fingerprints(rows, "text", "fp"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     distinct = settle(marked.groupBy("fp").agg(least))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = placed.groupBy("root").agg(F.min("least").alias("best"))
-    of = placed.select("fp", "root").join(best, "root").select("fp", "best")
-    return marked.join(of, "fp").select(
+    of = settle(placed.select("fp", "root").join(best, "root").select("fp", "best"))  # so that a hot fingerprint can be split
+    decided = marked.join(of, "fp")
+    if row_id:
+        decided = docs.select(row, *carried).join(decided, "row")
+    return decided.select(
         *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("best.id").alias("component_id"),
