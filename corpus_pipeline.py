@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,26 @@ from barloom.llm.perplexity import quality_rules
 from barloom.llm.simhash import near_dedup
 
 
+ROW = "row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """With a row id that every scan gives alike: the file that a row is read from, and its place there."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    try:
+        return docs.withColumn(ROW, place)
+    except AnalysisException:  # not read from Parquet files
+        return settle(docs).withColumn(ROW, place)
+
+
 def _under_plain_names(docs: DataFrame, change: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
-    """Apply `change` to `docs` under names that clash with nothing; the columns of `docs` come back under their own."""
+    """Apply `change` to `docs` under names that clash with nothing; the columns of `docs` come back under their own.
+
+    The row id is a column too, named in the mapping by the empty string.
+    """
     plain = [f"column{k}" for k in range(len(docs.columns))]
-    out = change(docs.toDF(*plain), dict(zip(docs.columns, plain, strict=True)))
+    of = dict(zip(docs.columns, plain, strict=True)) | {"": ROW}
+    out = change(_numbered(docs.toDF(*plain)), of)
     return out.select(*(F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)))
 
 
@@ -29,12 +46,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    return _under_plain_names(docs, lambda d, of: exact_dedup(d, of["text"], of["doc_id"]).filter("kept"))
+    return _under_plain_names(docs, lambda d, of: exact_dedup(d, of["text"], of["doc_id"], row_id=of[""]).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the row with the smallest doc_id."""
-    return _under_plain_names(docs, lambda d, of: near_dedup(d, of["text"], of["doc_id"], carry=d.columns).filter("kept"))
+    return _under_plain_names(
+        docs, lambda d, of: near_dedup(d, of["text"], of["doc_id"], carry=d.columns, row_id=of[""]).filter("kept")
+    )
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
