@@ -50,7 +50,7 @@ def exact_dedup(
         .agg(F.count("*").alias(total), F.max(F.struct(F.col(own).alias("id"), F.col(rid).alias("row"))).alias(best))
         .filter(F.col(total) > 1)
     )
-    joined = hashed.join(settle(groups), whole, "left")  # written first, so that Spark can split a hot group's side
+    joined = hashed.join(small(groups), whole, "left")  # written first: a hot group's side of a shuffled join can be split
     return joined.select(
         *carry,
         F.when(F.col(total).isNull(), F.col(own)).otherwise(F.col(f"{best}.id")).alias("keep_id"),
