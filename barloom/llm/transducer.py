@@ -18,8 +18,9 @@ from barloom.llm.common import documents, with_columns
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Paths of different stretches never share an arc: no piece goes on with the space mark after another character.
-STRETCHES = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Paths of different stretches never share an arc: no piece goes on with the space mark after another character, or holds
+#: a line feed (which is a byte to the model).
+STRETCHES = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 MEMORY = 600_000
 
 
@@ -37,6 +38,7 @@ class Transducer:
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         size = model.get_piece_size()
         self.bytes_of = [b""] * size
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.byte_id = [0] * 256
         self.piece: dict[str, tuple[int, float]] = {}
         for k in range(size):
@@ -47,15 +49,19 @@ class Transducer:
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 self.piece[text] = (k, -model.get_score(k))
                 self.bytes_of[k] = text.replace(SPACE, " ").encode()
-        self.longest = max(map(len, self.piece), default=1)
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.piece):
+            raise ValueError("pieces reach over stretches")
+        # states of the piece transducer: every beginning of a piece, with the arc out of it where it is a whole one
+        self.begun: dict[str, tuple[int, float] | None] = {p[:n]: None for p in self.piece for n in range(1, len(p))}
+        self.begun.update(self.piece)
         self.pair: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.edges: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
         self.seen: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Merges by rank, the leftmost of the best first: used on one or two pieces, to weigh the bigram acceptor."""
+    def _merged(self, text: str, parts_left: int = 1) -> list[str]:
+        """Merges by rank, the leftmost of the best first, until so many parts are left or none can be merged."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > parts_left:
             ranks = [self.piece.get(a + b, (0, np.inf))[1] for a, b in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
             if best == np.inf:
@@ -64,39 +70,79 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """The parts that touch a piece's right (-1) or left (0) end while it is merged together, smallest first, each with the
+        rank of the merge that ends it (infinite for the whole piece). None if merging never makes the piece."""
+        found = self.edges.get((piece, side), ())
+        if found == ():
+            if len(piece) == 1:
+                found = [(piece, np.inf)]
+            elif self._merged(piece) != [piece]:
+                found = None
+            else:
+                part = self._merged(piece, 2)[side]
+                found = [*self._edge(part, side)[:-1], (part, self.piece[piece][1]), (piece, np.inf)]
+            self.edges[piece, side] = found
+        return found
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging the joined text keeps both pieces: no part at the right end of one is merged with the part at the
+        left end of the other that exists at the same time, before its own next merge (the left one of equal rank is first)."""
+        ends, starts = self._edge(left, -1), self._edge(right, 0)
+        if ends is None or starts is None:
+            return False
+        i = j = 0
+        while True:
+            (x, x_gone), (y, y_gone) = ends[i], starts[j]
+            rank = self.piece.get(x + y, (0, np.inf))[1]
+            if rank < x_gone and rank <= y_gone:
+                return False
+            if x_gone == y_gone == np.inf:
+                return True
+            if x_gone <= y_gone:
+                i += 1
+            else:
+                j += 1
+
     def _follows(self, before: str | None, piece: str) -> bool:
         """Whether the acceptor has an arc from `before` (None: the start) to `piece`."""
         if before is None:
-            if piece not in self.alone:
-                self.alone[piece] = self.merged(piece) == [piece]
-            return self.alone[piece]
-        if (before, piece) not in self.pair:
+            return self._edge(piece, 0) is not None
+        known = self.pair.get((before, piece))
+        if known is None:
             if len(self.pair) > MEMORY:
                 self.pair.clear()
-            self.pair[before, piece] = self.merged(before + piece) == [before, piece]
-        return self.pair[before, piece]
+            known = self.pair[before, piece] = self._apart(before, piece)
+        return known
 
     def shortest(self, stretch: str) -> list[str]:
-        """Pieces of the shortest path; a character that no piece has stands for itself."""
-        # states by place: piece before -> (weight, place and piece it came from)
-        states: list[dict[str | None, tuple[float, int, str | None]]] = [{None: (0.0, 0, None)}]
-        for end in range(1, len(stretch) + 1):
-            here: dict[str | None, tuple[float, int, str | None]] = {}
-            for start in range(max(0, end - self.longest), end):
+        """Pieces of the shortest path; a character that no piece has stands for itself.
+
+        The acceptor gives all paths to a place but one an infinite weight: the segmentation of the text up to there. So the
+        first finite path found to a place is the shortest, and the state there is the piece that it ends with.
+        """
+        n = len(stretch)
+        last: list[str | None] = [None] * (n + 1)
+        begun, follows = self.begun.get, self._follows
+        for start in range(n):
+            before = last[start]
+            if before is None and start:
+                continue
+            for end in range(start + 1, n + 1):
                 piece = stretch[start:end]
-                arc = self.piece.get(piece) or ((0, 0.0) if end - start == 1 else None)
-                if arc is None:
-                    continue
-                for before, (weight, _, _) in states[start].items():
-                    total = weight + arc[1]
-                    if (piece not in here or total < here[piece][0]) and self._follows(before, piece):
-                        here[piece] = (total, start, before)
-            states.append(here)
+                arc = begun(piece, False)
+                if end > start + 1:
+                    if arc is False:
+                        break  # no piece begins like this
+                    if arc is None:
+                        continue
+                if last[end] is None and follows(before, piece):
+                    last[end] = piece
         path: list[str] = []
-        place, piece = len(stretch), min(states[-1], key=lambda p: states[-1][p][0])
-        while piece is not None:
-            path.append(piece)
-            _, place, piece = states[place][piece]
+        place = n
+        while place:
+            path.append(last[place])
+            place -= len(last[place])
         return path[::-1]
 
     def _packed(self, stretch: str) -> bytes:
@@ -106,7 +152,7 @@ class Transducer:
                 ids.append(self.piece[piece][0])
             else:
                 ids += [self.byte_id[b] for b in piece.encode()]
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return b"".join([self.packed[i] for i in ids])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes; none for a null or empty text."""
