@@ -1,8 +1,14 @@
-"""Quality rules: base counts, and perplexity bands of a character n-gram model with modified Kneser-Ney smoothing."""
+"""Quality rules: base counts, and perplexity bands of word bigram models with modified Kneser-Ney smoothing.
+
+Words are whole and unfolded, so the models grow with the corpus: no part of them is broadcast or held on one machine.
+The character model (`trigrams` to `train`) is of constant size; quality_rules doesn't use it.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -10,10 +16,10 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD_TEXT, documents, fresh, settle, slices, with_columns
+from barloom.llm.common import WORD_TEXT, documents, fresh, scratch, settle, slices, small
 
 #: Characters are folded to 32 symbols: 26 base letters, other letters, digits, blanks, line ends, points, signs.
 SYMBOLS = 32
@@ -22,9 +28,14 @@ POINTS = ".,;:!?'\"()-"
 MARKS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A band reaches this many interquartile ranges (of at least the given width, in nats a character) beyond the quartiles.
+#: A band reaches this many interquartile ranges (of at least the given width, in nats a word) beyond the quartiles.
 FENCES = 6.0
-LEAST_RANGE = 0.03
+LEAST_RANGE = 0.15
+#: Bytes of text that a batch of the token table covers, and words for each of the models' hash partitions.
+BATCH = 8_000_000
+PART_WORDS = 3_000_000
+#: Scores are rounded so that neither they nor the quartiles depend on how rows are partitioned.
+DIGITS = 5
 
 
 @cache
@@ -55,9 +66,9 @@ def trigrams(text: str | None) -> np.ndarray:
     return (s[:-2] << 10) | (s[1:-1] << 5) | s[2:]
 
 
-def subtag(lang: str) -> F.Column:
-    """The primary two-letter language subtag, which bounds the number of models; `und` for anything else."""
-    found = F.regexp_extract(F.lower(F.coalesce(F.col(lang), F.lit(""))), "^([a-z]{2})(?:$|[^a-z])", 1)
+def language(lang: str) -> F.Column:
+    """The language as it stands in the table, in lower case and up to its first hyphen or underscore; `und` for none."""
+    found = F.regexp_extract(F.trim(F.lower(F.coalesce(F.col(lang), F.lit("")))), "^[^-_]+", 0)
     return F.when(found == "", F.lit("und")).otherwise(found)
 
 
@@ -95,7 +106,10 @@ def key(order: int, code: np.ndarray) -> np.ndarray:
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """The three discounts from the numbers of grams seen once to four times; plain ones where too few grams are rare."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in range(1, 5))
+    return discounts(*(int((counts == k).sum()) for k in range(1, 5)))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     if min(n1, n2, n3, n4) == 0:
         return np.array([0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
@@ -200,45 +214,312 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+_RNG = np.random.default_rng(20_240)
+_BYTES = _RNG.integers(0, 2**64, 256, np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 2**64)
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[32, 9, 10, 11, 12, 13]] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hash_words(texts: list[str | None], tag: str) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in a row, number of words of each text); each language has its own hashes."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    blank = _BLANKS[data]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    start, stop = edge[::2], edge[1::2]
+    power = np.full(len(data) + 1, _STEP, np.uint64)
+    power[0] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * np.cumprod(power)[:-1], out=sums[1:])
+    power[1:] = _BACK
+    own = np.uint64(int.from_bytes(hashlib.blake2b(tag.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    found = mix((sums[stop] - sums[start]) * np.cumprod(power)[start] + own)
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    return found, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def halves(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The half of each text, by the smallest hash of its pairs of words: copies are in one, most near copies too."""
+    pairs = mix(found + mix(np.roll(found, -1)))
+    ends = np.cumsum(sizes)
+    pairs[ends[sizes > 0] - 1] = np.uint64(2**64 - 1)  # a text's last word begins none
+    out = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = mix(np.minimum.reduceat(pairs, (ends - sizes)[some])) & np.uint64(1)
+    return out
+
+
+def tokenize(docs: DataFrame) -> DataFrame:
+    """The token table: a row for each batch of texts of one language and half, with the counts of its texts.
+
+    `docs` has tag, k1, k2 (which name a text) and text.
+    """
+    blobs = ["k1", "k2", "counts", "sizes", "words", "tokens"]
+    names = ["batch", "tag", "half", "n", *blobs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        bytes_held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for tag, rows in held.items():
+                k1, k2, texts = zip(*rows, strict=True)
+                everything, lengths = hash_words(list(texts), tag)
+                side, owner = halves(everything, lengths), np.repeat(np.arange(len(texts)), lengths)
+                for half in (0, 1):
+                    mine = np.flatnonzero(side == half)
+                    if not len(mine):
+                        continue
+                    found, sizes = everything[side[owner] == half], lengths[mine]
+                    words, first, which = np.unique(found, return_index=True, return_inverse=True)
+                    rank = np.argsort(first)  # numbered by first place: small numbers for frequent words
+                    number = np.empty(len(rank), np.int32)
+                    number[rank] = np.arange(len(rank))
+                    counts = np.array([base_counts(texts[i]) for i in mine], "<i8")
+                    arrays = [np.array(k1, "<i8")[mine], np.array(k2, "<i8")[mine], counts, sizes.astype("<i4"), words[rank].astype("<u8"), number[which].astype("<i4")]
+                    values = [uuid.uuid4().hex, tag, half, len(found), *(a.tobytes() for a in arrays)]
+                    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+            held.clear()
+
+        for batch in slices(batches, "text"):
+            for tag, k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("tag", "k1", "k2", "text")), strict=True):
+                held.setdefault(tag, []).append((k1, k2, text))
+                bytes_held += len(text or "") + 1
+                if bytes_held >= BATCH:
+                    yield from out()
+                    bytes_held = 0
+        yield from out()
+
+    rows = docs.mapInArrow(run, "batch string, tag string, half int, n long, " + ", ".join(f"{b} binary" for b in blobs))
+    # bucketed by batch, so that the joins with the answers don't shuffle it
+    spark, name = docs.sparkSession, f"barloom_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.option("path", scratch(spark)).option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(name)
+    return spark.table(name)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with all their first bytes before all their second ones, which compresses sorted and small ones."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class Batch:
+    """A row of the token table: its words (the last one stands for a text's beginning) and distinct pairs, by hash partition."""
+
+    def __init__(self, row: dict, parts: int) -> None:
+        words, self.tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4")
+        self.sizes = np.frombuffer(row["sizes"], "<i4")
+        self.words = np.append(words, mix(np.frombuffer(hashlib.blake2b(row["tag"].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "<u8")))
+        n = len(self.words)
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1]
+        starts = np.cumsum(self.sizes) - self.sizes
+        before[starts[self.sizes > 0]] = n - 1
+        kinds, self.which, self.counts = np.unique(before * n + self.tokens, return_inverse=True, return_counts=True)
+        self.left, self.right = kinds // n, kinds % n
+        self.pairs = mix(self.words[self.left] * np.uint64(_STEP) + self.words[self.right])
+        self.parts = parts
+
+    def dealt(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the hashes by partition, and where each partition begins in it."""
+        part = hashes % np.uint64(self.parts)
+        order = np.lexsort((hashes, part))
+        return order, np.searchsorted(part[order], np.arange(self.parts + 1, dtype=np.uint64))
+
+    def gather(self, hashes: np.ndarray, answers: list[dict], names: tuple[str, ...], width: int) -> list[np.ndarray]:
+        """The answers of all partitions, in the order of `hashes`."""
+        order, _ = self.dealt(hashes)
+        answers = sorted(answers, key=lambda a: a["part"])
+        out = []
+        for name in names:
+            flat = np.concatenate([unplanes(a[name]).astype(np.int64) for a in answers]).reshape(-1, 1 if name == "own" else width)
+            back = np.empty_like(flat)
+            back[order] = flat
+            out.append(back)
+        return out
+
+
+SENT = "part int, batch string, tag string, half int, hashes binary, numbers binary"
+
+
+def _send(row: dict, b: Batch, hashes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """Hashes and their numbers (n, width), a row for each partition."""
+    order, cuts = b.dealt(hashes)
+    h, v = hashes[order].astype("<u8"), numbers[order].astype("<i8")
+    spans = [(i, int(cuts[i]), int(cuts[i + 1])) for i in range(b.parts) if cuts[i] < cuts[i + 1]]
+    k = len(spans)
+    columns = [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([row["batch"]] * k), pa.array([row["tag"]] * k), pa.array([row["half"]] * k, pa.int32())]
+    columns += [pa.array([planes(x[a:z]) for _, a, z in spans], pa.binary()) for x in (h, v)]
+    return pa.RecordBatch.from_arrays(columns, ["part", "batch", "tag", "half", "hashes", "numbers"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
+def reduce(sent: DataFrame, width: int) -> DataFrame:
+    """Sum the numbers of equal hashes of a language and half, as sorted arrays in one task for each hash partition.
+
+    A batch gets back what the *other* half holds, so no text is scored by a model that saw it or its copies, and (own) the
+    sum of its own half's first number for hashes that it is the first batch to name, 0 for others. Rows
+    without a batch have the statistics of the partition: hashes whose first number is 1 to 4, all, and the sum.
+    """
+    names = ["batch", "part", "tag", "half", "own", "other", "stats"]
+
+    def run(table: pa.Table) -> pa.Table:
+        tags = np.array(table.column("tag").to_pylist(), object)
+        halves, part = table.column("half").to_numpy(), table.column("part")[0].as_py()
+        out: list[tuple] = []
+        for tag in dict.fromkeys(tags):
+            at = np.flatnonzero(tags == tag)
+            rows = table.take(at)
+            hashes = [unplanes(x) for x in rows.column("hashes").to_pylist()]
+            numbers = np.concatenate([unplanes(x).astype(np.int64).reshape(-1, width) for x in rows.column("numbers").to_pylist()])
+            sizes = [len(x) for x in hashes]
+            half = np.repeat(halves[at], sizes)
+            kinds, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            sums = np.zeros((2, len(kinds), width), np.int64)
+            np.add.at(sums, (half, which), numbers)
+            own = np.zeros(len(which), np.int64)
+            for f in (0, 1):
+                mine = np.flatnonzero(half == f)
+                _, first = np.unique(which[mine], return_index=True)
+                own[mine[first]] = sums[f, which[mine[first]], 0]
+                n = sums[f, :, 0]
+                stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
+                out.append((None, part, tag, f, None, None, stats))
+            other = sums[1 - half, which]
+            ends = np.cumsum(sizes)
+            for batch, f, a, z in zip(rows.column("batch").to_pylist(), halves[at].tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                out.append((batch, part, tag, f, planes(own[a:z].astype("<i8")), planes(other[a:z].astype("<i8")), None))
+        kinds_ = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names)
+
+    made = sent.groupBy("part").applyInArrow(run, "batch string, part int, tag string, half int, own binary, other binary, stats array<long>")
+    path = scratch(sent.sparkSession)
+    made.write.option("compression", "zstd").parquet(path)
+    return sent.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _answers(found: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    return found.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("part", *columns)).alias(name))
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(tag, k1, k2, the five counts, log_perplexity) of the texts of docs(tag, k1, k2, text).
+
+    A language has a model of each half of its texts, and a text is scored by the other half's: an interpolated
+    modified Kneser-Ney bigram model of words, above one of the numbers of words that each word follows, above equal
+    chances for all words of the language. The score is the mean over a text's words, 0 without words.
+    """
+    table = tokenize(docs)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // PART_WORDS))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, parts)
+            if len(b.tokens):
+                yield _send(row, b, b.pairs, b.counts[:, None])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, parts)
+            own = b.gather(b.pairs, row["p"], ("own",), 1)[0][:, 0]
+            n = len(b.words)
+            follows = np.bincount(b.right[own > 0], minlength=n)
+            kinds = [np.bincount(b.left[x], minlength=n) for x in (own == 1, own == 2, own > 2)]
+            numbers = np.stack([follows, np.bincount(b.left, b.counts, n).astype(np.int64), *kinds], axis=1)
+            yield _send(row, b, b.words, numbers)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, parts)
+            count = np.frombuffer(row["counts"], "<i8").reshape(-1, len(COUNTS))
+            logs = np.zeros(len(count))
+            if len(b.tokens):
+                c = b.gather(b.pairs, row["p"], ("other",), 1)[0][:, 0]
+                follows, seen, n1, n2, n3 = b.gather(b.words, row["w"], ("other",), 5)[0].T
+                two, one = (np.array(row["stats"][6 * k : 6 * k + 6]) for k in (1 - row["half"], 3 - row["half"]))
+                size = row["stats"][16] + row["stats"][22]  # words of both halves
+                d, e = np.append(0, discounts(*two[:4])), np.append(0, discounts(*one[:4]))
+                equal = 1 / (size + 1)
+                p1 = np.full(len(follows), equal)
+                if one[5]:
+                    left = (e[1] * one[0] + e[2] * one[1] + e[3] * (one[4] - one[0] - one[1])) / one[5]
+                    p1 = (follows - e[np.minimum(follows, 3)]) / one[5] + left * equal
+                by = np.maximum(seen, 1)
+                gamma = np.where(seen > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / by, 1.0)
+                p = (c - d[np.minimum(c, 3)]) / by[b.left] + gamma[b.left] * p1[b.right]
+                whose = np.repeat(np.arange(len(b.sizes)), b.sizes)
+                logs = -np.bincount(whose, np.log(p)[b.which], len(b.sizes)) / np.maximum(b.sizes, 1)
+            columns = [pa.array([row["tag"]] * len(count)), *(pa.array(np.frombuffer(row[k], "<i8")) for k in ("k1", "k2"))]
+            columns += [pa.array(np.ascontiguousarray(x)) for x in count.T] + [pa.array(np.round(logs, DIGITS) + 0.0)]
+            yield pa.RecordBatch.from_arrays(columns, ["tag", "k1", "k2", *COUNTS, "log_perplexity"])
+
+    two = reduce(table.mapInArrow(pairs, SENT), 1)
+    with_pairs = table.join(_answers(two, "p", ("own",)), "batch")
+    one = reduce(with_pairs.mapInArrow(words, SENT), 5)
+    sums = [
+        F.sum(F.when((F.col("level") == k) & (F.col("half") == f), F.col("stats")[i]).otherwise(0)) for k in (2, 1) for f in (0, 1) for i in range(6)
+    ]
+    levels = two.withColumn("level", F.lit(2)).unionByName(one.withColumn("level", F.lit(1)))
+    stats = small(levels.filter("batch is null").groupBy("tag").agg(F.array(*sums).alias("stats")))
+    full = table.join(_answers(two, "p", ("other",)), "batch", "left").join(_answers(one, "w", ("other",)), "batch", "left")
+    scored = full.join(stats, "tag", "left").mapInArrow(last, f"tag string, k1 long, k2 long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double")
+    rest = [c for c in scored.columns if c not in ("tag", "k1", "k2")]
+    return scored.groupBy("tag", "k1", "k2").agg(*(F.max(c).alias(c) for c in rest))
+
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """Rows (columns `carry`, by default all) with the five counts, log_perplexity, base_failed and kept.
 
-    A model per language is trained on all texts. A text's log perplexity is the mean over its characters. A band per
-    language is set by the quartiles over all its texts that pass the base rules; a text outside the band is rejected.
-    Null and empty texts have no words, so they fail the base rules; a null or odd language is `und`. Columns of
-    the same names are replaced. An empty table gives an empty one.
+    Texts are dealt into two halves, copies and most near copies into one (`halves`), and scored by the other half's
+    model of their language (`score`). A band per language is set by the exact quartiles of the scores over all its rows that pass
+    the base rules; a text outside the band is rejected. Null and empty texts have no words, so they fail the
+    base rules; a null language is `und`. A text is named by two 64-bit hashes. Columns of the same names are replaced.
+    An empty table gives an empty one.
     """
     own = [*COUNTS, "log_perplexity", "base_failed", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
-    tag, whole = fresh([*docs.columns, *own], "tag", "whole")
-    source = docs.select(*carry, F.col(text).alias(whole), subtag(lang).alias(tag))
-    models = train(source.select(F.col(tag).alias("lang"), F.col(whole).alias("text")))
-    spread = docs.sparkSession.sparkContext.broadcast(models)
-
-    def work(texts: list, tags: list) -> list:
-        tables = {t: expand(*spread.value[t]) for t in set(tags)}
-        counts = [base_counts(t) for t in texts]
-        logs = [-float(tables[tag][trigrams(t)].mean()) for t, tag in zip(texts, tags, strict=True)]
-        return [*zip(*counts, strict=True), logs]
-
-    made = [*((c, "long", pa.int64()) for c in COUNTS), ("log_perplexity", "double", pa.float64())]
+    tag, k1, k2 = fresh([*docs.columns, *own], "tag", "k1", "k2")
+    plain = F.coalesce(F.col(text), F.lit(""))
+    named = {tag: language(lang), k1: F.xxhash64(plain), k2: F.xxhash64(F.lit("second"), plain)}
+    source = docs.select(*carry, *(c.alias(n) for n, c in named.items()))
+    texts = docs.select(*(c.alias(n) for c, n in zip(named.values(), ("tag", "k1", "k2"), strict=True)), F.col(text).alias("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-
-    def score(columns: list[str]) -> DataFrame:
-        return with_columns(source, whole, [*columns, tag], made, work, also=[tag]).withColumn("base_failed", failed)
-
-    narrow = settle(score([c for c in carry if c != text]))
-    # texts are scored again rather than written once more
-    scored = score(carry) if text in carry else narrow
-    low, high = fresh(scored.columns, "low", "high")
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = narrow.filter(~F.col("base_failed")).groupBy(tag).agg(quartiles.alias("q"))
-    reach = FENCES * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
-    bands = bands.select(tag, (F.col("q")[0] - reach).alias(low), (F.col("q")[1] + reach).alias(high))
+    found = score(texts).withColumn("base_failed", failed)
+    found = settle(found.toDF(tag, k1, k2, *found.columns[3:]))
+
+    low, high, n, upto = fresh([*docs.columns, *own, tag, k1, k2], "low", "high", "n", "upto")
+    good = found.filter(~F.col("base_failed")).select(tag, k1, k2, "log_perplexity")
+    counted = source.select(tag, k1, k2).join(good, [tag, k1, k2]).groupBy(tag, "log_perplexity").agg(F.count(F.lit(1)).alias(n))
+    order = Window.partitionBy(tag).orderBy("log_perplexity")
+    counted = counted.withColumn(upto, F.sum(n).over(order)).withColumn(n, F.sum(n).over(Window.partitionBy(tag)))
+    q1, q3 = (F.min(F.when(F.col(upto) >= q * F.col(n), F.col("log_perplexity"))) for q in (0.25, 0.75))
+    reach = FENCES * F.greatest(F.col(high) - F.col(low), F.lit(LEAST_RANGE))
+    bands = counted.groupBy(tag).agg(q1.alias(low), q3.alias(high))
+    bands = small(bands.select(tag, (F.col(low) - reach).alias(low), (F.col(high) + reach).alias(high)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col(low), F.col(high)), F.lit(False))
-    judged = scored.join(F.broadcast(bands), tag, "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return judged.select(*carry, *own)
+    verdict = found.join(bands, tag, "left").withColumn("kept", ~F.col("base_failed") & inside).select(tag, k1, k2, *own)
+    return source.join(small(verdict), [tag, k1, k2]).select(*carry, *own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

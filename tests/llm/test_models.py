@@ -82,6 +82,52 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert got[~got.base_failed].kept.mean() > 0.9
 
 
+def words_of(rng, letters, n, low=3, high=9):
+    return ["".join(rng.choice(list(letters), rng.integers(low, high))) for _ in range(n)]
+
+
+def test_scores_equal_a_plain_bigram_model(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PART_WORDS", 500)
+    monkeypatch.setattr(perplexity, "BATCH", 4000)
+    rng = np.random.default_rng(4)
+    lexicon = words_of(rng, "abcdefgh", 60)
+    texts = [" ".join(lexicon[int(i)] for i in np.minimum(rng.zipf(1.4, 70), 60) - 1) for _ in range(60)]
+    rows = [(k, t, ["ceb", "fil-PH"][k % 2]) for k, t in enumerate(texts)]
+    got = perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).toPandas()
+    scores = dict(zip(got.doc_id, got.log_perplexity, strict=True))
+    for tag, lang in (("ceb", "ceb"), ("fil", "fil-PH")):
+        own = [(k, t) for k, t, x in rows if x == lang]
+        sides = perplexity.halves(*perplexity.hash_words([t for _, t in own], tag))
+        assert 0 < sides.sum() < len(own)
+        size = 1 + sum(len({w for (_, t), s in zip(own, sides, strict=True) if s == f for w in t.split()}) for f in (0, 1))
+        for f in (0, 1):
+            c = Counter(p for (_, t), s in zip(own, sides, strict=True) if s != f for p in zip(["<s>", *t.split()], t.split(), strict=False))
+            follows, seen = Counter(w for _, w in c), Counter()
+            for (v, _), n in c.items():
+                seen[v] += n
+            d, e = ([0, *perplexity.discounts(*(sum(x == k for x in t.values()) for k in (1, 2, 3, 4)))] for t in (c, follows))
+            free = sum(e[min(k, 3)] for k in follows.values()) / len(c)
+            gamma = {v: sum(d[min(n, 3)] for (u, _), n in c.items() if u == v) / seen[v] for v in seen}
+            for (k, t), s in zip(own, sides, strict=True):
+                if s == f:
+                    logs = []
+                    for v, w in zip(["<s>", *t.split()], t.split(), strict=False):
+                        one = (follows[w] - e[min(follows[w], 3)]) / len(c) + free / size
+                        logs.append(math.log((c[v, w] - d[min(c[v, w], 3)]) / max(seen[v], 1) + gamma.get(v, 1.0) * one))
+                    assert math.isclose(scores[k], -sum(logs) / len(logs), abs_tol=2e-5)
+
+
+def test_random_letters_of_another_script_are_rejected(spark):
+    rng = np.random.default_rng(7)
+    letters = "абвгдежзиклмнопрстуфхцчшщыэюя"
+    lexicon = words_of(rng, letters, 150)
+    prose = [(k, " ".join(lexicon[int(i)] for i in np.minimum(rng.zipf(1.3, 90), 150) - 1), "ru") for k in range(60)]
+    junk = [(100 + k, " ".join(words_of(rng, letters, 90)), "ru") for k in range(3)]
+    got = perplexity.quality_rules(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string")).toPandas()
+    assert not got[got.doc_id >= 100].base_failed.any() and not got[got.doc_id >= 100].kept.any()
+    assert got[(got.doc_id < 100) & ~got.base_failed].kept.mean() > 0.9
+
+
 def held(ids):
     return [zlib.crc32(str(i).encode()) % 4 == 2 for i in ids]
 
