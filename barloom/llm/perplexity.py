@@ -28,8 +28,9 @@ POINTS = ".,;:!?'\"()-"
 MARKS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A band reaches this many interquartile ranges (of at least the given width, in nats a word) beyond the quartiles.
-FENCES = 6.0
+#: A band reaches this many interquartile ranges (of at least the given width, in nats a word) beyond the quartiles:
+#: Tukey's outer fence.
+FENCES = 3.0
 LEAST_RANGE = 0.15
 #: Bytes of text that a batch of the token table covers, and words for each of the models' hash partitions.
 BATCH = 8_000_000
