@@ -99,6 +99,31 @@ def test_grammar_decodes_any_stretch():
     assert (repair.Grammar(sequence.tobytes(), rules.tobytes(), lengths.tobytes()).decode(0, 1000) == same).all()
 
 
+def test_runs_and_periodic_texts_become_short():
+    rng = np.random.default_rng(8)
+    period = rng.integers(0, 49_408, 7)
+    runs = np.concatenate([np.append(np.full(5000, 320), k) for k in range(1000, 1100)])
+    for tokens in (np.full(100_000, 5), np.tile(period, 20_000), runs):
+        sequence, rules, lengths = repair.compress(tokens)
+        assert len(sequence) + 4 * len(rules) < 0.02 * len(tokens)
+        grammar = repair.Grammar(sequence.tobytes(), rules.tobytes(), lengths.tobytes())
+        assert (grammar.decode(0, len(tokens)) == tokens).all() and (grammar.decode(4321, 9876) == tokens[4321:9876]).all()
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(9)
+    tokens = rng.zipf(1.5, 60_000) % 2000
+    sequence, rules, _ = repair.compress(tokens)
+    assert len(rules) < repair.SYMBOLS - repair.TERMINALS
+    times = {}
+    last = None
+    for k, pair in enumerate(zip(sequence.tolist(), sequence[1:].tolist(), strict=False)):
+        if pair != last or k - place == 2:  # places of a run that don't overlap
+            times[pair], place = times.get(pair, 0) + 1, k
+        last = pair
+    assert max(times.values()) < repair.LEAST
+
+
 def test_shortest_paths_are_the_models_segmentations(docs, rows):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(transducer.MODEL))
     machine, texts = transducer.Transducer(transducer.MODEL), AWKWARD + [r[1] for r in rows] + ["x" * 50, "aaaabbbbb", "====----"]
