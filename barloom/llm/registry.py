@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import discriminant, exact, langid, lines, packing, passages, perplexity, repair, simhash, transducer
+from barloom.llm import clustering, discriminant, divergence, exact, langid, lines, packing, passages, perplexity, repair, simhash, transducer, urlrules
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact.query,
     "op9_sentencepiece": transducer.query,
     "op10_simhash": simhash.query,
+    "op11_clusters": clustering.query,
+    "op12_url_rules": urlrules.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLES = {
     "op7_line_dedup": lines.SQL,
     "op8_exact_dedup": exact.SQL,
+    "op11_clusters": clustering.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
