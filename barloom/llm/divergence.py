@@ -20,10 +20,10 @@ PRIOR = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Postings that a task gathers before it writes them as a sorted run.
-MEMORY = 400_000
+MEMORY = 800_000
 #: Terms of a run that one row of it holds; the merge keeps one such row of each run.
 CHUNK = 2_048
-#: Sources of a language that a task sums corrections for before it hands them on; more go through in tiles of this width.
+#: Sources of a language whose shares of many terms a task holds as one matrix; more go through in tiles of this width.
 TILE = 1_024
 #: Bytes of a text that are split into terms at once.
 PIECE = 1 << 20
@@ -53,35 +53,46 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Block:
-    """Postings in memory: for each (language, source) the occurrences of its terms and the documents that have them."""
+    """Postings in memory: the occurrences of terms by (language, source), and the documents that have them by language."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[bytes, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        self.held: dict[bytes, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        self.docs: dict[bytes, Counter] = defaultdict(Counter)
         self.size = 0
 
     def add(self, lang: bytes, source: str, text: bytes) -> None:
-        counts, docs = self.held[lang, source]
-        before, seen = len(counts), set()
+        counts, seen = self.held[lang][source], set()
+        before = len(counts)
         for terms in terms_of(text):
             counts.update(terms)
             seen.update(terms)
-        docs.update(seen)
+        self.docs[lang].update(seen)
         self.size += len(counts) - before
 
     def run(self, shards: int) -> Iterator[tuple[int, list]]:
         """(shard, chunk) with the keys of a chunk in order; a key is the language, a zero byte (terms have none) and the term."""
-        postings = defaultdict(list)
-        for (lang, source), (counts, docs) in self.held.items():
-            head = lang + b"\0"
-            for term, n in counts.items():
-                postings[head + term].append((source, n, docs[term]))
-        by_shard = defaultdict(list)
-        for key in sorted(postings):
-            by_shard[zlib.crc32(key) % shards].append(key)
-        for shard, keys in by_shard.items():
-            for at in range(0, len(keys), CHUNK):
-                part = keys[at : at + CHUNK]
-                yield shard, [part, [len(postings[k]) for k in part], *zip(*(p for k in part for p in postings[k]), strict=True)]
+        for lang, by_source in self.held.items():
+            postings: dict[bytes, tuple[list, list]] = {}
+            for source, counts in by_source.items():
+                for term, n in counts.items():
+                    found = postings.get(term)
+                    if found is None:
+                        postings[term] = [source], [n]
+                    else:
+                        found[0].append(source)
+                        found[1].append(n)
+            head, docs = lang + b"\0", self.docs[lang]
+            start = zlib.crc32(head)
+            by_shard = [[] for _ in range(shards)]
+            for term in postings:
+                by_shard[zlib.crc32(term, start) % shards].append(term)
+            for shard, terms in enumerate(by_shard):
+                terms.sort()
+                for at in range(0, len(terms), CHUNK):
+                    part = terms[at : at + CHUNK]
+                    rows = [postings[t] for t in part]
+                    sources, counts = ([x for r in rows for x in r[k]] for k in (0, 1))
+                    yield shard, [[head + t for t in part], [len(r[0]) for r in rows], [docs[t] for t in part], sources, counts]
         self.__init__()
 
 
@@ -91,12 +102,12 @@ _RUN = pa.schema(
         ("first", pa.binary()),
         ("keys", pa.list_(pa.binary())),
         ("widths", pa.list_(pa.int32())),
+        ("docs", pa.list_(pa.int64())),
         ("sources", pa.list_(pa.string())),
         ("counts", pa.list_(pa.int64())),
-        ("docs", pa.list_(pa.int64())),
     ]
 )
-_RUN_SQL = "shard int, first binary, keys array<binary>, widths array<int>, sources array<string>, counts array<long>, docs array<long>"
+_RUN_SQL = "shard int, first binary, keys array<binary>, widths array<int>, docs array<long>, sources array<string>, counts array<long>"
 
 
 def _runs(shards: int, memory: int):
@@ -130,27 +141,6 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class _Cursor:
-    """One chunk of a run, read key by key."""
-
-    def __init__(self, row: dict) -> None:
-        self.keys, self.widths = row["keys"], row["widths"]
-        self.sources, self.counts, self.docs = row["sources"], row["counts"], row["docs"]
-        self.at = self.start = 0
-
-    def __lt__(self, other: _Cursor) -> bool:
-        return self.keys[self.at] < other.keys[other.at]
-
-    def take(self, into: Counter) -> int:
-        """Add the postings of the present key, go to the next one; the key's documents."""
-        end = self.start + self.widths[self.at]
-        for s, c in zip(self.sources[self.start : end], self.counts[self.start : end], strict=True):
-            into[s] += c
-        found = sum(self.docs[self.start : end])
-        self.start, self.at = end, self.at + 1
-        return found
-
-
 _TERM = pa.schema(
     [("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("total", pa.int64())]
 )
@@ -160,29 +150,39 @@ _TERM_SQL = "lang string, term string, sources array<string>, counts array<long>
 def _merge(min_docs: int):
     """Chunks come ordered by shard and first key: one is opened only when the heap's least key has reached its first."""
 
-    def below(heap: list[_Cursor], limit: bytes | None) -> Iterator[tuple]:
-        while heap and (limit is None or heap[0].keys[heap[0].at] < limit):
-            key, counts, docs = heap[0].keys[heap[0].at], Counter(), 0
-            while heap and heap[0].keys[heap[0].at] == key:
-                docs += heap[0].take(counts)
-                if heap[0].at < len(heap[0].keys):
-                    heapq.heapreplace(heap, heap[0])
+    def below(heap: list[tuple], limit: bytes | None) -> Iterator[tuple]:
+        """The kept terms before `limit`. An entry of the heap: key, number of its chunk, place in it, first posting, the chunk."""
+        while heap and (limit is None or heap[0][0] < limit):
+            key, docs, met = heap[0][0], 0, []
+            while heap and heap[0][0] == key:
+                _, number, at, start, chunk = heap[0]
+                keys, widths, of_key, sources, counts = chunk
+                end = start + widths[at]
+                docs += of_key[at]
+                met.append((sources, counts, start, end))
+                at += 1
+                if at < len(keys):
+                    heapq.heapreplace(heap, (keys[at], number, at, end, chunk))
                 else:
                     heapq.heappop(heap)
             if docs >= min_docs:
+                total: dict[str, int] = {}
+                for sources, counts, start, end in met:
+                    for k in range(start, end):
+                        total[sources[k]] = total.get(sources[k], 0) + counts[k]
                 lang, term = key.rsplit(b"\0", 1)
-                yield lang.decode(), term.decode(), list(counts), list(counts.values()), counts.total()
+                yield lang.decode(), term.decode(), list(total), list(total.values()), sum(total.values())
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap: list[_Cursor] = []
+        heap: list[tuple] = []
         out: list[tuple] = []
-        shard = None
+        shard, number = None, 0
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in _RUN.names}
-                out += below(heap, None if row["shard"] != shard else row["first"])
-                shard = row["shard"]
-                heapq.heappush(heap, _Cursor(row))
+                of, first, *chunk = (batch.column(n)[k].as_py() for n in _RUN.names)
+                out += below(heap, None if of != shard else first)
+                shard, number = of, number + 1
+                heapq.heappush(heap, (first, number, 0, 0, chunk))
                 if len(out) >= 10_000:
                     yield _batch(out, _TERM)
                     out = []
@@ -211,45 +211,58 @@ _PAIR_SQL = "lang string, low string, high string, part long"
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the terms that two sources share change in the sum for both; summed in the task, handed on at its end."""
-    sums: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-
-    def out(lang: str) -> Iterator[pa.RecordBatch]:
-        places, total = sums.pop(lang)
-        names = np.array(list(places), object)
-        i, j = np.nonzero(total[: len(names), : len(names)])
-        for at in range(0, len(i), 100_000):
-            a, b = i[at : at + 100_000], j[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(a), pa.string()), pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(total[a, b])],
-                schema=_PAIR,
-            )
-
-    def change(p: np.ndarray, b: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        p, b = p[:, None], b[:, None]
-        return np.abs(p - q) - np.abs(p - c) - np.abs(b - q) + np.abs(b - c)
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            lang, found = row["lang"], sorted(row["found"], key=lambda x: x["source"])
-            names = [x["source"] for x in found]
-            p = np.array([x["p"] for x in found], np.int64)
-            b = np.array([x["base"] for x in found], np.int64)
-            for i in range(0, len(names), TILE // 2):
-                for j in range(i, len(names), TILE // 2):
-                    one, two = slice(i, i + TILE // 2), slice(j, j + TILE // 2)
-                    both = names[one] if i == j else names[one] + names[two]
-                    if lang in sums and len(sums[lang][0]) + len(both) > TILE and not sums[lang][0].keys() >= set(both):
-                        yield from out(lang)
-                    if lang not in sums:
-                        sums[lang] = ({}, np.zeros((TILE, TILE), np.int64))
-                    places, total = sums[lang]
-                    at = [places.setdefault(n, len(places)) for n in both]
-                    rows, columns = at[: len(names[one])], at if i == j else at[len(names[one]) :]
-                    made = change(p[one], b[one], p[two], b[two])
-                    total[np.ix_(rows, columns)] += np.triu(made, 1) if i == j else made
-    for lang in list(sums):
-        yield from out(lang)
+    """What the terms that two sources share change in the sum for both, summed over the terms of a batch."""
+
+    def block(lang: str, names: list[str], row: np.ndarray, column: np.ndarray, p: np.ndarray, b: np.ndarray, terms: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(names), TILE):
+            for j in range(i, len(names), TILE):
+                one, two = (dense(row, column, p, b, terms, k, min(k + TILE, len(names))) for k in (i, j))
+                for k in range(one[0].shape[1]):
+                    has = np.flatnonzero(one[2][:, k])
+                    mine, base = one[0][has, k][:, None], one[1][k]
+                    q, c, present = two[0][has], two[1], two[2][has]
+                    change = np.abs(mine - q) - np.abs(mine - c) - np.abs(base - q) + np.abs(base - c)
+                    total = (change * present).sum(axis=0)
+                    at = np.flatnonzero(total)
+                    at = at[at + j > i + k]
+                    if len(at):
+                        high = pa.array([names[j + x] for x in at], pa.string())
+                        low = pa.array([names[i + k]] * len(at), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), low, high, pa.array(total[at])], schema=_PAIR)
+
+    def dense(row: np.ndarray, column: np.ndarray, p: np.ndarray, b: np.ndarray, terms: int, first: int, last: int) -> tuple:
+        """Shares by term and source, base by source, and where a term is present."""
+        own = (column >= first) & (column < last)
+        shares, present = np.zeros((terms, last - first), np.int64), np.zeros((terms, last - first), bool)
+        shares[row[own], column[own] - first] = p[own]
+        present[row[own], column[own] - first] = True
+        bases = np.zeros(last - first, np.int64)
+        bases[column[own] - first] = b[own]
+        return shares, bases, present
+
+    for whole in batches:
+        for batch in slices([whole], "found", 200_000):
+            langs = batch.column("lang").dictionary_encode()
+            found = batch.column("found")
+            lengths = pc.list_value_length(found).to_numpy()
+            of_term = np.repeat(np.arange(batch.num_rows), lengths)
+            flat = found.flatten()
+            sources = flat.field("source").dictionary_encode()
+            p, b = (flat.field(n).to_numpy() for n in ("p", "base"))
+            source, lang_of = sources.indices.to_numpy(), langs.indices.to_numpy()
+            for number, lang in enumerate(langs.dictionary.to_pylist()):
+                own = lang_of[of_term] == number
+                used = np.unique(source[own])
+                names = [sources.dictionary[int(x)].as_py() for x in used]
+                order = sorted(range(len(names)), key=names.__getitem__)
+                place = np.zeros(len(sources.dictionary), np.int64)
+                place[used[order]] = np.arange(len(order))
+                terms, row = np.unique(of_term[own], return_inverse=True)
+                step = max(1, 1_000_000 // min(TILE, max(1, len(names))))
+                for first in range(0, len(terms), step):
+                    part = (row >= first) & (row < first + step)
+                    args = (row[part] - first, place[source[own][part]], p[own][part], b[own][part], min(step, len(terms) - first))
+                    yield from block(lang, [names[k] for k in order], *args)
 
 
 def _alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +308,7 @@ def divergence(
     table gives an empty one.
 
     Two sources differ by |p - q| over all kept terms. It is summed without visiting absent terms: as if no term were shared (from a
-    histogram of each source's shares), then corrected by the terms that both have, which a task streams and sums by pair.
+    histogram of each source's shares), then corrected by the terms that both have, which tasks stream and sum by pair.
     """
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
     kept = frequencies(plain, min_docs, memory)
