@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from math import e as EULER
-from math import sqrt
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .matrices import cholesky, dot, inverse_of, let, square, times
 
 # Double-precision rational approximation of the normal tail (West 2005).
 TAIL_NUMERATOR = (
@@ -68,39 +66,16 @@ def expected_max_factor(n_trials: int) -> float:
     return (1 - EULER_MASCHERONI) * inv(1 - 1 / n_trials) + EULER_MASCHERONI * inv(1 - 1 / (n_trials * EULER))
 
 
-VECTOR = T.ArrayType(T.DoubleType())
-
-
-def _square(v) -> np.ndarray:
-    k = int(round(sqrt(len(v))))
-    return np.asarray(v, float).reshape(k, k)
-
-
-@F.pandas_udf(VECTOR)
-def inverse(flat: pd.Series) -> pd.Series:
-    """Inverse of one small square matrix per row; NULL where singular."""
+def inverse(flat: Column, k: int) -> Column:
+    """Inverse of one small symmetric, positive definite matrix per row, as rows; NULL where singular."""
+    return let(cholesky(square(flat, k)), inverse_of)
 
-    def one(v):
-        try:
-            return np.linalg.inv(_square(v)).ravel().tolist()
-        except np.linalg.LinAlgError:
-            return None
 
-    return flat.map(one, na_action="ignore")
-
-
-@F.pandas_udf(VECTOR)
-def coefficients(inv: pd.Series, xy: pd.Series) -> pd.Series:
+def coefficients(inv: Column, xy: Column) -> Column:
     """inv(X'X) X'y per row."""
-    return pd.Series([None if m is None else (_square(m) @ np.asarray(b, float)).tolist() for m, b in zip(inv, xy)])
+    return times(inv, xy)
 
 
-@F.pandas_udf(VECTOR)
-def sandwich_errors(inv: pd.Series, meat: pd.Series) -> pd.Series:
+def sandwich_errors(inv: Column, meat: Column, k: int) -> Column:
     """Square roots of the diagonal of inv * meat * inv per row."""
-
-    def one(m, o):
-        bread = _square(m)
-        return np.sqrt(np.maximum(np.diag(bread @ _square(o) @ bread), 0.0)).tolist()
-
-    return pd.Series([None if m is None else one(m, o) for m, o in zip(inv, meat)])
+    return let(square(meat, k), lambda m: F.transform(inv, lambda row: F.sqrt(F.greatest(dot(row, times(m, row)), F.lit(0.0)))))

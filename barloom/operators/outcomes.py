@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import KEYS, clip, ratio, series
 from ..settings import DEFAULTS, Settings
 from .ideas import short_eligible
+from .temporal import first_within
 
 NEEDED = ("close", "high", "low", "ATR_14", "Return_20d", "Confidence", "RSI_14", "Regime_Label", "Signal")
 LEAST_ROWS = 60
@@ -159,26 +160,14 @@ def with_next_exit(signals: DataFrame, scope=()) -> DataFrame:
 def resolve_exits(entries: DataFrame, bars: DataFrame, scope=()) -> DataFrame:
     """Exit of each entry: its stop, else a SELL, else the end of the data; the entry day itself never exits.
 
-    Only stops need a search. It ends at the entry's next SELL bar, the join keeps touched stops only, and the
-    first one per entry is found map-side.
+    Only stops need a search. It ends at the entry's next SELL bar, and an entry meets its bars by calendar bins.
     """
     keys = (*scope, "instrument")
-    lows = bars.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("date").alias("_d"), "low")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    touched = (
-        same
-        & (F.col("_d") > F.col("entry_date"))
-        & (F.col("_d") <= F.coalesce(F.col("next_sell.date"), F.col("last_bar.date")))
-        & (F.col("low") <= F.col("stop_loss"))
-    )
-    given = [c for c in entries.columns if c not in (*keys, "entry_date")]
-    out = (
-        entries.join(lows, touched, "left")
-        .groupBy(*keys, "entry_date")
-        .agg(*[F.first(c).alias(c) for c in given], F.min("_d").alias("_stop"))
+    until = F.coalesce(F.col("next_sell.date"), F.col("last_bar.date"))
+    touched = first_within(
+        entries, bars, keys, F.col("entry_date"), until, "date", ["low"], lambda bar: bar["low"] <= F.col("stop_loss")
     )
+    out = touched.withColumn("_stop", F.col("first.date")).drop("first")
     if scope:
         out = out.join(bars.groupBy(*scope).agg(F.max("date").alias("_end")), list(scope))
     else:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, filled, series, trailing
+from ..functions.frames import KEYS, filled, series, spread, trailing
+from ..functions.lineage import settle
 from ..settings import BEAR, BULL, SIDEWAYS
 from . import regime_models as models
 
@@ -146,7 +147,7 @@ def transitions(labelled: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def _mark(features: DataFrame, columns, least: int, keys, train: Column | None) -> DataFrame:
+def mark(features: DataFrame, columns, least: int, keys, train: Column | None) -> DataFrame:
     """Features with the rule's code in `_rule`, and `_use` / `_fit`: rows a model can label / may learn from.
 
     Keys with fewer than `least` learnable rows get neither and so keep the rule.
@@ -181,33 +182,33 @@ def fitted_or_rule(features: DataFrame, method: str = "hmm", keys=KEYS) -> DataF
 
 def kmeans_regime(features: DataFrame, keys=KEYS, train: Column | None = None) -> DataFrame:
     """Clusters of six standardised features, ordered by return, smoothed and carried to every bar."""
-    df = _mark(features, KMEANS_FEATURES, KMEANS_LEAST, keys, train)
+    df = mark(features, KMEANS_FEATURES, KMEANS_LEAST, keys, train)
     df = standardise(df, KMEANS_FEATURES, keys, F.col("_fit"))
     z = [f"z_{c}" for c in KMEANS_FEATURES]
-    model = models.fit_centroids(df.filter("_fit"), z, keys)
-    df = models.assign(df, model, z, keys).drop(*z)
-    df = df.withColumn("state", F.when(F.col("_use"), F.col("state")))
+    df = models.cluster_states(df, z, keys).drop(*z)
     df = order_states(df, "state", keys, F.col("_fit"))
     df = smooth_labels(df, SMOOTHING, (*keys, "_use"))
     df = df.withColumn("Regime", F.when(F.col("_use"), F.col("Regime"))).drop("state")
     return _settle(spread_forward(df, keys), keys)
 
 
-def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(model table, all rows with state and posteriors p0..p2 where the key was fitted)."""
-    df = _mark(features, HMM_FEATURES, HMM_LEAST, keys, train)
-    model = models.fit_hmm(df.filter("_fit"), HMM_FEATURES, keys)
+def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None, parameters: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(model table, all rows with state and posteriors p0..p2 where the key has a model). With `parameters` the model is stated."""
+    # read by the fit and by the decoding, each with every task at work
+    df = spread(settle(mark(features, HMM_FEATURES, HMM_LEAST, keys, train)), *keys)
+    if parameters is None:
+        model = settle(models.fit_hmm(df.filter("_fit"), HMM_FEATURES, keys))  # read by the decoding and by the caller
+    else:
+        model = models.stated_model(df, HMM_FEATURES, parameters, keys)
     return model, models.decode(df, model, HMM_FEATURES, keys)
 
 
-def hmm_regime(features: DataFrame, keys=KEYS, train: Column | None = None, causal=False) -> DataFrame:
-    """Three-state Gaussian HMM labels with posteriors. `train` (a condition on the rows) restricts fitting."""
-    df = _mark(features, HMM_FEATURES, HMM_LEAST, keys, train).withColumn("_at", F.row_number().over(series(keys)))
-    # the fit side reads three features only; its one row per key joins the bars on the partitioning they have
-    df = df.join(models.fit_and_decode(df, HMM_FEATURES, keys), list(keys), "left")
-    of = F.when(F.col("posteriors").isNotNull(), F.get("posteriors", F.col("_at") - 1))
-    df = df.withColumn("state", F.get("states", F.col("_at") - 1)).withColumns({f"p{k}": of[k] for k in range(3)})
-    df = df.drop("states", "posteriors", "_at")
+def hmm_regime(features: DataFrame, keys=KEYS, train: Column | None = None, causal=False, parameters: dict | None = None) -> DataFrame:
+    """Three-state Gaussian HMM labels with posteriors. `train` (a condition on the rows) restricts fitting.
+
+    With `parameters` (start, trans, mean, cov) nothing is fitted but the standardisation.
+    """
+    _, df = decode_hmm(features, keys, train, parameters)
     df = order_posteriors(order_states(df, "state", keys, F.col("_fit")))
     df = df.drop("state", "p0", "p1", "p2")
     return _settle(spread_both(df, causal=causal, keys=keys), keys)
@@ -240,13 +241,13 @@ def model_transitions(model: DataFrame, decoded: DataFrame, keys=KEYS) -> DataFr
     )
 
 
-def label(features: DataFrame, method: str = "hmm", keys=KEYS, train: Column | None = None) -> DataFrame:
+def label(features: DataFrame, method: str = "hmm", keys=KEYS, train: Column | None = None, parameters: dict | None = None) -> DataFrame:
     if method == "ma_crossover":
         return rule_regime(features, keys)
     if method == "kmeans":
         return kmeans_regime(features, keys, train)
     if method == "hmm":
-        return hmm_regime(features, keys, train)
+        return hmm_regime(features, keys, train, parameters=parameters)
     raise ValueError(f"unknown regime method: {method}")
 
 

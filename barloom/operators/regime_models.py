@@ -1,277 +1,411 @@
-"""Per-series model fits. Spark shuffles each key's rows (at most one per calendar day) to one task;
-NumPy runs the iterations there. Fits go to a small model table so that decoding can be re-run on other rows.
+"""Per-series models: clusters and decoding as folds over a key's rows (at most one per calendar day) inside the JVM; the rounds
+that estimate a hidden Markov model in NumPy, on the same arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log, pi
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS
+from ..functions.matrices import cholesky, inverse_of, let, log_determinant, total
 
 STATES = 3
+LLOYD_STEPS, LLOYD_TOLERANCE = 300, 1e-10
 EM_STEPS, EM_TOLERANCE = 200, 1e-3
 COV_FLOOR = 1e-2
-RESCALE = 8  # a factor is at least 1e-12, so eight of them stay far above underflow
-UNIT = np.eye(STATES)
-BEST_UNIT = np.where(UNIT > 0, 0.0, -np.inf)
+TINY = 1e-12
+VECTORS = "array<array<double>>"
+
+
+def _packed(df: DataFrame, keys, *also: Column) -> DataFrame:
+    """One row per key: `_rows`, its rows in order of date, and the aggregates `also`."""
+    rest = [c for c in df.columns if c not in keys and c != "date"]
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", *rest))).alias("_rows"), *also)
+
+
+def _unpacked(packed: DataFrame, df: DataFrame, keys, bound: Column, made: dict[str, Callable[[Column, Column, Column], Column]]) -> DataFrame:
+    """The rows of `df` again, with the columns that `made` gets from a row, the number of used rows before it, and `bound`.
 
+    `bound` is what a key's rows share; it is worked out once (a column would be inlined and worked out for every row).
+    """
+    names = [c for c in df.columns if c not in keys]
+    # places are settled while the arrays are at hand, so that a row doesn't carry them
+    at = F.aggregate(
+        "_rows",
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
+        lambda a, r: F.struct((a["n"] + r["_use"].cast("int")).alias("n"), F.array_append(a["at"], a["n"]).alias("at")),
+        lambda a: a["at"],
+    )
+
+    def shaped(given: Column) -> Column:
+        row = lambda r, k: F.struct(r.alias("row"), *[F.when(r["_use"], f(r, k, given)).alias(n) for n, f in made.items()])
+        return F.zip_with("_rows", at, row)
 
-def _key_schema(df: DataFrame, keys) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"`{k}` {types[k]}" for k in keys)
+    out = packed.select(*keys, F.explode(let(bound, shaped)).alias("_r"))
+    return out.select(*keys, *[F.col(f"_r.row.{c}").alias(c) for c in names], *[F.col(f"_r.{n}").alias(n) for n in made])
 
 
 # ---- clusters ----
 
 
-def _lloyd(x: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray]:
-    centers = start
-    size = (x**2).sum(1)
-    for _ in range(300):
-        gap = (centers**2).sum(1) - 2 * x @ centers.T
-        near = gap.argmin(1)[:, None] == np.arange(STATES)
-        n = near.sum(0)
-        moved = np.where(n[:, None] > 0, near.T @ x / np.maximum(n, 1)[:, None], centers)
-        if np.abs(moved - centers).max() < 1e-10:
-            break
-        centers = moved
-    return float((size + gap.min(1)).sum()), centers
+def _nearest(x: Column, centers: Column, d: int) -> Column:
+    """Number of the closest centre, the smaller one of two as close."""
+
+    def gap(k: int) -> Column:
+        center = F.get(centers, F.lit(k))
+        parts = [F.get(x, F.lit(j)) - F.get(center, F.lit(j)) for j in range(d)]
+        return sum((p * p for p in parts[1:]), parts[0] * parts[0])
+
+    pick = lambda g: F.when((g[0] <= g[1]) & (g[0] <= g[2]), 0).when(g[1] <= g[2], 1).otherwise(2)
+    return let(F.array(*[gap(k) for k in range(STATES)]), pick)
+
+
+def _coordinate(j: int) -> Callable[[Column], Column]:
+    return lambda x: F.get(x, F.lit(j))
+
+
+def _mean(rows: Column, d: int, otherwise: Column) -> Column:
+    sums = [total(F.transform(rows, _coordinate(j))) for j in range(d)]
+    return F.when(F.size(rows) > 0, F.array(*[F.try_divide(s, F.size(rows)) for s in sums])).otherwise(otherwise)
+
+
+def lloyd(xs: Column, d: int, steps: int = LLOYD_STEPS) -> Column:
+    """Three cluster centres of an array of points; NULL without points.
+
+    The start is the mean of each third of the points in order (by the first coordinate, then the next ones; the first thirds are
+    longer by one where they can't be equal). It ends when no coordinate of a centre moves by `LLOYD_TOLERANCE`; a cluster
+    without points keeps its centre.
+    """
+    none = F.array(*[F.lit(0.0)] * d)
+
+    def thirds(ordered: Column) -> Column:
+        n, q = F.size(ordered), F.floor(F.size(ordered) / STATES).cast("int")
+        more = n - q * STATES
+        parts = [F.slice(ordered, q * k + F.least(F.lit(k), more) + 1, q + (F.lit(k) < more).cast("int")) for k in range(STATES)]
+        return F.array(*[_mean(p, d, none) for p in parts])
+
+    def step(acc: Column, i: Column) -> Column:
+        def moved(labels: Column) -> Column:
+            def center(k: int) -> Column:
+                own = F.filter(xs, lambda x, at: F.get(labels, at) == k)
+                return let(own, lambda rows: _mean(rows, d, F.get(acc["centers"], F.lit(k))))
+
+            return F.array(*[center(k) for k in range(STATES)])
+
+        def judged(new: Column) -> Column:
+            gaps = F.zip_with(F.flatten(new), F.flatten(acc["centers"]), lambda a, b: F.abs(a - b))
+            return F.struct(new.alias("centers"), (F.array_max(gaps) < LLOYD_TOLERANCE).alias("done"))
+
+        new = let(F.transform(xs, lambda x: _nearest(x, acc["centers"], d)), moved)
+        return F.when(acc["done"], acc).otherwise(let(new, judged))
+
+    start = F.struct(let(F.sort_array(xs), thirds).alias("centers"), F.lit(False).alias("done"))
+    return F.when(F.size(xs) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: a["centers"]))
+
+
+def cluster_states(df: DataFrame, columns, keys=KEYS, steps: int = LLOYD_STEPS) -> DataFrame:
+    """Rows plus `state`, the closest of three centres fitted per key to its `_fit` rows; NULL where `_use` is false."""
+    columns, d = list(columns), len(columns)
+    point = lambda r: F.array(*[r[c] for c in columns])
+    packed = _packed(df, keys)
+    packed = packed.withColumn("_xs", F.transform(F.filter("_rows", lambda r: r["_fit"]), point))
+    state = lambda r, at, centers: F.when(centers.isNotNull(), _nearest(point(r), centers, d))
+    return _unpacked(packed, df, keys, lloyd(F.col("_xs"), d, steps), {"state": state})
+
+
+# ---- Gaussian hidden Markov model: start (3), trans (3 x 3 in one array), mean (3 x d), cov (3 x d x d) ----
+
+
+def _log_densities(xs: Column, mean: Column, cov: Column, d: int) -> Column:
+    """Array of three log densities for each point."""
+
+    def shape(k: int) -> Column:
+        """Constant, mean, and the upper triangle of the precision with doubled off-diagonals."""
+        whole = F.get(cov, F.lit(k))
+
+        def of(factor: Column) -> Column:
+            constant = -0.5 * log_determinant(factor) - 0.5 * d * log(2 * pi)
+            entry = lambda p, i, j: F.get(F.get(p, F.lit(i)), F.lit(j)) * (1.0 if i == j else 2.0)
+            upper = let(inverse_of(factor), lambda p: F.array(*[entry(p, i, j) for i in range(d) for j in range(i, d)]))
+            return F.concat(F.array(constant), F.get(mean, F.lit(k)), upper)
+
+        rows = F.array(*[F.slice(whole, i * d + 1, d) for i in range(d)])
+        return let(cholesky(rows), of)
+
+    def density(x: Column, p: Column) -> Column:
+        gaps = F.array(*[F.get(x, F.lit(i)) - F.get(p, F.lit(1 + i)) for i in range(d)])
+
+        def form(g: Column) -> Column:
+            at, parts = 1 + d, []
+            for i in range(d):
+                inner = F.get(p, F.lit(at)) * g[i]
+                for j in range(i + 1, d):
+                    inner = inner + F.get(p, F.lit(at + j - i)) * g[j]
+                parts.append(inner * g[i])
+                at += d - i
+            return F.get(p, F.lit(0)) - 0.5 * sum(parts[1:], parts[0])
+
+        return let(gaps, form)
+
+    shapes = F.array(*[shape(k) for k in range(STATES)])
+    return let(shapes, lambda s: F.transform(xs, lambda x: F.array(*[density(x, F.get(s, F.lit(k))) for k in range(STATES)])))
 
 
-def _best_centers(x: np.ndarray) -> np.ndarray:
-    """Lowest inertia over deterministic starts: the thirds of each feature and of the main axis."""
-    axes = [x[:, j] for j in range(x.shape[1])] + [x @ np.linalg.eigh(np.cov(x.T))[1][:, -1]]
-    tries = []
-    for a in axes:
-        parts = np.array_split(np.argsort(a, kind="stable"), STATES)
-        tries.append(_lloyd(x, np.array([x[p].mean(0) for p in parts])))
-    return min(tries, key=lambda t: t[0])[1]
+def _scaled(logs: Column) -> Column:
+    """Densities over the largest one of their row, and the log of that."""
+    row = lambda b: let(F.array_max(b), lambda m: F.array(*[F.exp(b[k] - m) for k in range(STATES)], m))
+    return F.transform(logs, row)
 
 
-def fit_centroids(rows: DataFrame, columns, keys=KEYS) -> DataFrame:
-    """(keys, c0, c1, c2): one centre array per cluster."""
-    columns = list(columns)
-    keys = list(keys)
+def _share(values: Column) -> Column:
+    return let(total(values), lambda s: F.transform(values, lambda v: v / s))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")[columns].to_numpy(float)
-        out = pdf[keys].head(1).reset_index(drop=True)
-        for k, c in enumerate(_best_centers(x)):
-            out[f"c{k}"] = [c.tolist()]
-        return out
 
-    schema = _key_schema(rows, keys) + "".join(f", c{k} array<double>" for k in range(STATES))
-    return rows.select(*keys, "date", *columns).groupBy(*keys).applyInPandas(fit, schema)
+def _forward(scaled: Column, start: Column, trans: Column) -> Column:
+    """struct(path: filtered state shares by row, like: log likelihood)."""
+    zero = F.struct(F.array().cast(VECTORS).alias("path"), F.array(*[F.lit(0.0)] * STATES).alias("last"), F.lit(0.0).alias("like"))
 
+    def step(acc: Column, b: Column) -> Column:
+        first = F.array(*[start[j] * b[j] for j in range(STATES)])
+        into = lambda j: sum((acc["last"][i] * trans[STATES * i + j] for i in range(1, STATES)), acc["last"][0] * trans[j])
+        later = F.array(*[into(j) * b[j] for j in range(STATES)])
+        raw = F.when(F.size(acc["path"]) == 0, first).otherwise(later)
 
-def assign(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
-    """Nearest centre per row, as a JVM expression over the joined model row."""
-    df = rows.join(model, list(keys), "left")
-    for k in range(STATES):
-        gap = sum((F.col(c) - F.col(f"c{k}")[i]) ** 2 for i, c in enumerate(columns))
-        df = df.withColumn(f"_d{k}", gap)
-    d0, d1, d2 = (F.col(f"_d{k}") for k in range(STATES))
-    state = F.when((d0 <= d1) & (d0 <= d2), 0).when(d1 <= d2, 1).when(d2.isNotNull(), 2)
-    return df.withColumn("state", state).drop("c0", "c1", "c2", "_d0", "_d1", "_d2")
+        def kept(r: Column) -> Column:
+            size = r[0] + r[1] + r[2]
+            like = acc["like"] + F.ln(size) + b[STATES]
+            shares = F.array(*[r[j] / size for j in range(STATES)])
+            return let(shares, lambda a: F.struct(F.array_append(acc["path"], a).alias("path"), a.alias("last"), like.alias("like")))
 
+        return let(raw, kept)
 
-# ---- Gaussian hidden Markov model ----
+    return F.aggregate(scaled, zero, step, lambda a: F.struct(a["path"].alias("path"), a["like"].alias("like")))
 
 
-def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), STATES))
-    for k in range(STATES):
-        root = np.linalg.cholesky(covs[k])
-        z = np.linalg.solve(root, (x - means[k]).T)
-        out[:, k] = -0.5 * (z**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
+def _backward(scaled: Column, trans: Column) -> Column:
+    """Shares of what is still to come, by row."""
+    even = F.array(*[F.lit(1.0 / STATES)] * STATES)
+    zero = F.struct(F.array(even).alias("path"), even.alias("last"))
 
+    def step(acc: Column, b: Column) -> Column:
+        out = lambda i: sum((trans[STATES * i + j] * b[j] * acc["last"][j] for j in range(1, STATES)), trans[STATES * i] * b[0] * acc["last"][0])
+        raw = F.array(*[out(i) for i in range(STATES)])
+        return let(_share(raw), lambda a: F.struct(F.array_append(acc["path"], a).alias("path"), a.alias("last")))
 
-def _running_products(m: np.ndarray, combine, rescale, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running (semi-ring) products m[0]..m[t] in about 2 * sqrt(T) vectorised steps.
+    return F.aggregate(F.slice(F.reverse(scaled), 1, F.size(scaled) - 1), zero, step, lambda a: F.reverse(a["path"]))
 
-    The sequence is cut into equal blocks that advance side by side; the block totals are then chained and
-    multiplied in. `one` is the neutral element, which pads the last block.
+
+def _posteriors(ahead: Column, back: Column) -> Column:
+    return F.zip_with(ahead, back, lambda a, b: _share(F.array(*[a[k] * b[k] for k in range(STATES)])))
+
+
+def posteriors(logs: Column, start: Column, trans: Column) -> Column:
+    """State probabilities of each row given all rows."""
+    of = lambda s: _posteriors(_forward(s, start, trans)["path"], _backward(s, trans))
+    return F.when(F.size(logs) > 0, let(_scaled(logs), of))
+
+
+def best_path(logs: Column, start: Column, trans: Column) -> Column:
+    """Most likely state sequence: a fold that keeps back-pointers, then one that follows them from the end. Ties go to the smaller state."""
+    safe = lambda p: F.when(p > 0, F.ln(p)).otherwise(float("-inf"))
+    zero = F.struct(F.array().cast("array<array<int>>").alias("back"), F.array(*[F.lit(0.0)] * STATES).alias("score"))
+
+    def run(steps: Column) -> Column:
+        def step(acc: Column, b: Column) -> Column:
+            first = F.struct(
+                F.array(F.array(*[F.lit(0)] * STATES)).alias("back"),
+                F.array(*[safe(start[j]) + b[j] for j in range(STATES)]).alias("score"),
+            )
+
+            def later(came: Column) -> Column:
+                """came: for each state the three scores of coming from each state."""
+                best = F.transform(came, lambda c: F.array_max(c))
+                place = lambda c: F.when((c[0] >= c[1]) & (c[0] >= c[2]), 0).when(c[1] >= c[2], 1).otherwise(2)
+                score = F.zip_with(best, b, lambda x, y: x + y)
+                return F.struct(F.array_append(acc["back"], F.transform(came, place)).alias("back"), score.alias("score"))
+
+            came = F.array(*[F.array(*[acc["score"][i] + steps[STATES * i + j] for i in range(STATES)]) for j in range(STATES)])
+            return F.when(F.size(acc["back"]) == 0, first).otherwise(let(came, later))
+
+        return F.aggregate(logs, zero, step)
+
+    def follow(found: Column) -> Column:
+        s = found["score"]
+        last = F.when((s[0] >= s[1]) & (s[0] >= s[2]), 0).when(s[1] >= s[2], 1).otherwise(2)
+        begin = F.struct(last.alias("at"), F.array(last).alias("path"))
+
+        def step(acc: Column, back: Column) -> Column:
+            return let(F.get(back, acc["at"]), lambda s: F.struct(s.alias("at"), F.array_append(acc["path"], s).alias("path")))
+
+        pointers = F.reverse(F.slice(found["back"], 2, F.size(found["back"])))
+        return F.aggregate(pointers, begin, step, lambda a: F.reverse(a["path"]))
+
+    return F.when(F.size(logs) > 0, let(let(F.transform(trans, safe), run), follow))
+
+
+def _decoded(packed: DataFrame, df: DataFrame, columns, keys) -> DataFrame:
+    """Rows with `state` and p0..p2 by the key's `_model`; NULL where `_use` is false or there is no model."""
+    d, m = len(columns), F.col("_model")
+    xs = F.transform(F.filter("_rows", lambda r: r["_use"]), _point(columns, F.col("_center"), F.col("_spread")))
+
+    def both(logs: Column) -> Column:
+        return F.struct(best_path(logs, m["start"], m["trans"]).alias("states"), posteriors(logs, m["start"], m["trans"]).alias("posts"))
+
+    found = let(F.when(m.isNotNull(), _log_densities(xs, m["mean"], m["cov"], d)), both)
+    share = lambda k: lambda r, at, given: F.get(F.get(given["posts"], at), F.lit(k))
+    return _unpacked(packed, df, keys, found, {"state": lambda r, at, given: F.get(given["states"], at), **{f"p{k}": share(k) for k in range(STATES)}})
+
+
+def _running_products(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running products of matrices, each scaled to a largest entry of 1, and the logs of the scales.
+
+    The sequence is cut into blocks that advance side by side, about twice the square root of its length in steps.
     """
-    n = len(m)
+    n, k = len(m), m.shape[1]
     size = max(1, int(np.ceil(np.sqrt(n))))
-    blocks = -(-n // size) if n else 0
-    padded = np.concatenate([m, np.broadcast_to(one, (blocks * size - n, *one.shape))]).reshape(blocks, size, *one.shape)
-    out, log = np.empty_like(padded), np.zeros((blocks, size))
-    here, at = None, np.zeros(blocks)
+    blocks = -(-n // size)
+    padded = np.concatenate([m, np.broadcast_to(np.eye(k), (blocks * size - n, k, k))]).reshape(blocks, size, k, k)
+    out, log = np.empty_like(padded), np.empty((blocks, size))
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = x.max(axis=(-2, -1), keepdims=True)
+        return x / top, np.log(top[..., 0, 0])
+
+    here, at = np.broadcast_to(np.eye(k), (blocks, k, k)), np.zeros(blocks)
     for s in range(size):
-        here = padded[:, s] if here is None else combine(here, padded[:, s])
-        if s % RESCALE == RESCALE - 1:
-            here, more = rescale(here)
-            at = at + more
+        here, more = unit(here @ padded[:, s])
+        at = at + more
         out[:, s], log[:, s] = here, at
-    lead, lead_log = np.empty((blocks, 1, *one.shape)), np.zeros((blocks, 1))
-    total, total_log = one[None], 0.0
-    for k in range(blocks):
-        lead[k], lead_log[k] = total, total_log
-        total, total_log = combine(total, out[k, -1:]), total_log + log[k, -1]
-        if k % RESCALE == RESCALE - 1:
-            total, more = rescale(total)
-            total_log = total_log + more[0]
-    flat = combine(lead, out).reshape(blocks * size, *one.shape)[:n]
-    flat, more = rescale(flat)
-    return flat, (log + lead_log).reshape(-1)[:n] + more
-
-
-def _to_unit(m):
-    top = m.max(axis=(-2, -1), keepdims=True)
-    return m / top, np.log(top[..., 0, 0])
-
-
-def _posteriors(logb, start, trans):
-    """State posteriors, summed pair posteriors and the log likelihood."""
-    shift = logb.max(1, keepdims=True)
-    b = np.exp(logb - shift)
+    lead, at = np.eye(k), 0.0
+    for b in range(blocks):
+        own, end = log[b].copy(), out[b, -1].copy()
+        out[b], more = unit(lead @ out[b])
+        log[b] = own + at + more
+        lead, more = unit(lead @ end)
+        at += own[-1] + more
+    return out.reshape(-1, k, k)[:n], log.reshape(-1)[:n]
+
+
+def _expected(logs: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """State posteriors, expected moves and the log likelihood."""
+    shift = logs.max(1, keepdims=True)
+    b = np.exp(logs - shift)
     steps = trans[None] * b[1:, None, :]
-    ahead, log = _running_products(steps, np.matmul, _to_unit, UNIT)
+    ahead, log = _running_products(steps)
     first = start * b[0]
     alpha = np.vstack([first, first @ ahead])
     like = np.log(alpha[-1].sum()) + (log[-1] if len(log) else 0.0) + shift.sum()
-    alpha /= alpha.sum(1, keepdims=True)
-    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), np.matmul, _to_unit, UNIT)
+    back, _ = _running_products(steps[::-1].transpose(0, 2, 1))
     beta = np.vstack([back[::-1].sum(1), np.ones(STATES)])
-    beta /= beta.sum(1, keepdims=True)
+    alpha, beta = (v / v.sum(1, keepdims=True) for v in (alpha, beta))
     gamma = alpha * beta
-    gamma /= gamma.sum(1, keepdims=True)
-    pair = alpha[:-1, :, None] * steps * beta[1:, None, :]
-    pair /= pair.sum((1, 2), keepdims=True)
-    return gamma, pair.sum(0), like
-
-
-def _best_path(logb, start, trans):
-    """Most likely state sequence from forward and backward best scores."""
-    with np.errstate(divide="ignore"):
-        steps = np.log(trans)[None] + logb[1:, None, :]
-        first = np.log(start) + logb[0]
-    best = lambda a, c: (a[..., :, :, None] + c[..., None, :, :]).max(-2)
-    keep = lambda m: (m, np.zeros(m.shape[:-2]))
-    ahead, _ = _running_products(steps, best, keep, BEST_UNIT)
-    forward = np.vstack([first, (first[:, None] + ahead).max(1)])
-    back, _ = _running_products(steps[::-1].transpose(0, 2, 1), best, keep, BEST_UNIT)
-    backward = np.vstack([back[::-1].max(1), np.zeros(STATES)])
-    return (forward + backward).argmax(1)
-
-
-def _fit(x: np.ndarray):
-    """EM from the cluster centres, one shared covariance and even transitions.
-
-    Returns the parameters and the log-likelihood path.
+    moves = alpha[:-1, :, None] * steps * beta[1:, None, :]
+    return gamma / gamma.sum(1, keepdims=True), (moves / moves.sum((1, 2), keepdims=True)).sum(0), float(like)
+
+
+def _densities(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    gaps = x[:, None] - mean[None]
+    form = np.einsum("nki,kij,nkj->nk", gaps, np.linalg.inv(cov), gaps)
+    return -0.5 * (form + np.linalg.slogdet(cov)[1] + x.shape[1] * log(2 * pi))
+
+
+def _estimate(x: np.ndarray, centers: np.ndarray, steps: int, tolerance: float) -> tuple:
+    """start, trans, mean, cov, log likelihood and steps, from the centres, one shared covariance and even chances."""
+    d = x.shape[1]
+    shared = np.cov(x.T).reshape(d, d) if len(x) > 1 else np.zeros((d, d))
+    mean, cov = centers, np.array([shared + COV_FLOOR * np.eye(d)] * STATES)
+    start, trans, like = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), -np.inf
+    for step in range(1, steps + 1):
+        gamma, moves, now = _expected(_densities(x, mean, cov), start, trans)
+        if now - like < tolerance:
+            return start, trans, mean, cov, now, step
+        weight = gamma.sum(0) + TINY
+        start, trans, mean, like = gamma[0], moves + TINY, gamma.T @ x / weight[:, None], now
+        trans = trans / trans.sum(1, keepdims=True)
+        gaps = x[None] - mean[:, None]
+        cov = (np.einsum("nk,kni,knj->kij", gamma, gaps, gaps) + COV_FLOOR * np.eye(d)) / weight[:, None, None]
+    return start, trans, mean, cov, like, steps
+
+
+def fit_hmm(rows: DataFrame, columns, keys=KEYS, steps: int = EM_STEPS, tolerance: float = EM_TOLERANCE) -> DataFrame:
+    """Model table, one row per (key, state): start, trans, mean, cov, center, spread, log_likelihood, steps.
+
+    Standardisation, cluster centres and the arrays of points are folds; at most `steps` rounds of estimation then run on one array of
+    points per key, many keys to a task. They end when the log likelihood gains less than `tolerance`. The rounds are NumPy because as array
+    folds they took some fifteen times as long; SQL and a loop check them step by step.
     """
-    means = _best_centers(x)
-    covs = np.array([np.cov(x.T) + COV_FLOOR * np.eye(x.shape[1])] * STATES)
-    start = np.full(STATES, 1.0 / STATES)
-    trans = np.full((STATES, STATES), 1.0 / STATES)
-    path: list[float] = []
-    for _ in range(EM_STEPS):
-        gamma, pair, like = _posteriors(_log_density(x, means, covs), start, trans)
-        path.append(like)
-        if len(path) > 1 and path[-1] - path[-2] < EM_TOLERANCE:
-            break
-        weight = gamma.sum(0) + 1e-12
-        start = gamma[0] / gamma[0].sum()
-        trans = pair + 1e-12
-        trans /= trans.sum(1, keepdims=True)
-        means = gamma.T @ x / weight[:, None]
-        for k in range(STATES):
-            d = x - means[k]
-            covs[k] = ((gamma[:, k, None] * d).T @ d + COV_FLOOR * np.eye(x.shape[1])) / weight[k]
-    return start, trans, means, covs, path
-
-
-def _fit_raw(raw: np.ndarray):
-    """Model of raw features: the standardisation, then what `_fit` gives."""
-    center, spread = raw.mean(0), raw.std(0)
-    spread[spread == 0] = 1.0
-    return (center, spread, *_fit((raw - center) / spread))
-
-
-def _decoded(x: np.ndarray, start, trans, means, covs) -> tuple[np.ndarray, np.ndarray]:
-    """Best path and posteriors of standardised features."""
-    logb = _log_density(x, means, covs)
-    return _best_path(logb, start, trans), _posteriors(logb, start, trans)[0]
-
-
-def fit_and_decode(rows: DataFrame, columns, keys=KEYS) -> DataFrame:
-    """One row per key with arrays over its rows by date: state and posteriors, null where `_use` is false.
-
-    Only the date, the features and the two flags go through Arrow. A key without rows to fit on has no row.
-    """
-    columns, keys = list(columns), list(keys)
+    columns, keys, d = list(columns), list(keys), len(list(columns))
+    stats = [F.array(*[F.avg(c) for c in columns]).alias("center"), F.array(*[F.stddev_pop(c) for c in columns]).alias("spread")]
+    packed = _packed(rows.select(*keys, "date", *columns), keys, *stats)
+    packed = packed.withColumn("spread", F.transform("spread", lambda s: F.when(s == 0, 1.0).otherwise(s)))
+    packed = packed.withColumn("_xs", F.transform("_rows", _point(columns, F.col("center"), F.col("spread"))))
+    packed = packed.select(*keys, "center", "spread", F.flatten("_xs").alias("points"), F.flatten(lloyd(F.col("_xs"), d)).alias("centers"))
+    made = {
+        "state": pa.int32(), "start": pa.float64(), "trans": pa.list_(pa.float64()), "mean": pa.list_(pa.float64()),
+        "cov": pa.list_(pa.float64()), "log_likelihood": pa.float64(), "steps": pa.int32(),
+    }
+    kept = [*keys, "center", "spread"]
+
+    def run(batches):
+        for batch in batches:
+            out = {n: [] for n in made}
+            points, centers = batch.column("points"), batch.column("centers")
+            for k in range(batch.num_rows):
+                x, c = (v[k].values.to_numpy(zero_copy_only=False).reshape(-1, d) for v in (points, centers))
+                start, trans, mean, cov, like, count = _estimate(x, c, steps, tolerance)
+                values = (range(STATES), start, trans, mean, cov.reshape(STATES, -1), [like] * STATES, [count] * STATES)
+                for n, v in zip(made, values, strict=True):
+                    out[n] += list(v)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), STATES))
+            columns_out = [batch.column(c).take(at) for c in kept] + [pa.array(out[n], t) for n, t in made.items()]
+            yield pa.RecordBatch.from_arrays(columns_out, [*kept, *made])
+
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    rest = ", state int, start double, trans array<double>, mean array<double>, cov array<double>, log_likelihood double, steps int"
+    return packed.mapInArrow(run, schema + rest)
+
+
+def _point(columns, center: Column, spread: Column) -> Callable[[Column], Column]:
+    return lambda r: F.array(*[(r[c] - center[i]) / spread[i] for i, c in enumerate(columns)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        use, fit = pdf["_use"].to_numpy(bool), pdf["_fit"].to_numpy(bool)
-        if not fit.any():
-            return pd.DataFrame(columns=[*keys, "states", "posteriors"])
-        center, spread, start, trans, means, covs, _ = _fit_raw(pdf.loc[fit, columns].to_numpy(float))
-        state, prob = _decoded((pdf.loc[use, columns].to_numpy(float) - center) / spread, start, trans, means, covs)
-        states, posteriors = [None] * len(pdf), [None] * len(pdf)
-        for at, s, p in zip(np.flatnonzero(use), state, prob):
-            states[at], posteriors[at] = int(s), p.tolist()
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "states": [states], "posteriors": [posteriors]})
 
-    schema = _key_schema(rows, keys) + ", states array<int>, posteriors array<array<double>>"
-    return rows.select(*keys, "date", *columns, "_use", "_fit").groupBy(*keys).applyInPandas(run, schema)
-
-
-def fit_hmm(rows: DataFrame, columns, keys=KEYS) -> DataFrame:
-    """Model table, one row per (key, state)."""
+def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
+    """Rows plus `state` (best path) and p0..p2 (posteriors); NULL where `_use` is false or the key has no model."""
     columns, keys = list(columns), list(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        center, spread, start, trans, means, covs, path = _fit_raw(pdf.sort_values("date")[columns].to_numpy(float))
-        return pd.DataFrame(
-            {
-                **{k: [pdf[k].iloc[0]] * STATES for k in keys},
-                "state": range(STATES),
-                "start": start,
-                "trans": trans.tolist(),
-                "mean": means.tolist(),
-                "cov": covs.reshape(STATES, -1).tolist(),
-                "center": [center.tolist()] * STATES,
-                "spread": [spread.tolist()] * STATES,
-                "log_likelihood": path[-1],
-                "steps": len(path),
-            }
-        )
-
-    schema = _key_schema(rows, keys) + (
-        ", state int, start double, trans array<double>, mean array<double>, cov array<double>, "
-        "center array<double>, spread array<double>, log_likelihood double, steps int"
+    state = F.struct("state", "start", "trans", "mean", "cov")
+    whole = model.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(state)).alias("_s"), F.first("center").alias("_center"), F.first("spread").alias("_spread")
     )
-    return rows.select(*keys, "date", *columns).groupBy(*keys).applyInPandas(fit, schema)
+    part = lambda name: F.transform("_s", lambda s: s[name])
+    made = F.struct(part("start").alias("start"), F.flatten(part("trans")).alias("trans"), part("mean").alias("mean"), part("cov").alias("cov"))
+    whole = whole.select(*keys, "_center", "_spread", made.alias("_model"))
+    return _decoded(_packed(rows, keys).join(whole, keys, "left"), rows, columns, keys)
 
 
-def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
-    """Rows plus `state` (best path) and p0..p2 (posteriors); NULL where `_use` is false or the key has no model."""
-    columns, keys = list(columns), list(keys)
-    names = rows.columns
-
-    def run(pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        state = pd.Series([None] * len(pdf), dtype="Int32")
-        prob = np.full((len(pdf), STATES), np.nan)
-        use = pdf["_use"].to_numpy(bool)
-        if len(fitted) and use.any():
-            m = fitted.sort_values("state")
-            x = (pdf.loc[use, columns].to_numpy(float) - np.array(m["center"].iloc[0])) / np.array(m["spread"].iloc[0])
-            means = np.array(m["mean"].tolist())
-            covs = np.array(m["cov"].tolist()).reshape(STATES, x.shape[1], x.shape[1])
-            start, trans = m["start"].to_numpy(float), np.array(m["trans"].tolist())
-            state[use], prob[use] = _decoded(x, start, trans, means, covs)
-        pdf["state"] = state
-        for k in range(STATES):
-            pdf[f"p{k}"] = pd.array(prob[:, k], dtype="Float64")
-            pdf.loc[~use | (len(fitted) == 0), f"p{k}"] = pd.NA
-        return pdf
-
-    schema = _key_schema(rows, names) + ", state int, p0 double, p1 double, p2 double"
-    return rows.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(run, schema)
+def stated_model(df: DataFrame, columns, parameters: dict, keys=KEYS) -> DataFrame:
+    """A model table with the same `parameters` (start, trans, mean, cov of standardised features) for every key that has `_fit` rows.
+
+    Only the standardisation is the key's own.
+    """
+    number = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    states = [
+        F.struct(
+            F.lit(k).alias("state"),
+            F.lit(float(parameters["start"][k])).alias("start"),
+            number(parameters["trans"][STATES * k : STATES * (k + 1)]).alias("trans"),
+            number(parameters["mean"][k]).alias("mean"),
+            number(parameters["cov"][k]).alias("cov"),
+        )
+        for k in range(STATES)
+    ]
+    spread = F.array(*[F.stddev_pop(c) for c in columns])
+    stats = df.filter("_fit").groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("center"), spread.alias("spread"))
+    stats = stats.withColumn("spread", F.transform("spread", lambda x: F.when(x == 0, 1.0).otherwise(x)))
+    return stats.withColumn("_s", F.explode(F.array(*states))).select(*keys, "_s.*", "center", "spread")

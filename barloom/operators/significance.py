@@ -5,16 +5,19 @@ from __future__ import annotations
 from math import sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import series
+from ..functions.frames import series, spread
+from ..functions.lineage import settle
 from ..functions.numeric import coefficients, expected_max_factor, inverse, normal_cdf, sandwich_errors, two_sided_p
 from ..settings import DEFAULTS, Settings
 from .performance import RUN, histogram
 
 LEAST = 30
+#: Resamples of a run that one row of work covers.
+SAMPLE_BLOCK = 250
 
 
 def moments(returns: DataFrame, cfg: Settings = DEFAULTS, rf: float = 0.0) -> DataFrame:
@@ -59,11 +62,38 @@ def deflated_sharpe(returns: DataFrame, n_trials: int = 10, rf: float = 0.0, cfg
     return df.withColumn("expected_max_sharpe", best).withColumn("dsr", _psr(F.col("expected_max_sharpe"), cfg))
 
 
+#: The prime modulus and the multipliers of the draws.
+PRIME, STEP, SPREAD_RUN, SPREAD_SAMPLE = 2**31 - 1, 48271, 742938285, 1226874159
+#: A variance below this share of the mean square is rounding: all draws were equal.
+EQUAL_DRAWS = 1e-14
+
+
+def run_number(run: Column) -> Column:
+    """28 bits that stand for a run: the first seven hex digits of its name's MD5."""
+    return F.conv(F.substring(F.md5(run.cast("string")), 1, 7), 16, 10).cast("long")
+
+
+def first_state(run: np.ndarray, sample: np.ndarray, seed: int) -> np.ndarray:
+    """Where the draws of a sample start: never zero, and not linear in the sample."""
+    mixed = (((run + seed) % PRIME + 1) * SPREAD_RUN) % PRIME
+    mixed = ((mixed + sample + 1) * SPREAD_SAMPLE) % PRIME
+    mixed = mixed ^ (mixed >> 15)
+    return 1 + (mixed * SPREAD_RUN) % (PRIME - 1)
+
+
+def powers(n: int) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    for k in range(1, n):
+        out[k] = out[k - 1] * STEP % PRIME
+    return out
+
+
 def bootstrap(returns: DataFrame, resamples: int = 5000, rf: float = 0.0, seed: int = 42, cfg: Settings = DEFAULTS) -> DataFrame:
     """(run_id, sample, sharpe): resampled Sharpe ratios.
 
-    Each run's returns (one per day) form one array; its draws stream through NumPy in slices, so a task holds
-    a few thousand resamples at a time. The generator and seed fix the draws.
+    Draw k of a sample is the place state * STEP^k mod PRIME * n div 2^31 among the run's n returns in order of date, with the
+    state of `first_state`: plain integers, which any engine repeats. A run's returns (one a day) form one array, its samples
+    are dealt to tasks in blocks of `SAMPLE_BLOCK`; a task draws one block at a time and keeps two sums of each sample.
     """
     item = F.struct("date", "ret")
     packed = (
@@ -71,26 +101,33 @@ def bootstrap(returns: DataFrame, resamples: int = 5000, rf: float = 0.0, seed:
         .groupBy(*RUN)
         .agg(F.sort_array(F.collect_list(item)).alias("all"))
         .filter(F.size("all") >= LEAST)
-        .select(*RUN, F.transform("all", lambda x: x["ret"]).alias("r"))
+        .select(*RUN, F.transform("all", lambda x: x["ret"]).alias("r"), run_number(F.col(RUN[0])).alias("number"))
     )
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit((resamples - 1) // SAMPLE_BLOCK).cast("long"))
+    rows = spread(packed.withColumn("block", F.explode(blocks)), *RUN, "block")
     scale = sqrt(cfg.trading_days)
-    run_type = dict(returns.dtypes)["run_id"]
 
     def draw(batches):
+        known = powers(1)
         for batch in batches:
-            for run, r in zip(batch["run_id"], batch["r"]):
-                r = np.asarray(r, float)
+            run, number, block = batch.column(RUN[0]), batch.column("number").to_numpy(), batch.column("block").to_numpy()
+            values = batch.column("r")
+            for k in range(batch.num_rows):
+                r = values[k].values.to_numpy()
                 n = len(r)
-                rng = np.random.default_rng(seed)
-                slice_rows = max(1, min(resamples, 2_000_000 // n))
-                for at in range(0, resamples, slice_rows):
-                    picked = r[rng.integers(0, n, size=(min(slice_rows, resamples - at), n))]
-                    sd = picked.std(axis=1, ddof=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        value = np.where(sd > 0, (picked.mean(axis=1) - rf) / sd * scale, 0.0)
-                    yield pd.DataFrame({"run_id": run, "sample": np.arange(at, at + len(value)), "sharpe": value})
+                if len(known) < n:
+                    known = powers(n)
+                sample = np.arange(block[k] * SAMPLE_BLOCK, min((block[k] + 1) * SAMPLE_BLOCK, resamples))
+                state = first_state(number[k], sample, seed)
+                picked = r[(state[:, None] * known[None, :n] % PRIME) * n >> 31]
+                mean, square = picked.mean(axis=1), (picked**2).sum(axis=1)
+                variance = (square - n * mean * mean) / (n - 1)
+                some = variance > EQUAL_DRAWS * square / n
+                sharpe = np.where(some, (mean - rf) / np.sqrt(np.where(some, variance, 1.0)) * scale, 0.0)
+                of = run.take(pa.array(np.full(len(sample), k)))
+                yield pa.RecordBatch.from_arrays([of, pa.array(sample), pa.array(sharpe)], [RUN[0], "sample", "sharpe"])
 
-    return packed.mapInPandas(draw, f"run_id {run_type}, sample long, sharpe double")
+    return rows.mapInArrow(draw, f"{RUN[0]} {dict(returns.dtypes)[RUN[0]]}, sample long, sharpe double")
 
 
 def bootstrap_interval(samples: DataFrame, level: float = 0.95) -> DataFrame:
@@ -119,11 +156,12 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     """OLS of y on a constant and `xs` per key, with heteroskedasticity- and autocorrelation-robust errors.
 
     Returns arrays `coef`, `se`, `t`, `p` (constant first) plus n, lags, ss_res, ss_tot, mean_y, mean_resid, means.
-    Cross products are ordinary sums combined map-side; only k x k matrices reach Python, one per key.
+    Cross products are ordinary sums combined map-side, the k x k matrix of a key is solved by array folds. The aligned rows
+    and the fits are written to the shared folder once, as each is read several times.
     """
     k = len(xs) + 1
     data = rows.select(*keys, "date", F.col(y).alias("_y"), *[F.col(x).alias(f"_x{i + 1}") for i, x in enumerate(xs)])
-    data = data.dropna().withColumn("_x0", F.lit(1.0))
+    data = settle(data.dropna()).withColumn("_x0", F.lit(1.0))
     x = [F.col(f"_x{i}") for i in range(k)]
     fit = data.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -134,9 +172,10 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     )
     rule = F.greatest(F.floor(4 * F.pow(F.col("n") / 100, F.lit(2.0 / 9))), F.lit(1))
     fit = fit.filter(F.col("n") >= least).withColumns(
-        {"lags": (F.lit(lags) if lags else rule).cast("int"), "inv": inverse("_xx")}
+        {"lags": (F.lit(lags) if lags else rule).cast("int"), "inv": inverse(F.col("_xx"), k)}
     )
-    fit = fit.withColumn("coef", coefficients("inv", "_xy")).drop("_xx", "_xy").filter(F.col("coef").isNotNull())
+    fit = fit.withColumn("coef", coefficients(F.col("inv"), F.col("_xy"))).drop("_xx", "_xy").filter(F.col("coef").isNotNull())
+    fit = settle(fit)
 
     df = data.join(fit.select(*keys, "coef", "lags", "mean_y"), list(keys))
     df = df.withColumn("_e", F.col("_y") - sum((F.col("coef")[i] * x[i] for i in range(k)), F.lit(0.0)))
@@ -158,7 +197,7 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     )
     both = F.zip_with("_own", "_crossed", lambda a, b: a + b)
     meat = own.join(crossed, list(keys), "left").withColumn("omega", F.coalesce(both, "_own")).drop("_own", "_crossed")
-    out = fit.join(meat, list(keys)).withColumn("se", sandwich_errors("inv", "omega")).drop("inv", "omega")
+    out = fit.join(meat, list(keys)).withColumn("se", sandwich_errors(F.col("inv"), F.col("omega"), k)).drop("inv", "omega")
     ratio_of = lambda c, s: F.coalesce(c / F.nullif(s, F.lit(0.0)), F.lit(0.0))
     return out.withColumn("t", F.zip_with("coef", "se", ratio_of)).withColumn("p", F.transform("t", two_sided_p))
 

@@ -62,9 +62,9 @@ def slices(panel: DataFrame, windows: DataFrame) -> DataFrame:
     return kept.drop("_month", "train_start", "train_end", "test_end", "_train", "_test")
 
 
-def out_of_sample(features: DataFrame, windows: DataFrame, method: str = "hmm", cfg: Settings = DEFAULTS) -> DataFrame:
+def out_of_sample(features: DataFrame, windows: DataFrame, method: str = "hmm", cfg: Settings = DEFAULTS, parameters: dict | None = None) -> DataFrame:
     """Signals on test rows only: regimes are fitted on each window's train rows, signals run over both parts."""
-    labelled = regime.label(slices(features, windows), method, KEYS, F.col("is_train"))
+    labelled = regime.label(slices(features, windows), method, KEYS, F.col("is_train"), parameters)
     return signals.signals(labelled, cfg, KEYS).filter("is_test")
 
 

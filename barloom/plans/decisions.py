@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch
 from ..operators import regime as rg
 from ..operators import regime_models as rm
 from ..operators import signals as sg
 from ..operators.indicators import indicators
 from ..operators.returns import prepare
 from ..sources import panels
+from ..sources.bars import cluster_bars
 from . import decision_sql  # noqa: F401
+from . import regime_sql as rs
 from .common import big, r, rnd, sql
 from .decision_sql import NAME, USABLE
 from .prices import features
@@ -80,7 +83,19 @@ def _(spark, sf):
     return rg.standardise(rows, rg.KMEANS_FEATURES).select(*KEY, *[rnd(f"z_{c}", 6) for c in rg.KMEANS_FEATURES])
 
 
-@register("REG4_kmeans_regime")
+rs.kmeans_ctes("k_", "feat")
+rs.kmeans_ctes("kt_", "feat", "date < DATE '1999-06-01'")
+rs.hmm_ctes("h_", "feat")
+rs.hmm_ctes("ht_", "feat", "date < DATE '1999-06-01'")
+rs.hmm_ctes("dh_", "d_feat")
+rs.hmm_ctes("bh_", "b_feat")
+rs.marked("m_", "feat", rg.HMM_FEATURES, 1)
+rs.em_ctes("m_", 3)
+GIVEN = {"start": rs.START, "trans": rs.TRANS, "mean": rs.MEAN, "cov": rs.COV}
+_named = "SELECT instrument, date, CAST(Regime AS BIGINT) AS Regime, Regime_Label"
+
+
+@register("REG4_kmeans_regime", f"{_named} FROM k_kmeans")
 def _(spark, sf):
     return rg.kmeans_regime(features(spark, sf)).select(*KEY, big("Regime"), "Regime_Label")
 
@@ -114,6 +129,26 @@ def _(spark, sf):
     )
 
 
+@register(
+    "REG8_three_em_steps",
+    f"""SELECT instrument, CAST(k AS BIGINT) AS state, {r('s[k + 1]', 6, 'start')}, {', '.join(r(f't[3 * k + {j + 1}]', 6, f'to_{j}') for j in range(3))}, {', '.join(r(f'u[{j + 1}]', 6, f'mean_{j}') for j in range(3))},
+{', '.join(r(f'v[{j + 1}]', 6, f'cov_{j}') for j in range(9))}, {r('like_', 4, 'log_likelihood')}, CAST(steps AS BIGINT) AS steps
+FROM ({' UNION ALL '.join(f'SELECT instrument, {k} AS k, s, t, u{k} AS u, v{k} AS v, like_, steps FROM m_fit3' for k in range(3))})""",
+)
+def _(spark, sf):
+    rows = rg.usable(features(spark, sf), rg.HMM_FEATURES)
+    flat = lambda name, n: [rnd(F.col(name)[j], 6, f"{label}_{j}") for j in range(n) for label in ({"trans": "to"}.get(name, name),)]
+    return rm.fit_hmm(rows, rg.HMM_FEATURES, steps=3).select(
+        "instrument", big("state"), rnd("start", 6), *flat("trans", 3), *flat("mean", 3), *flat("cov", 9), rnd("log_likelihood", 4), big("steps")
+    )
+
+
+@register("REG9_given_model_decode", f"SELECT instrument, date, CAST(state AS BIGINT) AS state, {r('p0', 6)}, {r('p1', 6)}, {r('p2', 6)} FROM h_dec")
+def _(spark, sf):
+    _, decoded = rg.decode_hmm(features(spark, sf), parameters=GIVEN)
+    return decoded.filter("_use").select(*KEY, big("state"), *[rnd(f"p{k}", 6) for k in range(3)])
+
+
 @register("REG9_hmm_decode")
 def _(spark, sf):
     _, decoded = rg.decode_hmm(features(spark, sf))
@@ -164,6 +199,36 @@ def _(spark, sf):
     return rg.model_transitions(model, decoded).withColumn("probability", rnd("probability", 6))
 
 
+_ranks = "SELECT DISTINCT instrument, r0, r1, r2 FROM h_ord"
+_cells = " UNION ALL ".join(
+    f"SELECT instrument, r{a} AS a, r{b} AS b, {rs.TRANS[3 * a + b] / sum(rs.TRANS[3 * a : 3 * a + 3])!r}::DOUBLE AS p FROM ({_ranks})" for a in range(3) for b in range(3)
+)
+
+
+@register("REG12_given_transition_matrix", f"SELECT instrument, {NAME.format('a')} AS from_regime, {NAME.format('b')} AS to_regime, {r('p', 6, 'probability')} FROM ({_cells})")
+def _(spark, sf):
+    model, decoded = rg.decode_hmm(features(spark, sf), parameters=GIVEN)
+    return rg.model_transitions(model, decoded).withColumn("probability", rnd("probability", 6))
+
+
+@register("REG13_given_model_train_label_all", f"{_named}, {r('Regime_Prob_Bear', 6)}, {r('Regime_Prob_Bull', 6)} FROM ht_hmm")
+def _(spark, sf):
+    df = features(spark, sf).withColumn("is_train", F.col("date") < F.lit("1999-06-01").cast("date"))
+    out = rg.hmm_regime(df, train=F.col("is_train"), parameters=GIVEN)
+    return out.select(*KEY, big("Regime"), "Regime_Label", rnd("Regime_Prob_Bear", 6), rnd("Regime_Prob_Bull", 6))
+
+
+@register("REG14_given_model_short_history", "SELECT instrument, date, CAST(Regime AS BIGINT) AS Regime, Regime_Prob_Bull IS NOT NULL AS fitted FROM dh_hmm")
+def _(spark, sf):
+    out = rg.hmm_regime(indicators(prepare(panels.defective_bars(spark, sf))), parameters=GIVEN)
+    return out.select(*KEY, big("Regime"), F.col("Regime_Prob_Bull").isNotNull().alias("fitted"))
+
+
+@register("REG15_given_model_benchmark", "SELECT instrument, max(date) AS as_of, max_by(Regime_Label, date) AS Regime_Label FROM bh_hmm WHERE Regime_Label IS NOT NULL GROUP BY instrument")
+def _(spark, sf):
+    return rg.latest_label(rg.hmm_regime(indicators(prepare(panels.benchmark_bars(spark, sf))), parameters=GIVEN))
+
+
 @register("REG13_fit_train_label_all")
 def _(spark, sf):
     df = features(spark, sf).withColumn("is_train", F.col("date") < F.lit("1999-06-01").cast("date"))
@@ -171,7 +236,7 @@ def _(spark, sf):
     return out.select(*KEY, big("Regime"), "Regime_Label", rnd("Regime_Prob_Bear", 6), rnd("Regime_Prob_Bull", 6))
 
 
-@register("REG13_kmeans_fit_train_label_all")
+@register("REG13_kmeans_fit_train_label_all", f"{_named} FROM kt_kmeans")
 def _(spark, sf):
     df = features(spark, sf).withColumn("is_train", F.col("date") < F.lit("1999-06-01").cast("date"))
     return rg.kmeans_regime(df, train=F.col("is_train")).select(*KEY, big("Regime"), "Regime_Label")
@@ -285,6 +350,17 @@ def latest_signals(spark, sf):
     )
 
 
+@register(
+    "SRC1_bucketed_latest_signals",
+    f"SELECT instrument, date, CAST(Signal AS BIGINT) AS Signal, {r('Confidence', 6)}, Signal_Strength, Regime_Label FROM newest_sig",
+)
+def bucketed_latest_signals(spark, sf):
+    """From bars written in buckets by instrument: indicators, regimes and signals need no exchange."""
+    bars = cluster_bars(panels.daily_bars(spark, sf), scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    signals = sg.signals(rg.rule_regime(indicators(prepare(bars))))
+    return sg.latest(signals).select(*KEY, big("Signal"), rnd("Confidence", 6), "Signal_Strength", "Regime_Label")
+
+
 _carry = lambda c: f"last_value({c} IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 decision_sql.cte("recent_days", "SELECT DISTINCT date FROM sig ORDER BY date DESC LIMIT 30")
 

@@ -10,8 +10,10 @@ from ..operators import performance as perf
 from ..operators import walkforward as wf
 from ..sources import panels
 from . import decision_sql  # noqa: F401
+from . import regime_sql as rs
 from .common import big, cte, r, rnd, sql
 from .decision_sql import NAME, signals_ctes
+from .decisions import GIVEN
 from .prices import features
 from .price_sql import full
 from .runs import RATIO, metric_sql
@@ -86,6 +88,17 @@ def _(spark, sf):
     return test_signals(spark, sf).select(big("window_id"), "instrument", "date", "Regime_Label", big("Signal"), rnd("Confidence", 6), rnd("Stop_Loss", 5))
 
 
+rs.hmm_ctes("wh_", "sliced", "is_train")
+signals_ctes("wg_", "wh_hmm", "Regime_Prob_Bull")
+
+
+@register("WF3_given_model_signals", f"SELECT CAST(window_id AS BIGINT) AS window_id, name AS instrument, date, Regime_Label, CAST(Signal AS BIGINT) AS Signal, {r('Confidence', 6)} FROM wg_sig WHERE NOT is_train")
+def _(spark, sf):
+    windows = wf.plan(panels.daily_bars(spark, sf))
+    out = wf.out_of_sample(features(spark, sf), windows, parameters=GIVEN)
+    return out.select(big("window_id"), "instrument", "date", "Regime_Label", big("Signal"), rnd("Confidence", 6))
+
+
 @register("WF3_hmm_signals")
 def _(spark, sf):
     return test_signals(spark, sf, "hmm").select(big("window_id"), "instrument", "date", "Regime_Label", big("Signal"), rnd("Confidence", 6))

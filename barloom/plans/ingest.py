@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import scratch
 from ..operators import quality
 from ..operators.returns import fill_short_gaps
+from ..operators.temporal import asof_join
 from ..sources import bars as store
 from ..sources import calendar as cal
 from ..sources import dimensions as dim
@@ -60,6 +61,26 @@ def _(spark, sf):
     return store.scan_bars(spark, path, universe=funded(spark, sf), start="1996-01-01", end="2000-12-31")
 
 
+_fixed = "date BETWEEN DATE '1998-03-02' AND DATE '1998-03-20' AND CAST(instrument AS BIGINT) % 3 = 1"
+
+
+@register(
+    "SRC2_upserted",
+    f"""SELECT instrument, date, open, high, low, CASE WHEN {_fixed} THEN round(close * 1.01, 4) ELSE close END AS close,
+CASE WHEN {_fixed} THEN volume + 1 ELSE volume END AS volume FROM bars""",
+)
+def _(spark, sf):
+    """A table without the bars since 1998-03-10 (a part of a year) takes them, and corrections of some days before, in two merges."""
+    path = scratch(spark)
+    bars = panels.daily_bars(spark, sf)
+    late = F.col("date") >= F.lit("1998-03-10").cast("date")
+    store.write_bars(bars.filter(~late), path)
+    store.upsert_bars(bars.filter(late), path)
+    corrected = bars.filter(F.expr(_fixed)).withColumns({"close": F.round(F.col("close") * 1.01, 4), "volume": F.col("volume") + 1})
+    store.upsert_bars(corrected, path)
+    return store.scan_bars(spark, path).select(*BAR)
+
+
 @register(
     "SRC2_freshness",
     "SELECT instrument, max(date) AS newest, max(date) < DATE '2001-11-02' AS stale FROM bars GROUP BY instrument",
@@ -157,6 +178,39 @@ def _(spark, sf):
     return _moments(spark, sf).select("event_id", cal.last_trading_day(F.col("t")).alias("trading_date"))
 
 
+cte(
+    "bought",
+    "SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_suppkey AS VARCHAR) AS instrument, CAST(o_orderdate AS DATE) AS date "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+)
+
+
+@register(
+    "CAL3_last_bar_of_order_lines",
+    """SELECT b.l_orderkey, b.l_linenumber, b.l_quantity, b.instrument, b.date, bars.date AS date_found, bars.close, bars.volume
+FROM bought b ASOF LEFT JOIN bars ON b.instrument = bars.instrument AND b.date >= bars.date""",
+)
+def _(spark, sf):
+    """The last bar of each line's supplier on the order's day or before."""
+    orders = panels.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    lines = panels.table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_suppkey").cast("string").alias("instrument"), "date")
+    return asof_join(lines, panels.daily_bars(spark, sf), ["instrument"], "date", ["close", "volume"])
+
+
+@register(
+    "PERF11_last_quote_before_events",
+    """SELECT a.event_id, a.event_type, a.ts, b.ts AS ts_found, b.last_price
+FROM events a ASOF LEFT JOIN (SELECT event_type, ts, max(value) AS last_price FROM events WHERE event_id % 3 = 0 GROUP BY ALL) b
+ON a.event_type = b.event_type AND a.ts >= b.ts""",
+)
+def _(spark, sf):
+    """Every third event is a quote; each event gets the last quote of its type: few keys, each with a large share of all rows."""
+    events = panels.table(spark, sf, "events")
+    quotes = events.filter("event_id % 3 = 0").select("event_type", "ts", F.col("value").alias("last_price"))
+    return asof_join(events.select("event_id", "event_type", "ts"), quotes, ["event_type"], "ts", ["last_price"], slice_days=1)
+
+
 @register(
     "CAL4_market_status",
     f"""SELECT event_id, CASE WHEN {_open} THEN 'MARKETS OPEN' WHEN d IN ({_closed}) THEN 'MARKETS CLOSED — ' || CASE d {_names} END

@@ -13,7 +13,7 @@ from ..operators import significance as sigf
 from ..settings import DEFAULTS
 from ..sources import panels
 from . import price_sql  # noqa: F401
-from .common import big, cte, r, rnd, sql
+from .common import big, cte, pick_sql, r, rnd, sql
 from .ideas import LOG_DIGITS, trades
 from .price_sql import LINE, bars_sql
 
@@ -263,13 +263,42 @@ def _(spark, sf):
     return sigf.moments(returns(spark, sf), rf=RF).select("run_id", rnd("sharpe", 6))
 
 
-@register("STAT2_bootstrap_interval")
+cte(
+    "powers",
+    f"""--recursive
+SELECT 0 AS place, 1::BIGINT AS power UNION ALL SELECT place + 1, power * {sigf.STEP} % {sigf.PRIME} FROM powers WHERE place < 4000""",
+)
+cte("placed", "SELECT run_id, ret, row_number() OVER (PARTITION BY run_id ORDER BY date) - 1 AS place, count(*) OVER (PARTITION BY run_id) AS n FROM eq WHERE ret IS NOT NULL")
+cte(
+    "states",
+    f"""SELECT run_id, n, sample, 1 + xor(m, m >> 15) * {sigf.SPREAD_RUN} % {sigf.PRIME - 1} AS state FROM (
+SELECT run_id, n, sample, (((number + 42) % {sigf.PRIME} + 1) * {sigf.SPREAD_RUN} % {sigf.PRIME} + sample + 1) * {sigf.SPREAD_SAMPLE} % {sigf.PRIME} AS m
+FROM (SELECT run_id, any_value(n) AS n, ('0x' || left(md5(run_id), 7))::BIGINT AS number FROM placed WHERE n >= 30 GROUP BY run_id), range(5000) AS s(sample))""",
+)
+cte(
+    "resampled",
+    f"""SELECT run_id, sample, CASE WHEN v > {sigf.EQUAL_DRAWS!r} * q / n THEN (mean - {RF!r}) / sqrt(v) * {YEAR!r} ELSE 0 END AS sharpe FROM (
+SELECT *, (q - n * mean * mean) / (n - 1) AS v FROM (SELECT s.run_id, sample, any_value(s.n) AS n, avg(ret) AS mean, sum(ret * ret) AS q
+FROM states s JOIN powers p ON p.place < s.n JOIN placed r ON r.run_id = s.run_id AND r.place = (state * power % {sigf.PRIME}) * s.n >> 31 GROUP BY s.run_id, sample))""",
+)
+cte(
+    "interval",
+    "SELECT run_id, quantile_cont(sharpe, 0.025) AS ci_low, quantile_cont(sharpe, 0.975) AS ci_high, count(*) AS n_resamples FROM resampled GROUP BY run_id",
+)
+
+
+@register("STAT2_bootstrap_interval", f"SELECT run_id, {r('ci_low', 6)}, {r('ci_high', 6)}, n_resamples FROM interval")
 def _(spark, sf):
     samples = sigf.bootstrap(returns(spark, sf), 5000, RF)
     return sigf.bootstrap_interval(samples).select("run_id", rnd("ci_low", 6), rnd("ci_high", 6), "n_resamples")
 
 
-@register("STAT3_bootstrap_histogram")
+@register(
+    "STAT3_bootstrap_histogram",
+    f"""SELECT run_id, CAST(bin AS BIGINT) AS bin, count(*) AS n, {r('any_value(lo + bin * (hi - lo) / 50)', 6, 'low')} FROM (
+SELECT *, least(coalesce(floor((sharpe - lo) / nullif(hi - lo, 0) * 50), 0), 49) AS bin FROM (
+SELECT *, min(sharpe) OVER (PARTITION BY run_id) AS lo, max(sharpe) OVER (PARTITION BY run_id) AS hi FROM resampled)) GROUP BY run_id, bin""",
+)
 def _(spark, sf):
     samples = sigf.bootstrap(returns(spark, sf), 5000, RF)
     return sigf.bootstrap_histogram(samples).select("run_id", big("bin"), "n", rnd("low", 6))
@@ -344,7 +373,13 @@ def _(spark, sf):
     )
 
 
-@register("STAT10_full_report")
+@register(
+    "STAT10_full_report",
+    f"""SELECT run_id, {pick_sql(sharpe=6, ci_low=6, ci_high=6, psr=6, dsr=6, expected_max_sharpe=6, alpha_annual=6, t_stat=6, p_value=6)},
+CASE WHEN dsr >= 0.95 THEN 'strong' WHEN dsr >= 0.8 THEN 'borderline' ELSE 'weak' END AS dsr_verdict
+FROM (SELECT run_id, sharpe, ci_low, ci_high, psr, dsr, e_max AS expected_max_sharpe FROM interval JOIN psr USING (run_id)) LEFT JOIN
+(SELECT run_id, alpha * 252 AS alpha_annual, t_stat, 2 * (1 - {cdf_sql('abs(t_stat)')}) AS p_value FROM hac WHERE n > 30) USING (run_id)""",
+)
 def _(spark, sf):
     df = sigf.full_report(returns(spark, sf), bench_returns(spark, sf), rf=RF)
     return df.select("run_id", *[rnd(c, 6) for c in ("sharpe", "ci_low", "ci_high", "psr", "dsr", "expected_max_sharpe", "alpha_annual", "t_stat", "p_value")], "dsr_verdict")

@@ -1,5 +1,7 @@
 """Regime labels: structure recovered on planted series, model invariants, fallbacks."""
 
+from datetime import date, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -42,39 +44,35 @@ def test_posteriors_and_transitions_are_probabilities(features):
     np.testing.assert_allclose(rows["s"], 1.0, atol=1e-9)
 
 
-def test_likelihood_never_falls():
-    pdf = walk("A", 400, 5)
-    r = np.log(pdf["close"]).diff().dropna().to_numpy()
-    x = np.column_stack([r, pd.Series(r).rolling(5).std().bfill(), np.abs(r)])
-    x = (x - x.mean(0)) / x.std(0)
-    path = rm._fit(x)[-1]
-    assert all(b > a - 0.05 for a, b in zip(path, path[1:]))  # the covariance floor may cost a little
+def loop_densities(x, means, covs):
+    out = np.empty((len(x), 3))
+    for k in range(3):
+        z = np.linalg.solve(np.linalg.cholesky(covs[k]), (x - means[k]).T)
+        out[:, k] = -0.5 * (z**2).sum(0) - 0.5 * np.linalg.slogdet(covs[k])[1] - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return out
 
 
-def _loop_posteriors(logb, start, trans):
+def loop_posteriors(logb, start, trans):
+    """Posteriors, expected moves and log likelihood by the plain recursions."""
     b = np.exp(logb)
-    alpha = np.empty_like(b)
-    alpha[0] = start * b[0]
-    for t in range(1, len(b)):
-        alpha[t] = alpha[t - 1] @ trans * b[t]
+    alpha, scale = np.empty_like(b), np.empty(len(b))
+    for t in range(len(b)):
+        alpha[t] = (start if t == 0 else alpha[t - 1] @ trans) * b[t]
+        scale[t] = alpha[t].sum()
+        alpha[t] /= scale[t]
     beta = np.ones_like(b)
     for t in range(len(b) - 2, -1, -1):
         beta[t] = trans @ (b[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
     g = alpha * beta
-    return g / g.sum(1, keepdims=True), np.log(alpha[-1].sum())
+    moves = np.zeros((3, 3))
+    for t in range(len(b) - 1):
+        m = alpha[t][:, None] * trans * (b[t + 1] * beta[t + 1])[None]
+        moves += m / m.sum()
+    return g / g.sum(1, keepdims=True), moves, np.log(scale).sum()
 
 
-def test_block_products_agree_with_the_plain_recursion():
-    rng = np.random.default_rng(1)
-    logb = rng.normal(-1, 1, (37, 3))
-    start = np.array([0.2, 0.5, 0.3])
-    trans = np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.1, 0.3, 0.6]])
-    gamma, pair, like = rm._posteriors(logb, start, trans)
-    want, want_like = _loop_posteriors(logb, start, trans)
-    np.testing.assert_allclose(gamma, want, atol=1e-12)
-    assert like == pytest.approx(want_like)
-    assert pair.sum() == pytest.approx(36)
-    # Best path by dynamic programming.
+def loop_path(logb, start, trans):
     score, back = np.log(start) + logb[0], []
     for t in range(1, len(logb)):
         cand = score[:, None] + np.log(trans)
@@ -83,7 +81,107 @@ def test_block_products_agree_with_the_plain_recursion():
     path = [int(score.argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    assert rm._best_path(logb, start, trans).tolist() == path[::-1]
+    return path[::-1]
+
+
+def loop_lloyd(x):
+    order = np.array(sorted(map(tuple, x)))
+    centers = np.array([p.mean(0) for p in np.array_split(order, 3)])
+    for _ in range(300):
+        near = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([x[near == k].mean(0) if (near == k).any() else centers[k] for k in range(3)])
+        if np.abs(moved - centers).max() < 1e-10:
+            return moved
+        centers = moved
+    return centers
+
+
+def loop_fit(x, steps):
+    means, covs = loop_lloyd(x), np.array([np.cov(x.T) + 0.01 * np.eye(x.shape[1])] * 3)
+    start, trans, path = np.full(3, 1 / 3), np.full((3, 3), 1 / 3), []
+    for _ in range(steps):
+        g, moves, like = loop_posteriors(loop_densities(x, means, covs), start, trans)
+        path.append(like)
+        if len(path) > 1 and path[-1] - path[-2] < 1e-3:
+            break
+        w = g.sum(0) + 1e-12
+        start, trans = g[0], (moves + 1e-12) / (moves + 1e-12).sum(1, keepdims=True)
+        means = g.T @ x / w[:, None]
+        covs = np.array([((g[:, k, None] * (x - means[k])).T @ (x - means[k]) + 0.01 * np.eye(x.shape[1])) / w[k] for k in range(3)])
+    return start, trans, means, covs, path
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(m, s, (n, 3)) for m, s, n in ((0, 1, 60), (2, 0.5, 40), (-2, 0.8, 50))])
+    x = (x - x.mean(0)) / x.std(0)
+    rows = [("A", date(2020, 1, 1) + timedelta(days=k), *map(float, v)) for k, v in enumerate(x)]
+    return x, spark.createDataFrame(rows, "instrument string, date date, a double, b double, c double")
+
+
+def as_model(frame):
+    pdf = frame.orderBy("state").toPandas()
+    covs = np.array(pdf["cov"].tolist()).reshape(3, 3, 3)
+    return pdf["start"].to_numpy(), np.array(pdf["trans"].tolist()), np.array(pdf["mean"].tolist()), covs, pdf
+
+
+def test_lloyd_equals_the_loop(spark, points):
+    x, rows = points
+    df = rows.withColumns({"_fit": F.lit(True), "_use": F.lit(True)})
+    got = rm.cluster_states(df, ["a", "b", "c"]).orderBy("date").toPandas()["state"].to_numpy()
+    centers = loop_lloyd(x)
+    assert (got == ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)).all()
+
+
+def test_clusters_of_few_and_equal_points(spark):
+    for values in ([1.0], [1.0, 1.0], [2.0, 1.0, 1.0, 1.0], []):
+        rows = [("A", date(2020, 1, 1) + timedelta(days=k), v, k % 2 == 0, True) for k, v in enumerate(values)]
+        df = spark.createDataFrame(rows, "instrument string, date date, a double, _fit boolean, _use boolean")
+        got = rm.cluster_states(df, ["a"]).collect()
+        assert len(got) == len(values) and all(r.state in (0, 1, 2) for r in got)
+
+
+@pytest.mark.parametrize("steps", [1, 4, 200])
+def test_fit_equals_the_loop(points, steps):
+    x, rows = points
+    start, trans, mean, cov, pdf = as_model(rm.fit_hmm(rows, ["a", "b", "c"], steps=steps))
+    want = loop_fit(x, steps)
+    for got, w in zip((start, trans, mean, cov), want, strict=False):
+        np.testing.assert_allclose(got, w, rtol=1e-6, atol=1e-8)
+    assert pdf["log_likelihood"].iloc[0] == pytest.approx(want[-1][-1], rel=1e-9) and pdf["steps"].iloc[0] == len(want[-1])
+
+
+def test_likelihood_never_falls(points):
+    _, rows = points
+    path = [rm.fit_hmm(rows, ["a", "b", "c"], steps=n).first()["log_likelihood"] for n in (1, 2, 3, 5, 8, 13)]
+    assert all(b > a - 0.05 for a, b in zip(path, path[1:], strict=False))  # the covariance floor may cost a little
+
+
+def test_decoding_equals_the_loop(spark, points):
+    x, rows = points
+    given = {
+        "start": [0.2, 0.5, 0.3], "trans": [0.8, 0.1, 0.1, 0.2, 0.7, 0.1, 0.1, 0.3, 0.6],
+        "mean": [[-1, 0, 0.5], [0, 0.2, 0], [1, -0.4, 0.1]], "cov": [[1, 0.2, 0, 0.2, 1, 0.1, 0, 0.1, 0.7]] * 3,
+    }
+    df = rows.withColumns({"_fit": F.lit(True), "_use": F.lit(True)})
+    model = rm.stated_model(df, ["a", "b", "c"], given)
+    got = rm.decode(df, model, ["a", "b", "c"]).orderBy("date").toPandas()
+    logb = loop_densities(x, np.array(given["mean"], float), np.array(given["cov"], float).reshape(3, 3, 3))
+    trans = np.array(given["trans"]).reshape(3, 3)
+    np.testing.assert_allclose(got[["p0", "p1", "p2"]].to_numpy(), loop_posteriors(logb, np.array(given["start"]), trans)[0], atol=1e-9)
+    assert got["state"].tolist() == loop_path(logb, np.array(given["start"]), trans)
+    plan = rm.decode(df, model, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_moves_that_cannot_happen_and_single_rows(spark):
+    given = {"start": [1, 0, 0], "trans": [0.5, 0.5, 0, 0, 1, 0, 0, 0, 1], "mean": [[0], [0], [0]], "cov": [[1], [1], [1]]}
+    rows = [("A", date(2020, 1, k), float(k % 3), True, True) for k in range(1, 8)] + [("B", date(2020, 1, 1), 1.0, True, True), ("C", date(2020, 1, 1), 1.0, False, False)]
+    df = spark.createDataFrame(rows, "instrument string, date date, a double, _fit boolean, _use boolean")
+    got = rm.decode(df, rm.stated_model(df, ["a"], given), ["a"]).orderBy("instrument", "date").toPandas()
+    assert set(got["state"].dropna()) <= {0, 1} and got["state"].iloc[0] == 0 and got["state"].iloc[7] == 0
+    assert got["p2"].dropna().eq(0).all() and pd.isna(got["state"].iloc[8])
 
 
 def test_short_series_keep_the_rule(spark):

@@ -6,7 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import regime as rg
+from barloom.operators import signals as sg
 from barloom.operators import walkforward as wf
+from barloom.operators.indicators import indicators
+from barloom.operators.returns import prepare
 from barloom.sources import bars as store
 from barloom.sources import calendar as cal
 from barloom.sources.panels import BARS
@@ -14,7 +18,7 @@ from barloom.sources.panels import BARS
 from .bars import walk
 
 
-def test_round_trip_prunes_years_and_keeps_other_years(spark, tmp_path):
+def test_round_trip_prunes_years(spark, tmp_path):
     path = str(tmp_path / "bars")
     df = spark.createDataFrame(pd.concat([walk("A", 600, 1), walk("B", 600, 2)]), BARS)
     store.write_bars(df, path)
@@ -23,10 +27,82 @@ def test_round_trip_prunes_years_and_keeps_other_years(spark, tmp_path):
     assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(date,2019-01-01)" in plan
-    fixed = df.filter("year(date) = 2019").withColumn("close", F.lit(1.0))
-    store.write_bars(fixed, path)
-    again = store.scan_bars(spark, path)
-    assert again.filter("close = 1.0").count() == fixed.count() and again.count() == df.count()
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_upsert_of_a_part_of_a_year_keeps_the_rest(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    df = spark.createDataFrame(pd.concat([walk("A", 600, 1), walk("B", 600, 2)]), BARS)
+    store.write_bars(df, path)
+    before = df.select("date").distinct().orderBy("date").collect()
+    late = before[300].date
+    week = df.filter((F.col("date") >= F.lit(late)) & (F.col("date") < F.lit(late) + F.expr("INTERVAL 7 DAYS")) & (F.col("instrument") == "A"))
+    fixed = week.withColumn("close", F.lit(1.0))
+    new = spark.createDataFrame(walk("C", 10, 3), BARS)
+    store.upsert_bars(fixed.unionByName(new).unionByName(new.limit(3)), path)
+    want = df.join(fixed.select("instrument", "date"), ["instrument", "date"], "left_anti").unionByName(fixed).unionByName(new)
+    assert same(store.scan_bars(spark, path), want)
+    store.upsert_bars(fixed.unionByName(new), path)  # the same again
+    assert same(store.scan_bars(spark, path), want)
+    store.upsert_bars(df.limit(0), path)
+    assert same(store.scan_bars(spark, path), want)
+
+
+def test_upsert_makes_a_table_and_leaves_other_years_untouched(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    df = spark.createDataFrame(walk("A", 600, 1), BARS)
+    store.upsert_bars(df, path)
+    assert same(store.scan_bars(spark, path), df)
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "bars").rglob("*.parquet")}
+    year = df.agg(F.max(F.year("date"))).first()[0]
+    store.upsert_bars(df.filter(F.year("date") == year).limit(2), path)
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "bars").rglob("*.parquet")}
+    untouched = {f for f in files if f"year={year}" not in f}
+    assert untouched and all(after[f] == files[f] for f in untouched)
+
+
+def test_upsert_is_repeatable_after_a_lost_job(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bars")
+    df = spark.createDataFrame(walk("A", 300, 1), BARS)
+    store.write_bars(df, path)
+    fixed = df.filter("month(date) = 3").withColumn("close", F.lit(1.0))
+    want = df.join(fixed.select("instrument", "date"), ["instrument", "date"], "left_anti").unionByName(fixed)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    keep = store._set_state
+    monkeypatch.setattr(store, "_set_state", lambda s, p, state: lost() if state == "ready" else keep(s, p, state))
+    with pytest.raises(RuntimeError):  # staged, not yet marked: the table is as it was
+        store.upsert_bars(fixed, path)
+    assert same(store.scan_bars(spark, path), df)
+    monkeypatch.setattr(store, "_set_state", lambda s, p, state: lost() if state == "applied" else keep(s, p, state))
+    with pytest.raises(RuntimeError):  # marked and carried over, but not noted as done
+        store.upsert_bars(fixed, path)
+    monkeypatch.setattr(store, "_set_state", keep)
+    # as if the carrying over had been lost in between
+    store._by_year(df.limit(5)).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    store.recover_bars(spark, path)
+    assert same(store.scan_bars(spark, path), want)
+    store.upsert_bars(fixed, path)
+    assert same(store.scan_bars(spark, path), want)
+
+
+def test_bucketed_bars_need_no_exchange(spark, tmp_path):
+    df = spark.createDataFrame(pd.concat([walk("A", 300, 1), walk("B", 300, 2), walk("C", 300, 3)]), BARS)
+    names = len(spark.catalog.listTables())
+    bars = store.cluster_bars(df, str(tmp_path / "bucketed"), 4)
+    assert len(spark.catalog.listTables()) == names  # nothing stays in the catalog
+    latest = sg.latest(sg.signals(rg.rule_regime(indicators(prepare(bars)))))
+    assert latest.count() == 3
+    assert "Exchange" not in latest._jdf.queryExecution().optimizedPlan().toString()
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    other = sg.latest(sg.signals(rg.rule_regime(indicators(prepare(df)))))
+    assert same(latest, other)
 
 
 def test_csv_scan_uses_the_fixed_schema(spark, tmp_path):
