@@ -1,202 +1,44 @@
-"""Quality rules: base counts, and perplexity bands of word bigram models with modified Kneser-Ney smoothing.
+"""Quality rules: base counts, and perplexity bands of character models with modified Kneser-Ney smoothing.
 
-Words are whole and unfolded, so the models grow with the corpus: no part of them is broadcast or held on one machine.
-The character model (`trigrams` to `train`) is of constant size; quality_rules doesn't use it.
+The models are of `ORDER` unfolded characters, counted and smoothed by Spark joins and aggregations; they grow with the corpus, and no part of
+them is broadcast or held on one machine.
 """
 
 from __future__ import annotations
 
 import hashlib
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import WORD_TEXT, documents, fresh, scratch, settle, slices, small
 
-#: Characters are folded to 32 symbols: 26 base letters, other letters, digits, blanks, line ends, points, signs.
-SYMBOLS = 32
-OTHER, DIGIT, BLANK, LINE, POINT, SIGN = range(26, 32)
-POINTS = ".,;:!?'\"()-"
 MARKS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A band reaches this many interquartile ranges (of at least the given width, in nats a word) beyond the quartiles:
+#: A band reaches this many interquartile ranges (of at least the given width, in nats a character) beyond the quartiles:
 #: Tukey's outer fence.
 FENCES = 3.0
-LEAST_RANGE = 0.15
-#: Bytes of text that a batch of the token table covers, and words for each of the models' hash partitions.
+LEAST_RANGE = 0.02
+#: Characters of a gram, 16 bits each.
+ORDER = 4
+#: Bytes of text that a batch of the text table covers.
 BATCH = 8_000_000
-PART_WORDS = 3_000_000
 #: Scores are rounded so that neither they nor the quartiles depend on how rows are partitioned.
 DIGITS = 5
 
 
-@cache
-def _symbol_table() -> np.ndarray:
-    """The symbol of every code point below 65,536; the last entry stands for those above."""
-    out = np.full(65_537, SIGN, np.uint8)
-    for cp in range(65_536):
-        ch = chr(cp)
-        if ch == "\n":
-            out[cp] = LINE
-        elif ch.isspace() or cp < 32:
-            out[cp] = BLANK
-        elif ch.isalpha():
-            base = unicodedata.normalize("NFD", ch)[0].lower()[0]
-            out[cp] = ord(base) - 97 if "a" <= base <= "z" else OTHER
-        elif ch.isnumeric():
-            out[cp] = DIGIT
-        elif ch in POINTS:
-            out[cp] = POINT
-    return out
-
-
-def trigrams(text: str | None) -> np.ndarray:
-    """Codes of all trigrams of the folded text, between two line ends before and one behind."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.full(len(points) + 3, LINE, np.int32)
-    s[2:-1] = _symbol_table()[np.minimum(points, 65_536)]
-    return (s[:-2] << 10) | (s[1:-1] << 5) | s[2:]
-
-
 def language(lang: str) -> F.Column:
     """The language as it stands in the table, in lower case and up to its first hyphen or underscore; `und` for none."""
     found = F.regexp_extract(F.trim(F.lower(F.coalesce(F.col(lang), F.lit("")))), "^[^-_]+", 0)
     return F.when(found == "", F.lit("und")).otherwise(found)
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts of docs(lang, text): each task sums its own rows, Spark the rest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
-            sums.clear()
-
-        for batch in slices(batches, "text"):
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(trigrams(text))
-            for lang, codes in by.items():
-                sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(codes), minlength=SYMBOLS**3)
-            if len(sums) > 64:
-                yield from out()
-        yield from out()
-
-    return docs.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def key(order: int, code: np.ndarray) -> np.ndarray:
-    """64-bit hash of a gram."""
-    x = (np.asarray(code).astype(np.uint64) << np.uint64(2)) + np.uint64(order)
-    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The three discounts from the numbers of grams seen once to four times; plain ones where too few grams are rare."""
-    return discounts(*(int((counts == k).sum()) for k in range(1, 5)))
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    if min(n1, n2, n3, n4) == 0:
-        return np.array([0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, 0.05, [0.95, 1.9, 2.9])
-
-
-def smooth(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted gram hashes with log probability, and log backoff weight where the gram is a context."""
-    levels = [(gram, n)]
-    for order in (2, 1):
-        codes = levels[-1][0] & (SYMBOLS**order - 1)
-        levels.append(np.unique(codes, return_counts=True))
-    below, hashes, logs, backs = np.full(1, 1 / SYMBOLS), [], [], []
-    weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for order, (codes, counts) in zip((1, 2, 3), reversed(levels), strict=True):
-        d = _discounts(counts)[np.minimum(counts, 3) - 1]
-        contexts = codes >> 5
-        size = SYMBOLS ** (order - 1)
-        total = np.bincount(contexts, counts, size)
-        gamma = np.bincount(contexts, d, size) / np.maximum(total, 1)
-        lower = below[codes & (SYMBOLS ** (order - 1) - 1)] if order > 1 else np.full(len(codes), 1 / SYMBOLS)
-        p = (counts - d) / total[contexts] + gamma[contexts] * lower
-        seen = np.flatnonzero(total)
-        weights[order - 1] = (seen, gamma[seen])
-        dense = np.where(total > 0, gamma, 1.0).repeat(SYMBOLS) * np.resize(below if order > 1 else [1 / SYMBOLS], size * SYMBOLS)
-        dense[codes] = p
-        below = dense
-        hashes.append(key(order, codes))
-        logs.append(np.log(p))
-        backs.append(np.zeros(len(codes)))
-    for order in (0, 1, 2):
-        contexts, gamma = weights[order]
-        at = {int(h): i for i, h in enumerate(hashes[order - 1])} if order else {}
-        extra = []
-        for h, g, c in zip(key(order, contexts), np.log(gamma), contexts, strict=True):
-            if int(h) in at:
-                backs[order - 1][at[int(h)]] = g
-            else:
-                extra.append((h, g, c))
-        if extra:  # the empty context, or one that never ends a gram of its own order: a weight, but no probability
-            hashes.append(np.array([h for h, _, _ in extra], np.uint64))
-            logs.append(np.full(len(extra), np.nan))
-            backs.append(np.array([g for _, g, _ in extra]))
-    h, p, b = np.concatenate(hashes), np.concatenate(logs), np.concatenate(backs)
-    order_ = np.argsort(h)
-    return h[order_], p[order_].astype(np.float32), b[order_].astype(np.float32)
-
-
-def expand(hashes: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
-    """Log probability of each of the 32,768 trigrams, looked up in the sorted arrays with backing off."""
-
-    def find(order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = key(order, codes)
-        at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-        hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-        return hit, at
-
-    below = np.full(1, -np.log(SYMBOLS))
-    for order in (1, 2, 3):
-        codes = np.arange(SYMBOLS**order)
-        hit, at = find(order, codes)
-        out = below[codes & (SYMBOLS ** (order - 1) - 1)].copy()
-        context, where = find(order - 1, codes >> 5)
-        out[context] += backs[where[context]]
-        known = hit & ~np.isnan(logs[at]) if len(hashes) else hit
-        out[known] = logs[at[known]]
-        below = out
-    return below
-
-
-def train(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A model for each lang of docs(lang, text): at most 677 subtags of at most 33,825 grams of 16 bytes."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("gram")
-        arrays = smooth(rows["gram"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"lang": rows["lang"].iloc[:1], **{k: [a.tobytes()] for k, a in zip("hpb", arrays, strict=True)}})
-
-    rows = count_trigrams(docs).groupBy("lang").applyInPandas(build, "lang string, h binary, p binary, b binary").collect()
-    return {
-        r["lang"]: (np.frombuffer(r["h"], np.uint64), np.frombuffer(r["p"], np.float32), np.frombuffer(r["b"], np.float32))
-        for r in rows
-    }
-
-
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """Words, code points in words, marks, repeated lines with a word, words inside repeated three-word windows."""
     text = text or ""
@@ -260,266 +102,219 @@ def halves(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
-    """The token table: a row for each batch of texts of one language and half, with the counts of its texts.
+def grams(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The gram that ends at each character of the texts in a row; before a text stand characters of number zero.
+
+    `data` has the texts' characters as 32-bit numbers, `sizes` how many of each. Characters beyond 16 bits are folded into
+    the room that surrogates leave free.
+    """
+    points = np.frombuffer(data, "<u4").astype(np.uint64)
+    wide = points > 0xFFFF
+    points[wide] = 0xD800 | (points[wide] & np.uint64(0x7FF))
+    before = (ORDER - 1) * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    padded = np.zeros(len(points) + (ORDER - 1) * len(sizes), np.uint64)
+    place = np.arange(len(points)) + before
+    padded[place] = points
+    out = np.zeros(len(points), np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        out = (out << np.uint64(16)) | padded[place - back]
+    return out.view(np.int64)
+
+
+BLOBS = ("k1", "k2", "counts", "sizes", "data")
+
 
-    `docs` has tag, k1, k2 (which name a text) and text.
+def _batches(docs: DataFrame) -> DataFrame:
+    """The text table: a row for each batch of texts of one language and half, with the base counts of its texts.
+
+    `docs` has tag, k1, k2 (which name a text) and text. It is bucketed by batch, so that joins on it don't shuffle the texts.
     """
-    blobs = ["k1", "k2", "counts", "sizes", "words", "tokens"]
-    names = ["batch", "tag", "half", "n", *blobs]
+    names = ["batch", "tag", "half", *BLOBS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
-        bytes_held = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for tag, rows in held.items():
-                k1, k2, texts = zip(*rows, strict=True)
-                everything, lengths = hash_words(list(texts), tag)
-                side, owner = halves(everything, lengths), np.repeat(np.arange(len(texts)), lengths)
-                for half in (0, 1):
-                    mine = np.flatnonzero(side == half)
-                    if not len(mine):
-                        continue
-                    found, sizes = everything[side[owner] == half], lengths[mine]
-                    words, first, which = np.unique(found, return_index=True, return_inverse=True)
-                    rank = np.argsort(first)  # numbered by first place: small numbers for frequent words
-                    number = np.empty(len(rank), np.int32)
-                    number[rank] = np.arange(len(rank))
-                    counts = np.array([base_counts(texts[i]) for i in mine], "<i8")
-                    arrays = [np.array(k1, "<i8")[mine], np.array(k2, "<i8")[mine], counts, sizes.astype("<i4"), words[rank].astype("<u8"), number[which].astype("<i4")]
-                    values = [uuid.uuid4().hex, tag, half, len(found), *(a.tobytes() for a in arrays)]
-                    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        sizes_held: Counter = Counter()
+
+        def out(tag: str) -> Iterator[pa.RecordBatch]:
+            k1, k2, texts = zip(*held.pop(tag), strict=True)
+            side = halves(*hash_words(list(texts), tag))
+            del sizes_held[tag]
+            for half in (0, 1):
+                mine = np.flatnonzero(side == half)
+                if len(mine):
+                    own = [texts[i] or "" for i in mine]
+                    counts = np.array([base_counts(t) for t in own], "<i8")
+                    sizes = np.array([len(t) for t in own], "<i8")
+                    data = "".join(own).encode("utf-32-le", "surrogatepass")
+                    arrays = [np.array(k1, "<i8")[mine].tobytes(), np.array(k2, "<i8")[mine].tobytes(), counts.tobytes(), sizes.tobytes(), data]
+                    values = [uuid.uuid4().int >> 65, tag, half, *arrays]
+                    kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * len(BLOBS)]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
-            held.clear()
 
         for batch in slices(batches, "text"):
             for tag, k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("tag", "k1", "k2", "text")), strict=True):
                 held.setdefault(tag, []).append((k1, k2, text))
-                bytes_held += len(text or "") + 1
-                if bytes_held >= BATCH:
-                    yield from out()
-                    bytes_held = 0
-        yield from out()
-
-    rows = docs.mapInArrow(run, "batch string, tag string, half int, n long, " + ", ".join(f"{b} binary" for b in blobs))
-    # bucketed by batch, so that the joins with the answers don't shuffle it
+                sizes_held[tag] += len(text or "") + 1
+                if sizes_held[tag] >= BATCH:
+                    yield from out(tag)
+                elif sizes_held.total() >= 2 * BATCH:  # many languages: the largest one
+                    yield from out(sizes_held.most_common(1)[0][0])
+        for tag in list(held):
+            yield from out(tag)
+
+    rows = docs.mapInArrow(run, "batch long, tag string, half int, " + ", ".join(f"{b} binary" for b in BLOBS))
     spark, name = docs.sparkSession, f"barloom_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.option("path", scratch(spark)).option("compression", "zstd").bucketBy(parts, "batch").saveAsTable(name)
-    return spark.table(name)
-
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the scan is resolved; the files stay
+    return table
 
-def planes(numbers: np.ndarray) -> bytes:
-    """64-bit numbers with all their first bytes before all their second ones, which compresses sorted and small ones."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-class Batch:
-    """A row of the token table: its words (the last one stands for a text's beginning) and distinct pairs, by hash partition."""
-
-    def __init__(self, row: dict, parts: int) -> None:
-        words, self.tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4")
-        self.sizes = np.frombuffer(row["sizes"], "<i4")
-        self.words = np.append(words, mix(np.frombuffer(hashlib.blake2b(row["tag"].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "<u8")))
-        n = len(self.words)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        starts = np.cumsum(self.sizes) - self.sizes
-        before[starts[self.sizes > 0]] = n - 1
-        kinds, self.which, self.counts = np.unique(before * n + self.tokens, return_inverse=True, return_counts=True)
-        self.left, self.right = kinds // n, kinds % n
-        self.pairs = mix(self.words[self.left] * np.uint64(_STEP) + self.words[self.right])
-        self.parts = parts
-
-    def dealt(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the hashes by partition, and where each partition begins in it."""
-        part = hashes % np.uint64(self.parts)
-        order = np.lexsort((hashes, part))
-        return order, np.searchsorted(part[order], np.arange(self.parts + 1, dtype=np.uint64))
-
-    def gather(self, hashes: np.ndarray, answers: list[dict], names: tuple[str, ...], width: int) -> list[np.ndarray]:
-        """The answers of all partitions, in the order of `hashes`."""
-        order, _ = self.dealt(hashes)
-        answers = sorted(answers, key=lambda a: a["part"])
-        out = []
-        for name in names:
-            flat = np.concatenate([unplanes(a[name]).astype(np.int64) for a in answers]).reshape(-1, 1 if name == "own" else width)
-            back = np.empty_like(flat)
-            back[order] = flat
-            out.append(back)
-        return out
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
 
 
-SENT = "part int, batch string, tag string, half int, hashes binary, numbers binary"
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each batch and how often it has them."""
+    for row in _rows(batches):
+        g, n = np.unique(grams(row["data"], np.frombuffer(row["sizes"], "<i8")), return_counts=True)
+        k = len(g)
+        columns = [pa.array(np.full(k, row["batch"])), pa.array([row["tag"]] * k, pa.string()), pa.array(np.full(k, row["half"], np.int32)), pa.array(g), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, ["batch", "tag", "half", "g", "n"])
 
 
-def _send(row: dict, b: Batch, hashes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-    """Hashes and their numbers (n, width), a row for each partition."""
-    order, cuts = b.dealt(hashes)
-    h, v = hashes[order].astype("<u8"), numbers[order].astype("<i8")
-    spans = [(i, int(cuts[i]), int(cuts[i + 1])) for i in range(b.parts) if cuts[i] < cuts[i + 1]]
-    k = len(spans)
-    columns = [pa.array([i for i, _, _ in spans], pa.int32()), pa.array([row["batch"]] * k), pa.array([row["tag"]] * k), pa.array([row["half"]] * k, pa.int32())]
-    columns += [pa.array([planes(x[a:z]) for _, a, z in spans], pa.binary()) for x in (h, v)]
-    return pa.RecordBatch.from_arrays(columns, ["part", "batch", "tag", "half", "hashes", "numbers"])
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    if min(n1, n2, n3, n4) == 0:
+        return np.array([0.5, 0.75, 0.9])
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.clip(d, 0.05, [0.95, 1.9, 2.9])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+def _discount(k: int, f: int) -> Column:
+    """The same as `discounts`, entry k, from columns m<f>_1 to m<f>_4."""
+    n = [F.col(f"m{f}_{j}").cast("double") for j in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = (k + 1) - (k + 2) * y * n[k + 1] / n[k]
+    plain, top = ((0.5, 0.95), (0.75, 1.9), (0.9, 2.9))[k]
+    return F.when(F.least(*n) == 0, plain).otherwise(F.greatest(F.least(raw, F.lit(top)), F.lit(0.05)))
 
 
-def reduce(sent: DataFrame, width: int) -> DataFrame:
-    """Sum the numbers of equal hashes of a language and half, as sorted arrays in one task for each hash partition.
+def model(counted: DataFrame) -> DataFrame:
+    """(tag, g, p0, p1): each gram's probability given its context by the model of either half; counted(tag, half, g, n).
 
-    A batch gets back what the *other* half holds, so no text is scored by a model that saw it or its copies, and (own) the
-    sum of its own half's first number for hashes that it is the first batch to name, 0 for others. Rows
-    without a batch have the statistics of the partition: hashes whose first number is 1 to 4, all, and the sum.
+    Modified Kneser-Ney, interpolated over all orders down to equal chances: the highest order counts occurrences, a lower one the
+    different characters before. A row for a gram holds the counts of both halves, so a gram that one half alone has gets a
+    probability from the other half too. A half without texts gives equal chances.
     """
-    names = ["batch", "part", "tag", "half", "own", "other", "stats"]
-
-    def run(table: pa.Table) -> pa.Table:
-        tags = np.array(table.column("tag").to_pylist(), object)
-        halves, part = table.column("half").to_numpy(), table.column("part")[0].as_py()
-        out: list[tuple] = []
-        for tag in dict.fromkeys(tags):
-            at = np.flatnonzero(tags == tag)
-            rows = table.take(at)
-            hashes = [unplanes(x) for x in rows.column("hashes").to_pylist()]
-            numbers = np.concatenate([unplanes(x).astype(np.int64).reshape(-1, width) for x in rows.column("numbers").to_pylist()])
-            sizes = [len(x) for x in hashes]
-            half = np.repeat(halves[at], sizes)
-            kinds, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.zeros((2, len(kinds), width), np.int64)
-            np.add.at(sums, (half, which), numbers)
-            own = np.zeros(len(which), np.int64)
-            for f in (0, 1):
-                mine = np.flatnonzero(half == f)
-                _, first = np.unique(which[mine], return_index=True)
-                own[mine[first]] = sums[f, which[mine[first]], 0]
-                n = sums[f, :, 0]
-                stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
-                out.append((None, part, tag, f, None, None, stats))
-            other = sums[1 - half, which]
-            ends = np.cumsum(sizes)
-            for batch, f, a, z in zip(rows.column("batch").to_pylist(), halves[at].tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                out.append((batch, part, tag, f, planes(own[a:z].astype("<i8")), planes(other[a:z].astype("<i8")), None))
-        kinds_ = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names)
-
-    made = sent.groupBy("part").applyInArrow(run, "batch string, part int, tag string, half int, own binary, other binary, stats array<long>")
-    path = scratch(sent.sparkSession)
-    made.write.option("compression", "zstd").parquet(path)
-    return sent.sparkSession.read.schema(made.schema).parquet(path)
-
-
-def _answers(found: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
-    return found.filter("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("part", *columns)).alias(name))
+    both = [F.coalesce(F.sum(F.when(F.col("half") == f, F.col("n"))), F.lit(0)).alias(f"c{f}") for f in (0, 1)]
+    levels = [settle(counted.groupBy("tag", "g").agg(*both))]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].withColumn("g", F.col("g").bitwiseAND((1 << (16 * order)) - 1))
+        levels.append(settle(shorter.groupBy("tag", "g").agg(*(F.count_if(F.col(f"c{f}") > 0).alias(f"c{f}") for f in (0, 1)))))
+    below = None
+    for order, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        rare = [F.count_if(F.col(f"c{f}") == j).alias(f"m{f}_{j}") for f in (0, 1) for j in (1, 2, 3, 4)]
+        cut = level.groupBy("tag").agg(*rare).select("tag", *(_discount(k, f).alias(f"d{f}_{k + 1}") for f in (0, 1) for k in range(3)))
+        cut = small(cut)
+        context = F.shiftrightunsigned("g", 16).alias("context")
+        rows = level.select("tag", "g", context, "c0", "c1").join(cut, "tag")
+        for f in (0, 1):
+            c = F.col(f"c{f}")
+            rows = rows.withColumn(f"d{f}", F.when(c == 0, 0.0).when(c == 1, F.col(f"d{f}_1")).when(c == 2, F.col(f"d{f}_2")).otherwise(F.col(f"d{f}_3")))
+        rows = rows.select("tag", "g", "context", "c0", "c1", "d0", "d1")
+        sums = [F.sum(f"{x}{f}").alias(f"{x}{f}_all") for f in (0, 1) for x in "cd"]
+        rows = rows.join(rows.groupBy("tag", "context").agg(*sums), ["tag", "context"])
+        if below is None:
+            rows = rows.withColumns({"lower0": F.lit(1 / 65536), "lower1": F.lit(1 / 65536)})
+        else:
+            shorter = below.select("tag", F.col("g").alias("suffix"), F.col("p0").alias("lower0"), F.col("p1").alias("lower1"))
+            rows = rows.withColumn("suffix", F.col("g").bitwiseAND((1 << (16 * (order - 1))) - 1)).join(shorter, ["tag", "suffix"])
+
+        def chance(f: int) -> Column:
+            whole = F.col(f"c{f}_all")
+            mixed = (F.col(f"c{f}") - F.col(f"d{f}") + F.col(f"d{f}_all") * F.col(f"lower{f}")) / F.greatest(whole, F.lit(1))
+            return F.when(whole > 0, mixed).otherwise(F.col(f"lower{f}")).alias(f"p{f}")
+
+        below = settle(rows.select("tag", "g", chance(0), chance(1)))
+    return below
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(tag, k1, k2, the five counts, log_perplexity) of the texts of docs(tag, k1, k2, text).
+    """(tag, k1, k2, half, the five counts, log_perplexity) of the texts of docs(tag, k1, k2, text).
 
-    A language has a model of each half of its texts, and a text is scored by the other half's: an interpolated
-    modified Kneser-Ney bigram model of words, above one of the numbers of words that each word follows, above equal
-    chances for all words of the language. The score is the mean over a text's words, 0 without words.
+    A language has a model of each half of its texts, and a text is scored by the other half's, so neither it nor its copies were
+    seen. The score is the mean over a text's characters, 0 without any. A batch of texts meets its own different grams only, as an array
+    sorted by gram.
     """
-    table = tokenize(docs)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // PART_WORDS))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, parts)
-            if len(b.tokens):
-                yield _send(row, b, b.pairs, b.counts[:, None])
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, parts)
-            own = b.gather(b.pairs, row["p"], ("own",), 1)[0][:, 0]
-            n = len(b.words)
-            follows = np.bincount(b.right[own > 0], minlength=n)
-            kinds = [np.bincount(b.left[x], minlength=n) for x in (own == 1, own == 2, own > 2)]
-            numbers = np.stack([follows, np.bincount(b.left, b.counts, n).astype(np.int64), *kinds], axis=1)
-            yield _send(row, b, b.words, numbers)
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, parts)
-            count = np.frombuffer(row["counts"], "<i8").reshape(-1, len(COUNTS))
-            logs = np.zeros(len(count))
-            if len(b.tokens):
-                c = b.gather(b.pairs, row["p"], ("other",), 1)[0][:, 0]
-                follows, seen, n1, n2, n3 = b.gather(b.words, row["w"], ("other",), 5)[0].T
-                two, one = (np.array(row["stats"][6 * k : 6 * k + 6]) for k in (1 - row["half"], 3 - row["half"]))
-                size = row["stats"][16] + row["stats"][22]  # words of both halves
-                d, e = np.append(0, discounts(*two[:4])), np.append(0, discounts(*one[:4]))
-                equal = 1 / (size + 1)
-                p1 = np.full(len(follows), equal)
-                if one[5]:
-                    left = (e[1] * one[0] + e[2] * one[1] + e[3] * (one[4] - one[0] - one[1])) / one[5]
-                    p1 = (follows - e[np.minimum(follows, 3)]) / one[5] + left * equal
-                by = np.maximum(seen, 1)
-                gamma = np.where(seen > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / by, 1.0)
-                p = (c - d[np.minimum(c, 3)]) / by[b.left] + gamma[b.left] * p1[b.right]
-                whose = np.repeat(np.arange(len(b.sizes)), b.sizes)
-                logs = -np.bincount(whose, np.log(p)[b.which], len(b.sizes)) / np.maximum(b.sizes, 1)
-            columns = [pa.array([row["tag"]] * len(count)), *(pa.array(np.frombuffer(row[k], "<i8")) for k in ("k1", "k2"))]
-            columns += [pa.array(np.ascontiguousarray(x)) for x in count.T] + [pa.array(np.round(logs, DIGITS) + 0.0)]
-            yield pa.RecordBatch.from_arrays(columns, ["tag", "k1", "k2", *COUNTS, "log_perplexity"])
-
-    two = reduce(table.mapInArrow(pairs, SENT), 1)
-    with_pairs = table.join(_answers(two, "p", ("own",)), "batch")
-    one = reduce(with_pairs.mapInArrow(words, SENT), 5)
-    sums = [
-        F.sum(F.when((F.col("level") == k) & (F.col("half") == f), F.col("stats")[i]).otherwise(0)) for k in (2, 1) for f in (0, 1) for i in range(6)
-    ]
-    levels = two.withColumn("level", F.lit(2)).unionByName(one.withColumn("level", F.lit(1)))
-    stats = small(levels.filter("batch is null").groupBy("tag").agg(F.array(*sums).alias("stats")))
-    full = table.join(_answers(two, "p", ("other",)), "batch", "left").join(_answers(one, "w", ("other",)), "batch", "left")
-    scored = full.join(stats, "tag", "left").mapInArrow(last, f"tag string, k1 long, k2 long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double")
+    table = _batches(docs)
+    counted = settle(table.mapInArrow(_counted, "batch long, tag string, half int, g long, n long"))
+    costs = counted.join(model(counted), ["tag", "g"])
+    costs = costs.select("batch", "g", (-F.ln(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0")))).alias("cost"))
+
+    def run(texts: pa.Table, costs: pa.Table) -> pa.Table:
+        g, cost = costs.column("g").to_numpy(), costs.column("cost").to_numpy()
+        order = np.argsort(g)
+        g, cost = g[order], cost[order]
+        parts = []
+        for row in _rows(texts.to_batches()):
+            sizes, count = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["counts"], "<i8").reshape(-1, len(COUNTS))
+            own = grams(row["data"], sizes)
+            sums = np.zeros(len(sizes))
+            if len(own):
+                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), cost[np.searchsorted(g, own)], len(sizes))
+            k1, k2 = (pa.array(np.frombuffer(row[k], "<i8")) for k in ("k1", "k2"))
+            logs = np.round(sums / np.maximum(sizes, 1), DIGITS) + 0.0
+            k = len(sizes)
+            columns = [pa.array([row["tag"]] * k, pa.string()), k1, k2, pa.array(np.full(k, row["half"], np.int32))]
+            columns += [pa.array(np.ascontiguousarray(x)) for x in count.T] + [pa.array(logs)]
+            parts.append(pa.table(columns, ["tag", "k1", "k2", "half", *COUNTS, "log_perplexity"]))
+        return pa.concat_tables(parts) if parts else OUT.empty_table()
+
+    schema = f"tag string, k1 long, k2 long, half int, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
+    scored = table.groupBy("batch").cogroup(costs.groupBy("batch")).applyInArrow(run, schema)
     rest = [c for c in scored.columns if c not in ("tag", "k1", "k2")]
     return scored.groupBy("tag", "k1", "k2").agg(*(F.max(c).alias(c) for c in rest))
 
 
+OUT = pa.schema([("tag", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("half", pa.int32()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())])
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """Rows (columns `carry`, by default all) with the five counts, log_perplexity, base_failed and kept.
 
     Texts are dealt into two halves, copies and most near copies into one (`halves`), and scored by the other half's
-    model of their language (`score`). A band per language is set by the exact quartiles of the scores over all its rows that pass
-    the base rules; a text outside the band is rejected. Null and empty texts have no words, so they fail the
+    model of their language (`score`). A band per language and half is set by the exact quartiles of the scores over all its rows that
+    pass the base rules; a text outside the band is rejected. Where a language's texts all fall in one half, their scores are equal per
+    character and all that pass the base rules are kept. Null and empty texts have no words, so they fail the
     base rules; a null language is `und`. A text is named by two 64-bit hashes. Columns of the same names are replaced.
     An empty table gives an empty one.
     """
     own = [*COUNTS, "log_perplexity", "base_failed", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
-    tag, k1, k2 = fresh([*docs.columns, *own], "tag", "k1", "k2")
+    tag, k1, k2, half = fresh([*docs.columns, *own], "tag", "k1", "k2", "half")
     plain = F.coalesce(F.col(text), F.lit(""))
     named = {tag: language(lang), k1: F.xxhash64(plain), k2: F.xxhash64(F.lit("second"), plain)}
     source = docs.select(*carry, *(c.alias(n) for n, c in named.items()))
     texts = docs.select(*(c.alias(n) for c, n in zip(named.values(), ("tag", "k1", "k2"), strict=True)), F.col(text).alias("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     found = score(texts).withColumn("base_failed", failed)
-    found = settle(found.toDF(tag, k1, k2, *found.columns[3:]))
+    found = settle(found.toDF(tag, k1, k2, half, *found.columns[4:]))
 
-    low, high, n, upto = fresh([*docs.columns, *own, tag, k1, k2], "low", "high", "n", "upto")
-    good = found.filter(~F.col("base_failed")).select(tag, k1, k2, "log_perplexity")
-    counted = source.select(tag, k1, k2).join(good, [tag, k1, k2]).groupBy(tag, "log_perplexity").agg(F.count(F.lit(1)).alias(n))
-    order = Window.partitionBy(tag).orderBy("log_perplexity")
-    counted = counted.withColumn(upto, F.sum(n).over(order)).withColumn(n, F.sum(n).over(Window.partitionBy(tag)))
+    low, high, n, upto = fresh([*docs.columns, *own, tag, k1, k2, half], "low", "high", "n", "upto")
+    good = found.filter(~F.col("base_failed")).select(tag, k1, k2, half, "log_perplexity")
+    counted = source.select(tag, k1, k2).join(good, [tag, k1, k2]).groupBy(tag, half, "log_perplexity").agg(F.count(F.lit(1)).alias(n))
+    order = Window.partitionBy(tag, half).orderBy("log_perplexity")
+    counted = counted.withColumn(upto, F.sum(n).over(order)).withColumn(n, F.sum(n).over(Window.partitionBy(tag, half)))
     q1, q3 = (F.min(F.when(F.col(upto) >= q * F.col(n), F.col("log_perplexity"))) for q in (0.25, 0.75))
     reach = FENCES * F.greatest(F.col(high) - F.col(low), F.lit(LEAST_RANGE))
-    bands = counted.groupBy(tag).agg(q1.alias(low), q3.alias(high))
-    bands = small(bands.select(tag, (F.col(low) - reach).alias(low), (F.col(high) + reach).alias(high)))
+    bands = counted.groupBy(tag, half).agg(q1.alias(low), q3.alias(high))
+    bands = small(bands.select(tag, half, (F.col(low) - reach).alias(low), (F.col(high) + reach).alias(high)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col(low), F.col(high)), F.lit(False))
-    verdict = found.join(bands, tag, "left").withColumn("kept", ~F.col("base_failed") & inside).select(tag, k1, k2, *own)
+    verdict = found.join(bands, [tag, half], "left").withColumn("kept", ~F.col("base_failed") & inside).select(tag, k1, k2, *own)
     return source.join(small(verdict), [tag, k1, k2]).select(*carry, *own)
 
 

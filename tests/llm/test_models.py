@@ -30,44 +30,66 @@ def test_base_counts(rows):
     assert perplexity.base_counts("a b c d a b c\nx\nx\n \n ") == (9, 9, 0, 1, 6)
 
 
-def test_smoothed_probabilities_sum_to_one_and_equal_the_formula():
-    rng = np.random.default_rng(1)
-    text = "".join(rng.choice(list("abcde \n"), 4000, p=[0.3, 0.2, 0.15, 0.1, 0.05, 0.15, 0.05]))
-    grams, n = np.unique(perplexity.trigrams(text), return_counts=True)
-    table = np.exp(perplexity.expand(*perplexity.smooth(grams, n))).reshape(-1, 32)
-    np.testing.assert_allclose(table.sum(axis=1), 1, rtol=1e-5)
-
-    c3 = {(g >> 10, g >> 5 & 31, g & 31): k for g, k in zip(grams.tolist(), n.tolist(), strict=True)}
-    c2, c1 = Counter((v, w) for _, v, w in c3), Counter(w for _, w in {(v, w) for _, v, w in c3})
-
-    def discounts(c):
-        n1, n2, n3, n4 = (sum(x == k for x in c.values()) for k in (1, 2, 3, 4))
-        if min(n1, n2, n3, n4) == 0:
-            return [0, 0.5, 0.75, 0.9]
-        y = n1 / (n1 + 2 * n2)
-        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-        return [0, *(min(max(d, 0.05), top) for d, top in zip(raw, (0.95, 1.9, 2.9), strict=True))]
-
-    d1, d2, d3 = discounts(c1), discounts(c2), discounts(c3)
-
-    def level(c, d, key, lower):
-        kin = {k: x for k, x in c.items() if (k[:-1] if isinstance(k, tuple) else ()) == (key[:-1] if isinstance(key, tuple) else ())}
-        total = sum(kin.values())
-        if not total:
+def brute_model(texts, order=4):
+    """gram (a string) -> probability of its last character after the others, by the formula level by level."""
+    padded = ["\0" * (order - 1) + t for t in texts]
+    counts = {order: Counter(p[i : i + order] for p in padded for i in range(len(p) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, kin, whole = {}, {}, {}
+    for k, c in counts.items():
+        cuts[k] = [0, *perplexity.discounts(*(sum(x == j for x in c.values()) for j in (1, 2, 3, 4)))]
+        kin[k], whole[k] = Counter(), Counter()
+        for g, n in c.items():
+            whole[k][g[:-1]] += n
+            kin[k][g[:-1]] += cuts[k][min(n, 3)]
+
+    def chance(g):
+        if not g:
+            return 1 / 65536
+        k, lower = len(g), chance(g[1:])
+        if not whole[k][g[:-1]]:
             return lower
-        return (c.get(key, 0) - d[min(c.get(key, 0), 3)]) / total + sum(d[min(x, 3)] for x in kin.values()) / total * lower
+        n = counts[k][g]
+        return (n - cuts[k][min(n, 3)] + kin[k][g[:-1]] * lower) / whole[k][g[:-1]]
 
-    for u, v, w in [(0, 1, 2), (4, 4, 4), (28, 0, 0), (9, 0, 1), (9, 9, 3), (29, 29, 0), (2, 28, 31)]:
-        want = level(c3, d3, (u, v, w), level(c2, d2, (v, w), level(c1, d1, w, 1 / 32)))
-        assert math.isclose(table[u * 32 + v, w], want, rel_tol=1e-4)
+    return chance
 
 
-def test_counts_and_bands_cover_all_texts(spark, docs, rows, empty):
-    grams = perplexity.count_trigrams(docs.selectExpr("coalesce(lang, 'und') lang", "text")).toPandas()
-    want = defaultdict(Counter)
-    for r in rows:
-        want[r[2] or "und"].update(perplexity.trigrams(r[1]).tolist())
-    assert {(a, b): c for a, b, c in grams.itertuples(index=False)} == {(a, b): c for a, x in want.items() for b, c in x.items()}
+def test_grams_of_any_characters():
+    texts = ["", "ab", "é★\U0001f600x", "\0"]
+    data = "".join(texts).encode("utf-32-le")
+    got = perplexity.grams(data, np.array([len(t) for t in texts])).view(np.uint64).tolist()
+    fold = lambda ch: ord(ch) if ord(ch) < 65536 else 0xD800 | ord(ch) & 0x7FF
+    want = []
+    for t in texts:
+        for i in range(len(t)):
+            code = 0
+            for ch in ("\0\0\0" + t)[i : i + 4]:
+                code = code << 16 | fold(ch)
+            want.append(code)
+    assert got == want
+
+
+def test_model_equals_the_formula_and_sums_to_one(spark):
+    rng = np.random.default_rng(1)
+    sides = ["".join(rng.choice(list("abcde \n"), 1500, p=[0.3, 0.2, 0.15, 0.1, 0.05, 0.15, 0.05])) for _ in range(2)]
+    rows = []
+    for half, text in enumerate(sides):
+        g, n = np.unique(perplexity.grams(text.encode("utf-32-le"), np.array([len(text)])), return_counts=True)
+        rows += [("en", half, int(a), int(b)) for a, b in zip(g, n, strict=True)] + [("x", 0, int(a), int(b)) for a, b in zip(g, n, strict=True)]
+    got = perplexity.model(spark.createDataFrame(rows, "tag string, half int, g long, n long")).collect()
+    chance = [brute_model([t]) for t in sides]
+    for r in got:
+        g = "".join(chr(r.g >> s & 0xFFFF) for s in (48, 32, 16, 0))
+        if r.tag == "en":
+            assert math.isclose(r.p0, chance[0](g), rel_tol=1e-9) and math.isclose(r.p1, chance[1](g), rel_tol=1e-9)
+        else:
+            assert r.p1 == 1 / 65536  # nothing in that half
+    assert math.isclose(sum(chance[0]("abc" + chr(k)) for k in range(65536)), 1, rel_tol=1e-9)
+
+
+def test_counts_and_bands_cover_all_texts(docs, rows, empty):
     got = perplexity.quality_rules(docs).toPandas()
     assert len(got) == len(rows) and got.log_perplexity.notna().all() and not (got.kept & got.base_failed).any()
     assert perplexity.quality_rules(empty).count() == 0
@@ -86,35 +108,43 @@ def words_of(rng, letters, n, low=3, high=9):
     return ["".join(rng.choice(list(letters), rng.integers(low, high))) for _ in range(n)]
 
 
-def test_scores_equal_a_plain_bigram_model(spark, monkeypatch):
-    monkeypatch.setattr(perplexity, "PART_WORDS", 500)
+def brute_quality(rows):
+    """doc_id -> (score, kept) of (doc_id, text, lang): halves, models, quartiles and bands, one text after the other."""
+    out, tagged = {}, defaultdict(list)
+    for k, text, lang in rows:
+        tag = (lang or "").strip().lower().replace("_", "-").split("-")[0] or "und"
+        tagged[tag].append((k, text or ""))
+    for tag, own in tagged.items():
+        sides = perplexity.halves(*perplexity.hash_words([t for _, t in own], tag))
+        for f in (0, 1):
+            mine = [x for x, s in zip(own, sides, strict=True) if s == f]
+            chance = brute_model([t for (_, t), s in zip(own, sides, strict=True) if s != f])
+            scores = {}
+            for k, t in mine:
+                padded = "\0\0\0" + t
+                scores[k] = round(-sum(math.log(chance(padded[i : i + 4])) for i in range(len(t))) / max(len(t), 1), 5)
+            failed = {k: brute_counts(t)[0] < 50 or 2 * brute_counts(t)[4] > brute_counts(t)[0] for k, t in mine}
+            good = sorted(scores[k] for k, _ in mine if not failed[k])
+            if good:
+                q1, q3 = (good[math.ceil(q * len(good)) - 1] for q in (0.25, 0.75))
+                reach = 3.0 * max(q3 - q1, 0.02)
+            for k, _ in mine:
+                out[k] = scores[k], not failed[k] and q1 - reach <= scores[k] <= q3 + reach
+    return out
+
+
+def test_scores_bands_and_verdicts_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(perplexity, "BATCH", 4000)
     rng = np.random.default_rng(4)
     lexicon = words_of(rng, "abcdefgh", 60)
     texts = [" ".join(lexicon[int(i)] for i in np.minimum(rng.zipf(1.4, 70), 60) - 1) for _ in range(60)]
-    rows = [(k, t, ["ceb", "fil-PH"][k % 2]) for k, t in enumerate(texts)]
+    texts += [" | ".join(words_of(rng, "xyzw", 60)) for _ in range(2)] + ["ab " * 90, "", None, "é" * 50]
+    rows = [(k, t, ["ceb", "fil-PH", "fil_x"][k % 3]) for k, t in enumerate(texts)]
     got = perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).toPandas()
-    scores = dict(zip(got.doc_id, got.log_perplexity, strict=True))
-    for tag, lang in (("ceb", "ceb"), ("fil", "fil-PH")):
-        own = [(k, t) for k, t, x in rows if x == lang]
-        sides = perplexity.halves(*perplexity.hash_words([t for _, t in own], tag))
-        assert 0 < sides.sum() < len(own)
-        size = 1 + sum(len({w for (_, t), s in zip(own, sides, strict=True) if s == f for w in t.split()}) for f in (0, 1))
-        for f in (0, 1):
-            c = Counter(p for (_, t), s in zip(own, sides, strict=True) if s != f for p in zip(["<s>", *t.split()], t.split(), strict=False))
-            follows, seen = Counter(w for _, w in c), Counter()
-            for (v, _), n in c.items():
-                seen[v] += n
-            d, e = ([0, *perplexity.discounts(*(sum(x == k for x in t.values()) for k in (1, 2, 3, 4)))] for t in (c, follows))
-            free = sum(e[min(k, 3)] for k in follows.values()) / len(c)
-            gamma = {v: sum(d[min(n, 3)] for (u, _), n in c.items() if u == v) / seen[v] for v in seen}
-            for (k, t), s in zip(own, sides, strict=True):
-                if s == f:
-                    logs = []
-                    for v, w in zip(["<s>", *t.split()], t.split(), strict=False):
-                        one = (follows[w] - e[min(follows[w], 3)]) / len(c) + free / size
-                        logs.append(math.log((c[v, w] - d[min(c[v, w], 3)]) / max(seen[v], 1) + gamma.get(v, 1.0) * one))
-                    assert math.isclose(scores[k], -sum(logs) / len(logs), abs_tol=2e-5)
+    want = brute_quality(rows)
+    for r in got.itertuples():
+        assert math.isclose(r.log_perplexity, want[r.doc_id][0], abs_tol=2e-5) and r.kept == want[r.doc_id][1]
+    assert 0 < got.kept.sum() < len(got)
 
 
 def test_random_letters_of_another_script_are_rejected(spark):
