@@ -27,8 +27,9 @@ FENCES = 3.0
 LEAST_RANGE = 0.02
 #: Characters of a gram, 16 bits each.
 ORDER = 4
-#: Bytes of text that a batch of the text table covers.
-BATCH = 8_000_000
+#: Characters of text that a batch of the text table covers, and that are split into words at once.
+BATCH = 3_000_000
+PIECE = 500_000
 #: Scores are rounded so that neither they nor the quartiles depend on how rows are partitioned.
 DIGITS = 5
 
@@ -105,10 +106,10 @@ def halves(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def grams(data: bytes, sizes: np.ndarray) -> np.ndarray:
     """The gram that ends at each character of the texts in a row; before a text stand characters of number zero.
 
-    `data` has the texts' characters as 32-bit numbers, `sizes` how many of each. Characters beyond 16 bits are folded into
-    the room that surrogates leave free.
+    `data` has the texts in UTF-8, `sizes` how many characters of each. Characters beyond 16 bits are folded into the room that
+    surrogates leave free.
     """
-    points = np.frombuffer(data, "<u4").astype(np.uint64)
+    points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     wide = points > 0xFFFF
     points[wide] = 0xD800 | (points[wide] & np.uint64(0x7FF))
     before = (ORDER - 1) * (1 + np.repeat(np.arange(len(sizes)), sizes))
@@ -121,6 +122,18 @@ def grams(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _pieces(texts: tuple) -> Iterator[list]:
+    """The texts in lists of about `PIECE` characters; a longer one is alone."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > PIECE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    yield part
+
+
 BLOBS = ("k1", "k2", "counts", "sizes", "data")
 
 
@@ -137,7 +150,7 @@ def _batches(docs: DataFrame) -> DataFrame:
 
         def out(tag: str) -> Iterator[pa.RecordBatch]:
             k1, k2, texts = zip(*held.pop(tag), strict=True)
-            side = halves(*hash_words(list(texts), tag))
+            side = np.concatenate([halves(*hash_words(part, tag)) for part in _pieces(texts)])
             del sizes_held[tag]
             for half in (0, 1):
                 mine = np.flatnonzero(side == half)
@@ -145,7 +158,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                     own = [texts[i] or "" for i in mine]
                     counts = np.array([base_counts(t) for t in own], "<i8")
                     sizes = np.array([len(t) for t in own], "<i8")
-                    data = "".join(own).encode("utf-32-le", "surrogatepass")
+                    data = "".join(own).encode("utf-8", "surrogatepass")
                     arrays = [np.array(k1, "<i8")[mine].tobytes(), np.array(k2, "<i8")[mine].tobytes(), counts.tobytes(), sizes.tobytes(), data]
                     values = [uuid.uuid4().int >> 65, tag, half, *arrays]
                     kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * len(BLOBS)]
