@@ -28,7 +28,7 @@ LEAST_RANGE = 0.02
 #: Characters of a gram, 16 bits each.
 ORDER = 4
 #: Characters of text that a batch of the text table covers, and that are split into words at once.
-BATCH = 3_000_000
+BATCH = 6_000_000
 PIECE = 500_000
 #: Scores are rounded so that neither they nor the quartiles depend on how rows are partitioned.
 DIGITS = 5
@@ -266,10 +266,11 @@ def score(docs: DataFrame) -> DataFrame:
     table = _batches(docs)
     counted = settle(table.mapInArrow(_counted, "batch long, tag string, half int, g long, n long"))
     costs = counted.join(model(counted), ["tag", "g"])
-    costs = costs.select("batch", "g", (-F.ln(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0")))).alias("cost"))
+    cost = -F.ln(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0")))
+    costs = costs.select("batch", "g", cost.cast("float").alias("cost"))  # seven digits of each; scores keep five
 
     def run(texts: pa.Table, costs: pa.Table) -> pa.Table:
-        g, cost = costs.column("g").to_numpy(), costs.column("cost").to_numpy()
+        g, cost = costs.column("g").to_numpy(), costs.column("cost").to_numpy().astype(float)
         order = np.argsort(g)
         g, cost = g[order], cost[order]
         parts = []
