@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one only where the session names none, as in tests."""
+    """A new folder under the shared checkpoint folder; a temporary one only in a local session that names none.
+
+    On a cluster a folder of one machine would be invisible to the others, so a session without a shared folder is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/barloom-{uuid.uuid4().hex}"

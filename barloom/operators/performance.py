@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, filled, ratio, rolled, running, series
+from ..functions.lineage import settle
 from ..settings import DEFAULTS, Settings
 
 RUN = ("run_id",)
@@ -178,6 +179,7 @@ def tear_sheet(equity: DataFrame, trades: DataFrame, benchmark: DataFrame, cfg:
     """All run statistics in one row: equity metrics, trade statistics, benchmark comparison."""
     from .outcomes import log_stats, longest_losing_streak
 
+    equity, trades = settle(equity), settle(trades)  # each is read twice
     stats = log_stats(trades).join(longest_losing_streak(trades), "run_id")
     aligned = with_returns(align_benchmark(equity, benchmark))
     df = metrics(equity, cfg).join(versus_benchmark(aligned, cfg), "run_id").join(stats, "run_id", "left")

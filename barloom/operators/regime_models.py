@@ -337,8 +337,8 @@ def fit_hmm(rows: DataFrame, columns, keys=KEYS, steps: int = EM_STEPS, toleranc
     """Model table, one row per (key, state): start, trans, mean, cov, center, spread, log_likelihood, steps.
 
     Standardisation, cluster centres and the arrays of points are folds; at most `steps` rounds of estimation then run on one array of
-    points per key, many keys to a task. They end when the log likelihood gains less than `tolerance`. The rounds are NumPy because as array
-    folds they took some fifteen times as long; SQL and a loop check them step by step.
+    points per key, many keys to a task. They end when the log likelihood gains less than `tolerance`. The rounds are NumPy because array
+    folds took many times as long (README); SQL and a loop check them step by step.
     """
     columns, keys, d = list(columns), list(keys), len(list(columns))
     stats = [F.array(*[F.avg(c) for c in columns]).alias("center"), F.array(*[F.stddev_pop(c) for c in columns]).alias("spread")]

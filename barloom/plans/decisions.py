@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import scratch
+from ..functions.lineage import scratch, settle
 from ..operators import regime as rg
 from ..operators import regime_models as rm
 from ..operators import signals as sg
@@ -371,7 +371,8 @@ decision_sql.cte("recent_days", "SELECT DISTINCT date FROM sig ORDER BY date DES
 FROM (SELECT DISTINCT instrument FROM sig WHERE date IN (SELECT date FROM recent_days)) CROSS JOIN recent_days LEFT JOIN (SELECT instrument, date, Signal, Confidence, Signal_Strength FROM sig) USING (instrument, date)""",
 )
 def _(spark, sf):
-    return sg.signal_grid(signalled(spark, sf)).select(*KEY, big("Signal"), rnd("Confidence", 6), "Signal_Strength")
+    signals = settle(signalled(spark, sf).select(*KEY, "Signal", "Confidence", "Signal_Strength"))
+    return sg.signal_grid(signals).select(*KEY, big("Signal"), rnd("Confidence", 6), "Signal_Strength")
 
 
 _age = "row_number() OVER (PARTITION BY instrument ORDER BY date DESC)"

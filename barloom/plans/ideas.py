@@ -375,8 +375,10 @@ FROM (SELECT *, shares * entry_price * 1.001::DOUBLE AS paid, shares * exit_pric
 
 def trades(spark, sf):
     """Trade log keyed by run (one run per instrument)."""
-    picked = out.buy_candidates(out.with_next_exit(signalled(spark, sf)))
-    log = out.resolve_exits(out.entries_of(picked), panels.daily_bars(spark, sf))
+    needed = ("instrument", "date", "low", "close", "Signal", "Confidence", "Size_Mult", "Stop_Loss", "Regime_Label")
+    signals = settle(signalled(spark, sf).select(*needed))  # read for the entries, for their exits and for the last day
+    picked = out.buy_candidates(out.with_next_exit(signals))
+    log = out.resolve_exits(out.entries_of(picked), signals)
     return out.round_trip(log).withColumn("run_id", F.col("instrument"))
 
 

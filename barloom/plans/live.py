@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch, settle
 from ..operators.portfolio import live_value, mark_to_market
 from ..settings import DEFAULTS
 from ..sources import panels
@@ -115,6 +116,49 @@ FROM (SELECT CAST(user_id AS VARCHAR) AS portfolio_id, event_type AS instrument,
 )
 
 
+def arrived(spark, sf, key: str = "event_type", files: int = 4):
+    """Quotes as a stream: written in some files by time, read back file by file with a watermark of an hour."""
+    quotes = panels.quotes(spark, sf, key).select("instrument", F.col("ts").cast("timestamp").alias("ts"), "last_price")
+    path = scratch(spark)
+    quotes.repartitionByRange(files, "ts").write.parquet(path)
+    return live.read_stream(spark, path, live.SCHEMA, "1 hour", 1)
+
+
+@register(
+    "STR3_streamed_state",
+    f"""SELECT instrument, ts, {r('last_price', 4)}, CASE WHEN ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'stale' ELSE 'live' END AS state
+FROM (SELECT CAST(user_id AS VARCHAR) AS instrument, max(ts) AS ts, max_by(value, ts) AS last_price FROM events GROUP BY 1)""",
+)
+def _(spark, sf):
+    """The stream itself, drained: states with event-time timers, a quote living for twelve hours."""
+    states = live.expiring(arrived(spark, sf, "user_id"), DEFAULTS.with_(quote_ttl=12 * 3600))
+    out = live.final_states(live.drain(states, scratch(spark), scratch(spark)))
+    return out.select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), rnd("last_price", 4), "state")
+
+
+_refreshed = f"SELECT portfolio_id, {r('sum(amount)', 4, 'baseline')}, CASE WHEN bool_or(fresh) THEN round(sum(v), 4) END AS live_value, {r('CASE WHEN bool_or(fresh) THEN sum(v) - sum(amount) ELSE 0 END', 4, 'delta')} FROM marked_types GROUP BY 1"
+
+
+@register("STR5_streamed_value", _refreshed)
+def _(spark, sf):
+    """The refreshing stream itself, drained: values of the last batch."""
+    quotes = panels.quotes(spark, sf)
+    as_of = F.lit(quotes.agg(F.max("ts")).first()[0])
+    closes = quotes.filter(F.col("ts") < F.lit("2024-01-30").cast("timestamp")).groupBy("instrument").agg(F.max_by("last_price", "ts").alias("close"))
+    held = settle(marked_holdings(spark, sf))  # read by every batch
+    path = scratch(spark)
+    query = live.refresh_portfolios(arrived(spark, sf), held, settle(closes), path, scratch(spark), once=True, as_of=as_of, cfg=DEFAULTS.with_(quote_ttl=900))
+    query.awaitTermination()
+    values = spark.read.parquet(path)
+    newest = values.filter(F.col("batch_id") == values.agg(F.max("batch_id")).scalar())
+    return newest.select("portfolio_id", rnd("baseline", 4), F.round("live_value", 4).alias("live_value"), rnd("delta", 4))
+
+
+def marked_holdings(spark, sf):
+    held = quote_holdings(spark, sf).withColumn("amount", F.col("quantity") * 10.0)
+    return held.withColumn("quantity", F.when(F.col("portfolio_id").cast("long") % 3 != 0, F.col("quantity")))
+
+
 @register(
     "STR5_refreshed_value",
     f"SELECT portfolio_id, {r('sum(amount)', 4, 'baseline')}, CASE WHEN bool_or(fresh) THEN round(sum(v), 4) END AS live_value, {r('CASE WHEN bool_or(fresh) THEN sum(v) - sum(amount) ELSE 0 END', 4, 'delta')} FROM marked_types GROUP BY 1",
@@ -125,7 +169,6 @@ def _(spark, sf):
     as_of = F.lit(quotes.agg(F.max("ts")).first()[0])
     now = live.with_staleness(live.latest(quotes), as_of, DEFAULTS.with_(quote_ttl=900))
     closes = quotes.filter(F.col("ts") < F.lit("2024-01-30").cast("timestamp")).groupBy("instrument").agg(F.max_by("last_price", "ts").alias("close"))
-    held = quote_holdings(spark, sf).withColumn("amount", F.col("quantity") * 10.0)
-    held = held.withColumn("quantity", F.when(F.col("portfolio_id").cast("long") % 3 != 0, F.col("quantity")))
+    held = marked_holdings(spark, sf)
     values = live_value(mark_to_market(held, now, closes))
     return values.select("portfolio_id", rnd("baseline", 4), F.round("live_value", 4).alias("live_value"), rnd("delta", 4))

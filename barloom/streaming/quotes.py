@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -134,6 +135,25 @@ def expiring(quotes: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Streaming: run over everything that has arrived, write each batch under batch_id=<n>, and return the table of all batches.
+
+    A repeated batch overwrites its own folder, so that a restart from `checkpoint` leaves each row once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(T.StructType([*stream.schema, T.StructField("batch_id", T.LongType())])).parquet(path)
+
+
+def final_states(states: DataFrame) -> DataFrame:
+    """The last state of each instrument out of the drained rows of `expiring`."""
+    return states.groupBy("instrument").agg(*[F.max_by(c, "batch_id").alias(c) for c in ("ts", "last_price", "state")])
+
+
 def refresh_portfolios(quotes: DataFrame, holdings: DataFrame, closes: DataFrame, path: str, checkpoint: str, every: str = "1 minute", once: bool = False, as_of: Column | None = None, cfg: Settings = DEFAULTS) -> StreamingQuery:
     """Streaming: on every trigger value all portfolios at the newest quotes and write them under batch_id=<n>.
 

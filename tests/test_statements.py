@@ -113,3 +113,16 @@ def test_search_ranks_prefixes_first_and_matches_brute_force(spark):
         rest = [x for x in hit if x not in first]
         want = [t for t, _ in sorted(first, key=lambda x: x[1]) + sorted(rest, key=lambda x: x[1])]
         assert got.get(u, []) == want
+
+
+def test_search_deals_long_lists_into_parts(spark):
+    rows = [(f"T{k}.NS", f"{'Common' if k % 3 else 'Rare'} name {k}") for k in range(120)]
+    n = spark.createDataFrame(rows, "ticker string, name string")
+    q = spark.createDataFrame([("common name",), ("na",), ("e",), ("rare name 1",), ("absent",), ("name 11",)], "query string")
+    one = hld.search(n, q, limit=200, list_rows=10_000).collect()
+    many = hld.search(n, q, limit=200, list_rows=7).collect()
+    assert sorted(one) == sorted(many) and len(one) > 120
+    for r in one:
+        assert r.query in r.name.upper()
+    want = sum(text in name.upper() or text in ticker for text in ("COMMON NAME", "NA", "E", "RARE NAME 1", "NAME 11") for ticker, name in rows)
+    assert len(one) == want

@@ -88,3 +88,20 @@ def test_old_quotes_leave_no_value(spark):
         now = live.with_staleness(quote, F.lit(at).cast("timestamp"))
         values[at] = live_value(mark_to_market(held, now, closes)).collect()[0].live_value
     assert values == {"2024-01-30 06:00:30": 22.0, "2024-01-30 09:00:00": None}
+
+
+def test_a_restart_leaves_each_row_once(spark, arrivals, tmp_path):
+    """A batch that was written but not noted as done is run again into its own folder."""
+    out, state = str(tmp_path / "out"), tmp_path / "state"
+    ranges = lambda: live.day_range(live.read_stream(spark, arrivals, live.SCHEMA, "60 days", 2)).select("instrument", "day", "volume")
+    first = live.drain(ranges(), out, str(state)).toPandas()
+    last = max(int(f.name) for f in (state / "commits").iterdir() if f.name.isdigit())
+    (state / "commits" / str(last)).unlink()
+    for crc in (state / "commits").glob(f".{last}.crc"):
+        crc.unlink()
+    again = live.drain(ranges(), out, str(state)).toPandas()
+    key = ["instrument", "day", "volume", "batch_id"]
+    assert sorted(map(str, first[key].to_numpy().tolist())) == sorted(map(str, again[key].to_numpy().tolist()))
+    newest = again.sort_values("batch_id").drop_duplicates(["instrument", "day"], keep="last")
+    want = live.day_range(spark.read.parquet(arrivals)).toPandas()
+    assert newest.volume.sum() == want.volume.sum() and len(newest) == len(want)
