@@ -116,11 +116,22 @@ FROM (SELECT CAST(user_id AS VARCHAR) AS portfolio_id, event_type AS instrument,
 )
 
 
-def arrived(spark, sf, key: str = "event_type", files: int = 4):
-    """Quotes as a stream: written in some files by time, read back file by file with a watermark of an hour."""
+CLOCK = "clock"
+
+
+def arrived(spark, sf, key: str = "event_type", days: int = 8):
+    """Quotes as a stream: a file for each eight days, arriving in order of time and read one by one with a watermark of an hour.
+
+    The last file is a tick of the clock at the time of the last quote: timers see the watermark of the batches before, so
+    without another arrival none would run for the last quotes.
+    """
     quotes = panels.quotes(spark, sf, key).select("instrument", F.col("ts").cast("timestamp").alias("ts"), "last_price")
     path = scratch(spark)
-    quotes.repartitionByRange(files, "ts").write.parquet(path)
+    part = F.floor((F.dayofmonth("ts") - 1) / days)
+    for k in range(-(-31 // days)):
+        quotes.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    tick = quotes.agg(F.max("ts").alias("ts")).select(F.lit(CLOCK).alias("instrument"), "ts", F.lit(0.0).alias("last_price"))
+    tick.write.mode("append").parquet(path)
     return live.read_stream(spark, path, live.SCHEMA, "1 hour", 1)
 
 
@@ -133,7 +144,7 @@ def _(spark, sf):
     """The stream itself, drained: states with event-time timers, a quote living for twelve hours."""
     states = live.expiring(arrived(spark, sf, "user_id"), DEFAULTS.with_(quote_ttl=12 * 3600))
     out = live.final_states(live.drain(states, scratch(spark), scratch(spark)))
-    return out.select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), rnd("last_price", 4), "state")
+    return out.filter(F.col("instrument") != CLOCK).select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), rnd("last_price", 4), "state")
 
 
 _refreshed = f"SELECT portfolio_id, {r('sum(amount)', 4, 'baseline')}, CASE WHEN bool_or(fresh) THEN round(sum(v), 4) END AS live_value, {r('CASE WHEN bool_or(fresh) THEN sum(v) - sum(amount) ELSE 0 END', 4, 'delta')} FROM marked_types GROUP BY 1"
