@@ -1,8 +1,9 @@
 """Risk reports for any number of portfolios.
 
 Portfolio-level figures never form pairs: variance, risk contributions and the mean correlation follow from the
-portfolio's own return series. Only the covariance matrix, whose output is the pairs, joins holdings with each
-other, and that join is cut into blocks so that one large book spreads over many tasks.
+portfolio's own return series. Only the covariance matrix, whose output is the pairs, joins all holdings with each
+other, and that join is cut into blocks so that one large book spreads over many tasks. Pairs above a correlation are
+found by a bound from reference series first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, running
+from ..functions.lineage import settle
 from ..functions.skew import salted_join
 from ..settings import DEFAULTS, Settings
 from .performance import sharpe, sortino
@@ -20,6 +22,9 @@ from .performance import sharpe, sortino
 BOOK = ("portfolio_id",)
 LEAST_DAYS = 30
 PAIR_BLOCK = 64
+REFERENCES = 32  # reference series of a threshold join on correlation
+NEW_AXIS = 0.01  # squared length that a reference must add to the span of those before it
+MARGIN = 1e-6  # of the bound on a correlation, for rounding
 
 
 def weigh(holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,42 +93,67 @@ def aligned_closes(panel: DataFrame) -> DataFrame:
     return known.join(F.broadcast(days), "date", "left_semi")
 
 
-def matrices(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(portfolio_id, i, j, cov, corr) for i <= j, annualised covariance.
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _once(value: Column, use) -> Column:
+    """`use(value)`, with `value` worked out once although `use` names it inside a fold over other elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def held_series(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """One row per holding of a book with at least 30 aligned days: its statistics and its returns, one value per day.
 
-    Books with the same aligned days share their series, so each pair of names is worked out once for a set of days,
-    from arrays of a value per day, and joined to all books that hold it. The pairs of a book are listed block by
-    block: a portfolio of n names has ceil(n / 64) blocks, and each pair of blocks is its own join key.
+    `_days` names the set of days: books with the same days share their series. `_block` of `_blocks` deals the names
+    of a book into blocks of 64.
     """
-    item = F.struct("date", "r")
     held = aligned.groupBy(*BOOK, "instrument").agg(
-        F.sort_array(F.collect_list(item)).alias("all"), F.avg("r").alias("_mean"), F.first("n_holdings").alias("n")
+        F.sort_array(F.collect_list(F.struct("date", "r"))).alias("all"),
+        F.avg("r").alias("_mean"),
+        F.first("n_holdings").alias("n"),
+        *_holding_columns(cfg),
     )
     days = F.transform("all", lambda x: x["date"])
     blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    held = held.filter(F.size("all") >= LEAST_DAYS).select(
-        *BOOK, "instrument", F.struct(F.xxhash64(days), F.hash(days), F.size("all")).alias("_days"), "all", "_mean",
+    return held.filter(F.size("all") >= LEAST_DAYS).select(
+        *BOOK, "instrument", "days", "weight", "vol", "cov_with_book",
+        F.struct(F.xxhash64(days), F.hash(days), F.size("all")).alias("_days"),
+        F.transform("all", lambda x: x["r"] - F.col("_mean")).alias("v"),
         blocks.alias("_blocks"), F.pmod(F.xxhash64("instrument"), blocks).cast("int").alias("_block"),
     )
+
+
+def _shared_series(held: DataFrame) -> DataFrame:
+    """(_days, instrument, v, ss): centred returns and their sum of squares, once for all books with these days."""
+    return held.groupBy("_days", "instrument").agg(F.first("v").alias("v")).withColumn("ss", _dot(F.col("v"), F.col("v")))
+
+
+def _book_pairs(held: DataFrame, carried: tuple[str, ...] = (), keep=None) -> DataFrame:
+    """(portfolio_id, _days, i, j) with i <= j, listed block by block: each pair of blocks is its own join key.
+
+    `keep(left, right)` is a condition on the `carried` columns of both sides; it is tested inside the join.
+    """
     left = held.select(
-        *BOOK, "_days", F.col("instrument").alias("i"), F.col("_block").alias("_lo"),
+        *BOOK, "_days", F.col("instrument").alias("i"), F.col("_block").alias("_lo"), *[F.col(c).alias(f"_l{c}") for c in carried],
         F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_hi"),
     )
     right = held.select(
-        *BOOK, F.col("instrument").alias("j"), F.col("_block").alias("_hi"),
+        *BOOK, F.col("instrument").alias("j"), F.col("_block").alias("_hi"), *[F.col(c).alias(f"_r{c}") for c in carried],
         F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_lo"),
     )
     pairs = left.join(right, [*BOOK, "_lo", "_hi"]).filter((F.col("_lo") < F.col("_hi")) | (F.col("i") <= F.col("j")))
-    pairs = pairs.select(*BOOK, "_days", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    if keep is not None:
+        pairs = pairs.filter(keep([F.col(f"_l{c}") for c in carried], [F.col(f"_r{c}") for c in carried]))
+    return pairs.select(*BOOK, "_days", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
 
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    series = held.groupBy("_days", "instrument").agg(F.first("all").alias("all"), F.first("_mean").alias("_mean"))
-    series = series.select("_days", "instrument", F.transform("all", lambda x: x["r"] - F.col("_mean")).alias("v"))
-    series = series.withColumn("ss", dot(F.col("v"), F.col("v")))
+def _measured(pairs: DataFrame, series: DataFrame, cfg: Settings) -> DataFrame:
+    """(portfolio_id, i, j, cov, corr): a pair is worked out once for a set of days, then joined to all books that hold it."""
     a = series.select("_days", F.col("instrument").alias("i"), F.col("v").alias("_a"), F.col("ss").alias("_aa"))
     b = series.select("_days", F.col("instrument").alias("j"), F.col("v").alias("_b"), F.col("ss").alias("_bb"))
     once = pairs.select("_days", "i", "j").distinct().join(a, ["_days", "i"]).join(b, ["_days", "j"])
-    once = once.withColumn("_xy", dot(F.col("_a"), F.col("_b"))).select(
+    once = once.withColumn("_xy", _dot(F.col("_a"), F.col("_b"))).select(
         "_days",
         "i",
         "j",
@@ -133,6 +163,60 @@ def matrices(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     return pairs.join(once, ["_days", "i", "j"]).select(*BOOK, "i", "j", "cov", "corr")
 
 
+def matrices(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(portfolio_id, i, j, cov, corr) for i <= j, annualised covariance; here the pairs are the output."""
+    held = held_series(aligned, cfg)
+    return _measured(_book_pairs(held), _shared_series(held), cfg)
+
+
+def _with_angles(series: DataFrame, references: int) -> DataFrame:
+    """Adds `p`, the coordinates of the unit series in the span of some reference series, and `rest`, the length outside it.
+
+    The references of a set of days are its names of smallest hash. They are made orthonormal by array folds (modified
+    Gram-Schmidt); one that lies almost in the span of those before it is left out, as it would say nothing new.
+    """
+    unit = series.filter(F.col("ss") > 0).withColumn("v", F.transform("v", lambda x: x / F.sqrt("ss")))
+    order = Window.partitionBy("_days").orderBy(F.xxhash64("instrument"), "instrument")  # limited per task before the shuffle
+    chosen = unit.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= references)
+    chosen = chosen.groupBy("_days").agg(F.sort_array(F.collect_list(F.struct("_k", "v"))).alias("_refs"))
+
+    def less(vector: Column, axis: Column) -> Column:
+        return _once(_dot(vector, axis), lambda c: F.zip_with(vector, axis, lambda x, y: x - c * y))
+
+    def widened(axes: Column, ref: Column) -> Column:
+        outside = F.aggregate(axes, ref["v"], less)
+        return _once(outside, lambda o: _once(_dot(o, o), lambda s: F.when(s < NEW_AXIS, axes).otherwise(
+            F.concat(axes, F.array(F.transform(o, lambda x: x / F.sqrt(s))))
+        )))
+
+    axes = F.aggregate("_refs", F.array().cast("array<array<double>>"), widened)
+    spans = chosen.select("_days", axes.alias("_axes"))
+    placed = unit.join(spans, "_days").withColumn("p", F.transform("_axes", lambda axis: _dot(F.col("v"), axis)))
+    rest = F.sqrt(F.greatest(1 - _dot(F.col("p"), F.col("p")), F.lit(0.0)))
+    return placed.select("_days", "instrument", "p", rest.alias("rest"))
+
+
+def close_pairs(held: DataFrame, least: float, references: int = REFERENCES) -> DataFrame:
+    """(portfolio_id, _days, i, j), i < j: a superset of the pairs of `held_series` whose correlation exceeds `least`.
+
+    With unit series split into a part p in the span of the references and a rest r, the correlation is p.p' + r.r',
+    and r.r' is at most |r||r'|. A pair whose bound stays below `least` is dropped inside the join, before its series
+    are looked at. Nothing is lost: the margin is far wider than rounding, and the bound holds for any references.
+    """
+    placed = held.join(_with_angles(_shared_series(held), references), ["_days", "instrument"])
+
+    def keep(left, right):
+        (p, rest), (q, other) = left, right
+        return (F.col("i") != F.col("j")) & (_dot(p, q) + rest * other > least - MARGIN)
+
+    return _book_pairs(placed, ("p", "rest"), keep)
+
+
+def correlated_pairs(held: DataFrame, least: float, cfg: Settings = DEFAULTS, references: int = REFERENCES) -> DataFrame:
+    """(portfolio_id, i, j, cov, corr) of all pairs i < j of `held_series` with a correlation above `least`."""
+    return _measured(close_pairs(held, least, references), _shared_series(held), cfg).filter(F.col("corr") > least)
+
+
 def rejected_books(weighted: DataFrame, returns: DataFrame) -> DataFrame:
     """(portfolio_id, reason, unknown_names, common_days) of the books that the risk reports leave out, and why.
 
@@ -148,14 +232,18 @@ def rejected_books(weighted: DataFrame, returns: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*BOOK, "reason", "unknown_names", "common_days")
 
 
-def holding_stats(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Per holding on the aligned panel: sigma and covariance with the portfolio, both annualised."""
-    stats = aligned.groupBy(*BOOK, "instrument").agg(
+def _holding_columns(cfg: Settings) -> list[Column]:
+    return [
         F.count("*").alias("days"),
         F.first("weight").alias("weight"),
         (F.stddev_samp("r") * sqrt(cfg.trading_days)).alias("vol"),
         (F.covar_samp("r", "port_log") * cfg.trading_days).alias("cov_with_book"),
-    )
+    ]
+
+
+def holding_stats(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Per holding on the aligned panel: sigma and covariance with the portfolio, both annualised."""
+    stats = aligned.groupBy(*BOOK, "instrument").agg(*_holding_columns(cfg))
     return stats.filter(F.col("days") >= LEAST_DAYS)
 
 
@@ -303,7 +391,10 @@ def hierarchy(stocks: DataFrame) -> DataFrame:
 
 
 def warnings(weighted: DataFrame, aligned: DataFrame, returns: DataFrame, sectors: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(portfolio_id, type, severity, subject, value, message) of all five checks."""
+    """(portfolio_id, type, severity, subject, value, message) of all five checks.
+
+    One aggregate per book and name, written once, feeds the checks on histories, risk and correlation.
+    """
     pct = lambda c: F.format_string("%.1f%%", c * 100)
     w = F.col("weight")
 
@@ -322,7 +413,8 @@ def warnings(weighted: DataFrame, aligned: DataFrame, returns: DataFrame, sector
     history = returns.filter(F.col("Adj_Return").isNotNull()).groupBy("instrument").agg(F.count("*").alias("history"))
     lengths = weighted.select(*BOOK, "instrument").join(history, "instrument")
     longest = lengths.groupBy(*BOOK).agg(F.max("history").alias("_max"))
-    stats = holding_stats(aligned, cfg)
+    held = settle(held_series(aligned, cfg))
+    stats = held.select(*BOOK, "instrument", "days", "weight", "vol", "cov_with_book")
     common = stats.groupBy(*BOOK).agg(F.first("days").cast("double").alias("_common"))
     short = (
         lengths.join(longest, list(BOOK))
@@ -338,7 +430,7 @@ def warnings(weighted: DataFrame, aligned: DataFrame, returns: DataFrame, sector
         F.col("names"), verb, F.col("_common") / cfg.trading_days,
     )
     c = F.col("corr")
-    pairs = matrices(aligned, cfg).filter((F.col("i") < F.col("j")) & (c > 0.75))
+    pairs = correlated_pairs(held, 0.75, cfg)
     rvw = F.col("risk_vs_weight")
     hogs = risk_contributions(stats).filter(rvw > 1.5)
     heavy = sector_exposure(weighted, sectors).filter(w > 0.50).join(common, list(BOOK), "left_semi")

@@ -45,6 +45,41 @@ def test_covariance_of_a_book_over_several_blocks(data):
     np.testing.assert_allclose(got["corr"], corr[i, j], rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("references", [1, pf.REFERENCES])
+def test_threshold_join_loses_no_pair(data, references):
+    r, names, held, returns, weighted = data
+    series = pf.held_series(pf.aligned_panel(weighted, returns))
+    corr = np.corrcoef(r.T)
+    for least in (0.3, 0.75):
+        got = pf.correlated_pairs(series, least, references=references).toPandas()
+        want = {("big", names[i], names[j]) for i in range(150) for j in range(i + 1, 150) if corr[i, j] > least}
+        want |= {("small", names[i], names[j]) for i in range(3) for j in range(i + 1, 3) if corr[i, j] > least}
+        assert set(zip(got.portfolio_id, got.i, got.j, strict=True)) == want and len(got) == len(want)
+        at = {n: k for k, n in enumerate(names)}
+        np.testing.assert_allclose(got["corr"], corr[got.i.map(at), got.j.map(at)], rtol=1e-9)
+
+
+def test_threshold_join_measures_few_pairs_of_a_large_book(spark):
+    """A thousand names in forty groups, all moved by one market; two names never move and have no correlation."""
+    rng = np.random.default_rng(12)
+    n, groups, days = 1000, 40, 120
+    common, own = rng.normal(0, 1, (groups, days)), rng.normal(0, 1, (n, days))
+    r = np.sqrt(0.25) * rng.normal(0, 1, days) + np.sqrt(0.6) * common[np.arange(n) % groups] + np.sqrt(0.15) * own
+    r[7] = r[500] = 0.0
+    names = [f"n{k:04d}" for k in range(n)]
+    dates = pd.bdate_range("2021-01-01", periods=days).date
+    panel = pd.DataFrame(r.T, columns=names).assign(date=dates).melt("date", var_name="instrument", value_name="r")
+    panel = panel.assign(portfolio_id="b", weight=1 / n, n_holdings=n, port_log=np.tile(r.mean(0), n))
+    held = pf.held_series(spark.createDataFrame(panel)).cache()
+    pairs = n * (n - 1) // 2
+    assert pf.close_pairs(held, 0.75).count() < pairs / 2
+    got = pf.correlated_pairs(held, 0.75).select("i", "j").toPandas()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr = np.corrcoef(r)
+    i, j = np.nonzero(np.triu(np.nan_to_num(corr), 1) > 0.75)
+    assert len(i) > 5000 and set(zip(got.i, got.j, strict=True)) == {(names[a], names[b]) for a, b in zip(i, j, strict=True)}
+
+
 @pytest.mark.parametrize("book", ["big", "small", "one"])
 def test_risk_parts_add_up_to_sigma(data, book):
     r, names, held, returns, weighted = data
