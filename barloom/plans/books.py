@@ -279,6 +279,13 @@ def _(spark, sf):
     return df.select("portfolio_id", "type", "severity", "subject", rnd("value", 6), "message")
 
 
+@register("PF15_correlated_pairs", f"SELECT portfolio_id, i, j, {r('cov', 6)}, {r('corr_', 6, 'corr')} FROM mat WHERE i < j AND corr_ > 0.1")
+def _(spark, sf):
+    """The warnings' threshold join at 0.1: the brands of the tables move almost apart, none of their pairs reaches 0.75."""
+    df = pf.correlated_pairs(settle(pf.held_series(aligned(spark, sf))), 0.1)
+    return df.select("portfolio_id", "i", "j", rnd("cov", 6), rnd("corr", 6))
+
+
 # Quotes one percent above the last close, some stale; every other portfolio knows its share counts.
 cte("last_closes", "SELECT instrument, max_by(close, date) AS close FROM wbars GROUP BY 1")
 cte("brand_quotes", "SELECT instrument, close * 1.01::DOUBLE AS last_price, CAST(regexp_extract(instrument, '(\\d+)', 1) AS INT) % 4 = 0 AS stale FROM last_closes")

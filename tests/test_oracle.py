@@ -27,6 +27,7 @@ FEW = (
     "STR2_change",
     "FAC9_coefficient_table",
     "PF6_correlation",
+    "PF15_correlated_pairs",
     "PF15_warnings",
     "PF_rejected_books",
     "SRC2_written_and_scanned",
