@@ -20,6 +20,7 @@ LLOYD_STEPS, LLOYD_TOLERANCE = 300, 1e-10
 EM_STEPS, EM_TOLERANCE = 200, 1e-3
 COV_FLOOR = 1e-2
 TINY = 1e-12
+SIDE_BY_SIDE = 131_072  # points of the series that are estimated together
 VECTORS = "array<array<double>>"
 
 
@@ -262,90 +263,174 @@ def _decoded(packed: DataFrame, df: DataFrame, columns, keys) -> DataFrame:
     return _unpacked(packed, df, keys, found, {"state": lambda r, at, given: F.get(given["states"], at), **{f"p{k}": share(k) for k in range(STATES)}})
 
 
-def _running_products(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running products of matrices, each scaled to a largest entry of 1, and the logs of the scales.
-
-    The sequence is cut into blocks that advance side by side, about twice the square root of its length in steps.
-    """
-    n, k = len(m), m.shape[1]
-    size = max(1, int(np.ceil(np.sqrt(n))))
-    blocks = -(-n // size)
-    padded = np.concatenate([m, np.broadcast_to(np.eye(k), (blocks * size - n, k, k))]).reshape(blocks, size, k, k)
-    out, log = np.empty_like(padded), np.empty((blocks, size))
-
-    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = x.max(axis=(-2, -1), keepdims=True)
-        return x / top, np.log(top[..., 0, 0])
-
-    here, at = np.broadcast_to(np.eye(k), (blocks, k, k)), np.zeros(blocks)
-    for s in range(size):
-        here, more = unit(here @ padded[:, s])
-        at = at + more
-        out[:, s], log[:, s] = here, at
-    lead, at = np.eye(k), 0.0
-    for b in range(blocks):
-        own, end = log[b].copy(), out[b, -1].copy()
-        out[b], more = unit(lead @ out[b])
-        log[b] = own + at + more
-        lead, more = unit(lead @ end)
-        at += own[-1] + more
-    return out.reshape(-1, k, k)[:n], log.reshape(-1)[:n]
-
-
-def _expected(logs: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """State posteriors, expected moves and the log likelihood."""
-    shift = logs.max(1, keepdims=True)
-    b = np.exp(logs - shift)
-    steps = trans[None] * b[1:, None, :]
-    ahead, log = _running_products(steps)
-    first = start * b[0]
-    alpha = np.vstack([first, first @ ahead])
-    like = np.log(alpha[-1].sum()) + (log[-1] if len(log) else 0.0) + shift.sum()
-    back, _ = _running_products(steps[::-1].transpose(0, 2, 1))
-    beta = np.vstack([back[::-1].sum(1), np.ones(STATES)])
-    alpha, beta = (v / v.sum(1, keepdims=True) for v in (alpha, beta))
+def _padded(points: list[np.ndarray], length: int) -> np.ndarray:
+    """Series as one array (place in time, feature, series), zero after a series' end."""
+    out = np.zeros((length, points[0].shape[1], len(points)))
+    for k, x in enumerate(points):
+        out[: len(x), :, k] = x
+    return out
+
+
+def _thirds(x: np.ndarray) -> np.ndarray:
+    """The start of `lloyd` for one series: the means of the thirds of its points in order."""
+    parts = np.array_split(x[np.lexsort(x.T[::-1])], STATES)
+    return np.array([p.sum(0) / len(p) if len(p) else np.zeros(x.shape[1]) for p in parts])
+
+
+def _centers(x: np.ndarray, n: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """`lloyd` for many series side by side: x as of `_padded`, n their lengths, centers (state, feature, series)."""
+    out, own = np.empty_like(centers), np.arange(len(n))
+    real = np.arange(len(x))[:, None] < n
+    for _ in range(LLOYD_STEPS):
+        gap = np.array([((x - c) ** 2).sum(1) for c in centers])
+        label = np.where(real, gap.argmin(0), -1)
+        moved = np.empty_like(centers)
+        for k in range(STATES):
+            held = label == k
+            count = held.sum(0)
+            moved[k] = np.where(count > 0, (x * held[:, None]).sum(0) / np.maximum(count, 1), centers[k])
+        done = np.abs(moved - centers).max((0, 1)) < LLOYD_TOLERANCE
+        centers = moved
+        if done.any():
+            out[..., own[done]] = centers[..., done]
+            x, n, centers, own, real = x[..., ~done], n[~done], centers[..., ~done], own[~done], real[:, ~done]
+            if not len(own):
+                return out
+    out[..., own] = centers
+    return out
+
+
+def _expected(x: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    """State posteriors, expected moves and the log likelihood of many series, the longest first."""
+    length, d, _ = x.shape
+    real = np.arange(length)[:, None] < n
+    whole = cov.transpose(3, 0, 1, 2)
+    inverse, constant = np.linalg.inv(whole).transpose(1, 2, 3, 0), np.linalg.slogdet(whole)[1].T + d * log(2 * pi)
+    b = np.empty((length, STATES, len(n)))
+    for k in range(STATES):
+        gap, form = x - mean[k], constant[k]
+        for i in range(d):
+            inner = inverse[k, i, i] * gap[:, i]
+            for j in range(i + 1, d):
+                inner += 2.0 * inverse[k, i, j] * gap[:, j]
+            inner *= gap[:, i]
+            form = form + inner
+        np.multiply(form, -0.5, out=b[:, k])
+    shift = b.max(1)
+    b -= shift[:, None]
+    np.exp(b, out=b)
+    alpha, beta, size = np.zeros_like(b), np.full_like(b, 1.0 / STATES), np.ones((length, len(n)))
+    active = real.sum(1).tolist()
+    turned, cells = np.ascontiguousarray(trans.transpose(1, 0, 2)), np.empty_like(trans)
+    for t in range(length):
+        m = active[t]
+        here, into, held = alpha[t, :, :m], size[t, :m], cells[..., :m]
+        if t == 0:
+            np.multiply(start, b[0], out=here)
+        else:
+            np.multiply(trans[..., :m], alpha[t - 1, :, None, :m], out=held)
+            np.add.reduce(held, 0, out=here)
+            here *= b[t, :, :m]
+        np.add.reduce(here, 0, out=into)
+        here /= into
+    scale = np.ones((length, len(n)))
+    for t in range(length - 2, -1, -1):
+        m = active[t + 1]
+        here, into, held = beta[t, :, :m], scale[t, :m], cells[..., :m]
+        worth = b[t + 1, :, :m] * beta[t + 1, :, :m]
+        np.multiply(turned[..., :m], worth[:, None], out=held)
+        np.add.reduce(held, 0, out=here)
+        np.add.reduce(here, 0, out=into)
+        here /= into
     gamma = alpha * beta
-    moves = alpha[:-1, :, None] * steps * beta[1:, None, :]
-    return gamma / gamma.sum(1, keepdims=True), (moves / moves.sum((1, 2), keepdims=True)).sum(0), float(like)
-
-
-def _densities(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    gaps = x[:, None] - mean[None]
-    form = np.einsum("nki,kij,nkj->nk", gaps, np.linalg.inv(cov), gaps)
-    return -0.5 * (form + np.linalg.slogdet(cov)[1] + x.shape[1] * log(2 * pi))
-
-
-def _estimate(x: np.ndarray, centers: np.ndarray, steps: int, tolerance: float) -> tuple:
-    """start, trans, mean, cov, log likelihood and steps, from the centres, one shared covariance and even chances."""
+    weight = gamma.sum(1)
+    weight += ~real
+    # a move's share of its day: alpha, trans, and density and beta of the next day, over the sum of alpha and beta of that day
+    ahead = b[1:] * beta[1:]
+    ahead *= real[1:, None]
+    ahead /= (scale[:-1] * weight[:-1])[:, None]
+    moves = np.array([[np.einsum("ts,ts->s", alpha[:-1, i], ahead[:, j]) for j in range(STATES)] for i in range(STATES)]) * trans
+    like = np.where(real, np.log(size) + shift, 0.0).sum(0)
+    gamma /= weight[:, None]
+    return gamma, moves, like
+
+
+def _improved(x: np.ndarray, gamma: np.ndarray, moves: np.ndarray) -> tuple:
+    """start, trans, mean and cov of the next round."""
     d = x.shape[1]
-    shared = np.cov(x.T).reshape(d, d) if len(x) > 1 else np.zeros((d, d))
-    mean, cov = centers, np.array([shared + COV_FLOOR * np.eye(d)] * STATES)
-    start, trans, like = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), -np.inf
-    for step in range(1, steps + 1):
-        gamma, moves, now = _expected(_densities(x, mean, cov), start, trans)
-        if now - like < tolerance:
-            return start, trans, mean, cov, now, step
-        weight = gamma.sum(0) + TINY
-        start, trans, mean, like = gamma[0], moves + TINY, gamma.T @ x / weight[:, None], now
-        trans = trans / trans.sum(1, keepdims=True)
-        gaps = x[None] - mean[:, None]
-        cov = (np.einsum("nk,kni,knj->kij", gamma, gaps, gaps) + COV_FLOOR * np.eye(d)) / weight[:, None, None]
-    return start, trans, mean, cov, like, steps
+    weight = gamma.sum(0) + TINY
+    trans = moves + TINY
+    mean = np.array([[np.einsum("ts,ts->s", gamma[:, k], x[:, j]) for j in range(d)] for k in range(STATES)]) / weight[:, None]
+    cov = np.empty((STATES, d, d, x.shape[2]))
+    for k in range(STATES):
+        gap = x - mean[k]
+        for i in range(d):
+            shared = gamma[:, k] * gap[:, i]
+            for j in range(i, d):
+                cov[k, i, j] = cov[k, j, i] = (np.einsum("ts,ts->s", shared, gap[:, j]) + (COV_FLOOR if i == j else 0.0)) / weight[k]
+    return gamma[0], trans / trans.sum(1, keepdims=True), mean, cov
+
+
+def _begin(points: list[np.ndarray]) -> tuple:
+    """Arrays of some series before the first round: the centres, one shared covariance and even chances."""
+    n, d = np.array([len(x) for x in points]), points[0].shape[1]
+    x = _padded(points, n.max())
+    mean = _centers(x, n, np.stack([_thirds(p) for p in points], -1))
+    shared = np.stack([np.cov(p.T).reshape(d, d) if len(p) > 1 else np.zeros((d, d)) for p in points], -1)
+    cov = np.broadcast_to(shared + COV_FLOOR * np.eye(d)[..., None], (STATES, d, d, len(n)))
+    even = np.full((STATES, len(n)), 1 / STATES)
+    return x, n, even, np.full((STATES, STATES, len(n)), 1 / STATES), mean, cov
+
+
+def _estimate(points: list[np.ndarray], steps: int, tolerance: float) -> list[tuple]:
+    """Per series start, trans, mean, cov, log likelihood and steps.
+
+    Series of like length go through the rounds side by side (arrays end with the series); finished ones make room for the next.
+    """
+    queue = sorted(range(len(points)), key=lambda k: -len(points[k]))
+    out: list = [None] * len(points)
+    own, state, like, step = np.array([], int), None, np.array([]), np.array([], int)
+    while queue or len(own):
+        most = max(1, SIDE_BY_SIDE // max(len(points[queue[0]]) if queue else 1, 1))
+        if queue and len(own) <= most * 3 // 4:  # newcomers are no longer than those at work, so the order stays
+            new, queue = queue[: most - len(own)], queue[most - len(own) :]
+            fresh = _begin([points[k] for k in new])
+            if len(own):
+                gap = len(state[0]) - len(fresh[0])
+                fresh = (np.pad(fresh[0], ((0, gap), (0, 0), (0, 0))), *fresh[1:])
+                state = tuple(np.concatenate([a, b], -1) for a, b in zip(state, fresh, strict=True))
+            else:
+                state = fresh
+            own, like, step = np.append(own, new), np.append(like, np.full(len(new), -np.inf)), np.append(step, np.zeros(len(new), int))
+        x, n, *model = state
+        gamma, moves, now = _expected(x, n, *model)
+        step = step + 1
+        ended = now - like < tolerance
+        better = _improved(x, gamma, moves)
+        model = [np.where(ended, old, new) for old, new in zip(model, better, strict=True)]
+        like, done = now, ended | (step == steps)
+        for k in np.flatnonzero(done):
+            out[own[k]] = (*(m[..., k] for m in model), like[k], step[k])
+        keep = ~done
+        own, like, step = own[keep], like[keep], step[keep]
+        longest = n[keep].max() if len(own) else 0
+        state = (x[:longest, :, keep] if done.any() else x, n[keep], *(m[..., keep] for m in model))
+    return out
 
 
 def fit_hmm(rows: DataFrame, columns, keys=KEYS, steps: int = EM_STEPS, tolerance: float = EM_TOLERANCE) -> DataFrame:
     """Model table, one row per (key, state): start, trans, mean, cov, center, spread, log_likelihood, steps.
 
-    Standardisation, cluster centres and the arrays of points are folds; at most `steps` rounds of estimation then run on one array of
-    points per key, many keys to a task. They end when the log likelihood gains less than `tolerance`. The rounds are NumPy because array
-    folds took many times as long (README); SQL and a loop check them step by step.
+    Spark gathers one array of points per key and standardises it. Clusters and at most `steps` rounds of estimation then run on
+    the arrays of many keys side by side, so that a NumPy call serves them all. A key's rounds end when its log likelihood gains
+    less than `tolerance`. The rounds are NumPy because array folds took many times as long (README); SQL and a loop check them.
     """
     columns, keys, d = list(columns), list(keys), len(list(columns))
     stats = [F.array(*[F.avg(c) for c in columns]).alias("center"), F.array(*[F.stddev_pop(c) for c in columns]).alias("spread")]
     packed = _packed(rows.select(*keys, "date", *columns), keys, *stats)
     packed = packed.withColumn("spread", F.transform("spread", lambda s: F.when(s == 0, 1.0).otherwise(s)))
-    packed = packed.withColumn("_xs", F.transform("_rows", _point(columns, F.col("center"), F.col("spread"))))
-    packed = packed.select(*keys, "center", "spread", F.flatten("_xs").alias("points"), F.flatten(lloyd(F.col("_xs"), d)).alias("centers"))
+    points = F.flatten(F.transform("_rows", _point(columns, F.col("center"), F.col("spread"))))
+    packed = packed.select(*keys, "center", "spread", points.alias("points"))
     made = {
         "state": pa.int32(), "start": pa.float64(), "trans": pa.list_(pa.float64()), "mean": pa.list_(pa.float64()),
         "cov": pa.list_(pa.float64()), "log_likelihood": pa.float64(), "steps": pa.int32(),
@@ -355,10 +440,9 @@ def fit_hmm(rows: DataFrame, columns, keys=KEYS, steps: int = EM_STEPS, toleranc
     def run(batches):
         for batch in batches:
             out = {n: [] for n in made}
-            points, centers = batch.column("points"), batch.column("centers")
-            for k in range(batch.num_rows):
-                x, c = (v[k].values.to_numpy(zero_copy_only=False).reshape(-1, d) for v in (points, centers))
-                start, trans, mean, cov, like, count = _estimate(x, c, steps, tolerance)
+            points = batch.column("points")
+            arrays = [points[k].values.to_numpy(zero_copy_only=False).reshape(-1, d) for k in range(batch.num_rows)]
+            for start, trans, mean, cov, like, count in _estimate(arrays, steps, tolerance):
                 values = (range(STATES), start, trans, mean, cov.reshape(STATES, -1), [like] * STATES, [count] * STATES)
                 for n, v in zip(made, values, strict=True):
                     out[n] += list(v)

@@ -152,6 +152,18 @@ def test_fit_equals_the_loop(points, steps):
     assert pdf["log_likelihood"].iloc[0] == pytest.approx(want[-1][-1], rel=1e-9) and pdf["steps"].iloc[0] == len(want[-1])
 
 
+def test_series_estimated_side_by_side_equal_the_loop(points, monkeypatch):
+    x, _ = points
+    cut = [x[a:b] for a, b in ((0, 150), (10, 90), (40, 150), (0, 60), (30, 150), (20, 80), (50, 130))]
+    for together in (300, 100_000):  # newcomers join those at work, or all begin at once
+        monkeypatch.setattr(rm, "SIDE_BY_SIDE", together)
+        for part, got in zip(cut, rm._estimate(cut, 60, 1e-3), strict=True):
+            want = loop_fit(part, 60)
+            for a, b in zip(got[:4], want[:4], strict=True):
+                np.testing.assert_allclose(np.reshape(a, np.shape(b)), b, rtol=1e-6, atol=1e-8)
+            assert got[4] == pytest.approx(want[4][-1], rel=1e-9) and got[5] == len(want[4])
+
+
 def test_likelihood_never_falls(points):
     _, rows = points
     path = [rm.fit_hmm(rows, ["a", "b", "c"], steps=n).first()["log_likelihood"] for n in (1, 2, 3, 5, 8, 13)]
