@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, filled, series, spread, trailing
+from ..functions.frames import KEYS, filled, series, trailing
 from ..functions.lineage import settle
 from ..settings import BEAR, BULL, SIDEWAYS
 from . import regime_models as models
@@ -194,8 +194,8 @@ def kmeans_regime(features: DataFrame, keys=KEYS, train: Column | None = None) -
 
 def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None, parameters: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(model table, all rows with state and posteriors p0..p2 where the key has a model). With `parameters` the model is stated."""
-    # read by the fit and by the decoding, each with every task at work
-    df = spread(settle(mark(features, HMM_FEATURES, HMM_LEAST, keys, train)), *keys)
+    # The fit and the decoding read the features' few columns again, from the same exchange; no whole row is written for them.
+    df = mark(features, HMM_FEATURES, HMM_LEAST, keys, train)
     if parameters is None:
         model = settle(models.fit_hmm(df.filter("_fit"), HMM_FEATURES, keys))  # read by the decoding and by the caller
     else:

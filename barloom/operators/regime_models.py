@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS
+from ..functions.frames import KEYS, running
 from ..functions.matrices import cholesky, inverse_of, let, log_determinant, total
 
 STATES = 3
@@ -20,8 +20,8 @@ LLOYD_STEPS, LLOYD_TOLERANCE = 300, 1e-10
 EM_STEPS, EM_TOLERANCE = 200, 1e-3
 COV_FLOOR = 1e-2
 TINY = 1e-12
+SCAN_BLOCK = 32
 SIDE_BY_SIDE = 131_072  # points of the series that are estimated together
-VECTORS = "array<array<double>>"
 
 
 def _packed(df: DataFrame, keys, *also: Column) -> DataFrame:
@@ -164,42 +164,70 @@ def _scaled(logs: Column) -> Column:
     return F.transform(logs, row)
 
 
+def _scan(rows: Column, first: Column, kept: str, step: Callable[[Column, Column], Column]) -> Column:
+    """All states of a fold over `rows`: struct(path: those arrays of `kept` type, last: the last state).
+
+    `step(last, row)` gives struct(out, last). An array can't be appended to in place, so blocks of rows are folded on their own: a
+    row is copied about as often as a block has rows, not as often as its series has.
+    """
+    n = F.size(rows)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / SCAN_BLOCK).cast("int") - 1), lambda i: F.slice(rows, i * SCAN_BLOCK + 1, SCAN_BLOCK))
+
+    def inside(last: Column, block: Column) -> Column:
+        def one(acc: Column, row: Column) -> Column:
+            return let(step(acc["last"], row), lambda s: F.struct(F.array_append(acc["path"], s["out"]).alias("path"), s["last"].alias("last")))
+
+        return F.aggregate(block, F.struct(F.array().cast(f"array<{kept}>").alias("path"), last.alias("last")), one)
+
+    def outside(acc: Column, block: Column) -> Column:
+        return let(inside(acc["last"], block), lambda s: F.struct(F.array_append(acc["path"], s["path"]).alias("path"), s["last"].alias("last")))
+
+    zero = F.struct(F.array().cast(f"array<array<{kept}>>").alias("path"), first.alias("last"))
+    none = F.struct(F.array().cast(f"array<{kept}>").alias("path"), first.alias("last"))
+    whole = F.aggregate(blocks, zero, outside, lambda a: F.struct(F.flatten(a["path"]).alias("path"), a["last"].alias("last")))
+    return F.when(n > 0, whole).otherwise(none)
+
+
 def _share(values: Column) -> Column:
     return let(total(values), lambda s: F.transform(values, lambda v: v / s))
 
 
 def _forward(scaled: Column, start: Column, trans: Column) -> Column:
-    """struct(path: filtered state shares by row, like: log likelihood)."""
-    zero = F.struct(F.array().cast(VECTORS).alias("path"), F.array(*[F.lit(0.0)] * STATES).alias("last"), F.lit(0.0).alias("like"))
+    """Filtered state shares by row."""
 
-    def step(acc: Column, b: Column) -> Column:
-        first = F.array(*[start[j] * b[j] for j in range(STATES)])
-        into = lambda j: sum((acc["last"][i] * trans[STATES * i + j] for i in range(1, STATES)), acc["last"][0] * trans[j])
-        later = F.array(*[into(j) * b[j] for j in range(STATES)])
-        raw = F.when(F.size(acc["path"]) == 0, first).otherwise(later)
+    def shares(r: Column) -> Column:
+        return let(r[0] + r[1] + r[2], lambda size: F.array(*[r[j] / size for j in range(STATES)]))
 
-        def kept(r: Column) -> Column:
-            size = r[0] + r[1] + r[2]
-            like = acc["like"] + F.ln(size) + b[STATES]
-            shares = F.array(*[r[j] / size for j in range(STATES)])
-            return let(shares, lambda a: F.struct(F.array_append(acc["path"], a).alias("path"), a.alias("last"), like.alias("like")))
+    def step(last: Column, b: Column) -> Column:
+        into = lambda j: sum((last[i] * trans[STATES * i + j] for i in range(1, STATES)), last[0] * trans[j])
+        raw = F.array(*[into(j) * b[j] for j in range(STATES)])
+        return let(let(raw, shares), lambda a: F.struct(a.alias("out"), a.alias("last")))
 
-        return let(raw, kept)
+    def run(begin: Column) -> Column:
+        rest = _scan(F.slice(scaled, 2, F.greatest(F.size(scaled) - 1, F.lit(0))), begin, "array<double>", step)
+        return F.concat(F.array(begin), rest["path"])
 
-    return F.aggregate(scaled, zero, step, lambda a: F.struct(a["path"].alias("path"), a["like"].alias("like")))
+    first = let(scaled[0], lambda b: F.array(*[start[j] * b[j] for j in range(STATES)]))
+    return let(let(first, shares), run)
 
 
 def _backward(scaled: Column, trans: Column) -> Column:
     """Shares of what is still to come, by row."""
     even = F.array(*[F.lit(1.0 / STATES)] * STATES)
-    zero = F.struct(F.array(even).alias("path"), even.alias("last"))
 
-    def step(acc: Column, b: Column) -> Column:
-        out = lambda i: sum((trans[STATES * i + j] * b[j] * acc["last"][j] for j in range(1, STATES)), trans[STATES * i] * b[0] * acc["last"][0])
-        raw = F.array(*[out(i) for i in range(STATES)])
-        return let(_share(raw), lambda a: F.struct(F.array_append(acc["path"], a).alias("path"), a.alias("last")))
+    def step(last: Column, b: Column) -> Column:
+        def back(w: Column) -> Column:
+            out = lambda i: sum((trans[STATES * i + j] * w[j] for j in range(1, STATES)), trans[STATES * i] * w[0])
+            return F.array(*[out(i) for i in range(STATES)])
+
+        def shares(r: Column) -> Column:
+            return let(r[0] + r[1] + r[2], lambda size: F.array(*[r[j] / size for j in range(STATES)]))
 
-    return F.aggregate(F.slice(F.reverse(scaled), 1, F.size(scaled) - 1), zero, step, lambda a: F.reverse(a["path"]))
+        raw = let(F.array(*[b[j] * last[j] for j in range(STATES)]), back)
+        return let(let(raw, shares), lambda a: F.struct(a.alias("out"), a.alias("last")))
+
+    later = F.slice(F.reverse(scaled), 1, F.size(scaled) - 1)
+    return F.reverse(F.concat(F.array(even), _scan(later, even, "array<double>", step)["path"]))
 
 
 def _posteriors(ahead: Column, back: Column) -> Column:
@@ -208,59 +236,45 @@ def _posteriors(ahead: Column, back: Column) -> Column:
 
 def posteriors(logs: Column, start: Column, trans: Column) -> Column:
     """State probabilities of each row given all rows."""
-    of = lambda s: _posteriors(_forward(s, start, trans)["path"], _backward(s, trans))
+    of = lambda s: _posteriors(_forward(s, start, trans), _backward(s, trans))
     return F.when(F.size(logs) > 0, let(_scaled(logs), of))
 
 
 def best_path(logs: Column, start: Column, trans: Column) -> Column:
     """Most likely state sequence: a fold that keeps back-pointers, then one that follows them from the end. Ties go to the smaller state."""
     safe = lambda p: F.when(p > 0, F.ln(p)).otherwise(float("-inf"))
-    zero = F.struct(F.array().cast("array<array<int>>").alias("back"), F.array(*[F.lit(0.0)] * STATES).alias("score"))
+    place = lambda c: F.when((c[0] >= c[1]) & (c[0] >= c[2]), 0).when(c[1] >= c[2], 1).otherwise(2)
 
     def run(steps: Column) -> Column:
-        def step(acc: Column, b: Column) -> Column:
-            first = F.struct(
-                F.array(F.array(*[F.lit(0)] * STATES)).alias("back"),
-                F.array(*[safe(start[j]) + b[j] for j in range(STATES)]).alias("score"),
-            )
-
+        def step(score: Column, b: Column) -> Column:
             def later(came: Column) -> Column:
                 """came: for each state the three scores of coming from each state."""
-                best = F.transform(came, lambda c: F.array_max(c))
-                place = lambda c: F.when((c[0] >= c[1]) & (c[0] >= c[2]), 0).when(c[1] >= c[2], 1).otherwise(2)
-                score = F.zip_with(best, b, lambda x, y: x + y)
-                return F.struct(F.array_append(acc["back"], F.transform(came, place)).alias("back"), score.alias("score"))
+                best = [F.greatest(*[came[j][i] for i in range(STATES)]) + b[j] for j in range(STATES)]
+                return F.struct(F.array(*[place(came[j]) for j in range(STATES)]).alias("out"), F.array(*best).alias("last"))
 
-            came = F.array(*[F.array(*[acc["score"][i] + steps[STATES * i + j] for i in range(STATES)]) for j in range(STATES)])
-            return F.when(F.size(acc["back"]) == 0, first).otherwise(let(came, later))
+            return let(F.array(*[F.array(*[score[i] + steps[STATES * i + j] for i in range(STATES)]) for j in range(STATES)]), later)
 
-        return F.aggregate(logs, zero, step)
+        begin = let(logs[0], lambda b: F.array(*[safe(start[j]) + b[j] for j in range(STATES)]))
+        return let(begin, lambda score: _scan(F.slice(logs, 2, F.greatest(F.size(logs) - 1, F.lit(0))), score, "array<int>", step))
 
     def follow(found: Column) -> Column:
-        s = found["score"]
-        last = F.when((s[0] >= s[1]) & (s[0] >= s[2]), 0).when(s[1] >= s[2], 1).otherwise(2)
-        begin = F.struct(last.alias("at"), F.array(last).alias("path"))
+        def step(at: Column, back: Column) -> Column:
+            return let(F.get(back, at), lambda s: F.struct(s.alias("out"), s.alias("last")))
 
-        def step(acc: Column, back: Column) -> Column:
-            return let(F.get(back, acc["at"]), lambda s: F.struct(s.alias("at"), F.array_append(acc["path"], s).alias("path")))
+        def whole(last: Column) -> Column:
+            return F.reverse(F.concat(F.array(last), _scan(F.reverse(found["path"]), last, "int", step)["path"]))
 
-        pointers = F.reverse(F.slice(found["back"], 2, F.size(found["back"])))
-        return F.aggregate(pointers, begin, step, lambda a: F.reverse(a["path"]))
+        return let(let(found["last"], place), whole)
 
     return F.when(F.size(logs) > 0, let(let(F.transform(trans, safe), run), follow))
 
 
-def _decoded(packed: DataFrame, df: DataFrame, columns, keys) -> DataFrame:
-    """Rows with `state` and p0..p2 by the key's `_model`; NULL where `_use` is false or there is no model."""
-    d, m = len(columns), F.col("_model")
-    xs = F.transform(F.filter("_rows", lambda r: r["_use"]), _point(columns, F.col("_center"), F.col("_spread")))
-
-    def both(logs: Column) -> Column:
-        return F.struct(best_path(logs, m["start"], m["trans"]).alias("states"), posteriors(logs, m["start"], m["trans"]).alias("posts"))
-
-    found = let(F.when(m.isNotNull(), _log_densities(xs, m["mean"], m["cov"], d)), both)
-    share = lambda k: lambda r, at, given: F.get(F.get(given["posts"], at), F.lit(k))
-    return _unpacked(packed, df, keys, found, {"state": lambda r, at, given: F.get(given["states"], at), **{f"p{k}": share(k) for k in range(STATES)}})
+def _placed(rows: DataFrame, found: DataFrame, keys) -> DataFrame:
+    """The rows with the values that `found` lists per key for its `_use` rows, in order of date."""
+    names = [c for c in found.columns if c not in keys]
+    at = F.count_if("_use").over(running(keys)).cast("int") - 1
+    joined = rows.withColumn("_at", at).join(found, list(keys), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.when(F.col("_use"), F.get(F.col(n), F.col("_at"))).alias(n) for n in names])
 
 
 def _padded(points: list[np.ndarray], length: int) -> np.ndarray:
@@ -470,7 +484,21 @@ def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
     part = lambda name: F.transform("_s", lambda s: s[name])
     made = F.struct(part("start").alias("start"), F.flatten(part("trans")).alias("trans"), part("mean").alias("mean"), part("cov").alias("cov"))
     whole = whole.select(*keys, "_center", "_spread", made.alias("_model"))
-    return _decoded(_packed(rows, keys).join(whole, keys, "left"), rows, columns, keys)
+    packed = _packed(rows.filter("_use").select(*keys, "date", *columns), keys).join(whole, keys)
+    return _placed(rows, _decoded(packed, columns, keys), keys)
+
+
+def _decoded(packed: DataFrame, columns, keys) -> DataFrame:
+    """Per key `state` (best path) and p0..p2 (posteriors) of its rows by its `_model`, as arrays."""
+    m = F.col("_model")
+    xs = F.transform("_rows", _point(columns, F.col("_center"), F.col("_spread")))
+
+    def both(logs: Column) -> Column:
+        return F.struct(best_path(logs, m["start"], m["trans"]).alias("states"), posteriors(logs, m["start"], m["trans"]).alias("posts"))
+
+    found = packed.select(*keys, F.explode(F.array(let(_log_densities(xs, m["mean"], m["cov"], len(columns)), both))).alias("_f"))
+    share = lambda k: F.transform("_f.posts", lambda p: p[k])
+    return found.select(*keys, F.col("_f.states").alias("state"), *[share(k).alias(f"p{k}") for k in range(STATES)])
 
 
 def stated_model(df: DataFrame, columns, parameters: dict, keys=KEYS) -> DataFrame:

@@ -187,6 +187,23 @@ def test_decoding_equals_the_loop(spark, points):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_decoding_long_series_and_packing_only_its_columns(spark, points):
+    x, rows = points
+    given = {
+        "start": [0.2, 0.5, 0.3], "trans": [0.8, 0.1, 0.1, 0.2, 0.7, 0.1, 0.1, 0.3, 0.6],
+        "mean": [[-1, 0, 0.5], [0, 0.2, 0], [1, -0.4, 0.1]], "cov": [[1, 0.2, 0, 0.2, 1, 0.1, 0, 0.1, 0.7]] * 3,
+    }
+    df = rows.withColumns({"_fit": F.lit(True), "_use": F.col("date") != F.lit("2020-02-01").cast("date"), "other": F.lit("carried")})
+    decoded = rm.decode(df, rm.stated_model(df, ["a", "b", "c"], given), ["a", "b", "c"])
+    got = decoded.orderBy("date").toPandas()
+    use = got["_use"].to_numpy()
+    logb = loop_densities(x[use], np.array(given["mean"], float), np.array(given["cov"], float).reshape(3, 3, 3))
+    assert got["state"][use].astype(int).tolist() == loop_path(logb, np.array(given["start"]), np.array(given["trans"]).reshape(3, 3))
+    assert got["state"][~use].isna().all() and (got["other"] == "carried").all()
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert all("other" not in line for line in plan.splitlines() if "collect_list" in line)
+
+
 def test_moves_that_cannot_happen_and_single_rows(spark):
     given = {"start": [1, 0, 0], "trans": [0.5, 0.5, 0, 0, 1, 0, 0, 0, 1], "mean": [[0], [0], [0]], "cov": [[1], [1], [1]]}
     rows = [("A", date(2020, 1, k), float(k % 3), True, True) for k in range(1, 8)] + [("B", date(2020, 1, 1), 1.0, True, True), ("C", date(2020, 1, 1), 1.0, False, False)]
