@@ -177,26 +177,22 @@ def regress(rows: DataFrame, y: str, xs: list[str], lags: int | None = None, key
     fit = fit.withColumn("coef", coefficients(F.col("inv"), F.col("_xy"))).drop("_xx", "_xy").filter(F.col("coef").isNotNull())
     fit = settle(fit)
 
-    df = data.join(fit.select(*keys, "coef", "lags", "mean_y"), list(keys))
+    df = spread(data, *keys).join(fit.select(*keys, "coef", "lags", "mean_y"), list(keys))
     df = df.withColumn("_e", F.col("_y") - sum((F.col("coef")[i] * x[i] for i in range(k)), F.lit(0.0)))
     df = df.withColumns({f"_u{i}": x[i] * F.col("_e") for i in range(k)})
-    df = df.withColumn("_t", F.row_number().over(series(keys)))
+    # Each row meets its predecessors at lags 1 to the number of its own key, whatever that is: the longest number is the number of lags looked up.
+    most = fit.agg(F.max("lags")).first()[0] or 1
+    df = df.withColumn("_now", F.struct(*[f"_u{i}" for i in range(k)]))
+    df = df.withColumns({f"_back{g}": F.lag("_now", g).over(series(keys)) for g in range(1, most + 1)})
+    share = lambda g, i: F.when(F.col("lags") >= g, (1 - F.lit(g) / (F.col("lags") + 1)) * F.col(f"_back{g}._u{i}"))
+    df = df.withColumns({f"_v{i}": sum((F.coalesce(share(g, i), F.lit(0.0)) for g in range(1, most + 1)), F.lit(0.0)) for i in range(k)})
     u, v = [F.col(f"_u{i}") for i in range(k)], [F.col(f"_v{i}") for i in range(k)]
-    own = df.groupBy(*keys).agg(
-        F.array(*[F.sum(u[i] * u[j]) for i in range(k) for j in range(k)]).alias("_own"),
+    meat = df.groupBy(*keys).agg(
+        F.array(*[F.sum(u[i] * u[j]) + F.sum(u[i] * v[j] + u[j] * v[i]) for i in range(k) for j in range(k)]).alias("omega"),
         F.sum(F.col("_e") ** 2).alias("ss_res"),
         F.sum((F.col("_y") - F.col("mean_y")) ** 2).alias("ss_tot"),
         F.avg("_e").alias("mean_resid"),
     )
-    # each row meets its predecessors at lags 1 to the number of its own key, whatever that is
-    ahead = df.select(*keys, *[f"_u{i}" for i in range(k)], "lags", "_t", F.explode(F.sequence(F.lit(1), "lags")).alias("_g"))
-    ahead = ahead.withColumns({"_t": F.col("_t") - F.col("_g"), "_w": 1 - F.col("_g") / (F.col("lags") + 1)})
-    past = df.select(*keys, "_t", *[u[i].alias(f"_v{i}") for i in range(k)])
-    crossed = ahead.join(past, [*keys, "_t"]).groupBy(*keys).agg(
-        F.array(*[F.sum(F.col("_w") * (u[i] * v[j] + u[j] * v[i])) for i in range(k) for j in range(k)]).alias("_crossed")
-    )
-    both = F.zip_with("_own", "_crossed", lambda a, b: a + b)
-    meat = own.join(crossed, list(keys), "left").withColumn("omega", F.coalesce(both, "_own")).drop("_own", "_crossed")
     out = fit.join(meat, list(keys)).withColumn("se", sandwich_errors(F.col("inv"), F.col("omega"), k)).drop("inv", "omega")
     ratio_of = lambda c, s: F.coalesce(c / F.nullif(s, F.lit(0.0)), F.lit(0.0))
     return out.withColumn("t", F.zip_with("coef", "se", ratio_of)).withColumn("p", F.transform("t", two_sided_p))
