@@ -45,6 +45,16 @@ def test_covariance_of_a_book_over_several_blocks(data):
     np.testing.assert_allclose(got["corr"], corr[i, j], rtol=1e-9, atol=1e-12)
 
 
+def test_days_travel_packed_and_large_books_in_parts(data, monkeypatch):
+    _, _, _, returns, weighted = data
+    plan = pf.book_series(weighted, returns)._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning" in line and "date" in line for line in plan.splitlines())
+    whole = {(r.portfolio_id, r.date): r.port_log for r in pf.book_series(weighted, returns).collect()}
+    monkeypatch.setattr(pf, "LARGE_BOOK", 2)
+    parts = {(r.portfolio_id, r.date): r.port_log for r in pf.book_series(weighted, returns).collect()}
+    assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+
+
 @pytest.mark.parametrize("references", [1, pf.REFERENCES])
 def test_threshold_join_loses_no_pair(data, references):
     r, names, held, returns, weighted = data
