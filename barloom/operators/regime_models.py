@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, running
+from ..functions.frames import KEYS, running, spread
 from ..functions.matrices import cholesky, inverse_of, let, log_determinant, total
 
 STATES = 3
@@ -484,7 +484,10 @@ def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
     part = lambda name: F.transform("_s", lambda s: s[name])
     made = F.struct(part("start").alias("start"), F.flatten(part("trans")).alias("trans"), part("mean").alias("mean"), part("cov").alias("cov"))
     whole = whole.select(*keys, "_center", "_spread", made.alias("_model"))
-    packed = _packed(rows.filter("_use").select(*keys, "date", *columns), keys).join(whole, keys)
+    narrow = rows.filter("_use").select(*keys, "date", *columns)
+    if len(keys) > 1:  # such rows rarely arrive together by all keys, and the folds need every task
+        narrow = spread(narrow, *keys)
+    packed = _packed(narrow, keys).join(whole, keys)
     return _placed(rows, _decoded(packed, columns, keys), keys)
 
 
