@@ -6,18 +6,20 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import series, spread
 from ..functions.lineage import settle
 from ..functions.numeric import coefficients, expected_max_factor, inverse, normal_cdf, sandwich_errors, two_sided_p
 from ..settings import DEFAULTS, Settings
-from .performance import RUN, histogram
+from .performance import RUN
 
 LEAST = 30
 #: Resamples of a run that one row of work covers.
 SAMPLE_BLOCK = 250
+#: Draws that are worked out at a time, in the same few buffers.
+DRAWN = 65_536
 
 
 def moments(returns: DataFrame, cfg: Settings = DEFAULTS, rf: float = 0.0) -> DataFrame:
@@ -88,6 +90,32 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+def drawn_sums(r: np.ndarray, state: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sum of squares of the returns that each state draws; known: the powers of `STEP`, one for each return.
+
+    A product's remainder by the prime 2^31 - 1 is its upper bits added to its lower 31 ones, twice: neither state nor power is
+    a multiple of it, so the second sum is below the prime.
+    """
+    n = len(r)
+    slab = max(1, DRAWN // n)
+    place, high, picked = np.empty((slab, n), np.int64), np.empty((slab, n), np.int64), np.empty((slab, n))
+    mean, square = np.empty(len(state)), np.empty(len(state))
+    for at in range(0, len(state), slab):
+        some = state[at : at + slab, None]
+        x, up, p = place[: len(some)], high[: len(some)], picked[: len(some)]
+        np.multiply(some, known[None, :n], out=x)
+        for _ in range(2):
+            np.right_shift(x, 31, out=up)
+            np.bitwise_and(x, PRIME, out=x)
+            np.add(x, up, out=x)
+        np.multiply(x, n, out=x)
+        np.right_shift(x, 31, out=x)
+        np.take(r, x, out=p, mode="clip")  # places are below n; other modes copy the buffer
+        mean[at : at + slab] = p.mean(axis=1)
+        square[at : at + slab] = np.einsum("ij,ij->i", p, p)
+    return mean, square
+
+
 def bootstrap(returns: DataFrame, resamples: int = 5000, rf: float = 0.0, seed: int = 42, cfg: Settings = DEFAULTS) -> DataFrame:
     """(run_id, sample, sharpe): resampled Sharpe ratios.
 
@@ -119,8 +147,7 @@ def bootstrap(returns: DataFrame, resamples: int = 5000, rf: float = 0.0, seed:
                     known = powers(n)
                 sample = np.arange(block[k] * SAMPLE_BLOCK, min((block[k] + 1) * SAMPLE_BLOCK, resamples))
                 state = first_state(number[k], sample, seed)
-                picked = r[(state[:, None] * known[None, :n] % PRIME) * n >> 31]
-                mean, square = picked.mean(axis=1), (picked**2).sum(axis=1)
+                mean, square = drawn_sums(r, state, known)
                 variance = (square - n * mean * mean) / (n - 1)
                 some = variance > EQUAL_DRAWS * square / n
                 sharpe = np.where(some, (mean - rf) / np.sqrt(np.where(some, variance, 1.0)) * scale, 0.0)
@@ -141,7 +168,23 @@ def bootstrap_interval(samples: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def bootstrap_histogram(samples: DataFrame, bins: int = 50) -> DataFrame:
-    return histogram(samples, "sharpe", bins)
+    """`histogram` of each run's samples. They are drawn once: a run's samples, as many as were asked for, form one array."""
+    known = samples.filter(F.col("sharpe").isNotNull()).groupBy(*RUN).agg(F.collect_list("sharpe").alias("_all"))
+    known = known.withColumns({"_lo": F.array_min("_all"), "_hi": F.array_max("_all")})
+    value = F.col("_value")
+    rows = known.select(*RUN, "_lo", "_hi", F.explode("_all").alias("_value"))
+    place = F.floor((value - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    counted = rows.groupBy(*RUN, F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).alias("bin")).agg(
+        F.count("*").alias("n"), F.first(F.col("_lo")).alias("_lo"), F.first(width).alias("_width"),
+        F.sum(value).alias("_sum"), F.var_pop(value).alias("_spread"),
+    )
+    whole = Window.partitionBy(*RUN)  # a row for each bin
+    total, mean = F.sum("n").over(whole), F.sum("_sum").over(whole) / F.sum("n").over(whole)
+    counted = counted.withColumns({"mean": mean, "_n": total})
+    off = F.col("n") * (F.col("_spread") + (F.col("_sum") / F.col("n") - F.col("mean")) ** 2)
+    sigma = F.when(F.col("_n") > 1, F.sqrt(F.sum(off).over(whole) / F.nullif(F.col("_n") - 1, F.lit(0))))
+    return counted.select(*RUN, "bin", "n", (F.col("_lo") + F.col("bin") * F.col("_width")).alias("low"), "mean", sigma.alias("sigma"))
 
 
 def join_dates(left: DataFrame, right: DataFrame, on=("date",)) -> DataFrame:
