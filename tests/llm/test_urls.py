@@ -117,3 +117,41 @@ def test_no_rows_no_labels_and_labels_of_their_own(spark):
     assert urlrules.url_filter(frame.limit(0)).collect() == []
     labels = spark.createDataFrame([("http://y.net/en/1", "block")] * 5 + [("http://z.org/", "allow"), (None, "block")], "url string, verdict string")
     assert {r.page_id: r.verdict for r in urlrules.url_filter(frame, labelled=labels).collect()} == {1: "block", None: "allow"}
+
+
+def wide(n, width=24):
+    """Baskets of up to `width` frequent tokens; what tells is among the least telling ones, which a cap of 12 would leave out."""
+    rng = random.Random(11)
+    for _ in range(n):
+        common = [f"c{k:02d}" for k in range(width - 4) if rng.random() < 0.9]
+        pair = [t for t in ("x", "y", "z") if rng.random() < 0.5]
+        # by itself x or y says nothing, x and y together do
+        yield common + pair, "block" if ("x" in pair) != ("y" in pair) else "allow"
+
+
+def plain_rules(rows, support, confidence, longest=3):
+    """Kept rules of up to `longest` tokens, each token set tried on every row."""
+    least, found = max(2, -(-support * len(rows) // 1)), {}
+    for s in (c for k in range(1, longest + 1) for c in combinations(sorted({t for r, _ in rows for t in r}), k)):
+        said = [v for t, v in rows if set(s) <= set(t)]
+        for v in ("allow", "block"):
+            if said.count(v) >= least and said.count(v) >= confidence * len(said):
+                found[s, v] = (said.count(v), len(said))
+    beaten = lambda s, v: any((r := found.get((s[:k] + s[k + 1 :], v))) and r[0] * found[s, v][1] >= found[s, v][0] * r[1] for k in range(len(s)))
+    return {(s, v, *c) for (s, v), c in found.items() if not beaten(s, v)}
+
+
+def test_rules_of_wide_baskets_lose_no_token(spark):
+    rows = [(t, v) for t, v in wide(150, 16)]
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    found = {(tuple(r.antecedent), r.verdict, r.hits, r.n) for r in urlrules.mine(frame, 0.1, 0.9).collect()}
+    assert {r for r in found if len(r[0]) <= 3} == plain_rules(rows, 0.1, 0.9)
+    assert (("x", "y"), "allow") in {r[:2] for r in found}
+
+
+@pytest.mark.parametrize(("support", "confidence"), [(0.05, 0.8), (0.2, 0.6)])
+def test_both_ways_of_mining_find_the_same_rules(spark, support, confidence):
+    rows = [(sorted(tokens(u)), v) for u in URLS for v in [listed(*split(u))[1]] if v] + [(["a"], "allow")] * 3
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    grown, levels = (sorted(tuple(r) for r in urlrules.mine(frame, support, confidence, n).collect()) for n in (99, 0))
+    assert grown == levels and grown
