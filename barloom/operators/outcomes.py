@@ -17,51 +17,52 @@ LEAST_ROWS = 60
 def candidate_exits(signals: DataFrame, cfg: Settings = DEFAULTS, stop=2.0, target=4.0, keys=KEYS) -> DataFrame:
     """First exit of every eligible entry: (keys, i, j, entry_date, exit_date, reason, ret).
 
-    i and j number the complete bars of the key inside the look-back. The look-ahead of at most `max_hold` bars
-    is a window frame, so an entry never meets more than that many rows.
+    i and j number the complete bars of the key inside the look-back. A key's bars (at most one a day) are one array of the few
+    columns needed; an eligible entry looks at the `max_hold` bars after it. Other rows carry nothing.
     """
-    whole = Window.partitionBy(*keys)
-    back = Window.partitionBy(*keys).orderBy(F.col("date").desc())
-    rows = signals.dropna(subset=list(NEEDED))
-    rows = rows.withColumns({"_n": F.count("*").over(whole), "_age": F.row_number().over(back)})
-    rows = rows.filter((F.col("_n") >= LEAST_ROWS) & (F.col("_age") <= cfg.lookback + cfg.max_hold))
-    w = series(keys)
-    bar = F.struct("date", "low", "high", "close", F.col("Signal").alias("signal"))
-    rows = rows.select(
+    bar = ("low", "high", "close", "Signal")
+    rows = signals.dropna(subset=list(NEEDED)).select(
         *keys,
-        F.col("date").alias("entry_date"),
-        (F.row_number().over(w) - 1).alias("i"),
-        F.col("close").alias("entry"),
+        "date",
+        *[F.col(c) for c in bar],
         (F.col("close") - stop * F.col("ATR_14")).alias("stop"),
         (F.col("close") + target * F.col("ATR_14")).alias("target"),
         (short_eligible(cfg) & (F.col("ATR_14") > 0)).alias("eligible"),
-        F.collect_list(bar).over(w.rowsBetween(1, cfg.max_hold)).alias("ahead"),
-    ).filter(F.col("eligible") & (F.size("ahead") > 0))
-
-    def outcome(reason: str, price: Column, x: Column, k: Column) -> Column:
-        return F.struct(F.lit(reason).alias("reason"), price.alias("price"), x["date"].alias("date"), (k + 1).alias("held"))
-
-    def exit_at(x: Column, k: Column) -> Column:
-        return (
-            F.when(x["low"] <= F.col("stop"), outcome("stop", F.col("stop"), x, k))
-            .when(x["high"] >= F.col("target"), outcome("target", F.col("target"), x, k))
-            .when(x["signal"] == -1, outcome("signal", x["close"], x, k))
+    )
+    item = F.struct("date", *bar, "stop", "target", "eligible")
+    bars = F.sort_array(F.collect_list(item))  # at most one a day
+    packed = rows.groupBy(*keys).agg(bars.alias("_bars")).filter(F.size("_bars") >= LEAST_ROWS)
+    kept = cfg.lookback + cfg.max_hold
+    packed = packed.select(*keys, F.slice("_bars", F.greatest(F.size("_bars") - kept, F.lit(0)) + 1, kept).alias("_bars"))
+
+    def left(e: Column, x: Column) -> Column:
+        return (x["low"] <= e["stop"]) | (x["high"] >= e["target"]) | (x["Signal"] == -1)
+
+    def exited(e: Column, i: Column) -> Column:
+        """Entry, its place, and the place of the first bar that ends it: within `max_hold` bars, else the last of them."""
+        ahead = F.slice("_bars", i + 2, cfg.max_hold)
+        first = F.array_position(F.transform(ahead, lambda x: left(e, x)), True).cast("int")
+        return F.struct(e.alias("e"), i.alias("i"), F.when(first > 0, i + first).otherwise(i + F.size(ahead)).alias("j"))
+
+    places = F.sequence(F.lit(0), F.size("_bars") - 1)
+    entries = F.filter(F.zip_with("_bars", places, lambda e, i: F.when(e["eligible"], F.struct(e.alias("e"), i.alias("i")))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(entries, lambda x: exited(x["e"], x["i"])), lambda x: x["j"] > x["i"])  # the newest bar has none ahead
+
+    def outcome(x: Column) -> Column:
+        e, last = x["e"], F.get("_bars", x["j"])
+        down, up, sold = last["low"] <= e["stop"], last["high"] >= e["target"], last["Signal"] == -1
+        reason = F.when(down, "stop").when(up, "target").when(sold, "signal").otherwise("time")
+        price = F.when(down, e["stop"]).when(up, e["target"]).otherwise(last["close"])
+        return F.struct(
+            x["i"].alias("i"),
+            x["j"].alias("j"),
+            e["date"].alias("entry_date"),
+            last["date"].alias("exit_date"),
+            reason.alias("reason"),
+            (ratio(price, e["close"]) - 1).alias("ret"),
         )
 
-    hits = F.filter(F.transform("ahead", exit_at), lambda e: e.isNotNull())
-    last = F.element_at("ahead", -1)
-    timed = outcome("time", last["close"], last, F.size("ahead") - 1)
-    out = F.coalesce(F.try_element_at(hits, F.lit(1)), timed)
-    rows = rows.withColumn("_exit", out)
-    return rows.select(
-        *keys,
-        "i",
-        (F.col("i") + F.col("_exit.held")).alias("j"),
-        "entry_date",
-        F.col("_exit.date").alias("exit_date"),
-        F.col("_exit.reason").alias("reason"),
-        (ratio(F.col("_exit.price"), F.col("entry")) - 1).alias("ret"),
-    )
+    return packed.select(*keys, F.explode(F.transform(found, outcome)).alias("t")).select(*keys, "t.*")
 
 
 def without_overlap(candidates: DataFrame, keys=KEYS) -> DataFrame:

@@ -119,3 +119,8 @@ def test_soft_gate_tilts_with_the_posterior(spark):
         "Score_Raw double, Regime_Label string, Regime_Prob_Bull double",
     )
     assert [r.Signal for r in sg.gate(df).collect()] == [1, 0, 0, -1, 0, 1]
+
+
+def test_look_ahead_needs_no_window_of_rows(spark, signals):
+    found = out.candidate_exits(spark.createDataFrame([], signals.schema))
+    assert "Window [" not in found._jdf.queryExecution().analyzed().toString()
