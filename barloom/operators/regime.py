@@ -29,29 +29,44 @@ def trend_rule() -> Column:
     )
 
 
-def squeezed(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Add `squeezed`: band width below the 20 % quantile of its last 252 values (60 at least).
-
-    The width is one of those values, so comparing ranks settles it: with le values at or below the width and
-    the (interpolated) quantile at position p, width < quantile iff le <= floor(p), or le = floor(p) + 1 < p + 1.
-    """
-    frame = trailing(SQUEEZE_BARS, keys)
+def with_widths(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Add `_width`, the rounded band width, and `_widths`, those of the last 252 rows that have one."""
     # Twelve decimals: two windows holding the same closes tie, whatever order they were summed in.
     df = df.withColumn("_width", F.round("BB_Width", 12))
-    df = df.withColumn("_widths", F.collect_list("_width").over(frame))  # at most 252 values
+    return df.withColumn("_widths", F.collect_list("_width").over(trailing(SQUEEZE_BARS, keys)))  # at most 252 values
+
+
+def with_squeeze(df: DataFrame) -> DataFrame:
+    """Replace `_width` and `_widths` by `squeezed`: width below the 20 % quantile of the widths (60 at least).
+
+    The width is one of those values, so comparing it with two of them in order settles it: with the (interpolated)
+    quantile at position p, width < quantile iff the value at floor(p) is larger, or is the width itself while the next
+    one is larger and p lies between them.
+    """
+    df = df.withColumn("_widths", F.sort_array("_widths"))
     place = SQUEEZE_QUANTILE * (F.size("_widths") - 1)
-    low = F.size(F.filter("_widths", lambda x: x <= F.col("_width")))
-    under = (low <= F.floor(place)) | ((low == F.floor(place) + 1) & (place > F.floor(place)))
+    low = F.get("_widths", F.floor(place).cast("int"))
+    high = F.get("_widths", F.floor(place).cast("int") + 1)
+    under = (low > F.col("_width")) | ((low == F.col("_width")) & (high > F.col("_width")) & (place > F.floor(place)))
     enough = F.col("BB_Width").isNotNull() & (F.size("_widths") >= SQUEEZE_LEAST)
     return df.withColumn("squeezed", enough & under).drop("_width", "_widths")
 
 
-def rule_regime(features: DataFrame, keys=KEYS) -> DataFrame:
-    df = squeezed(features, keys)
-    df = df.withColumn("Regime", F.when(F.col("squeezed"), SIDEWAYS).otherwise(trend_rule()).cast("int")).drop("squeezed")
+def squeezed(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Add `squeezed`: band width below the 20 % quantile of its last 252 values (60 at least)."""
+    return with_squeeze(with_widths(df, keys))
+
+
+def by_rule(squeezed: DataFrame) -> DataFrame:
+    """`Regime` and its label by rule, `squeezed` consumed."""
+    df = squeezed.withColumn("Regime", F.when(F.col("squeezed"), SIDEWAYS).otherwise(trend_rule()).cast("int")).drop("squeezed")
     return df.withColumn("Regime_Label", label_name(F.col("Regime")))
 
 
+def rule_regime(features: DataFrame, keys=KEYS) -> DataFrame:
+    return by_rule(squeezed(features, keys))
+
+
 def usable(df: DataFrame, columns) -> DataFrame:
     return df.dropna(subset=list(columns))
 

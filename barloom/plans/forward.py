@@ -167,7 +167,8 @@ FROM wins w JOIN wf_metrics m ON w.window_id = m.run_id LEFT JOIN (SELECT window
 )
 def _(spark, sf):
     windows = wf.plan(panels.daily_bars(spark, sf))
-    df = wf.summary(windows, settle(wf.out_of_sample(features(spark, sf), windows, "ma_crossover")))
+    rows = wf.out_of_sample(features(spark, sf), windows, "ma_crossover")
+    df = wf.summary(windows, settle(rows.select(*wf.SUMMARISED)))
     return df.select(
         big("window_id"), "train_start", "train_end", "test_start", "test_end", big("n_trades"), *[rnd(c, 6) for c in ("win_rate", "total_return", "sharpe", "max_dd")]
     )

@@ -179,3 +179,19 @@ def test_registry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 170
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_rule_signals_repeat_no_train_rows(spark, anchored):
+    """Half a year of training is less than the squeeze looks back, so a window's start must cut the widths."""
+    bars = spark.createDataFrame(pd.concat([walk("A", 560, 3), walk("B", 430, 4), walk("C", 90, 5), walk("D", 203, 6)]), BARS)
+    features = indicators(prepare(bars)).cache()
+    windows = wf.plan(features, 0.5, 3, anchored=anchored)
+    got = wf.out_of_sample(features, windows, "ma_crossover")
+    sliced = rg.label(wf.slices(features, windows), "ma_crossover", wf.KEYS, F.col("is_train"))
+    want = sg.signals(sliced, keys=wf.KEYS).filter("is_test").select(*sorted(got.columns))
+    order = ["window_id", "instrument", "date"]
+    pd.testing.assert_frame_equal(got.select(*sorted(got.columns)).orderBy(*order).toPandas(), want.orderBy(*order).toPandas())
+    assert want.count() > 300 and want.filter("Regime = 1").count() > 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("window_id" in line for line in plan.splitlines() if "windowspecdefinition" in line)
