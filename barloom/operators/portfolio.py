@@ -177,7 +177,8 @@ def _measured(pairs: DataFrame, series: DataFrame, cfg: Settings) -> DataFrame:
 
 def matrices(aligned: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """(portfolio_id, i, j, cov, corr) for i <= j, annualised covariance; here the pairs are the output."""
-    held = held_series(aligned, cfg)
+    # Pairs and series both read the holdings, whose days are put together once.
+    held = settle(held_series(aligned, cfg).select(*BOOK, "instrument", "_days", "v", "_blocks", "_block"))
     return _measured(_book_pairs(held), _shared_series(held), cfg)
 
 

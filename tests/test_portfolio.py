@@ -45,6 +45,12 @@ def test_covariance_of_a_book_over_several_blocks(data):
     np.testing.assert_allclose(got["corr"], corr[i, j], rtol=1e-9, atol=1e-12)
 
 
+def test_holdings_of_the_matrices_are_put_together_once(data):
+    _, _, _, returns, weighted = data
+    plan = pf.matrices(pf.aligned_panel(weighted, returns))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "windowspecdefinition" not in plan  # neither side works them out again
+
+
 def test_days_travel_packed_and_large_books_in_parts(data, monkeypatch):
     _, _, _, returns, weighted = data
     plan = pf.book_series(weighted, returns)._jdf.queryExecution().executedPlan().toString()
