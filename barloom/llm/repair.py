@@ -27,57 +27,77 @@ LEAST = 5
 SPAN = 8
 
 
+def _every_other(seq: np.ndarray) -> np.ndarray:
+    """Places of pairs that don't count: every second one of a run of equal symbols, from its second on."""
+    same = np.flatnonzero((seq[2:] == seq[1:-1]) & (seq[1:-1] == seq[:-2])) + 1
+    starts = np.append(True, np.diff(same) > 1)[: len(same)]
+    return same[(same - np.maximum.accumulate(np.where(starts, same, 0))) % 2 == 0]
+
+
 def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules (n, 2), expansion lengths (n,)): frequent neighbours replaced by nonterminals, round by round.
 
     A round replaces the pairs that are about as frequent as the most frequent one. Where two of them overlap, the more
     frequent one wins and the other is counted anew in the next round. In a run of equal symbols every second place is
-    counted and replaced. Rounds end when no pair is frequent, or when all numbers are given.
+    counted and replaced. Rounds end when no pair is frequent, or when all numbers are given. A replacement makes new pairs
+    beside it only and no other pair more frequent: once all pairs of LEAST places are known, only these and the new ones are
+    counted again.
     """
     seq = np.asarray(seq, np.uint16)
     rules: list[np.ndarray] = []
     lengths = np.ones(TERMINALS, np.int64)
+    near: np.ndarray | None = None  # a flag for each place that a pair of LEAST places may have
     while len(seq) > 1:
         room = SYMBOLS - len(lengths)
         if room == 0:
             break
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        bucket = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        index = np.arange(len(pair), dtype=np.int32)
-        first = np.append(True, pair[1:] != pair[:-1])
-        second = (index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0  # every second place of a run
-        held = np.bincount(bucket[second], minlength=1 << 20)
-        for least in (max(LEAST, int(held.max()) // SPAN), LEAST):
-            heavy = np.flatnonzero((held >= least)[bucket] & second)
-            kinds, which, counts = np.unique(pair[heavy], return_inverse=True, return_counts=True)
+        skipped = _every_other(seq)
+        if near is None:
+            pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+            bucket = (pair * np.uint32(2654435761)) >> np.uint32(12)
+            held = np.bincount(bucket, minlength=1 << 20) - np.bincount(bucket[skipped], minlength=1 << 20)
+        for least in (LEAST,) if near is not None else (max(LEAST, int(held.max()) // SPAN), LEAST):
+            at_all = near if near is not None else (held >= least)[bucket]
+            at_all[skipped] = False
+            heavy = np.flatnonzero(at_all)
+            found = (seq[heavy].astype(np.uint32) << np.uint32(16)) | seq[heavy + 1]
+            kinds, which, counts = np.unique(found, return_inverse=True, return_counts=True)
             if counts.max(initial=0) >= least:
                 break
-        rank = np.full(len(kinds), -1, np.int64)
+        whole = least == LEAST
+        if near is not None:
+            least = max(LEAST, int(counts.max(initial=0)) // SPAN)
+        rank = np.full(len(kinds), -1, np.int32)
         best = np.argsort(-counts, kind="stable")[:room]
         best = best[counts[best] >= least]
         if not len(best):
             break
         rank[best] = np.arange(len(best), 0, -1)
-        score = np.full(len(pair) + 2, -1, np.int64)
-        score[heavy + 1] = rank[which]
-        mid = score[1:-1]
-        at = np.flatnonzero((mid > 0) & (mid > score[:-2]) & (mid >= score[2:]))
-        used = np.bincount(mid[at], minlength=len(best) + 1)
+        own = rank[which]
+        score = np.full(len(seq) + 1, -1, np.int32)
+        score[heavy + 1] = own
+        won = (own > 0) & (own > score[heavy]) & (own >= score[heavy + 2])
+        at, own = heavy[won], own[won]
+        used = np.bincount(own, minlength=len(best) + 1)
         worth = np.flatnonzero(used >= LEAST)[::-1]  # by falling rank, so the most frequent first
-        worth = worth[worth > 0]
         if not len(worth):
             break
         number = np.zeros(len(best) + 1, np.int64)
         number[worth] = len(lengths) + np.arange(len(worth))
-        at = at[number[mid[at]] > 0]
+        at, own = at[number[own] > 0], own[number[own] > 0]
         made = kinds[best[len(best) - worth]]
         left, right = (made >> np.uint32(16)).astype(np.int64), (made & np.uint32(0xFFFF)).astype(np.int64)
         rules.append(np.stack([left, right], axis=1))
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
         out = seq.copy()
-        out[at] = number[mid[at]]
+        out[at] = number[own]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        if whole:
+            beside = np.zeros(len(seq), bool)
+            for places in (heavy[counts[which] >= LEAST], skipped, at, at[at > 0] - 1):
+                beside[places] = True
+            near = beside[keep][:-1]
         seq = out[keep]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq, table.astype(np.uint16), lengths[TERMINALS:].astype(np.uint32)

@@ -110,6 +110,18 @@ def test_runs_and_periodic_texts_become_short():
         assert (grammar.decode(0, len(tokens)) == tokens).all() and (grammar.decode(4321, 9876) == tokens[4321:9876]).all()
 
 
+def test_late_rounds_count_near_replaced_places_only(monkeypatch):
+    tokens = np.append(np.random.default_rng(12).zipf(1.5, 60_000) % 2000, np.full(77, 5))
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, minlength=0: calls.append((len(x), minlength)) or bincount(x, minlength=minlength))
+    sequence, rules, lengths = repair.compress(tokens)
+    grammar = repair.Grammar(sequence.tobytes(), rules.tobytes(), lengths.tobytes())
+    assert (grammar.decode(0, len(tokens)) == tokens).all()
+    rounds = [n for n, width in calls if width < 1 << 20]
+    whole = [n for n, width in calls if width == 1 << 20 and n >= len(sequence) - 1]
+    assert 0 < len(whole) < len(rounds)
+
+
 def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(9)
     tokens = rng.zipf(1.5, 60_000) % 2000
