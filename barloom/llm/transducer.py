@@ -22,6 +22,7 @@ SPACE = "▁"
 #: a line feed (which is a byte to the model).
 STRETCHES = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 MEMORY = 600_000
+NOTHING: dict[str, bool] = {}
 
 
 class Transducer:
@@ -51,10 +52,20 @@ class Transducer:
                 self.bytes_of[k] = text.replace(SPACE, " ").encode()
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.piece):
             raise ValueError("pieces reach over stretches")
-        # states of the piece transducer: every beginning of a piece, with the arc out of it where it is a whole one
-        self.begun: dict[str, tuple[int, float] | None] = {p[:n]: None for p in self.piece for n in range(1, len(p))}
-        self.begun.update(self.piece)
-        self.pair: dict[tuple[str, str], bool] = {}
+        # states of the piece transducer: every beginning of a piece, with the arcs to longer ones by their next character
+        # and, under "", the longest piece on the way there; `shorter` leads on to the next shorter piece that begins alike
+        self.root: dict = {}
+        self.shorter: dict[str, str | None] = {}
+        for piece in sorted(self.piece, key=len):
+            state, longest = self.root, None
+            for c in piece:
+                state = state.setdefault(c, {"": longest or c})
+                longest = state[""]
+            self.shorter[piece] = longest if longest != piece else None
+            state[""] = piece
+        self.reach = max(map(len, self.piece))
+        self.after: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.edges: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
         self.seen: dict[str, bytes] = {}
 
@@ -104,46 +115,52 @@ class Transducer:
             else:
                 j += 1
 
-    def _follows(self, before: str | None, piece: str) -> bool:
-        """Whether the acceptor has an arc from `before` (None: the start) to `piece`."""
-        if before is None:
-            return self._edge(piece, 0) is not None
-        known = self.pair.get((before, piece))
-        if known is None:
-            if len(self.pair) > MEMORY:
-                self.pair.clear()
-            known = self.pair[before, piece] = self._apart(before, piece)
-        return known
+    def _follows(self, before: str, piece: str) -> bool:
+        """Whether the acceptor has an arc from `before` ("": the start) to `piece`; kept in `after`."""
+        if self.n_pairs >= MEMORY:
+            self.after.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        found = self._apart(before, piece) if before else self._edge(piece, 0) is not None
+        self.after.setdefault(before, {})[piece] = found
+        return found
 
     def shortest(self, stretch: str) -> list[str]:
         """Pieces of the shortest path; a character that no piece has stands for itself.
 
         The acceptor gives all paths to a place but one an infinite weight: the segmentation of the text up to there. So the
-        first finite path found to a place is the shortest, and the state there is the piece that it ends with.
+        first finite path found to the end is the shortest. The search goes on from a place by the longest arc first and back
+        where none is left; no place is reached by a finite path twice.
         """
-        n = len(stretch)
-        last: list[str | None] = [None] * (n + 1)
-        begun, follows = self.begun.get, self._follows
-        for start in range(n):
-            before = last[start]
-            if before is None and start:
-                continue
-            for end in range(start + 1, n + 1):
-                piece = stretch[start:end]
-                arc = begun(piece, False)
-                if end > start + 1:
-                    if arc is False:
-                        break  # no piece begins like this
-                    if arc is None:
-                        continue
-                if last[end] is None and follows(before, piece):
-                    last[end] = piece
+        root, shorter, after, follows, reach = self.root, self.shorter, self.after, self._follows, self.reach
         path: list[str] = []
-        place = n
-        while place:
-            path.append(last[place])
-            place -= len(last[place])
-        return path[::-1]
+        place, before = 0, ""
+        while place < len(stretch):
+            state = root
+            for c in stretch[place : place + reach]:
+                onward = state.get(c)
+                if onward is None:
+                    break
+                state = onward
+            piece = state[""] if state is not root else stretch[place]
+            while True:
+                known = after.get(before, NOTHING)
+                while piece:
+                    found = known.get(piece)
+                    if found is None:
+                        found = follows(before, piece)
+                    if found:
+                        break
+                    piece = shorter.get(piece)
+                if piece:
+                    break
+                piece = shorter.get(before)
+                place -= len(path.pop())
+                before = path[-1] if path else ""
+            path.append(piece)
+            place += len(piece)
+            before = piece
+        return path
 
     def _packed(self, stretch: str) -> bytes:
         ids: list[int] = []

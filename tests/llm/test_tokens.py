@@ -146,6 +146,19 @@ def test_shortest_paths_are_the_models_segmentations(docs, rows):
     assert sorted(back.text) == sorted(r[1] or "" for r in rows)
 
 
+def test_paths_go_by_the_longest_arcs_first(rows, monkeypatch):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(transducer.MODEL))
+    machine, judged = transducer.Transducer(transducer.MODEL), []
+    texts = sorted({w for r in rows for w in (r[1] or "").split() if len(w) < 40}) + ["wordswithoutanyspacebetween中文字😀" * 500]
+    judge = machine._follows
+    machine._follows = lambda *arc: judged.append(arc) or judge(*arc)
+    pieces = [machine.shortest("▁" + t) for t in texts]
+    assert len(judged) < 2 * sum(map(len, pieces))
+    monkeypatch.setattr(transducer, "MEMORY", 7)
+    for text, ids in zip(texts, machine.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text)
+
+
 def test_round_trip_rows(docs, rows, empty):
     got = transducer.round_trip(docs).toPandas()
     assert len(got) == len(rows) and got.same.all()
