@@ -27,80 +27,125 @@ LEAST = 5
 SPAN = 8
 
 
-def _every_other(seq: np.ndarray) -> np.ndarray:
-    """Places of pairs that don't count: every second one of a run of equal symbols, from its second on."""
-    same = np.flatnonzero((seq[2:] == seq[1:-1]) & (seq[1:-1] == seq[:-2])) + 1
-    starts = np.append(True, np.diff(same) > 1)[: len(same)]
-    return same[(same - np.maximum.accumulate(np.where(starts, same, 0))) % 2 == 0]
+def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of slices that start at `begin` and hold `size` places, one slice after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - (upto - size), size) + np.arange(size.sum())
+
+
+class Pairs:
+    """Pairs of neighbours that may occur LEAST times, by kind: key (both symbols), count, and the places it was found at.
+
+    `kind` is that of the pair at each place (0: a rarer one, or none), so a place listed before it changed is told apart.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.kind = np.zeros(n + 1, np.int32)
+        self.key, self.count, self.begin, self.size = (np.zeros(1, np.int64) for _ in range(4))
+        # n at first, and two new pairs beside each of fewer than n replacements
+        self.places = np.empty(3 * n, np.int32)
+        self.filled = 0
+
+    def add(self, at: np.ndarray, pair: np.ndarray) -> None:
+        """Pairs that none of the known ones equals, at places without one."""
+        both = np.sort((pair.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64))
+        pair = (both >> np.uint64(32)).astype(np.uint32)
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        size = np.diff(np.append(first, len(pair)))
+        often = size >= LEAST
+        at = both[np.repeat(often, size)].astype(np.uint32)
+        first, size = first[often], size[often]
+        self.kind[at] = np.repeat(np.arange(len(self.key), len(self.key) + len(size), dtype=np.int32), size)
+        self.places[self.filled : self.filled + len(at)] = at
+        self.key, self.count, self.size = (np.append(x, y) for x, y in ((self.key, pair[first]), (self.count, size), (self.size, size)))
+        self.begin = np.append(self.begin, self.filled + np.cumsum(size) - size)
+        self.filled += len(at)
+
+    def drop(self, at: np.ndarray) -> None:
+        """No pairs at these places any more."""
+        self.count -= np.bincount(self.kind[at], minlength=len(self.count))
+        self.kind[at] = 0
+
+    def where(self, kinds: np.ndarray) -> np.ndarray:
+        """The places of pairs of these kinds, ascending."""
+        at = np.sort(self.places[_slices(self.begin[kinds], self.size[kinds])])
+        wanted = np.zeros(len(self.key), bool)
+        wanted[kinds] = True
+        live = wanted[self.kind[at]]
+        live[1:] &= at[1:] != at[:-1]
+        return at[live]
 
 
 def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules (n, 2), expansion lengths (n,)): frequent neighbours replaced by nonterminals, round by round.
 
     A round replaces the pairs that are about as frequent as the most frequent one. Where two of them overlap, the more
-    frequent one wins and the other is counted anew in the next round. In a run of equal symbols every second place is
-    counted and replaced. Rounds end when no pair is frequent, or when all numbers are given. A replacement makes new pairs
-    beside it only and no other pair more frequent: once all pairs of LEAST places are known, only these and the new ones are
-    counted again.
+    frequent one wins and the other is taken up in a later round. In a run of equal symbols every second place is counted
+    and replaced. Rounds end when no pair is frequent, or when all numbers are given. A replacement makes new pairs beside
+    it only and no other pair more frequent: so the sequence is counted once, then only what is beside replaced places.
+    Symbols stay at their places, linked to the next and the last one that is left; place n is beyond either end.
     """
-    seq = np.asarray(seq, np.uint16)
+    n = len(seq)
+    seq = np.append(np.asarray(seq, np.uint16), np.uint16(0))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    before[0] = n
+    left = np.ones(n, bool)
+    score = np.zeros(n + 1, np.int32)
     rules: list[np.ndarray] = []
     lengths = np.ones(TERMINALS, np.int64)
-    near: np.ndarray | None = None  # a flag for each place that a pair of LEAST places may have
-    while len(seq) > 1:
-        room = SYMBOLS - len(lengths)
-        if room == 0:
-            break
-        skipped = _every_other(seq)
-        if near is None:
-            pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-            bucket = (pair * np.uint32(2654435761)) >> np.uint32(12)
-            held = np.bincount(bucket, minlength=1 << 20) - np.bincount(bucket[skipped], minlength=1 << 20)
-        for least in (LEAST,) if near is not None else (max(LEAST, int(held.max()) // SPAN), LEAST):
-            at_all = near if near is not None else (held >= least)[bucket]
-            at_all[skipped] = False
-            heavy = np.flatnonzero(at_all)
-            found = (seq[heavy].astype(np.uint32) << np.uint32(16)) | seq[heavy + 1]
-            kinds, which, counts = np.unique(found, return_inverse=True, return_counts=True)
-            if counts.max(initial=0) >= least:
-                break
-        whole = least == LEAST
-        if near is not None:
-            least = max(LEAST, int(counts.max(initial=0)) // SPAN)
-        rank = np.full(len(kinds), -1, np.int32)
-        best = np.argsort(-counts, kind="stable")[:room]
-        best = best[counts[best] >= least]
+
+    def joined(at: np.ndarray) -> np.ndarray:
+        return (seq[at].astype(np.uint32) << np.uint32(16)) | seq[after[at]]
+
+    known = Pairs(n)
+    pair = joined(np.arange(n - 1))
+    bucket = (pair * np.uint32(2654435761)) >> np.uint32(12)
+    heavy = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= LEAST)[bucket])
+    known.add(heavy, pair[heavy])
+    while room := SYMBOLS - len(lengths):
+        counts = known.count.copy()
+        counts[0] = 0
+        runs = known.where(np.flatnonzero((counts >= LEAST) & (known.key >> 16 == known.key & 0xFFFF)))
+        order = np.arange(len(runs))
+        starts = np.append(True, after[runs[:-1]] != runs[1:])[: len(runs)]
+        skipped = runs[(order - np.maximum.accumulate(np.where(starts, order, 0))) % 2 == 1]
+        counts -= np.bincount(known.kind[skipped], minlength=len(counts))
+        best = np.flatnonzero(counts >= max(LEAST, int(counts.max()) // SPAN))
+        best = best[np.argsort(known.key[best] - (counts[best] << 32))][:room]
         if not len(best):
             break
+        rank = np.zeros(len(counts), np.int32)
         rank[best] = np.arange(len(best), 0, -1)
-        own = rank[which]
-        score = np.full(len(seq) + 1, -1, np.int32)
-        score[heavy + 1] = own
-        won = (own > 0) & (own > score[heavy]) & (own >= score[heavy + 2])
-        at, own = heavy[won], own[won]
+        at = known.where(best)
+        own = rank[known.kind[at]]
+        score[at] = own
+        score[skipped] = 0
+        won = (score[at] > score[before[at]]) & (score[at] >= score[after[at]])
+        score[at] = 0
+        at, own = at[won], own[won]
         used = np.bincount(own, minlength=len(best) + 1)
         worth = np.flatnonzero(used >= LEAST)[::-1]  # by falling rank, so the most frequent first
-        if not len(worth):
-            break
+        fresh = len(lengths)
         number = np.zeros(len(best) + 1, np.int64)
-        number[worth] = len(lengths) + np.arange(len(worth))
+        number[worth] = fresh + np.arange(len(worth))
         at, own = at[number[own] > 0], own[number[own] > 0]
-        made = kinds[best[len(best) - worth]]
-        left, right = (made >> np.uint32(16)).astype(np.int64), (made & np.uint32(0xFFFF)).astype(np.int64)
-        rules.append(np.stack([left, right], axis=1))
-        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        out = seq.copy()
-        out[at] = number[own]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        if whole:
-            beside = np.zeros(len(seq), bool)
-            for places in (heavy[counts[which] >= LEAST], skipped, at, at[at > 0] - 1):
-                beside[places] = True
-            near = beside[keep][:-1]
-        seq = out[keep]
+        made = known.key[best[len(best) - worth]]
+        rules.append(np.stack([made >> 16, made & 0xFFFF], axis=1))
+        lengths = np.concatenate([lengths, lengths[rules[-1]].sum(axis=1)])
+        gone = after[at]
+        for places in (at, gone, before[at]):
+            known.drop(places)
+        seq[at] = number[own]
+        left[gone] = False
+        onward = after[gone]
+        after[at] = onward
+        before[onward] = at
+        beside = before[at]
+        changed = np.sort(np.concatenate([at, beside[(beside < n) & (seq[beside] < fresh)]]))
+        changed = changed[after[changed] < n]
+        known.add(changed, joined(changed))
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, table.astype(np.uint16), lengths[TERMINALS:].astype(np.uint32)
+    return seq[:-1][left], table.astype(np.uint16), lengths[TERMINALS:].astype(np.uint32)
 
 
 class Grammar:
@@ -110,13 +155,19 @@ class Grammar:
         self.sequence = np.frombuffer(sequence, "<u2")
         table = np.frombuffer(rules, "<u2").reshape(-1, 2)
         self.length = np.concatenate([np.ones(TERMINALS, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)])
-        parts = [np.arange(TERMINALS)]
-        for left, right in table.tolist():
-            a = parts[left - TERMINALS + 1] if left >= TERMINALS else np.array([left])
-            b = parts[right - TERMINALS + 1] if right >= TERMINALS else np.array([right])
-            parts.append(np.concatenate([a, b]))
-        self.flat = np.concatenate(parts).astype("<u4")
         self.first = np.cumsum(self.length) - self.length
+        self.flat = np.zeros(self.length.sum(), "<u4")
+        self.flat[:TERMINALS] = np.arange(TERMINALS)
+        told = np.arange(len(self.length)) < TERMINALS
+        rules = np.arange(len(table))
+        while len(rules):  # those whose both symbols are expanded
+            ready = told[table[rules]].all(axis=1)
+            symbols = rules[ready] + TERMINALS
+            a, b = table[rules[ready]].astype(np.int64).T
+            for part, at in ((a, self.first[symbols]), (b, self.first[symbols] + self.length[a])):
+                self.flat[_slices(at, self.length[part])] = self.flat[_slices(self.first[part], self.length[part])]
+            told[symbols] = True
+            rules = rules[~ready]
         self.ends = np.cumsum(self.length[self.sequence])
 
     def decode(self, start: int, stop: int) -> np.ndarray:

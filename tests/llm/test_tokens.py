@@ -22,6 +22,19 @@ def test_chunks_encode_like_whole_texts(rows):
             assert ids == packed(whole.encode(text or "", add_special_tokens=False).ids)
 
 
+def test_marks_behind_letters_are_runs_of_their_own():
+    letters = [chr(c) for c in range(33, 0x300)]
+    texts = [x + marks for x in letters for marks in ("=", "'s", "~.", '"', "\u0338.")] + ["a" + x + "<" for x in letters]
+    for name in encoding.CHUNKS:
+        own, whole = encoding.Encoder(name), Tokenizer.from_file(public_tokenizers.path(name))
+        seen, tokenize = [], own._whole
+        own._whole = lambda chunk: seen.append(chunk) or tokenize(chunk)
+        own.ids(["heat*** été!? naïve; heat: heat"])
+        assert sorted(seen) == ["!?", "***", ":", ";"]
+        for text, ids in zip(texts, own.ids(texts), strict=True):
+            assert ids == packed(whole.encode(text, add_special_tokens=False).ids), text
+
+
 def test_memory_of_chunks_is_bounded(monkeypatch):
     monkeypatch.setattr(encoding, "MEMORY", 3)
     own = encoding.Encoder("word_bpe_49k.json")
@@ -122,6 +135,16 @@ def test_late_rounds_count_near_replaced_places_only(monkeypatch):
     assert 0 < len(whole) < len(rounds)
 
 
+def test_rounds_do_not_go_over_the_whole_sequence(monkeypatch):
+    tokens = np.append(np.random.default_rng(12).zipf(1.5, 60_000) % 2000, np.full(77, 5))
+    sizes, flatnonzero = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: sizes.append(len(x)) or flatnonzero(x))
+    sequence, rules, lengths = repair.compress(tokens)
+    assert sum(n >= len(sequence) - 1 for n in sizes) <= 3 < len(sizes) // 4
+    grammar = repair.Grammar(sequence.tobytes(), rules.tobytes(), lengths.tobytes())
+    assert (grammar.decode(0, len(tokens)) == tokens).all()
+
+
 def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(9)
     tokens = rng.zipf(1.5, 60_000) % 2000
