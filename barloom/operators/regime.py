@@ -89,6 +89,11 @@ def order_states(rows: DataFrame, state="state", keys=KEYS, train: Column | None
     df = rows.withColumns(
         {f"_m{s}": F.avg(F.when(known & (F.col(state) == s), F.col("Return_5d"))).over(w) for s in range(3)}
     )
+    return order_by_means(df, state)
+
+
+def order_by_means(df: DataFrame, state="state") -> DataFrame:
+    """`order_states` where `_m0`..`_m2`, the mean returns of the states, are known; they are consumed."""
     mean = [F.coalesce(F.col(f"_m{s}"), F.lit(float("inf"))) for s in range(3)]
 
     def place(s: int) -> Column:
@@ -162,14 +167,19 @@ def transitions(labelled: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def known(columns) -> Column:
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    return complete
+
+
 def mark(features: DataFrame, columns, least: int, keys, train: Column | None) -> DataFrame:
     """Features with the rule's code in `_rule`, and `_use` / `_fit`: rows a model can label / may learn from.
 
     Keys with fewer than `least` learnable rows get neither and so keep the rule.
     """
-    complete = F.lit(True)
-    for c in columns:
-        complete = complete & F.col(c).isNotNull()
+    complete = known(columns)
     df = rule_regime(features, keys).withColumnRenamed("Regime", "_rule").drop("Regime_Label")
     df = df.withColumn("_use", complete).withColumn("_fit", complete if train is None else complete & train)
     enough = F.count_if("_fit").over(Window.partitionBy(*keys)) >= least
@@ -178,7 +188,7 @@ def mark(features: DataFrame, columns, least: int, keys, train: Column | None) -
     )
 
 
-def _settle(df: DataFrame, keys) -> DataFrame:
+def model_or_rule(df: DataFrame) -> DataFrame:
     """The spread model label for fitted keys, the rule for the others."""
     code = F.when(F.col("_enough"), F.col("Regime")).otherwise(F.col("_rule")).cast("int")
     internal = [c for c in df.columns if c.startswith("_")]
@@ -188,9 +198,7 @@ def _settle(df: DataFrame, keys) -> DataFrame:
 def fitted_or_rule(features: DataFrame, method: str = "hmm", keys=KEYS) -> DataFrame:
     """Per key the number of rows a model could learn from, and whether it is fitted or keeps the rule."""
     columns, least = (HMM_FEATURES, HMM_LEAST) if method == "hmm" else (KMEANS_FEATURES, KMEANS_LEAST)
-    complete = F.lit(True)
-    for c in columns:
-        complete = complete & F.col(c).isNotNull()
+    complete = known(columns)
     counts = features.groupBy(*keys).agg(F.count_if(complete).alias("usable_rows"))
     return counts.withColumn("path", F.when(F.col("usable_rows") >= least, method).otherwise("rule"))
 
@@ -204,7 +212,7 @@ def kmeans_regime(features: DataFrame, keys=KEYS, train: Column | None = None) -
     df = order_states(df, "state", keys, F.col("_fit"))
     df = smooth_labels(df, SMOOTHING, (*keys, "_use"))
     df = df.withColumn("Regime", F.when(F.col("_use"), F.col("Regime"))).drop("state")
-    return _settle(spread_forward(df, keys), keys)
+    return model_or_rule(spread_forward(df, keys))
 
 
 def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None, parameters: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -221,12 +229,18 @@ def decode_hmm(features: DataFrame, keys=KEYS, train: Column | None = None, para
 def hmm_regime(features: DataFrame, keys=KEYS, train: Column | None = None, causal=False, parameters: dict | None = None) -> DataFrame:
     """Three-state Gaussian HMM labels with posteriors. `train` (a condition on the rows) restricts fitting.
 
-    With `parameters` (start, trans, mean, cov) nothing is fitted but the standardisation.
+    With `parameters` (start, trans, mean, cov) nothing is fitted but the standardisation. Fit, best path and posteriors are worked
+    out in one pass over a series' arrays; `decode_hmm` gives the same by way of a model table.
     """
-    _, df = decode_hmm(features, keys, train, parameters)
-    df = order_posteriors(order_states(df, "state", keys, F.col("_fit")))
-    df = df.drop("state", "p0", "p1", "p2")
-    return _settle(spread_both(df, causal=causal, keys=keys), keys)
+    df = mark(features, HMM_FEATURES, HMM_LEAST, keys, train)
+    found = models.label_series(df.filter("_use"), HMM_FEATURES, "Return_5d", keys, parameters)
+    df = models.placed(df, found, keys, models.M)
+    return model_or_rule(spread_both(ordered_labels(df), causal=causal, keys=keys))
+
+
+def ordered_labels(df: DataFrame) -> DataFrame:
+    """Regime and its probabilities out of states, posteriors and mean returns, which are consumed."""
+    return order_posteriors(order_by_means(df)).drop("state", *models.P)
 
 
 def model_transitions(model: DataFrame, decoded: DataFrame, keys=KEYS) -> DataFrame:

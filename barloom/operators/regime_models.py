@@ -22,6 +22,8 @@ COV_FLOOR = 1e-2
 TINY = 1e-12
 SCAN_BLOCK = 32
 SIDE_BY_SIDE = 131_072  # points of the series that are estimated together
+AT_ONCE = 8 * SIDE_BY_SIDE  # points that a task holds as arrays
+P, M = ("p0", "p1", "p2"), ("_m0", "_m1", "_m2")  # posteriors and mean return of each state
 
 
 def _packed(df: DataFrame, keys, *also: Column) -> DataFrame:
@@ -269,12 +271,13 @@ def best_path(logs: Column, start: Column, trans: Column) -> Column:
     return F.when(F.size(logs) > 0, let(let(F.transform(trans, safe), run), follow))
 
 
-def _placed(rows: DataFrame, found: DataFrame, keys) -> DataFrame:
-    """The rows with the values that `found` lists per key for its `_use` rows, in order of date."""
-    names = [c for c in found.columns if c not in keys]
+def placed(rows: DataFrame, found: DataFrame, keys, whole=()) -> DataFrame:
+    """The rows with the values that `found` lists per key for its `_use` rows, in order of date; those of `whole` are a key's own."""
+    names = [c for c in found.columns if c not in keys and c not in whole]
     at = F.count_if("_use").over(running(keys)).cast("int") - 1
     joined = rows.withColumn("_at", at).join(found, list(keys), "left")
-    return joined.select(*[F.col(c) for c in rows.columns], *[F.when(F.col("_use"), F.get(F.col(n), F.col("_at"))).alias(n) for n in names])
+    listed = [F.when(F.col("_use"), F.get(F.col(n), F.col("_at"))).alias(n) for n in names]
+    return joined.select(*[F.col(c) for c in rows.columns], *listed, *whole)
 
 
 def _padded(points: list[np.ndarray], length: int) -> np.ndarray:
@@ -314,13 +317,12 @@ def _centers(x: np.ndarray, n: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expected(x: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple:
-    """State posteriors, expected moves and the log likelihood of many series, the longest first."""
-    length, d, _ = x.shape
-    real = np.arange(length)[:, None] < n
+def _densities(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Log densities (place in time, state, series)."""
+    length, d, many = x.shape
     whole = cov.transpose(3, 0, 1, 2)
     inverse, constant = np.linalg.inv(whole).transpose(1, 2, 3, 0), np.linalg.slogdet(whole)[1].T + d * log(2 * pi)
-    b = np.empty((length, STATES, len(n)))
+    b = np.empty((length, STATES, many))
     for k in range(STATES):
         gap, form = x - mean[k], constant[k]
         for i in range(d):
@@ -330,6 +332,14 @@ def _expected(x: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray
             inner *= gap[:, i]
             form = form + inner
         np.multiply(form, -0.5, out=b[:, k])
+    return b
+
+
+def _expected(x: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    """State posteriors, expected moves and the log likelihood of many series, the longest first."""
+    length = len(x)
+    real = np.arange(length)[:, None] < n
+    b = _densities(x, mean, cov)
     shift = b.max(1)
     b -= shift[:, None]
     np.exp(b, out=b)
@@ -432,6 +442,119 @@ def _estimate(points: list[np.ndarray], steps: int, tolerance: float) -> list[tu
     return out
 
 
+def _best_paths(b: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """`best_path` of many series, the longest first: b log densities, states by (place in time, series)."""
+    length, _, many = b.shape
+    active = (np.arange(length)[:, None] < n).sum(1).tolist()
+    safe = lambda p: np.log(p, out=np.full(p.shape, -np.inf), where=p > 0)
+    steps, score, back = safe(trans), safe(start) + b[0], np.zeros((length, STATES, many), np.int8)
+    for t in range(1, length):
+        m = active[t]
+        came = score[:, None, :m] + steps[..., :m]
+        back[t, :, :m] = came.argmax(0)  # the smaller state of two as good
+        score[:, :m] = came.max(0) + b[t, :, :m]
+    path, at, own = np.zeros((length, many), np.int8), score.argmax(0), np.arange(many)
+    for t in range(length - 1, -1, -1):
+        m = active[t]
+        path[t, :m] = at[:m]
+        at[:m] = back[t, at[:m], own[:m]]
+    return path
+
+
+def _standard(x: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Points over mean and population sigma of the learnt ones; a column that is constant there counts with a sigma of 1."""
+    own = x[learnt]
+    flat = own.max(0) == own.min(0)
+    return (x - np.where(flat, own[0], own.mean(0))) / np.where(flat, 1.0, own.std(0))
+
+
+def labels_of(pieces: list[tuple[np.ndarray, np.ndarray]], parameters: dict | None = None, steps: int = EM_STEPS) -> list[tuple]:
+    """Per piece of a series, (points, which of them a model learns from), the best path and the posteriors of all its points.
+
+    The model is estimated for every piece as in `fit_hmm`, or stated by `parameters`; pieces go through each step side by side.
+    """
+    if not pieces:
+        return []
+    scaled = [_standard(x, learnt) for x, learnt in pieces]
+    d = scaled[0].shape[1]
+    if parameters is None:
+        found = _estimate([z[learnt] for z, (_, learnt) in zip(scaled, pieces, strict=True)], steps, EM_TOLERANCE)
+    else:
+        shapes = {"start": (STATES,), "trans": (STATES, STATES), "mean": (STATES, d), "cov": (STATES, d, d)}
+        found = [[np.array(parameters[c], float).reshape(s) for c, s in shapes.items()]] * len(pieces)
+    out: list = [None] * len(pieces)
+    queue = sorted(range(len(pieces)), key=lambda k: -len(scaled[k]))
+    while queue:
+        most = max(1, SIDE_BY_SIDE // len(scaled[queue[0]]))
+        some, queue = queue[:most], queue[most:]
+        n = np.array([len(scaled[k]) for k in some])
+        x = _padded([scaled[k] for k in some], n[0])
+        start, trans, mean, cov = (np.stack([found[k][i] for k in some], -1) for i in range(4))
+        share = _expected(x, n, start, trans, mean, cov)[0]
+        path = _best_paths(_densities(x, mean, cov), n, start, trans)
+        for at, k in enumerate(some):
+            out[k] = path[: n[at], at], share[: n[at], :, at]
+    return out
+
+
+def state_means(values: np.ndarray, states: np.ndarray) -> list[float | None]:
+    """Mean of the values in each state; None for a state without values."""
+    counts, sums = np.bincount(states, minlength=STATES), np.bincount(states, values, STATES)
+    return [s / c if c else None for s, c in zip(sums.tolist(), counts.tolist(), strict=True)]
+
+
+def listed(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow list per array."""
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
+def unlisted(rows: pa.Array, columns) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of a list of structs per series: where they begin and end, all structs, their `columns` as points, and which points are whole."""
+    inner = rows.flatten()
+    ends = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))])
+    parts = [inner.field(c) for c in columns]
+    points = np.column_stack([p.to_numpy(zero_copy_only=False) for p in parts])
+    return ends, inner, points, np.logical_and.reduce([p.is_valid().to_numpy(zero_copy_only=False) for p in parts])
+
+
+def shares_in_turn(batches, points_of: Callable[[pa.RecordBatch], int]):
+    """The batches in parts of a bounded number of points, so that memory follows from neither batch nor window sizes."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, AT_ONCE * batch.num_rows // max(points_of(batch), 1))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
+def label_series(rows: DataFrame, columns, value: str, keys=KEYS, parameters: dict | None = None) -> DataFrame:
+    """Per key of `rows`, all usable, `state` (best path) and p0..p2 (posteriors) of its rows in order of date, and `_m0`..`_m2`.
+
+    Fit and decoding run on the same arrays of many keys side by side, so that a series is gathered once; the results are those of
+    `fit_hmm` (or `stated_model`) and `decode`. `_m<s>` is the mean of `value` over the `_fit` rows of a state.
+    """
+    columns, keys = list(columns), list(keys)
+    packed = _packed(rows.select(*keys, "date", "_fit", *columns), keys)
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    at = columns.index(value)
+
+    def run(batches):
+        for batch in shares_in_turn(batches, lambda b: len(b.column("_rows").flatten())):
+            ends, inner, points, _ = unlisted(batch.column("_rows"), columns)
+            fit = inner.field("_fit").to_numpy(zero_copy_only=False).astype(bool)
+            pieces = [(points[a:b], fit[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            found = labels_of(pieces, parameters)
+            means = [state_means(x[learnt, at], states[learnt]) for (x, learnt), (states, _) in zip(pieces, found, strict=True)]
+            out = [listed([s for s, _ in found], pa.int8()), *[listed([p[:, k] for _, p in found], pa.float64()) for k in range(STATES)]]
+            out += [pa.array([m[k] for m in means], pa.float64()) for k in range(STATES)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *out], [*keys, "state", *P, *M])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", state array<tinyint>"
+    schema += "".join(f", {c} array<double>" for c in P) + "".join(f", {c} double" for c in M)
+    return packed.mapInArrow(run, schema)
+
+
 def fit_hmm(rows: DataFrame, columns, keys=KEYS, steps: int = EM_STEPS, tolerance: float = EM_TOLERANCE) -> DataFrame:
     """Model table, one row per (key, state): start, trans, mean, cov, center, spread, log_likelihood, steps.
 
@@ -488,7 +611,7 @@ def decode(rows: DataFrame, model: DataFrame, columns, keys=KEYS) -> DataFrame:
     if len(keys) > 1:  # such rows rarely arrive together by all keys, and the folds need every task
         narrow = spread(narrow, *keys)
     packed = _packed(narrow, keys).join(whole, keys)
-    return _placed(rows, _decoded(packed, columns, keys), keys)
+    return placed(rows, _decoded(packed, columns, keys), keys)
 
 
 def _decoded(packed: DataFrame, columns, keys) -> DataFrame:

@@ -243,3 +243,16 @@ def test_squeeze_equals_pandas_quantile(spark):
     got = rg.squeezed(df).orderBy("date").toPandas()
     cut = got["BB_Width"].rolling(252, min_periods=60).quantile(0.2)
     assert (got["squeezed"] == (got["BB_Width"] < cut)).all()
+
+
+@pytest.mark.parametrize("given", [None, {"start": [0.2, 0.5, 0.3], "trans": [0.8, 0.2, 0, 0.2, 0.7, 0.1, 0.1, 0.3, 0.6], "mean": [[-1, 0, 0.5], [0, 0.2, 0], [1, -0.4, 0.1]], "cov": [[1, 0.2, 0, 0.2, 1, 0.1, 0, 0.1, 0.7]] * 3}])
+def test_labels_in_one_pass_equal_the_model_table_and_its_decoding(spark, given):
+    bars = spark.createDataFrame(pd.concat([walk("A", 400, 3), walk("B", 250, 4), walk("C", 60, 5)]), BARS)
+    tagged = indicators(prepare(bars)).withColumn("is_train", F.dayofyear("date") < 200).cache()
+    got = rg.hmm_regime(tagged, train=F.col("is_train"), parameters=given).orderBy("instrument", "date")
+    _, decoded = rg.decode_hmm(tagged, train=F.col("is_train"), parameters=given)
+    ranked = rg.order_posteriors(rg.order_states(decoded, train=F.col("_fit"))).drop("state", "p0", "p1", "p2")
+    want = rg.model_or_rule(rg.spread_both(ranked)).select(*got.columns).orderBy("instrument", "date").toPandas()
+    pd.testing.assert_frame_equal(got.toPandas(), want, check_dtype=False, rtol=1e-6, atol=1e-8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
