@@ -70,13 +70,14 @@ def aligned_panel(weighted: DataFrame, returns: DataFrame) -> DataFrame:
     """Log returns on the days every holding has one: (portfolio_id, date, instrument, weight, r, port_log).
 
     The window holds one portfolio on one day. The 30-day minimum is tested where rows are next aggregated
-    (every holding of a book has the same number of aligned days); `long_enough` applies it to raw rows.
+    (every holding of a book has the same number of aligned days); `long_enough` applies it to raw rows. Rows stay where
+    `_held_returns` put them together and keep its `_part`; n_holdings is a book's own, so a condition on it is met before.
     """
-    day = Window.partitionBy(*BOOK, "_part", "date")
+    day = Window.partitionBy(*BOOK, "n_holdings", "_part", "date")
     rows = _held_returns(weighted, returns).withColumns(
         {"_n": F.count("*").over(day), "port_log": F.sum(F.col("weight") * F.col("r")).over(day)}
     )
-    return rows.filter(F.col("_n") == F.col("n_holdings")).drop("_n", "_part")
+    return rows.filter(F.col("_n") == F.col("n_holdings")).drop("_n")
 
 
 def long_enough(aligned: DataFrame) -> DataFrame:
@@ -322,10 +323,21 @@ def risk_contributions(parts: DataFrame) -> DataFrame:
 
 
 def mean_correlation(aligned: DataFrame) -> DataFrame:
-    """Mean off-diagonal correlation from the variance of the summed standardised returns."""
-    own = Window.partitionBy(*BOOK, "instrument")
+    """Mean off-diagonal correlation from the variance of the summed standardised returns.
+
+    A book that is one part has all its rows in one task, so names and days are summed up there and only a row per book travels.
+    The years of a large book are brought together by name, then by day.
+    """
+    large = F.col("n_holdings") > LARGE_BOOK
+    whole, parted = _mean_correlation(aligned.filter(~large), (*BOOK, "_part")), _mean_correlation(aligned.filter(large), BOOK)
+    return whole.unionByName(parted)
+
+
+def _mean_correlation(aligned: DataFrame, together) -> DataFrame:
+    """`mean_correlation` of books whose rows are together by the columns `together`."""
+    own = Window.partitionBy(*together, "instrument")
     z = aligned.withColumns({"_m": F.avg("r").over(own), "_s": F.stddev_samp("r").over(own)}).filter(F.col("_s") > 0)
-    days = z.groupBy(*BOOK, "date").agg(
+    days = z.groupBy(*together, "date").agg(
         F.sum((F.col("r") - F.col("_m")) / F.col("_s")).alias("_z"), F.count("*").alias("_n")
     )
     n = F.max("_n")

@@ -213,7 +213,8 @@ JOIN (SELECT portfolio_id, sum(weight * weight) AS hhi FROM weighted GROUP BY 1)
 CASE WHEN score >= 75 THEN 'Well Diversified' WHEN score >= 50 THEN 'Moderately Diversified' WHEN score >= 25 THEN 'Poorly Diversified' ELSE 'Highly Concentrated' END AS label FROM divers""",
 )
 def _(spark, sf):
-    df = pf.diversification(weighted(spark, sf), aligned(spark, sf), sectors(spark, sf))
+    held = weighted(spark, sf)
+    df = pf.diversification(held, pf.aligned_panel(held, returns(spark, sf)), sectors(spark, sf))
     return df.select("portfolio_id", *[rnd(c, 6) for c in ("mean_pairwise_correlation", "sector_entropy", "hhi", "effective_n")], rnd("score", 4), "label")
 
 

@@ -120,6 +120,20 @@ def test_mean_correlation_without_pairs(data):
     assert got["one"] is None
 
 
+def test_mean_correlation_moves_no_rows_of_ordinary_books(data, monkeypatch):
+    r, names, held, returns, weighted = data
+    aligned = pf.aligned_panel(weighted, returns)
+    before = aligned._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    one = pf._mean_correlation(aligned, (*pf.BOOK, "_part"))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == before + 1  # a row per book
+    monkeypatch.setattr(pf, "LARGE_BOOK", 100)  # the big book's years now lie in different tasks
+    got = {x.portfolio_id: x.mean_pairwise_correlation for x in pf.mean_correlation(pf.aligned_panel(weighted, returns)).collect()}
+    c = np.corrcoef(r.T)
+    assert got["big"] == pytest.approx(c[~np.eye(150, dtype=bool)].mean())
+    small = np.corrcoef(r[:, :3].T)
+    assert got["small"] == pytest.approx(small[~np.eye(3, dtype=bool)].mean()) and got["one"] is None and len(got) == 3
+
+
 def test_value_at_risk_is_the_linear_percentile(data):
     r, names, held, returns, weighted = data
     w = weights(held, "small")
