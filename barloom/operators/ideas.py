@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, ratio
+from ..functions.lineage import settle
 from ..settings import DEFAULTS, Settings
 from .signals import latest
 
@@ -213,8 +214,12 @@ def _best_first():
 
 
 def ranked(listed: DataFrame) -> DataFrame:
-    """Strongest conviction first, then score: a distributed sort."""
-    return listed.orderBy(*_best_first())
+    """Strongest conviction first, then score: a distributed sort.
+
+    A sort looks at its input twice, for the bounds of its ranges and for the rows. The list, a row per idea, is written once, so
+    that the indicators behind it are not worked out again.
+    """
+    return settle(listed).orderBy(*_best_first())
 
 
 def top_per_list(listed: DataFrame, k: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from barloom.operators import ideas as idea
 from barloom.operators import outcomes as out
 from barloom.operators import regime as rg
 from barloom.operators import signals as sg
@@ -124,3 +125,11 @@ def test_soft_gate_tilts_with_the_posterior(spark):
 def test_look_ahead_needs_no_window_of_rows(spark, signals):
     found = out.candidate_exits(spark.createDataFrame([], signals.schema))
     assert "Window [" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_ranking_works_out_the_list_once(signals):
+    listed = idea.ideas(idea.snapshot(signals))
+    got = idea.ranked(listed)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(-r.conv_rank, -r.Score, r.instrument) for r in got.collect()]
+    assert rows == sorted(rows) and len(rows) == listed.count()
