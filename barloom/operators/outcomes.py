@@ -2,67 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, clip, ratio, series
+from ..functions.frames import KEYS, clip, series
 from ..settings import DEFAULTS, Settings
 from .ideas import short_eligible
 from .temporal import first_within
 
 NEEDED = ("close", "high", "low", "ATR_14", "Return_20d", "Confidence", "RSI_14", "Regime_Label", "Signal")
+BAR = ("low", "high", "close", "Signal")
 LEAST_ROWS = 60
 
 
+def complete(df: DataFrame, columns) -> Column:
+    """Whether no value of the row is missing, as `dropna` tests it: neither NULL nor NaN."""
+    test, types = F.lit(True), dict(df.dtypes)
+    for c in columns:
+        test = test & F.col(c).isNotNull()
+        if types[c] in ("double", "float"):
+            test = test & ~F.isnan(c)
+    return test
+
+
 def candidate_exits(signals: DataFrame, cfg: Settings = DEFAULTS, stop=2.0, target=4.0, keys=KEYS) -> DataFrame:
     """First exit of every eligible entry: (keys, i, j, entry_date, exit_date, reason, ret).
 
     i and j number the complete bars of the key inside the look-back. A key's bars (at most one a day) are one array of the few
-    columns needed; an eligible entry looks at the `max_hold` bars after it. Other rows carry nothing.
+    columns needed; an eligible entry looks at the `max_hold` bars after it, all entries of many keys a bar at a time.
     """
-    bar = ("low", "high", "close", "Signal")
-    rows = signals.dropna(subset=list(NEEDED)).select(
+    rows = signals.select(
         *keys,
         "date",
-        *[F.col(c) for c in bar],
+        *BAR,
         (F.col("close") - stop * F.col("ATR_14")).alias("stop"),
         (F.col("close") + target * F.col("ATR_14")).alias("target"),
         (short_eligible(cfg) & (F.col("ATR_14") > 0)).alias("eligible"),
+        complete(signals, NEEDED).alias("_complete"),
     )
-    item = F.struct("date", *bar, "stop", "target", "eligible")
+    # Incomplete bars are left out here: a filter on them would be pushed below the columns it names and repeat all that they
+    # are made of in one method, too large for the JVM to compile.
+    item = F.when(F.col("_complete"), F.struct("date", *BAR, "stop", "target", "eligible"))
     bars = F.sort_array(F.collect_list(item))  # at most one a day
     packed = rows.groupBy(*keys).agg(bars.alias("_bars")).filter(F.size("_bars") >= LEAST_ROWS)
     kept = cfg.lookback + cfg.max_hold
     packed = packed.select(*keys, F.slice("_bars", F.greatest(F.size("_bars") - kept, F.lit(0)) + 1, kept).alias("_bars"))
-
-    def left(e: Column, x: Column) -> Column:
-        return (x["low"] <= e["stop"]) | (x["high"] >= e["target"]) | (x["Signal"] == -1)
-
-    def exited(e: Column, i: Column) -> Column:
-        """Entry, its place, and the place of the first bar that ends it: within `max_hold` bars, else the last of them."""
-        ahead = F.slice("_bars", i + 2, cfg.max_hold)
-        first = F.array_position(F.transform(ahead, lambda x: left(e, x)), True).cast("int")
-        return F.struct(e.alias("e"), i.alias("i"), F.when(first > 0, i + first).otherwise(i + F.size(ahead)).alias("j"))
-
-    places = F.sequence(F.lit(0), F.size("_bars") - 1)
-    entries = F.filter(F.zip_with("_bars", places, lambda e, i: F.when(e["eligible"], F.struct(e.alias("e"), i.alias("i")))), lambda x: x.isNotNull())
-    found = F.filter(F.transform(entries, lambda x: exited(x["e"], x["i"])), lambda x: x["j"] > x["i"])  # the newest bar has none ahead
-
-    def outcome(x: Column) -> Column:
-        e, last = x["e"], F.get("_bars", x["j"])
-        down, up, sold = last["low"] <= e["stop"], last["high"] >= e["target"], last["Signal"] == -1
-        reason = F.when(down, "stop").when(up, "target").when(sold, "signal").otherwise("time")
-        price = F.when(down, e["stop"]).when(up, e["target"]).otherwise(last["close"])
-        return F.struct(
-            x["i"].alias("i"),
-            x["j"].alias("j"),
-            e["date"].alias("entry_date"),
-            last["date"].alias("exit_date"),
-            reason.alias("reason"),
-            (ratio(price, e["close"]) - 1).alias("ret"),
-        )
-
-    return packed.select(*keys, F.explode(F.transform(found, outcome)).alias("t")).select(*keys, "t.*")
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+
+    def run(batches):
+        for batch in batches:
+            owner, found = first_exits(batch.column("_bars"), cfg.max_hold)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in keys], *found.values()], [*keys, *found])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", i int, j int, entry_date date, exit_date date, reason string, ret double"
+    return packed.mapInArrow(run, schema)
+
+
+def first_exits(bars: pa.Array, hold: int) -> tuple[pa.Array, dict[str, pa.Array]]:
+    """Of lists of bars: the list of each eligible entry that has a bar ahead, and its first exit."""
+    inner, size = bars.flatten(), bars.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    low, high, close, signal, down, up, eligible = (inner.field(c).to_numpy(zero_copy_only=False) for c in (*BAR, "stop", "target", "eligible"))
+    end = np.cumsum(size)
+    begin, owner = end - size, np.repeat(np.arange(len(size)), size)
+    entry = np.flatnonzero(eligible.astype(bool))
+    entry = entry[entry + 1 < end[owner[entry]]]  # the newest bar has none ahead
+    key, at = owner[entry], np.minimum(entry + hold, end[owner[entry]] - 1)  # without another exit the last bar of the hold
+    left = np.arange(len(entry))
+    for k in range(1, hold + 1):
+        left = left[entry[left] + k <= at[left]]
+        bar, own = entry[left] + k, entry[left]
+        out = ~(low[bar] > down[own]) | (high[bar] >= up[own]) | (signal[bar] == -1)
+        at[left[out]] = bar[out]
+        left = left[~out]
+    stopped, reached, sold = ~(low[at] > down[entry]), high[at] >= up[entry], signal[at] == -1
+    reason = np.select([stopped, reached, sold], ["stop", "target", "signal"], "time")
+    price = np.where(stopped, down[entry], np.where(reached, up[entry], close[at]))
+    free = close[entry] == 0
+    date = inner.field("date")
+    return pa.array(key), {
+        "i": pa.array(entry - begin[key], pa.int32()),
+        "j": pa.array(at - begin[key], pa.int32()),
+        "entry_date": date.take(pa.array(entry)),
+        "exit_date": date.take(pa.array(at)),
+        "reason": pa.array(reason.astype(object), pa.string()),
+        "ret": pa.array(price / np.where(free, 1.0, close[entry]) - 1, pa.float64(), mask=free),
+    }
 
 
 def without_overlap(candidates: DataFrame, keys=KEYS) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import ideas as idea
 from barloom.operators import outcomes as out
@@ -127,6 +128,26 @@ def test_look_ahead_needs_no_window_of_rows(spark, signals):
     assert "Window [" not in found._jdf.queryExecution().analyzed().toString()
 
 
+def test_first_exits_of_several_series_in_one_batch(spark, signals):
+    """Every entry against a loop, overlapping ones too; an array fold per entry, or a filter on signals, would show in the plan."""
+    signals = signals.withColumn("RSI_14", F.when(F.dayofmonth("date") == 7, float("nan")).when(F.dayofmonth("date") != 9, F.col("RSI_14")))
+    found = out.candidate_exits(signals)
+    rows = signals.withColumn("ok", short_eligible()).orderBy("instrument", "date").toPandas()
+    want = []
+    for name, d in rows.groupby("instrument"):
+        d = d.dropna(subset=list(out.NEEDED)).tail(544).reset_index(drop=True)
+        for i in d.index[d.ok & (d.ATR_14 > 0)]:
+            ahead = d.iloc[i + 1 : i + 41]
+            low, high = d.close[i] - 2 * d.ATR_14[i], d.close[i] + 4 * d.ATR_14[i]
+            hit = ahead.index[(ahead.low <= low) | (ahead.high >= high) | (ahead.Signal == -1)]
+            if len(ahead):
+                want.append((name, i, hit[0] if len(hit) else ahead.index[-1]))
+    got = found.orderBy("instrument", "i").toPandas()
+    assert list(zip(got.instrument, got.i, got.j)) == want and len(want) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Signal" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_ranking_works_out_the_list_once(signals):
     listed = idea.ideas(idea.snapshot(signals))
     got = idea.ranked(listed)
